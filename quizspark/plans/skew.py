@@ -1,0 +1,27 @@
+"""Joins that stay balanced when one key holds a large share of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+HOT_ROWS = 1_000_000
+SALTS = 64
+
+
+def attach_per_key(rows: DataFrame, per_key: DataFrame, key: str, spread_by: str,
+                   hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
+    """Attach one ``per_key`` row (with its row count ``n_rows``) to every row of the key.
+
+    Keys with more than ``hot_rows`` rows are spread over ``salts`` tasks. There are at most
+    (all rows / hot_rows) such keys, which bounds the broadcast list of them; raise ``hot_rows``
+    with the table.
+    """
+    hot = per_key.where(F.col("n_rows") > hot_rows).select(key, F.lit(True).alias("_hot"))
+    salted = (rows.join(F.broadcast(hot), key, "left")
+              .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread_by), F.lit(salts)))
+                          .otherwise(F.lit(0)).cast("int"))
+              .drop("_hot"))
+    copies = F.when(F.col("n_rows") > hot_rows, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
+        F.array(F.lit(0)))
+    return (salted.join(per_key.withColumn("_salt", F.explode(copies)), [key, "_salt"])
+            .drop("_salt"))
