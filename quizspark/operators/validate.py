@@ -147,8 +147,10 @@ def issue_rows(df: DataFrame, as_of: str, id_col: str = "question_id", strict: b
     """One row per fatal issue of an invalid question."""
     checked = with_issues(df, as_of, strict).where(~F.col("is_valid"))
     fields = [f for f in FIELDS[:4] if f in df.columns][: 4 if strict else 2]
-    listed = F.concat(*[F.transform(f"{f}_issues", lambda x, f=f: F.struct(
-        F.lit(f).alias("field"), x.alias("issue"))) for f in fields])
+
+    def labelled(field: str) -> Column:
+        return F.transform(f"{field}_issues", lambda x: F.struct(F.lit(field).alias("field"), x.alias("issue")))
+    listed = F.concat(*[labelled(f) for f in fields])
     return checked.select(id_col, F.explode(listed).alias("i")).select(id_col, "i.field", "i.issue")
 
 

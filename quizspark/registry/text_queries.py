@@ -297,7 +297,8 @@ def _(spark, sf):
 
 # ---- grading -----------------------------------------------------------------------------------
 
-_CREDIT = "CASE WHEN conf >= 0.9 THEN 1 WHEN conf >= 0.7 THEN 0.85 WHEN conf >= 0.5 THEN 0.65 WHEN conf >= 0.3 THEN 0.45 ELSE 0 END"
+_CREDIT = ("CAST(CASE WHEN conf >= 0.9 THEN 1 WHEN conf >= 0.7 THEN 0.85 WHEN conf >= 0.5 THEN 0.65 "
+           "WHEN conf >= 0.3 THEN 0.45 ELSE 0 END AS DOUBLE)")
 _LIMIT = """(CASE WHEN contains(lower(category), 'science') OR contains(lower(category), 'history') THEN CAST(0.65 AS DOUBLE)
   WHEN contains(lower(category), 'wordplay') OR contains(lower(category), 'language') THEN CAST(0.80 AS DOUBLE) ELSE CAST(0.70 AS DOUBLE) END
   * CASE WHEN lower(difficulty_level) = 'hard' OR value > 1000 THEN CAST(0.9 AS DOUBLE)
@@ -317,7 +318,7 @@ def _grade_sql(mode: str) -> str:
     right, score = _RIGHT[mode]
     return f"""SELECT * FROM (WITH {q.parsed('themed', 'response_text')}, {q.matched('parsed', 'extracted', 'answer', need)}
 SELECT result_id, '{mode}' AS mode, CASE WHEN is_timeout THEN NULL WHEN rtype IN ('refusal', 'error') OR is_error THEN FALSE ELSE {right} END AS is_correct,
-  round(CASE WHEN is_timeout OR is_error OR rtype IN ('refusal', 'error') THEN 0 ELSE {score} END, 6) AS score,
+  round(CAST(CASE WHEN is_timeout OR is_error OR rtype IN ('refusal', 'error') THEN 0 ELSE {score} END AS DOUBLE), 6) AS score,
   round(CASE WHEN is_timeout OR is_error OR rtype IN ('refusal', 'error') THEN 0 ELSE conf END, 6) AS confidence,
   round(CASE WHEN is_timeout OR is_error OR rtype IN ('refusal', 'error') THEN 0 ELSE {_CREDIT} END, 6) AS partial_credit,
   CASE WHEN is_timeout OR is_error OR rtype IN ('refusal', 'error') THEN 'exact' ELSE mtype END AS match_type, rtype AS response_type FROM matched)"""

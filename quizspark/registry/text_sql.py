@@ -111,12 +111,12 @@ def reasoning(clean: str) -> str:
 
 def parsed(source: str, text: str, name: str = "parsed") -> str:
     """CTEs that add clean, rtype, hints, extracted and quality to the rows of ``source``."""
-    return f"""{name}_1 AS (SELECT *, CASE WHEN {text} IS NULL OR {collapse(text)} = '' THEN '' ELSE {clean_response(text)} END AS clean FROM {source}),
-{name}_2 AS (SELECT *, {response_type(text, 'clean')} AS rtype FROM {name}_1),
-{name}_3 AS (SELECT *, CASE WHEN rtype = 'error' THEN [] ELSE {indicators('clean')} END AS hints,
+    return f"""{name}_1 AS MATERIALIZED (SELECT *, CASE WHEN {text} IS NULL OR {collapse(text)} = '' THEN '' ELSE {clean_response(text)} END AS clean FROM {source}),
+{name}_2 AS MATERIALIZED (SELECT *, {response_type(text, 'clean')} AS rtype FROM {name}_1),
+{name}_3 AS MATERIALIZED (SELECT *, CASE WHEN rtype = 'error' THEN [] ELSE {indicators('clean')} END AS hints,
   CASE WHEN rtype IN ('error', 'refusal') THEN '' WHEN rtype = '{fv.QUESTION_TYPE}' THEN {question_answer('clean')}
     ELSE {direct_answer('clean')} END AS extracted FROM {name}_2),
-{name} AS (SELECT *, CASE WHEN rtype IN ('refusal', 'error') THEN 0 ELSE greatest(0, least(1, CAST(1.0 AS DOUBLE)
+{name} AS MATERIALIZED (SELECT *, CASE WHEN rtype IN ('refusal', 'error') THEN 0 ELSE greatest(0, least(1, CAST(1.0 AS DOUBLE)
   + CASE WHEN rtype = '{fv.QUESTION_TYPE}' THEN CAST(0.2 AS DOUBLE) ELSE 0 END - len(hints) * CAST(0.1 AS DOUBLE)
   - CASE WHEN length(extracted) < 5 THEN CAST(0.3 AS DOUBLE) ELSE 0 END
   - CASE WHEN {word_count('extracted')} > 50 THEN CAST(0.2 AS DOUBLE) ELSE 0 END)) END AS quality FROM {name}_3)"""
@@ -125,24 +125,24 @@ def parsed(source: str, text: str, name: str = "parsed") -> str:
 def matched(source: str, answer: str, expected: str, required: str = "FALSE", name: str = "matched") -> str:
     """CTEs that add is_match, conf and mtype by the five strategies that SQL can express."""
     form = lit("^" + tx.FORM_START)
-    return f"""{name}_1 AS (SELECT *, {norm(answer)} AS na, {norm(expected)} AS ne,
+    return f"""{name}_1 AS MATERIALIZED (SELECT *, {norm(answer)} AS na, {norm(expected)} AS ne,
   coalesce({collapse(answer)} = '', TRUE) AS blank FROM {source}),
-{name}_2 AS (SELECT *, {content('na')} AS ca, {content('ne')} AS ce,
+{name}_2 AS MATERIALIZED (SELECT *, {content('na')} AS ca, {content('ne')} AS ce,
   list_concat({numbers('na')}, {numbers(words('na', fv.NUMBER_WORDS))}) AS numa,
   list_concat({numbers('ne')}, {numbers(words('ne', fv.NUMBER_WORDS))}) AS nume,
   {words('na', tx.EXPANDED)} AS xa, {words('ne', tx.EXPANDED)} AS xe, {tokens('na')} AS ta, {tokens('ne')} AS te FROM {name}_1),
-{name}_3 AS (SELECT *, na = ne AS h0,
+{name}_3 AS MATERIALIZED (SELECT *, na = ne AS h0,
   coalesce(CASE WHEN ca IS NOT NULL AND ce IS NOT NULL THEN ca = ce WHEN ca IS NOT NULL THEN ca = ne
     WHEN ce IS NOT NULL THEN na = ce ELSE FALSE END, FALSE) AS h1,
   greatest(CASE WHEN len(nume) = 0 THEN 0 ELSE len(list_intersect(numa, nume)) / len(nume) END,
     CASE WHEN len(list_intersect({years('na')}, {years('ne')})) > 0 THEN 1 ELSE 0 END) AS c2,
   na = ne OR xa = ne OR na = xe OR xa = xe AS h3, {jaccard('ta', 'te')} AS c5 FROM {name}_2),
-{name}_4 AS (SELECT *, CASE WHEN h0 THEN 1.0 ELSE 0.0 END AS c0,
+{name}_4 AS MATERIALIZED (SELECT *, CASE WHEN h0 THEN 1.0 ELSE 0.0 END AS c0,
   CASE WHEN ca IS NOT NULL AND ce IS NOT NULL THEN CASE WHEN h1 THEN 1.0 ELSE 0.7 END
     WHEN ca IS NOT NULL THEN CASE WHEN h1 THEN 0.9 ELSE 0 END WHEN ce IS NOT NULL THEN CASE WHEN h1 THEN 0.8 ELSE 0 END ELSE 0 END
     * CASE WHEN {required} AND NOT regexp_matches(trim(lower({answer})), {form}) THEN 0.5 ELSE 1 END AS c1,
   CASE WHEN h3 THEN 1.0 ELSE 0.0 END AS c3 FROM {name}_3),
-{name} AS (SELECT *, NOT blank AND (h0 OR h1 OR c2 >= 0.8 OR h3 OR c5 >= 0.7) AS is_match,
+{name} AS MATERIALIZED (SELECT *, NOT blank AND (h0 OR h1 OR c2 >= 0.8 OR h3 OR c5 >= 0.7) AS is_match,
   CASE WHEN blank THEN 'exact' WHEN h0 THEN 'exact' WHEN h1 THEN '{fv.QUESTION_TYPE}' WHEN c2 >= 0.8 THEN 'number_date'
     WHEN h3 THEN 'abbreviation' WHEN c5 >= 0.7 THEN 'semantic' WHEN greatest(c1, c2, c5) = 0 THEN 'exact'
     WHEN c1 = greatest(c1, c2, c5) THEN '{fv.QUESTION_TYPE}' WHEN c2 = greatest(c1, c2, c5) THEN 'number_date' ELSE 'semantic' END AS mtype,
