@@ -7,129 +7,118 @@ are only computed for rows that the cheap strategies leave open.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quizspark import fixed_values as fv
 from quizspark.functions import text as tx
 from quizspark.functions.similarity import fuzzy_scores
 
-# Every strategy yields (is_match, confidence, match_type).
-
-
-def _outcome(hit: Column, confidence: Column, kind: str) -> Column:
-    return F.struct(hit.alias("is_match"), confidence.cast("double").alias("confidence"),
-                    F.lit(kind).alias("match_type"))
+# Intermediate values are scalar columns in stages. Each is used more than once, so Catalyst keeps the
+# stages apart and computes every value once; inside structs they would be copied into each use.
 
 
 def _one_zero(hit: Column) -> Column:
     return F.when(hit, 1.0).otherwise(0.0)
 
 
-def exact_match(norm_a: Column, norm_e: Column) -> Column:
-    hit = norm_a == norm_e
-    return _outcome(hit, _one_zero(hit), "exact")
+def question_form_confidence(form_a: Column, form_e: Column, hit: Column) -> Column:
+    return (F.when(form_a.isNotNull() & form_e.isNotNull(), F.when(hit, 1.0).otherwise(0.7))
+            .when(form_a.isNotNull(), F.when(hit, 0.9).otherwise(0.0))
+            .when(form_e.isNotNull(), F.when(hit, 0.8).otherwise(0.0)).otherwise(0.0))
 
 
-def question_form_match(norm_a: Column, norm_e: Column, raw_a: Column, form_required: Column) -> Column:
-    in_a, in_e = tx.question_content(norm_a), tx.question_content(norm_e)
-    both, only_a, only_e = (in_a.isNotNull() & in_e.isNotNull(), in_a.isNotNull(), in_e.isNotNull())
-    hit = (F.when(both, in_a == in_e).when(only_a, in_a == norm_e)
-           .when(only_e, norm_a == in_e).otherwise(F.lit(False)))
-    confidence = (F.when(both, F.when(hit, 1.0).otherwise(0.7))
-                  .when(only_a, F.when(hit, 0.9).otherwise(0.0))
-                  .when(only_e, F.when(hit, 0.8).otherwise(0.0)).otherwise(0.0))
-    penalty = F.when(form_required & ~tx.starts_as_question(raw_a), 0.5).otherwise(1.0)
-    return _outcome(hit, confidence * penalty, fv.QUESTION_TYPE)
+def listed_numbers(norm: Column) -> Column:
+    """Numbers of the text, then numbers of the text with number words as digits."""
+    return F.concat(tx.extract_numbers(norm), tx.extract_numbers(tx.words_to_digits(norm)))
 
 
-def number_match(norm_a: Column, norm_e: Column, count_distinct: bool = False) -> Column:
-    """Share of expected numbers found, or a shared year.
+def number_confidence(nums_a: Column, nums_e: Column, years_a: Column, years_e: Column,
+                      count_distinct: bool = False) -> Column:
+    """Share of expected numbers found, or 1 for a shared year.
 
-    Numbers are listed from the text and again from the text with number words as digits; the
-    denominator is the length of that double list unless ``count_distinct`` is set.
+    The denominator is the length of the double list of expected numbers unless ``count_distinct``.
     """
-    def listed(norm: Column) -> Column:
-        return F.concat(tx.extract_numbers(norm), tx.extract_numbers(tx.words_to_digits(norm)))
-    nums_a, nums_e = listed(norm_a), listed(norm_e)
     total = F.size(F.array_distinct(nums_e) if count_distinct else nums_e)
-    shared = F.size(F.array_intersect(nums_a, nums_e))
-    by_number = F.when(total == 0, F.lit(0.0)).otherwise(shared / F.greatest(total, F.lit(1)))
-    by_year = _one_zero(F.arrays_overlap(tx.extract_years(norm_a), tx.extract_years(norm_e)))
-    confidence = F.greatest(by_number, by_year)
-    return _outcome(confidence >= fv.NUMBER_THRESHOLD, confidence, "number_date")
-
-
-def abbreviation_match(norm_a: Column, norm_e: Column) -> Column:
-    long_a, long_e = tx.expand_abbreviations(norm_a), tx.expand_abbreviations(norm_e)
-    hit = (norm_a == norm_e) | (long_a == norm_e) | (norm_a == long_e) | (long_a == long_e)
-    return _outcome(hit, _one_zero(hit), "abbreviation")
-
+    by_number = F.when(total == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(nums_a, nums_e)) / total)
+    return F.greatest(by_number, _one_zero(F.arrays_overlap(years_a, years_e)))
 
-def fuzzy_match(best: Column, threshold: Column) -> Column:
-    score = F.coalesce(best, F.lit(0)) / 100.0
-    return _outcome(score >= threshold, score, "fuzzy")
 
+_ORDER = ["exact", fv.QUESTION_TYPE, "number_date", "abbreviation", "fuzzy", "semantic"]
 
-def semantic_match(norm_a: Column, norm_e: Column, threshold: Column,
-                   synonym_score: Column | None = None) -> Column:
-    shared = tx.jaccard(tx.meaningful_tokens(norm_a), tx.meaningful_tokens(norm_e))
-    score = shared if synonym_score is None else F.greatest(
-        shared, F.coalesce(synonym_score, F.lit(0.0)) * 0.8)
-    return _outcome(score >= threshold, score, "semantic")
 
-
-def _first_hit_or_best(outcomes: list[Column]) -> Column:
-    """First matching outcome, else the earliest with the highest confidence."""
-    best = reduce(lambda acc, o: F.when(o["confidence"] > acc["confidence"], o).otherwise(acc), outcomes)
-    chain = F.when(outcomes[0]["is_match"], outcomes[0])
-    for o in outcomes[1:]:
-        chain = chain.when(o["is_match"], o)
-    return chain.otherwise(best)
-
-
-def _no_answer() -> Column:
-    return _outcome(F.lit(False), F.lit(0.0), "exact")
+def _has_number(norm: Column) -> Column:
+    return norm.rlike(r"(?Ui)\d|\b(?:" + "|".join(fv.NUMBER_WORDS) + r")\b")
 
 
 def match_answers(df: DataFrame, answer: str, expected: str, form_required: Column | bool = False,
                   fuzzy: bool = True, fuzzy_threshold: Column | float = fv.FUZZY_THRESHOLD,
                   semantic_threshold: Column | float = fv.SEMANTIC_THRESHOLD,
                   synonym_score: str | None = None, count_distinct: bool = False) -> DataFrame:
-    """Add a ``match`` struct: is_match, confidence, match_type and both normalised texts."""
-    required = form_required if isinstance(form_required, Column) else F.lit(form_required)
-    fuzzy_at = fuzzy_threshold if isinstance(fuzzy_threshold, Column) else F.lit(fuzzy_threshold)
-    semantic_at = semantic_threshold if isinstance(semantic_threshold, Column) else F.lit(semantic_threshold)
-    staged = (df.withColumn("_na", tx.normalize_text(F.col(answer)))
-              .withColumn("_ne", tx.normalize_text(F.col(expected))))
+    """Add a ``match`` struct: is_match, confidence, match_type and both normalised texts.
+
+    Rows settled by an earlier strategy skip the work of the later ones.
+    """
+    def col(x) -> Column:
+        return x if isinstance(x, Column) else F.lit(x)
+    out = (df.withColumn("_na", tx.normalize_text(F.col(answer)))
+           .withColumn("_ne", tx.normalize_text(F.col(expected)))
+           .withColumn("_blank", F.coalesce(tx.strip(F.col(answer)) == "", F.lit(True))))
     na, ne = F.col("_na"), F.col("_ne")
-    blank = F.coalesce(tx.strip(F.col(answer)) == "", F.lit(True))
-    staged = (staged.withColumn("_blank", blank)
-              .withColumn("_m0", exact_match(na, ne))
-              .withColumn("_m1", question_form_match(na, ne, F.col(answer), required))
-              .withColumn("_m2", number_match(na, ne, count_distinct))
-              .withColumn("_m3", abbreviation_match(na, ne)))
-    names = ["_m0", "_m1", "_m2", "_m3"]
-    settled = F.col("_blank") | reduce(lambda a, b: a | b, [F.col(n)["is_match"] for n in names])
+    out = (out.withColumn("_h0", ~F.col("_blank") & (na == ne))
+           .withColumn("_fa", tx.question_content(na)).withColumn("_fe", tx.question_content(ne)))
+    fa, fe = F.col("_fa"), F.col("_fe")
+    same = F.when(fa.isNotNull() | fe.isNotNull(), F.coalesce(fa, na) == F.coalesce(fe, ne)).otherwise(F.lit(False))
+    out = out.withColumn("_h1", ~F.col("_blank") & same)
+    lacks_form = col(form_required) & ~tx.starts_as_question(F.col(answer))
+    out = out.withColumn("_c1", question_form_confidence(fa, fe, F.col("_h1"))
+                         * F.when(lacks_form, 0.5).otherwise(1.0))
+    # Without a number in the expected answer, or an answer still to settle, there is nothing to list.
+    out = (out.withColumn("_open", ~(F.col("_blank") | F.col("_h0") | F.col("_h1")))
+           .withColumn("_n", F.col("_open") & _has_number(ne) & _has_number(na)))
+    n = F.col("_n")
+    out = (out.withColumn("_va", F.when(n, listed_numbers(na))).withColumn("_ve", F.when(n, listed_numbers(ne))))
+    out = out.withColumn("_c2", F.when(n, number_confidence(
+        F.col("_va"), F.col("_ve"), tx.extract_years(na), tx.extract_years(ne), count_distinct)).otherwise(0.0))
+    out = (out.withColumn("_h2", F.col("_c2") >= fv.NUMBER_THRESHOLD)
+           .withColumn("_open", F.col("_open") & ~F.col("_h2"))
+           .withColumn("_xa", F.when(F.col("_open"), tx.expand_abbreviations(na)))
+           .withColumn("_xe", F.when(F.col("_open"), tx.expand_abbreviations(ne))))
+    xa, xe = F.col("_xa"), F.col("_xe")
+    out = (out.withColumn("_h3", F.coalesce((xa == ne) | (na == xe) | (xa == xe), F.lit(False)))
+           .withColumn("_open", F.col("_open") & ~F.col("_h3")))
     if fuzzy:
-        staged = (staged.withColumn("_open", ~settled)
-                  .withColumn("_fz", fuzzy_scores(F.when(F.col("_open"), na), F.when(F.col("_open"), ne)))
-                  .withColumn("_m4", fuzzy_match(F.col("_fz.best"), fuzzy_at)))
-        names.append("_m4")
-    synonyms = F.col(synonym_score) if synonym_score else None
-    staged = staged.withColumn("_m5", semantic_match(na, ne, semantic_at, synonyms))
-    names.append("_m5")
-    chosen = F.when(F.col("_blank"), _no_answer()).otherwise(_first_hit_or_best([F.col(n) for n in names]))
-    staged = staged.withColumn("_pick", chosen)
-    pick = F.col("_pick")
+        still = F.col("_open")
+        out = out.withColumn("_fz", fuzzy_scores(F.when(still, na), F.when(still, ne)))
+        out = out.withColumn("_c4", F.coalesce(F.col("_fz.best"), F.lit(0)) / 100.0)
+        out = out.withColumn("_h4", still & (F.col("_c4") >= col(fuzzy_threshold)))
+    else:
+        out = out.withColumn("_c4", F.lit(0.0)).withColumn("_h4", F.lit(False))
+    out = out.withColumn("_open", F.col("_open") & ~F.col("_h4"))
+    out = (out.withColumn("_ta", F.when(F.col("_open"), tx.meaningful_tokens(na)))
+           .withColumn("_te", F.when(F.col("_open"), tx.meaningful_tokens(ne))))
+    shared = F.when(F.col("_open"), tx.jaccard(F.col("_ta"), F.col("_te"))).otherwise(0.0)
+    if synonym_score:
+        shared = F.greatest(shared, F.when(F.col("_open"), F.coalesce(F.col(synonym_score), F.lit(0.0)) * 0.8)
+                            .otherwise(0.0))
+    out = out.withColumn("_c5", shared)
+    out = (out.withColumn("_h5", F.col("_open") & (F.col("_c5") >= col(semantic_threshold)))
+           .withColumn("_top", F.greatest("_c1", "_c2", "_c4", "_c5")))
+    hits = [(F.col(f"_h{i}"), name, c) for i, (name, c) in enumerate(zip(
+        _ORDER, [F.lit(1.0), F.col("_c1"), F.col("_c2"), F.lit(1.0), F.col("_c4"), F.col("_c5")]))]
+    kind, confidence, found = F.when(F.col("_blank"), "exact"), F.when(F.col("_blank"), F.lit(0.0)), F.lit(False)
+    for hit, name, c in hits:
+        kind, confidence, found = kind.when(hit, name), confidence.when(hit, c), found | hit
+    # Nothing matched: the earliest strategy with the highest confidence.
+    kind = kind.when(F.col("_top") == 0, "exact")
+    for i in (1, 2, 4, 5):
+        kind = kind.when(F.col(f"_c{i}") == F.col("_top"), _ORDER[i])
     match = F.struct(
-        pick["is_match"].alias("is_match"), pick["confidence"].alias("confidence"),
-        pick["match_type"].alias("match_type"),
+        found.alias("is_match"), confidence.otherwise(F.col("_top")).alias("confidence"), kind.alias("match_type"),
         F.when(F.col("_blank"), F.lit("")).otherwise(na).alias("normalized_answer"),
         ne.alias("normalized_expected"))
-    return staged.withColumn("match", match).drop(
-        "_na", "_ne", "_blank", "_open", "_fz", "_pick", *names)
+    helpers = ["_na", "_ne", "_blank", "_fa", "_fe", "_open", "_n", "_va", "_ve", "_xa", "_xe", "_fz", "_ta", "_te",
+               "_top", *[f"_h{i}" for i in range(6)], "_c1", "_c2", "_c4", "_c5"]
+    return out.withColumn("match", match).drop(*helpers)
 
 
 def match_any(df: DataFrame, answer: str, expected: str, alternatives: str, row_id: str,
@@ -145,8 +134,7 @@ def match_any(df: DataFrame, answer: str, expected: str, alternatives: str, row_
     fanned = df.select(row_id, answer, F.posexplode(listed).alias("_pos", "_acceptable"))
     matched = match_answers(fanned, answer, "_acceptable", **options)
     m = F.col("match")
-    order = F.array(*[F.lit(x) for x in
-                      ["exact", fv.QUESTION_TYPE, "number_date", "abbreviation", "fuzzy", "semantic"]])
+    order = F.array(*[F.lit(x) for x in _ORDER])
     strategy = F.array_position(order, m["match_type"])
     rank = F.struct((~m["is_match"]).alias("miss"),
                     F.when(m["is_match"], F.lit(0.0)).otherwise(-m["confidence"]).alias("c"),

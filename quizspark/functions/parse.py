@@ -31,25 +31,26 @@ def has_question_form(clean: Column) -> Column:
     return clean.rlike(FORM_ANYWHERE)
 
 
-def phrases_found(clean: Column, phrases: list[str]) -> Column:
-    """The listed phrases that occur in the text, in list order."""
-    low = F.lower(clean)
-    return F.filter(F.array(*[F.lit(p) for p in phrases]), lambda p: F.contains(low, p))
+def phrases_found(low: Column, phrases: list[str]) -> Column:
+    """The listed phrases that occur in lower-case text, in list order."""
+    return F.array_compact(F.array(*[F.when(low.contains(p), F.lit(p)) for p in phrases]))
 
 
-def _any_phrase(clean: Column, phrases: list[str]) -> Column:
-    low = F.lower(clean)
+def _any_phrase(low: Column, phrases: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [low.contains(p) for p in phrases])
 
 
-def response_type(raw: Column, clean: Column) -> Column:
-    """First rule that applies wins: error, refusal, question form, explanation, uncertain."""
+def response_type(blank: Column, clean: Column, low: Column) -> Column:
+    """First rule that applies wins: error, refusal, question form, explanation, uncertain.
+
+    ``low`` is the cleaned text in lower case.
+    """
     reasoning = "(?i)" + "|".join(f"(?:{p})" for p in fv.REASONING_PATTERNS)
-    return (F.when(is_blank(raw), "error")
-            .when(_any_phrase(clean, fv.REFUSAL_PHRASES), "refusal")
+    return (F.when(blank, "error")
+            .when(_any_phrase(low, fv.REFUSAL_PHRASES), "refusal")
             .when(has_question_form(clean), fv.QUESTION_TYPE)
             .when(clean.rlike(reasoning), "explanation")
-            .when(_any_phrase(clean, fv.UNCERTAINTY_PHRASES), "uncertain")
+            .when(_any_phrase(low, fv.UNCERTAINTY_PHRASES), "uncertain")
             .otherwise("direct_answer"))
 
 
@@ -107,13 +108,15 @@ def quality_score(rtype: Column, indicators: Column, answer: Column) -> Column:
 def parse_responses(df: DataFrame, text_col: str, with_reasoning: bool = True) -> DataFrame:
     """Add a ``parsed`` struct; one projection, no shuffle."""
     raw = F.col(text_col)
-    staged = df.withColumn("_clean", F.when(is_blank(raw), F.lit("")).otherwise(clean_response(raw)))
     clean = F.col("_clean")
-    staged = staged.withColumn("_type", response_type(raw, clean))
+    staged = (df.withColumn("_blank", is_blank(raw))
+              .withColumn("_clean", F.when(F.col("_blank"), F.lit("")).otherwise(clean_response(raw)))
+              .withColumn("_low", F.lower(clean))
+              .withColumn("_type", response_type(F.col("_blank"), clean, F.col("_low"))))
     rtype = F.col("_type")
     staged = (staged
               .withColumn("_hints", F.when(rtype == "error", F.array().cast("array<string>"))
-                          .otherwise(phrases_found(clean, fv.UNCERTAINTY_PHRASES)))
+                          .otherwise(phrases_found(F.col("_low"), fv.UNCERTAINTY_PHRASES)))
               .withColumn("_answer", F.when(rtype.isin("error", "refusal"), F.lit(""))
                           .when(rtype == fv.QUESTION_TYPE, question_answer(clean))
                           .otherwise(direct_answer(clean))))
@@ -125,4 +128,5 @@ def parse_responses(df: DataFrame, text_col: str, with_reasoning: bool = True) -
         clean.alias("cleaned_text"), has_question_form(clean).alias("has_question_form"),
         tx.word_count(clean).alias("word_count"),
         quality_score(rtype, F.col("_hints"), F.col("_answer")).alias("quality_score"))
-    return staged.withColumn("parsed", parsed).drop("_clean", "_type", "_hints", "_answer", "_why")
+    return staged.withColumn("parsed", parsed).drop(
+        "_blank", "_clean", "_low", "_type", "_hints", "_answer", "_why")
