@@ -224,7 +224,9 @@ def schema_split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     tests = [(F.coalesce(F.length(q) < 10, F.lit(True)), "question: must be at least 10 characters long"),
              (F.coalesce(F.length(a) < 1, F.lit(True)), "answer: cannot be empty")]
     if "value" in df.columns:
-        tests.append((F.col("value") < 0, "value: must be non-negative"))
+        whole = F.trim(F.col("value").cast("string")).try_cast("bigint")
+        tests += [(F.col("value").isNotNull() & whole.isNull(), "value: not a whole number"),
+                  (whole < 0, "value: must be non-negative")]
     if "difficulty_level" in df.columns:
         tests.append((~F.col("difficulty_level").isin(fv.DIFFICULTY_LEVELS), "difficulty_level: unknown level"))
     judged = df.withColumn("rejected_because", F.array_join(_issues(*tests), "; "))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
 USAGE_SCHEMA = T.StructType([
     T.StructField("timestamp", T.TimestampType()), T.StructField("model_id", T.StringType()),
     T.StructField("input_tokens", T.LongType()), T.StructField("output_tokens", T.LongType()),
@@ -33,11 +35,11 @@ CHECKPOINT_SCHEMA = T.StructType([
 def write_usage(usage: DataFrame, path: str, kind: str = "json") -> None:
     """JSON lines, or CSV with the metadata as a JSON text."""
     if kind == "json":
-        usage.write.mode("overwrite").json(path)
+        usage.write.mode("overwrite").json(path, timestampFormat=_TIME)
     elif kind == "csv":
         flat = usage.withColumn("metadata", F.when(F.size("metadata") > 0, F.to_json("metadata")))
         flat.write.mode("overwrite").csv(path, header=True, escape='"',
-                                         timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+                                         timestampFormat=_TIME)
     else:
         raise ValueError(f"unsupported format {kind!r}")
 
@@ -48,7 +50,7 @@ def read_usage(spark: SparkSession, path: str, kind: str = "json", multi_line: b
     flat = T.StructType([T.StructField(f.name, T.StringType() if f.name == "metadata" else f.dataType)
                          for f in USAGE_SCHEMA])
     rows = spark.read.schema(flat).csv(path, header=True, escape='"',
-                                       timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+                                       timestampFormat=_TIME)
     return rows.withColumn("metadata", F.from_json("metadata", "map<string,string>"))
 
 

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 RESTORE_ORDER = ("questions", "benchmark_runs", "benchmark_results", "model_performance")
 
 
@@ -30,8 +31,9 @@ def snapshot(tables: dict[str, DataFrame], path: str, taken_at: str, version: st
     """Write every table as JSON lines plus a manifest with the counts of what was written."""
     spark = next(iter(tables.values())).sparkSession
     for name, df in tables.items():
-        df.write.mode("overwrite").option("compression", "gzip" if compress else "none").json(
-            f"{path}/data/{name}")
+        df.write.mode("overwrite").options(
+            compression="gzip" if compress else "none", timestampFormat=_TIME, timestampNTZFormat=_TIME,
+        ).json(f"{path}/data/{name}")
     written = {n: spark.read.schema(df.schema).json(f"{path}/data/{n}") for n, df in tables.items()}
     out = manifest(written).withColumn("taken_at", F.lit(taken_at)).withColumn("version", F.lit(version))
     out.write.mode("overwrite").json(f"{path}/manifest")
@@ -39,7 +41,8 @@ def snapshot(tables: dict[str, DataFrame], path: str, taken_at: str, version: st
 
 
 def read_snapshot(spark: SparkSession, path: str, schemas: dict) -> dict[str, DataFrame]:
-    return {n: spark.read.schema(s).json(f"{path}/data/{n}") for n, s in schemas.items()}
+    return {n: spark.read.schema(s).options(timestampNTZFormat=_TIME).json(f"{path}/data/{n}")
+            for n, s in schemas.items()}
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
