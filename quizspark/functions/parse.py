@@ -27,8 +27,9 @@ def is_blank(c: Column) -> Column:
     return c.isNull() | (tx.strip(c) == "")
 
 
-def has_question_form(clean: Column) -> Column:
-    return clean.rlike(FORM_ANYWHERE)
+def has_question_form(low: Column) -> Column:
+    """Whether cleaned lower-case text has "what is", "who was" and so on anywhere."""
+    return low.rlike(r"(?:wh(?:at|o|ere|en|y)|how)\s+" + rf"(?:{VERBS_ALT})\s+")
 
 
 def phrases_found(low: Column, phrases: list[str]) -> Column:
@@ -40,16 +41,23 @@ def _any_phrase(low: Column, phrases: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [low.contains(p) for p in phrases])
 
 
-def response_type(blank: Column, clean: Column, low: Column) -> Column:
+def has_reasoning_words(low: Column) -> Column:
+    """Whether a reasoning pattern occurs. Cleaned text has single blanks, so all but the pattern with
+    a gap are plain substrings."""
+    plain = [p.replace(r"\s+", " ") for p in fv.REASONING_PATTERNS if ".*" not in p]
+    gapped = [low.rlike(p) for p in fv.REASONING_PATTERNS if ".*" in p]
+    return reduce(lambda a, b: a | b, gapped, _any_phrase(low, plain))
+
+
+def response_type(blank: Column, in_form: Column, low: Column) -> Column:
     """First rule that applies wins: error, refusal, question form, explanation, uncertain.
 
     ``low`` is the cleaned text in lower case.
     """
-    reasoning = "(?i)" + "|".join(f"(?:{p})" for p in fv.REASONING_PATTERNS)
     return (F.when(blank, "error")
             .when(_any_phrase(low, fv.REFUSAL_PHRASES), "refusal")
-            .when(has_question_form(clean), fv.QUESTION_TYPE)
-            .when(clean.rlike(reasoning), "explanation")
+            .when(in_form, fv.QUESTION_TYPE)
+            .when(has_reasoning_words(low), "explanation")
             .when(_any_phrase(low, fv.UNCERTAINTY_PHRASES), "uncertain")
             .otherwise("direct_answer"))
 
@@ -61,7 +69,7 @@ def reasoning(clean: Column) -> Column:
              for p in fv.REASONING_PATTERNS]
     kept = F.filter(F.transform(F.concat(*parts), tx.strip), lambda s: F.length(s) > 10)
     return (F.when(F.size(kept) > 0, F.array_join(kept, ". "))
-            .when(tx.word_count(clean) > 20, clean))
+            .when(tx.words_in(clean) > 20, clean))
 
 
 def question_answer(clean: Column) -> Column:
@@ -100,7 +108,7 @@ def quality_score(rtype: Column, indicators: Column, answer: Column) -> Column:
              + F.when(rtype == fv.QUESTION_TYPE, 0.2).otherwise(0.0)
              - F.size(indicators) * F.lit(0.1)
              - F.when(F.length(answer) < 5, 0.3).otherwise(0.0)
-             - F.when(tx.word_count(answer) > 50, 0.2).otherwise(0.0))
+             - F.when(tx.words_in(answer) > 50, 0.2).otherwise(0.0))
     return F.when(rtype.isin("refusal", "error"), F.lit(0.0)).otherwise(
         F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
 
@@ -112,7 +120,8 @@ def parse_responses(df: DataFrame, text_col: str, with_reasoning: bool = True) -
     staged = (df.withColumn("_blank", is_blank(raw))
               .withColumn("_clean", F.when(F.col("_blank"), F.lit("")).otherwise(clean_response(raw)))
               .withColumn("_low", F.lower(clean))
-              .withColumn("_type", response_type(F.col("_blank"), clean, F.col("_low"))))
+              .withColumn("_form", has_question_form(F.col("_low")))
+              .withColumn("_type", response_type(F.col("_blank"), F.col("_form"), F.col("_low"))))
     rtype = F.col("_type")
     staged = (staged
               .withColumn("_hints", F.when(rtype == "error", F.array().cast("array<string>"))
@@ -120,13 +129,14 @@ def parse_responses(df: DataFrame, text_col: str, with_reasoning: bool = True) -
               .withColumn("_answer", F.when(rtype.isin("error", "refusal"), F.lit(""))
                           .when(rtype == fv.QUESTION_TYPE, question_answer(clean))
                           .otherwise(direct_answer(clean))))
-    why = F.when(rtype != "error", reasoning(clean)) if with_reasoning else F.lit(None).cast("string")
+    why = F.when(rtype != "error", F.when(has_reasoning_words(F.col("_low")), reasoning(clean)).when(
+        tx.words_in(clean) > 20, clean)) if with_reasoning else F.lit(None).cast("string")
     staged = staged.withColumn("_why", why)
     parsed = F.struct(
         rtype.alias("response_type"), F.col("_answer").alias("extracted_answer"),
         F.col("_hints").alias("confidence_indicators"), F.col("_why").alias("reasoning"),
-        clean.alias("cleaned_text"), has_question_form(clean).alias("has_question_form"),
-        tx.word_count(clean).alias("word_count"),
+        clean.alias("cleaned_text"), F.col("_form").alias("has_question_form"),
+        tx.words_in(clean).alias("word_count"),
         quality_score(rtype, F.col("_hints"), F.col("_answer")).alias("quality_score"))
     return staged.withColumn("parsed", parsed).drop(
-        "_blank", "_clean", "_low", "_type", "_hints", "_answer", "_why")
+        "_blank", "_clean", "_low", "_form", "_type", "_hints", "_answer", "_why")

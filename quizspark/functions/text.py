@@ -24,10 +24,14 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, f"{WS}+", " "))
 
 
+def words_in(flat: Column) -> Column:
+    """Number of words of a text whose words are separated by single blanks."""
+    return F.when(flat == "", F.lit(0)).otherwise(
+        F.length(flat) - F.length(F.replace(flat, F.lit(" "), F.lit(""))) + 1)
+
+
 def word_count(c: Column) -> Column:
-    """Number of blank-separated words."""
-    flat = collapse(c)
-    return F.when(flat == "", F.lit(0)).otherwise(F.size(F.split(flat, " ")))
+    return words_in(collapse(c))
 
 
 def normalize_text(c: Column) -> Column:
@@ -88,10 +92,10 @@ def meaningful_tokens(norm: Column) -> Column:
 
     Contractions are cut at the apostrophe before the test.
     """
-    words = F.transform(F.split(norm, " "), lambda w: F.regexp_replace(
-        w, r"(n't|'s|'m|'d|'ll|'re|'ve|')$", ""))
+    bare = F.regexp_replace(norm, r"(n't|'s|'m|'d|'ll|'re|'ve|')(?= |$)", "")
+    words = F.regexp_extract_all(bare, F.lit(r"(?<![^ ])[\p{L}\p{N}]{3,}(?![^ ])"), F.lit(0))
     stop = F.array(*[F.lit(w) for w in fv.STOPWORDS])
-    return F.filter(words, lambda w: w.rlike(r"^[\p{L}\p{N}]{3,}$") & ~F.array_contains(stop, w))
+    return F.filter(words, lambda w: ~F.array_contains(stop, w))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -46,7 +46,7 @@ SELECT page_id, {sql_clean('html')} AS text FROM pages
 UNION ALL SELECT -1 - doc_id, {sql_clean('text')} FROM documents""")
 def _(spark, sf):
     pages = v.table(spark, sf, "pages").select("page_id", c.clean_text(F.col("html")).alias("text"))
-    docs = v.table(spark, sf, "documents").select((-1 - F.col("doc_id")).alias("page_id"),
+    docs = v.documents(spark, sf).select((-1 - F.col("doc_id")).alias("page_id"),
                                                   c.clean_text(F.col("text")).alias("text"))
     return pages.unionByName(docs)
 

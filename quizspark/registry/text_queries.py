@@ -21,7 +21,7 @@ UNION ALL SELECT 'c' || conv_id || '-' || turn, text FROM conversations UNION AL
 
 def texts(spark, sf):
     """Documents, conversation turns and responses as one column of whole texts."""
-    docs = v.table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text")
+    docs = v.documents(spark, sf).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text")
     turns = v.table(spark, sf, "conversations").select(
         F.concat(F.lit("c"), F.concat_ws("-", "conv_id", "turn")).alias("id"), "text")
     answers = v.responses(spark, sf).select(F.concat(F.lit("r"), "result_id").alias("id"), F.col("response_text").alias("text"))
@@ -48,7 +48,7 @@ def _(spark, sf):
 SELECT 'd' || doc_id AS id, array_to_string(list_sort({q.numbers('text')}), ' ') AS numbers FROM documents
 UNION ALL SELECT 'p' || page_id, array_to_string(list_sort({q.numbers('url')}), ' ') FROM pages""")
 def _(spark, sf):
-    docs = v.table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text")
+    docs = v.documents(spark, sf).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text")
     urls = v.table(spark, sf, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"),
                                               F.col("url").alias("text"))
     return docs.unionByName(urls).select("id", F.array_join(
@@ -59,7 +59,7 @@ def _(spark, sf):
 SELECT 'd' || doc_id AS id, array_to_string({q.years('text')}, ' ') AS years FROM documents
 UNION ALL SELECT 'q' || question_id, array_to_string({q.years("'in ' || strftime(air_date, '%Y') || ' on ' || air_date")}, ' ') FROM questions""")
 def _(spark, sf):
-    docs = v.table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text")
+    docs = v.documents(spark, sf).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text")
     dated = v.questions(spark, sf).select(
         F.concat(F.lit("q"), F.col("question_id").cast("string")).alias("id"),
         F.concat(F.lit("in "), F.date_format("air_date", "yyyy"), F.lit(" on "), F.col("air_date").cast("string")).alias("text"))
@@ -111,7 +111,7 @@ def _(spark, sf):
 SELECT doc_id, len(t) AS n, len(list_distinct(t)) AS n_distinct FROM (
   SELECT doc_id, {q.tokens('n')} AS t FROM (SELECT doc_id, {q.norm('text')} AS n FROM documents))""")
 def _(spark, sf):
-    rows = v.table(spark, sf, "documents").select("doc_id", tx.meaningful_tokens(tx.normalize_text(F.col("text"))).alias("t"))
+    rows = v.documents(spark, sf).select("doc_id", tx.meaningful_tokens(tx.normalize_text(F.col("text"))).alias("t"))
     return rounded(rows.select("doc_id", F.size("t").alias("n"), F.size(F.array_distinct("t")).alias("n_distinct")))
 
 
@@ -177,7 +177,7 @@ def answers(spark, sf):
     turns = v.table(spark, sf, "conversations").where(F.col("role") == "assistant").select(
         F.concat(F.lit("c"), F.concat_ws("-", "conv_id", "turn")).alias("id"), "text")
     replies = v.responses(spark, sf).select(F.concat(F.lit("r"), "result_id").alias("id"), F.col("response_text").alias("text"))
-    docs = v.table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text")
+    docs = v.documents(spark, sf).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text")
     return turns.unionByName(replies).unionByName(docs)
 
 

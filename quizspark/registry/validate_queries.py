@@ -26,7 +26,7 @@ UNION ALL SELECT 'q' || question_id, question, answer, category, CAST(value AS V
 
 
 def dirty(spark, sf):
-    d, i = v.table(spark, sf, "documents"), F.col("doc_id")
+    d, i = v.documents(spark, sf), F.col("doc_id")
     docs = d.select(
         F.concat(F.lit("d"), i.cast("string")).alias("question_id"), F.col("text").alias("question"),
         F.when(i % 7 == 0, "").when(i % 7 == 1, F.substring("text", 1, 260))

@@ -9,12 +9,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quizspark.functions.labels import difficulty_level
 from quizspark.operators.catalog import normalize_catalog
+from quizspark.plans.spread import spread_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents, spread for text work."""
+    return spread_scan(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as questions: name as text and answer, brand as category, size as value."""
     value = (F.col("p_size") * 50).cast("int")
@@ -47,14 +53,16 @@ def raw_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.date_format(day, "yyyy-MM-dd HH:mm:ss")).alias("Date"))
 
 
-def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+def results(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     """Line items as graded answers of three models in one run per supplier."""
+    lines = table(spark, sf_dir, "lineitem")
+    lines = spread_scan(lines.drop("l_extendedprice", "l_shipdate")) if spread else lines
     line = F.col("l_linenumber")
     correct = F.when((F.col("l_linestatus") == "O") & (line == 7), F.lit(None).cast("boolean")).otherwise(
         F.col("l_discount") < 0.05)
     out_tokens = F.col("l_quantity").cast("bigint")
     in_tokens = (line * 25).cast("bigint")
-    return table(spark, sf_dir, "lineitem").select(
+    return lines.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("result_id"),
         F.col("l_suppkey").alias("run_id"), F.col("l_partkey").alias("question_id"),
         F.concat(F.lit("model-"), F.col("l_returnflag")).alias("model_name"), correct.alias("is_correct"),
@@ -87,7 +95,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(line == 6, F.concat(F.lit("The answer is: who is "), near, F.lit("! Certain")))
             .otherwise(F.when(F.pmod(F.col("question_id"), F.lit(4)) == 0, F.lit("  "))
                        .otherwise(F.concat(F.lit("This is five "), near))))
-    return results(spark, sf_dir).join(q, "question_id").withColumn("response_text", text)
+    return results(spark, sf_dir, spread=True).join(q, "question_id").withColumn("response_text", text)
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
