@@ -72,13 +72,16 @@ def reasoning(clean: Column) -> Column:
             .when(tx.words_in(clean) > 20, clean))
 
 
-def question_answer(clean: Column) -> Column:
-    """The first starter in list order, up to the end of its sentence, written as a question."""
+def question_hit(clean: Column) -> Column:
+    """The first starter in list order with the rest of its sentence; NULL when there is none."""
     hits = [F.nullif(F.regexp_extract(clean, f"(?i)({s}[^?.!]*[?.!]?)", 1), F.lit(""))
             for s in STARTERS]
-    hit = F.trim(F.coalesce(*hits))
-    asked = F.when(F.endswith(hit, F.lit("?")), hit).otherwise(F.concat(hit, F.lit("?")))
-    return F.coalesce(tx.capitalize(asked), F.trim(clean))
+    return F.trim(F.coalesce(*hits))
+
+
+def as_question(hit: Column) -> Column:
+    """End with a question mark."""
+    return F.when(F.endswith(hit, F.lit("?")), hit).otherwise(F.concat(hit, F.lit("?")))
 
 
 def direct_answer(clean: Column) -> Column:
@@ -123,11 +126,13 @@ def parse_responses(df: DataFrame, text_col: str, with_reasoning: bool = True) -
               .withColumn("_form", has_question_form(F.col("_low")))
               .withColumn("_type", response_type(F.col("_blank"), F.col("_form"), F.col("_low"))))
     rtype = F.col("_type")
-    staged = (staged
+    # Stages, so that the search for a starter runs once per row.
+    staged = (staged.withColumn("_hit", F.when(rtype == fv.QUESTION_TYPE, question_hit(clean)))
+              .withColumn("_asked", as_question(F.col("_hit")))
               .withColumn("_hints", F.when(rtype == "error", F.array().cast("array<string>"))
                           .otherwise(phrases_found(F.col("_low"), fv.UNCERTAINTY_PHRASES)))
               .withColumn("_answer", F.when(rtype.isin("error", "refusal"), F.lit(""))
-                          .when(rtype == fv.QUESTION_TYPE, question_answer(clean))
+                          .when(rtype == fv.QUESTION_TYPE, F.coalesce(tx.capitalize(F.col("_asked")), F.trim(clean)))
                           .otherwise(direct_answer(clean))))
     why = F.when(rtype != "error", F.when(has_reasoning_words(F.col("_low")), reasoning(clean)).when(
         tx.words_in(clean) > 20, clean)) if with_reasoning else F.lit(None).cast("string")
@@ -139,4 +144,4 @@ def parse_responses(df: DataFrame, text_col: str, with_reasoning: bool = True) -
         tx.words_in(clean).alias("word_count"),
         quality_score(rtype, F.col("_hints"), F.col("_answer")).alias("quality_score"))
     return staged.withColumn("parsed", parsed).drop(
-        "_blank", "_clean", "_low", "_form", "_type", "_hints", "_answer", "_why")
+        "_blank", "_clean", "_low", "_form", "_hit", "_asked", "_type", "_hints", "_answer", "_why")

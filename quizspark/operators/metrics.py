@@ -164,20 +164,28 @@ def type_frequencies(results: DataFrame, columns: Sequence[str] = ("response_typ
             .select(*keys, "kind", "label", "n", (F.col("n") / F.col("_total")).alias("share")))
 
 
-def _steadiness(fine: DataFrame, keys: Sequence[str], dimension: str, name: str) -> DataFrame:
-    """1 - stdev/mean of the group means of earned confidence; 0 for one group or a mean of 0."""
-    means = fine.groupBy(*keys, dimension).agg((F.sum("earned") / F.sum("n")).alias("m"))
-    avg = F.avg("m")
+def _steadiness(fine: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Evenness over categories and difficulty levels, and the number of categories, in one chain.
+
+    1 - stdev/mean of the group means of earned confidence; 0 for one group or a mean of 0.
+    """
+    dims = ("category", "difficulty_level")
+    long = fine.select(*keys, "earned", "n", F.explode(F.array(*[
+        F.struct(F.lit(d).alias("dimension"), F.col(d).alias("label")) for d in dims])).alias("d"))
+    means = long.groupBy(*keys, "d.dimension", "d.label").agg((F.sum("earned") / F.sum("n")).alias("m"))
+
+    def evenness(dim: str, name: str) -> Column:
+        m = F.when(F.col("dimension") == dim, F.col("m"))
+        return F.when((F.count(m) > 1) & (F.avg(m) > 0), 1.0 - F.try_divide(F.stddev_samp(m), F.avg(m))
+                      ).otherwise(0.0).alias(name)
     return means.groupBy(*keys).agg(
-        F.when((F.count(F.lit(1)) > 1) & (avg > 0), 1.0 - F.try_divide(F.stddev_samp("m"), avg))
-        .otherwise(0.0).alias(name))
+        evenness("category", "category_consistency"), evenness("difficulty_level", "difficulty_consistency"),
+        F.count(F.when(F.col("dimension") == "category", F.col("label"))).alias("category_count"))
 
 
 def consistency(results: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Evenness of performance over categories and over difficulty levels."""
-    fine = _fine_grain(results, keys)
-    return _steadiness(fine, keys, "category", "category_consistency").join(
-        _steadiness(fine, keys, "difficulty_level", "difficulty_consistency"), list(keys))
+    return _steadiness(_fine_grain(results, keys), keys).drop("category_count")
 
 
 def _guarded_corr(x: Column, y: Column) -> Column:
@@ -233,10 +241,7 @@ def comprehensive_metrics(results: DataFrame, keys: Sequence[str] = KEYS,
         optional("grading_mode", lambda c: F.array_join(F.sort_array(F.collect_set(c)), ","), "unknown"),
         optional("partial_credit", lambda c: F.max(c > 0), False),
         optional("grading_time_ms", F.avg, 0.0))
-    fine = _fine_grain(results, keys)
-    topics = fine.groupBy(*keys).agg(F.count_distinct("category").alias("category_count"))
-    parts = [base, topics, _steadiness(fine, keys, "category", "category_consistency"),
-             _steadiness(fine, keys, "difficulty_level", "difficulty_consistency")]
+    parts = [base, _steadiness(_fine_grain(results, keys), keys)]
     if percentiles:
         parts.append(latency_percentiles(results, keys))
     joined = reduce(lambda a, b: a.join(b, keys, "left"), parts)
