@@ -151,13 +151,12 @@ def synonym_similarity(df: DataFrame, row_id: str, tokens: str, expected_tokens:
     ``synonyms`` has ``token_a, token_b, sim``. Equal tokens count as 1.
     """
     words = df.select(row_id, F.col(expected_tokens).alias("_e"),
-                      F.posexplode(tokens).alias("_pos", "token_a"))
-    joined = words.join(synonyms, "token_a", "left").where(
-        F.col("token_b").isNull() | F.array_contains("_e", F.col("token_b"))
-        | F.array_contains("_e", F.col("token_a")))
-    best = F.greatest(
-        F.when(F.array_contains("_e", F.col("token_a")), 1.0).otherwise(0.0),
-        F.when(F.array_contains("_e", F.col("token_b")), F.col("sim")).otherwise(0.0))
+                      F.posexplode(tokens).alias("_pos", "_token"))
+    known = synonyms.select("token_a", "token_b", "sim")
+    # Only pairs that an expected token completes leave the join; a token without any keeps its row.
+    joined = words.join(known, (F.col("_token") == F.col("token_a")) & F.array_contains("_e", F.col("token_b")), "left")
+    best = F.greatest(F.when(F.array_contains("_e", F.col("_token")), 1.0).otherwise(0.0),
+                      F.coalesce("sim", F.lit(0.0)))
     per_token = joined.groupBy(row_id, "_pos").agg(F.max(best).alias("_best"))
     sums = per_token.groupBy(row_id).agg(F.sum("_best").alias("_sum"))
     return (df.join(sums, row_id, "left")

@@ -116,8 +116,7 @@ def _(spark, sf):
 
 
 @R.add("i08c_synonym_similarity", f"""
-WITH words AS (SELECT DISTINCT unnest(string_split(question, ' ')) AS w FROM questions),
-syn AS (SELECT a.w AS a, b.w AS b, 0.75 AS sim FROM words a JOIN words b ON substr(a.w, 1, 1) = substr(b.w, 1, 1) AND a.w <> b.w),
+WITH syn AS (SELECT DISTINCT split_part(question, ' ', 1) AS a, split_part(question, ' ', 2) AS b, 0.75 AS sim FROM questions),
 rows AS (SELECT result_id, {q.tokens('na')} AS ta, {q.tokens('ne')} AS te FROM (
   SELECT result_id, {q.norm('response_text')} AS na, {q.norm('category || chr(32) || question')} AS ne FROM responses)),
 tok AS (SELECT result_id, te, len(ta) AS n, unnest(ta) AS t, generate_subscripts(ta, 1) AS pos FROM rows),
@@ -127,11 +126,9 @@ best AS (SELECT result_id, n, pos, greatest(max(CASE WHEN list_contains(te, t) T
 SELECT r.result_id, round(coalesce(x.s, 0), 6) AS synonym_score FROM rows r LEFT JOIN (
   SELECT result_id, sum(s) / any_value(n) AS s FROM best GROUP BY result_id) x USING (result_id)""")
 def _(spark, sf):
-    words = v.questions(spark, sf).select(F.explode(F.split("question", " ")).alias("w")).distinct()
-    first = F.substring("w", 1, 1).alias("k")
-    synonyms = words.select(F.col("w").alias("token_a"), first).join(
-        words.select(F.col("w").alias("token_b"), first), "k").where("token_a <> token_b").select(
-        "token_a", "token_b", F.lit(0.75).alias("sim"))
+    synonyms = v.questions(spark, sf).select(
+        F.split_part("question", F.lit(" "), F.lit(1)).alias("token_a"),
+        F.split_part("question", F.lit(" "), F.lit(2)).alias("token_b"), F.lit(0.75).alias("sim")).distinct()
     rows = v.responses(spark, sf).select(
         "result_id", tx.meaningful_tokens(tx.normalize_text(F.col("response_text"))).alias("ta"),
         tx.meaningful_tokens(tx.normalize_text(F.concat_ws(" ", "category", "question"))).alias("te"))
