@@ -48,6 +48,42 @@ ERA_VALUES = {
 }
 DIFFICULTY_LEVELS = ["Easy", "Medium", "Hard", "Unknown"]
 EARLIEST_AIR_DATE = "1964-01-01"
+# Wording of validation issues; a head and a tail enclose a number or a name.
+ISSUE_TEXTS = {
+    "question_short_head": "Question too short (",
+    "question_short_tail": " chars, minimum 10)",
+    "question_long_head": "Question too long (",
+    "question_long_tail": " chars, maximum 500)",
+    "question_end": "Question should end with proper punctuation or be properly quoted",
+    "question_html": "Question contains HTML tags",
+    "question_gaps": "Question contains excessive whitespace",
+    "question_marks": "Question contains multiple question marks",
+    "question_style": "Question may not follow typical Jeopardy format",
+    "question_empty": "Question is empty or not a string",
+    "answer_blank": "Answer is empty after stripping whitespace",
+    "answer_long_head": "Answer too long (",
+    "answer_long_tail": " chars, maximum 200)",
+    "answer_html": "Answer contains HTML tags",
+    "answer_gaps": "Answer contains excessive whitespace",
+    "answer_style": "Answer format may be incorrect for Jeopardy style",
+    "answer_empty": "Answer is empty or not a string",
+    "category_short_head": "Category too short (",
+    "category_short_tail": " chars, minimum 2)",
+    "category_long_head": "Category too long (",
+    "category_long_tail": " chars, maximum 50)",
+    "category_chars": "Category contains invalid characters",
+    "category_unknown_head": "Category '",
+    "category_unknown_tail": "' not in predefined valid categories",
+    "category_empty": "Category is empty or not a string",
+    "value_low_head": "Value must be positive (got ",
+    "value_high_head": "Value unusually high (",
+    "value_high_tail": "), maximum expected is 10000",
+    "value_type_head": "Value '",
+    "value_type_tail": "' cannot be converted to integer",
+    "date_format": "Invalid date format",
+    "date_early": " is before Jeopardy started (1964)",
+    "date_late": " is in the future",
+}
 
 # ---- fixed values: sampling --------------------------------------------------------------------
 

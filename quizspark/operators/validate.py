@@ -10,6 +10,7 @@ from quizspark.plans.skew import HOT_ROWS, attach_per_key
 
 _TAG = "<[^>]+>"
 _GAPS = tx.WS + "{3,}"
+MSG = fv.ISSUE_TEXTS
 FIELDS = ("question", "answer", "category", "value", "air_date", "difficulty_level")
 
 
@@ -35,46 +36,46 @@ def question_issues(c: Column, strict: bool = False) -> Column:
     n = F.length(q)
     closed = q.rlike(r"[.?!]$") | q.rlike(r"^'.*'$|^'$") | q.rlike(r'^".*"$|^"$')
     tests = [
-        (n < 10, F.concat(F.lit("Question too short ("), n.cast("string"), F.lit(" chars, minimum 10)"))),
-        (n > 500, F.concat(F.lit("Question too long ("), n.cast("string"), F.lit(" chars, maximum 500)"))),
-        (~closed, "Question should end with proper punctuation or be properly quoted"),
-        (q.rlike(_TAG), "Question contains HTML tags"),
-        (q.rlike(_GAPS), "Question contains excessive whitespace")]
+        (n < 10, F.concat(F.lit(MSG["question_short_head"]), n.cast("string"), F.lit(MSG["question_short_tail"]))),
+        (n > 500, F.concat(F.lit(MSG["question_long_head"]), n.cast("string"), F.lit(MSG["question_long_tail"]))),
+        (~closed, MSG["question_end"]),
+        (q.rlike(_TAG), MSG["question_html"]),
+        (q.rlike(_GAPS), MSG["question_gaps"])]
     if strict:
         marks = n - F.length(F.replace(q, F.lit("?"), F.lit("")))
-        tests += [(marks > 1, "Question contains multiple question marks"),
+        tests += [(marks > 1, MSG["question_marks"]),
                   (~q.rlike(r"(?Ui)\b(?:this|these|it|he|she)\b"),
-                   "Question may not follow typical Jeopardy format")]
-    return _only(c, "Question is empty or not a string", _issues(*tests))
+                   MSG["question_style"])]
+    return _only(c, MSG["question_empty"], _issues(*tests))
 
 
 def answer_issues(c: Column, strict: bool = False) -> Column:
     a = tx.strip(c)
     n = F.length(a)
     tests = [
-        (n < 1, "Answer is empty after stripping whitespace"),
-        (n > 200, F.concat(F.lit("Answer too long ("), n.cast("string"), F.lit(" chars, maximum 200)"))),
-        (a.rlike(_TAG), "Answer contains HTML tags"),
-        (a.rlike(_GAPS), "Answer contains excessive whitespace")]
+        (n < 1, MSG["answer_blank"]),
+        (n > 200, F.concat(F.lit(MSG["answer_long_head"]), n.cast("string"), F.lit(MSG["answer_long_tail"]))),
+        (a.rlike(_TAG), MSG["answer_html"]),
+        (a.rlike(_GAPS), MSG["answer_gaps"])]
     if strict:
         low = F.lower(a)
         tests.append((low.rlike("what is|who is|where is|when is")
                       & ~low.rlike("^(what|who|where|when|how) (is|are|was|were)"),
-                      "Answer format may be incorrect for Jeopardy style"))
-    return _only(c, "Answer is empty or not a string", _issues(*tests))
+                      MSG["answer_style"]))
+    return _only(c, MSG["answer_empty"], _issues(*tests))
 
 
 def category_issues(c: Column, strict: bool = False, allow_custom: bool = True) -> Column:
     k = tx.strip(c)
     n = F.length(k)
     tests = [
-        (n < 2, F.concat(F.lit("Category too short ("), n.cast("string"), F.lit(" chars, minimum 2)"))),
-        (n > 50, F.concat(F.lit("Category too long ("), n.cast("string"), F.lit(" chars, maximum 50)"))),
-        (~k.rlike(r"""^[A-Za-z0-9\s&\-.!?'"]+$"""), "Category contains invalid characters")]
+        (n < 2, F.concat(F.lit(MSG["category_short_head"]), n.cast("string"), F.lit(MSG["category_short_tail"]))),
+        (n > 50, F.concat(F.lit(MSG["category_long_head"]), n.cast("string"), F.lit(MSG["category_long_tail"]))),
+        (~k.rlike(r"""^[A-Za-z0-9\s&\-.!?'"]+$"""), MSG["category_chars"])]
     if strict and not allow_custom:
         tests.append((~F.upper(k).isin(fv.KNOWN_CATEGORIES),
-                      F.concat(F.lit("Category '"), k, F.lit("' not in predefined valid categories"))))
-    return _only(c, "Category is empty or not a string", _issues(*tests))
+                      F.concat(F.lit(MSG["category_unknown_head"]), k, F.lit(MSG["category_unknown_tail"]))))
+    return _only(c, MSG["category_empty"], _issues(*tests))
 
 
 def value_issues(c: Column, strict: bool = False, era: str = "all") -> Column:
@@ -82,13 +83,13 @@ def value_issues(c: Column, strict: bool = False, era: str = "all") -> Column:
     v = F.trim(shown).try_cast("bigint")
     allowed = fv.ERA_VALUES.get(era, fv.ERA_VALUES["all"])
     tests = [
-        (v <= 0, F.concat(F.lit("Value must be positive (got "), v.cast("string"), F.lit(")"))),
-        (v > 10000, F.concat(F.lit("Value unusually high ("), v.cast("string"),
-                             F.lit("), maximum expected is 10000")))]
+        (v <= 0, F.concat(F.lit(MSG["value_low_head"]), v.cast("string"), F.lit(")"))),
+        (v > 10000, F.concat(F.lit(MSG["value_high_head"]), v.cast("string"),
+                             F.lit(MSG["value_high_tail"])))]
     if strict:
         tests.append((~v.isin(allowed), F.concat(
             F.lit("Value "), v.cast("string"), F.lit(f" not in valid set for era '{era}': {allowed}"))))
-    wrong = F.array(F.concat(F.lit("Value '"), shown, F.lit("' cannot be converted to integer")))
+    wrong = F.array(F.concat(F.lit(MSG["value_type_head"]), shown, F.lit(MSG["value_type_tail"])))
     return (F.when(c.isNull(), F.array().cast("array<string>")).when(v.isNull(), wrong)
             .otherwise(_issues(*tests)))
 
@@ -98,11 +99,11 @@ def date_issues(c: Column, as_of: str) -> Column:
                        for f in ["yyyy-M-d", "yyyy-M-d H:m:s", "M/d/yyyy", "MMMM d, yyyy"]])
     shown = day.cast("string")
     return (F.when(c.isNull(), F.array().cast("array<string>"))
-            .when(day.isNull(), F.array(F.lit("Invalid date format")))
+            .when(day.isNull(), F.array(F.lit(MSG["date_format"])))
             .otherwise(_issues(
                 (day < F.lit(fv.EARLIEST_AIR_DATE).cast("date"),
-                 F.concat(F.lit("Date "), shown, F.lit(" is before Jeopardy started (1964)"))),
-                (day > F.lit(as_of).cast("date"), F.concat(F.lit("Date "), shown, F.lit(" is in the future"))))))
+                 F.concat(F.lit("Date "), shown, F.lit(MSG["date_early"]))),
+                (day > F.lit(as_of).cast("date"), F.concat(F.lit("Date "), shown, F.lit(MSG["date_late"]))))))
 
 
 def difficulty_issues(c: Column) -> Column:
