@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quizspark import views as v
-from quizspark.functions import labels, match as mt
 from quizspark.operators import catalog as cat, costs as co, joins as j, metrics as m, profile as p, runs as r
 from quizspark.operators import sampling as s
 from quizspark.registry.base import Registry, rounded
