@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quizspark.llm import exact_dedup, mixing, records
+from quizspark.llm import exact_dedup, mixing, records, sharding, simhash
 from quizspark.llm.common import text_or_empty
 
 QUERIES: dict = {}
@@ -63,3 +63,20 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return records.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+
+
+@query("op5_simhash_near_dedup")
+def op5(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    linked = simhash.link_documents(docs, carry=["doc_id"], words=4)
+    return linked.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op8_shard_shuffle")
+def op8(spark, sf_dir):
+    text = F.col("text")
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"),
+        F.crc32(text_or_empty().cast("binary")).alias("text_crc32"))
+    return sharding.shuffle_to_shards(docs, 24).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
