@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quizspark.llm import exact_dedup, mixing, records, sharding, simhash
+from quizspark.llm import exact_dedup, line_rules, mixing, quality, records, sharding, simhash, url_filter
 from quizspark.llm.common import text_or_empty
 
 QUERIES: dict = {}
@@ -80,3 +80,90 @@ def op8(spark, sf_dir):
         F.crc32(text_or_empty().cast("binary")).alias("text_crc32"))
     return sharding.shuffle_to_shards(docs, 24).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op1_line_rules", r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, unnest(ws) AS w, generate_subscripts(ws, 1) AS p
+      FROM (SELECT rid, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d)),
+g AS (SELECT rid, p, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o AS g
+      FROM w WINDOW o AS (PARTITION BY rid ORDER BY p)),
+c AS (SELECT rid, p FROM g WHERE g IS NOT NULL QUALIFY count(*) OVER (PARTITION BY rid, g) > 1),
+r AS (SELECT rid, count(DISTINCT q) AS n_repeat_words FROM (SELECT rid, unnest(range(p, p + 5)) AS q FROM c) GROUP BY 1),
+m AS (SELECT rid, doc_id, source, t, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS n_words,
+             length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+             length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+l AS (SELECT rid, source, t, trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g')) AS line
+      FROM (SELECT rid, source, t, unnest(string_split(lower(t), chr(10))) AS x FROM m)),
+n AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM l WHERE line <> ''),
+h AS (SELECT source, count(DISTINCT t) AS docs FROM d GROUP BY 1),
+f AS (SELECT n.source, n.line FROM n JOIN h ON n.source IS NOT DISTINCT FROM h.source
+      GROUP BY 1, 2, h.docs HAVING count(DISTINCT n.t) > 5 AND count(DISTINCT n.t) > h.docs * 0.05),
+x AS (SELECT n.rid, count(*) AS removed_lines, sum(n.n)::BIGINT AS removed_words
+      FROM n JOIN f ON n.line = f.line AND n.source IS NOT DISTINCT FROM f.source GROUP BY 1),
+b AS (SELECT m.doc_id, m.n_words, m.word_chars, m.n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+             coalesce(r.n_repeat_words, 0) AS n_repeat_words, coalesce(x.removed_lines, 0) AS removed_lines, coalesce(x.removed_words, 0) AS removed_words
+      FROM m LEFT JOIN r USING (rid) LEFT JOIN x USING (rid))
+SELECT *, n_words < 10 OR n_repeat_words * 100 > n_words * 20 AS base_failed,
+       NOT (n_words < 10 OR n_repeat_words * 100 > n_words * 20) AND n_words - removed_words >= 10 AND n_words - removed_words >= n_words * 0.5 AS kept
+FROM b""")
+def op1(spark, sf_dir):
+    return line_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), carry=["doc_id"])
+
+
+@query("op7_quality_classifier")
+def op7(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score_documents(docs, table(spark, sf_dir, "labels"), carry=["doc_id"])
+
+
+def _day(key: F.Column, days: int) -> F.Column:
+    return F.pmod(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long"), F.lit(days)).cast("int")
+
+
+def fetches(pages: DataFrame) -> DataFrame:
+    """Pages with a fetch time in 2024, drawn from a digest of the page's id."""
+    day = _day(F.concat(F.lit("fetch|"), F.col("page_id").cast("string")), 366)
+    return pages.select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), day).cast("timestamp").alias("fetched_at"))
+
+
+def list_log(pages: DataFrame) -> DataFrame:
+    """A dated list over the pages' own hosts, their parents and first path segments: four entries for every third pattern."""
+    patterns = pages.select(F.explode(F.slice(url_filter.patterns_of(F.col("url")), 1, 4)).alias("pattern")).distinct()
+    listed = patterns.where((_day(F.concat(F.lit("listed|"), "pattern"), 3) == 0) & F.col("pattern").contains("."))
+    key = F.concat_ws("|", F.lit("entry"), "pattern", F.col("k").cast("string"))
+    at = F.date_add(F.lit("2023-10-01").cast("date"), _day(key, 420)).cast("timestamp")
+    return (listed.withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(4)])))
+            .select("pattern", at.alias("listed_at"),
+                    F.when(_day(F.concat(F.lit("action|"), key), 2) == 0, url_filter.BLOCK).otherwise(url_filter.ALLOW).alias("action")))
+
+
+@query("op3_url_list_join", r"""
+WITH p AS (SELECT page_id, url, DATE '2024-01-01' + (('0x' || substr(md5('fetch|' || page_id::VARCHAR), 1, 8))::BIGINT % 366)::INTEGER AS fetched,
+                  regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '\.+$', '') AS host,
+                  list_filter(string_split(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/'), lambda s: s <> '') AS seg
+           FROM pages),
+q AS (SELECT *, string_split(host, '.') AS lab FROM p),
+k AS (SELECT page_id, url, fetched, CASE WHEN host = '' THEN []::VARCHAR[] ELSE
+             list_transform(range(1, len(lab) + 1), lambda i: array_to_string(lab[i:], '.')) ||
+             list_transform(range(1, len(seg) + 1), lambda i: host || '/' || array_to_string(seg[1:i], '/')) END AS keys FROM q),
+pat AS (SELECT DISTINCT unnest(keys[1:4]) AS pattern FROM k),
+lis AS (SELECT pattern FROM pat WHERE ('0x' || substr(md5('listed|' || pattern), 1, 8))::BIGINT % 3 = 0 AND contains(pattern, '.')),
+e AS (SELECT lower(pattern) AS pattern, DATE '2023-10-01' + (('0x' || substr(md5('entry|' || pattern || '|' || i), 1, 8))::BIGINT % 420)::INTEGER AS since,
+             CASE WHEN ('0x' || substr(md5('action|entry|' || pattern || '|' || i), 1, 8))::BIGINT % 2 = 0 THEN 'block' ELSE 'allow' END AS action
+      FROM lis, (SELECT unnest(range(4)) AS i)),
+o AS (SELECT pattern, since, max(action) AS action FROM e GROUP BY 1, 2),
+v AS (SELECT *, lead(since) OVER (PARTITION BY pattern ORDER BY since) AS until FROM o),
+x AS (SELECT page_id, url, fetched, unnest(keys) AS key FROM k),
+j AS (SELECT x.page_id, v.pattern, v.action, v.since FROM x JOIN v ON x.key = v.pattern AND x.fetched >= v.since AND (v.until IS NULL OR x.fetched < v.until)
+      QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY contains(v.pattern, '/') DESC, length(v.pattern) DESC, v.pattern DESC) = 1)
+SELECT p.page_id, strftime(p.fetched, '%Y-%m-%d') AS fetched_on, j.pattern, j.action, strftime(j.since, '%Y-%m-%d') AS listed_on,
+       coalesce(j.action, 'allow') <> 'block' AS kept
+FROM p LEFT JOIN j ON p.page_id = j.page_id""")
+def op3(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    judged = url_filter.apply_list(fetches(pages), list_log(pages))
+    day = "yyyy-MM-dd"
+    return judged.select("page_id", F.date_format("fetched_at", day).alias("fetched_on"), "pattern", "action",
+                         F.date_format("listed_from", day).alias("listed_on"), "kept")
