@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quizspark.llm import exact_dedup, line_rules, mixing, quality, records, sharding, simhash, url_filter
+from quizspark.llm import exact_dedup, line_rules, mixing, packing, quality, records, sharding, simhash, url_filter
 from quizspark.llm.common import text_or_empty
 
 QUERIES: dict = {}
@@ -167,3 +167,9 @@ def op3(spark, sf_dir):
     day = "yyyy-MM-dd"
     return judged.select("page_id", F.date_format("fetched_at", day).alias("fetched_on"), "pattern", "action",
                          F.date_format("listed_from", day).alias("listed_on"), "kept")
+
+
+@query("op2_retrieval_packing")
+def op2(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)

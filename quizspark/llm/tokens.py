@@ -9,6 +9,8 @@ white space are encoded whole. ``tests/llm`` compares with encoding whole texts.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -97,12 +99,15 @@ class WordIds:
                 self.known[p] = ids[start:end].tobytes()
                 start = end + 1
 
-    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts after each other, and where each text starts, with the total at the end."""
+    def ids(self, texts: list[str], terms: bool = False) -> tuple[np.ndarray, ...]:
+        """Ids of all texts after each other, and where each text starts, with the total at the end.
+
+        With ``terms`` also a 32-bit hash of each word of all texts, and where each text's words start.
+        """
         texts = pa.array(texts, pa.string())
         odd = pc.match_substring_regex(texts, self.whole)
         n_odd = pc.sum(odd).as_py() or 0
-        cut = self._cut(pc.if_else(odd, "", texts) if n_odd else texts)
+        cut = self._cut(texts)
         words = cut.flatten().dictionary_encode()
         pieces = words.dictionary.to_numpy(zero_copy_only=False).tolist()
         each = list(map(self.known.get, pieces))
@@ -125,7 +130,10 @@ class WordIds:
             lengths = np.diff(starts)
             lengths[list(whole)] = [len(x) for x in whole.values()]
             starts = np.concatenate([[0], np.cumsum(lengths)])
-        return ids, starts
+        if not terms:
+            return ids, starts
+        hashes = np.fromiter(map(zlib.crc32, each), "<u4", len(each))
+        return ids, starts, hashes[codes], cut.offsets.to_numpy()
 
 
 def chunks(texts: list[str | None], chars: int = 8_000_000):
