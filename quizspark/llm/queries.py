@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quizspark.llm import exact_dedup, line_rules, mixing, packing, quality, records, sharding, simhash, url_filter
+from quizspark.llm import exact_dedup, line_rules, mixing, ngram, packing, quality, records, sharding, simhash, url_filter
 from quizspark.llm.common import text_or_empty
 
 QUERIES: dict = {}
@@ -173,3 +173,8 @@ def op3(spark, sf_dir):
 def op2(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
+@query("op4_ngram_score")
+def op4(spark, sf_dir):
+    return ngram.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
