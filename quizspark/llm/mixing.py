@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quizspark.llm.common import n_words, text_or_empty, without
+from quizspark.plans.storage import written
 
 ADDED = ["size", "source_size", "target", "copies"]
 SEED = "mix-1"
@@ -53,13 +54,13 @@ def uniform(seed: str) -> Column:
 
 def plan_mix(docs: DataFrame, cap: int = 3, seed: str = SEED, weight=cyclic_weights) -> DataFrame:
     """Every row with ``size, source_size, target`` and the number of ``copies`` the mix takes of it."""
-    sized = without(docs, ADDED).withColumn("size", n_words(text_or_empty()))
+    sized = without(docs, ADDED).withColumns({"size": n_words(text_or_empty()), "_u": uniform(seed)})
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), cap, weight)
-    targets = targets.withColumnRenamed("source", "_source")
+    targets = written(targets.withColumnRenamed("source", "_source"), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    copies = F.floor(rate) + F.when(uniform(seed) < rate - F.floor(rate), 1).otherwise(0)
+    copies = F.floor(rate) + F.when(F.col("_u") < rate - F.floor(rate), 1).otherwise(0)
     return (sized.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-            .withColumn("copies", copies.cast("long")))
+            .withColumn("copies", copies.cast("long")).drop("_u"))
 
 
 def mix(docs: DataFrame, cap: int = 3, seed: str = SEED, weight=cyclic_weights) -> DataFrame:
