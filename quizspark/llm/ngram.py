@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quizspark.llm.common import shared_path, without
+from quizspark.llm.common import shared_path, text_or_empty, without
 from quizspark.llm.tokens import chunks
 from quizspark.plans.storage import written
 
@@ -53,7 +53,12 @@ def coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     words = cut.flatten().dictionary_encode()
     each = words.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, each), np.uint64, len(each))
-    return words.indices.to_numpy(zero_copy_only=False), hashes, cut.offsets.to_numpy()
+    codes, starts = words.indices.to_numpy(zero_copy_only=False), cut.offsets.to_numpy()
+    real = np.array([w != b"" for w in each], bool)  # Arrow's cut leaves an empty word beside outer white space
+    if not real.all():
+        stay = real[codes]
+        codes, starts = (np.cumsum(real) - 1)[codes[stay]], np.concatenate([[0], np.cumsum(stay)])[starts]
+    return codes, hashes[real], starts
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -450,9 +455,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
     @F.pandas_udf("n_tokens long, n_known long, base_score double, score double")
     def scores(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for series in texts:
-            items = [t or "" for t in series]
+            items = series.tolist()
             yield pd.concat([scored(model, items[i:j]) for i, j in chunks(items)] or [scored(model, [])], ignore_index=True)
 
-    return docs.withColumn("_s", scores("text")).select(
+    return docs.withColumn("_s", scores(text_or_empty())).select(
         *docs.columns, held_out(F.col("doc_id")).alias("held_out"), F.col("_s.n_tokens"), F.col("_s.n_known"),
         F.lit(model.layout.tokens).cast("long").alias("train_tokens"), F.col("_s.base_score"), F.col("_s.score"))

@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quizspark.llm.common import python_words, without
+from quizspark.llm.common import python_words, text_or_empty, without
 from quizspark.plans.storage import written
 
 ADDED = ["score", "predicted"]
@@ -61,7 +61,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     @F.pandas_udf("array<float>")
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series([statistics(t) for t in texts])
-    return docs.withColumn("_stats", of("text"))
+    return docs.withColumn("_stats", of(text_or_empty()))
 
 
 def fold(doc_id: Column) -> Column:

@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quizspark.llm.common import python_words, without
+from quizspark.llm.common import python_words, text_or_empty, without
 from quizspark.llm.components import component_roots
 from quizspark.plans.storage import written
 
@@ -175,7 +175,7 @@ def link_documents(docs: DataFrame, carry: list[str] | None = None, words: int =
     ``carry`` names the columns to return besides; all by default.
     """
     carry = [c for c in (carry or docs.columns) if c.lower() not in ADDED]
-    rows = without(docs.withColumn("_fp", fingerprint_column(F.col("text"), words)), ["_row"])
+    rows = without(docs.withColumn("_fp", fingerprint_column(text_or_empty(), words)), ["_row"])
     rows = written(rows.select(*carry, "_fp", F.monotonically_increasing_id().alias("_row")), "simhash")
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
     of_fp = rows.groupBy("_fp").agg(F.min(first).alias("_first"))
