@@ -1,80 +1,58 @@
-"""Exact sequence-matcher scores for short answer pairs: the one Arrow function of the library."""
+"""Similarity of short answers from edit distances, as expressions.
 
-from __future__ import annotations
+Four scores from 0 to 100, the best of them decides: of the texts; of the shorter text with the nearest run of as many words of the longer; of the
+words in order; of the shared words with and without each side's others. An edit is an insertion, a removal or a replacement
+of one character, and a score is the share of the longer text that needs none.
+"""
 
-import re
-from difflib import SequenceMatcher
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
-
-SCORE_TYPE = StructType([StructField(n, IntegerType()) for n in
-                         ("ratio", "partial_ratio", "token_sort_ratio", "token_set_ratio", "best")])
-_LATIN_UPPER_HALF = re.compile("[\x80-\xff]")
-_SEPARATORS = re.compile(r"\W")
-
-
-def _ratio(a: str, b: str) -> int:
-    if a == b:
-        return 100
-    if not a or not b:
-        return 0
-    return round(100 * SequenceMatcher(None, a, b).ratio())
-
-
-def _partial(a: str, b: str) -> int:
-    """Best ratio of the shorter string with an equally long window of the longer one."""
-    if a == b:
-        return 100
-    if not a or not b:
-        return 0
-    short, long = (a, b) if len(a) <= len(b) else (b, a)
-    best = 0.0
-    for i, j, _ in SequenceMatcher(None, short, long).get_matching_blocks():
-        begin = max(0, j - i)
-        score = SequenceMatcher(None, short, long[begin:begin + len(short)]).ratio()
-        if score > 0.995:
-            return 100
-        best = max(best, score)
-    return round(100 * best)
-
-
-def _tokens(s: str) -> list[str]:
-    return _SEPARATORS.sub(" ", _LATIN_UPPER_HALF.sub("", s)).lower().split()
-
-
-def _token_scores(a: str, b: str) -> tuple[int, int]:
-    left, right = _tokens(a), _tokens(b)
-    by_order = 100 if a == b else _ratio(" ".join(sorted(left)), " ".join(sorted(right)))
-    if a == b:
-        return by_order, 100
-    if not left or not right:
-        return by_order, 0
-    shared = " ".join(sorted(set(left) & set(right)))
-    with_left = (shared + " " + " ".join(sorted(set(left) - set(right)))).strip()
-    with_right = (shared + " " + " ".join(sorted(set(right) - set(left)))).strip()
-    by_set = max(_ratio(shared, with_left), _ratio(shared, with_right), _ratio(with_left, with_right))
-    return by_order, by_set
-
-
-def score_pair(a: str, b: str) -> tuple[int, int, int, int, int]:
-    ratio, partial = _ratio(a, b), _partial(a, b)
-    by_order, by_set = _token_scores(a, b)
-    return ratio, partial, by_order, by_set, max(ratio, partial, by_order, by_set)
-
-
-@F.pandas_udf(SCORE_TYPE)
-def _scores(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    # Each distinct pair of a batch is scored once; rows without a pair stay NULL.
-    pairs = pd.MultiIndex.from_arrays([a, b])
-    codes, distinct = pd.factorize(pairs)
-    empty = (None,) * 5
-    scored = [score_pair(x, y) if isinstance(x, str) and isinstance(y, str) else empty
-              for x, y in distinct]
-    return pd.DataFrame([scored[c] if c >= 0 else empty for c in codes], columns=SCORE_TYPE.names)
+
+SCORES = ["ratio", "partial_ratio", "token_sort_ratio", "token_set_ratio"]
+
+
+def edit_ratio(a: Column, b: Column) -> Column:
+    """100 for equal texts, 0 for texts without anything in common, rounded half up."""
+    longest = F.greatest(F.length(a), F.length(b))
+    return F.when(longest == 0, 100).otherwise(
+        F.floor((200 * (longest - F.levenshtein(a, b)) + longest) / (2 * longest))).cast("int")
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, " "), lambda w: w != "")
+
+
+def _joined(words: Column) -> Column:
+    return F.array_join(words, " ")
+
+
+def _partial(fewer: Column, more: Column) -> Column:
+    """Best score of the words of one text against each run of as many words of the other."""
+    n = F.size(fewer)
+    runs = F.transform(F.sequence(F.lit(1), F.size(more) - n + 1),
+                       lambda i: edit_ratio(_joined(F.slice(more, i, n)), _joined(fewer)))
+    return F.when(n == 0, 0).otherwise(F.array_max(runs))
+
+
+def _token_set(a: Column, b: Column) -> Column:
+    shared = _joined(F.array_sort(F.array_intersect(a, b)))
+    left, right = (F.trim(F.concat_ws(" ", shared, _joined(F.array_sort(F.array_except(x, y))))) for x, y in ((a, b), (b, a)))
+    best = F.greatest(edit_ratio(shared, left), edit_ratio(shared, right), edit_ratio(left, right))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).otherwise(best)
 
 
 def fuzzy_scores(a: Column, b: Column) -> Column:
-    """Struct of four scores and the best, each 0 to 100. NULL inputs give NULL and cost nothing."""
-    return _scores(a, b)
+    """Struct of the four scores and the ``best``; NULL where a text is NULL. Both texts are normalised."""
+    def of(x: Column) -> Column:
+        a, b, wa, wb = x["a"], x["b"], x["wa"], x["wb"]
+        partial = F.when(F.size(wa) <= F.size(wb), _partial(wa, wb)).otherwise(_partial(wb, wa))
+        return F.struct(edit_ratio(a, b).alias("ratio"), partial.cast("int").alias("partial_ratio"),
+                        edit_ratio(_joined(F.array_sort(wa)), _joined(F.array_sort(wb))).alias("token_sort_ratio"),
+                        _token_set(wa, wb).cast("int").alias("token_set_ratio"))
+
+    # An array of one element gives each value a name, so that it is computed once however often it is used.
+    parts = F.array(F.struct(a.alias("a"), b.alias("b"), _words(a).alias("wa"), _words(b).alias("wb")))
+    scored = F.transform(F.transform(parts, of), lambda s: F.struct(
+        *[s[n].alias(n) for n in SCORES], F.greatest(*[s[n] for n in SCORES]).alias("best")))
+    return F.when(a.isNotNull() & b.isNotNull(), scored[0])

@@ -74,11 +74,12 @@ def _(spark, sf):
     return texts(spark, sf).select("id", F.md5(tx.expand_abbreviations(F.col("text"))).alias("text_md5"))
 
 
-@R.add("i07_fuzzy_scores")
+@R.add("i07_fuzzy_scores", f"""WITH n AS (SELECT result_id, {q.norm('response_text')} AS na, {q.norm('answer')} AS ne FROM responses),
+{q.fuzzy_ctes('n', 'f')} SELECT result_id, s1 AS ratio, s2 AS partial_ratio, s3 AS token_sort_ratio, s4 AS token_set_ratio, best FROM f""")
 def _(spark, sf):
     rows = v.responses(spark, sf).select("result_id", tx.normalize_text(F.col("response_text")).alias("a"),
                                          tx.normalize_text(F.col("answer")).alias("b"))
-    return rows.withColumn("s", si.fuzzy_scores(F.col("a"), F.col("b"))).select("result_id", "s.*")
+    return rounded(rows.withColumn("s", si.fuzzy_scores(F.col("a"), F.col("b"))).select("result_id", "s.*"))
 
 
 @R.add("i07b_edit_similarity", f"""
@@ -138,11 +139,12 @@ WITH {q.matched('responses', 'response_text', 'answer', "category LIKE 'Brand#1%
 SELECT result_id, is_match, round(conf, 6) AS confidence, mtype AS match_type FROM matched""")
 def _(spark, sf):
     needs = F.col("category").startswith("Brand#1")
-    rows = mt.match_answers(v.responses(spark, sf), "response_text", "answer", needs, fuzzy=False)
+    rows = mt.match_answers(v.responses(spark, sf), "response_text", "answer", needs)
     return rounded(rows.select("result_id", "match.is_match", "match.confidence", "match.match_type"))
 
 
-@R.add("i09b_match_answers_fuzzy")
+@R.add("i09b_match_answers_fuzzy", f"""WITH {q.matched('responses', 'response_text', 'answer')}
+SELECT result_id, is_match, round(conf, 6) AS confidence, mtype AS match_type FROM matched""")
 def _(spark, sf):
     rows = mt.match_answers(v.responses(spark, sf), "response_text", "answer")
     return rounded(rows.select("result_id", "match.is_match", "match.confidence", "match.match_type"))
@@ -159,7 +161,7 @@ QUALIFY row_number() OVER (PARTITION BY result_id ORDER BY NOT is_match, CASE WH
 def _(spark, sf):
     rows = v.responses(spark, sf).withColumn("also", F.array(
         F.upper("question"), F.concat(F.lit("five "), "question")))
-    out = mt.match_any(rows, "response_text", "answer", "also", "result_id", fuzzy=False)
+    out = mt.match_any(rows, "response_text", "answer", "also", "result_id")
     return rounded(out.select("result_id", "match.is_match", "match.confidence", "match.match_type", "matched_against"))
 
 
@@ -298,6 +300,8 @@ _LIMIT = """(CASE WHEN contains(lower(category), 'science') OR contains(lower(ca
   WHEN contains(lower(category), 'wordplay') OR contains(lower(category), 'language') THEN CAST(0.80 AS DOUBLE) ELSE CAST(0.70 AS DOUBLE) END
   * CASE WHEN lower(difficulty_level) = 'hard' OR value > 1000 THEN CAST(0.9 AS DOUBLE)
     WHEN lower(difficulty_level) = 'easy' OR value < 400 THEN CAST(1.1 AS DOUBLE) ELSE 1 END)"""
+_FUZZY_LIMIT = """(CASE WHEN contains(lower(category), 'science') OR contains(lower(category), 'history') THEN 0.75
+  WHEN contains(lower(category), 'wordplay') OR contains(lower(category), 'language') THEN 0.85 ELSE 0.80 END)"""
 _FORM = f"rtype = '{fv.QUESTION_TYPE}'"
 _RIGHT = {
     "strict": ("is_match AND mtype = 'exact'", "CASE WHEN is_match AND mtype = 'exact' THEN 1 ELSE 0 END"),
@@ -311,7 +315,8 @@ _THEMED = "CASE question_id % 4 WHEN 0 THEN 'World History' WHEN 1 THEN 'Wordpla
 def _grade_sql(mode: str) -> str:
     need = "(TRUE)" if mode == "jeopardy" else "contains(lower(category), 'jeopardy')"
     right, score = _RIGHT[mode]
-    return f"""SELECT * FROM (WITH {q.parsed('themed', 'response_text')}, {q.matched('parsed', 'extracted', 'answer', need)}
+    limit = _FUZZY_LIMIT if mode == "adaptive" else "0.8"
+    return f"""SELECT * FROM (WITH {q.parsed('themed', 'response_text')}, {q.matched('parsed', 'extracted', 'answer', need, limit=limit)}
 SELECT result_id, '{mode}' AS mode, CASE WHEN is_timeout THEN NULL WHEN rtype IN ('refusal', 'error') OR is_error THEN FALSE ELSE {right} END AS is_correct,
   round(CAST(CASE WHEN is_timeout OR is_error OR rtype IN ('refusal', 'error') THEN 0 ELSE {score} END AS DOUBLE), 6) AS score,
   round(CASE WHEN is_timeout OR is_error OR rtype IN ('refusal', 'error') THEN 0 ELSE conf END, 6) AS confidence,
@@ -330,8 +335,8 @@ def themed(spark, sf):
             .withColumn("error_text", F.when(F.col("is_error"), "failed")))
 
 
-def _graded_rows(spark, sf, mode, fuzzy=False):
-    rows = g.grade(themed(spark, sf), "response_text", "answer", mode, fuzzy, error="error_text",
+def _graded_rows(spark, sf, mode):
+    rows = g.grade(themed(spark, sf), "response_text", "answer", mode, error="error_text",
                    unanswered=F.col("is_timeout"))
     return rounded(rows.select(
         "result_id", F.lit(mode).alias("mode"), "graded.is_correct", "graded.score", "graded.confidence",
@@ -360,7 +365,7 @@ def _(spark, sf):
 SELECT rtype AS response_type, CASE WHEN is_timeout THEN 'unanswered' WHEN rtype IN ('refusal', 'error') OR is_error THEN 'failed'
   ELSE 'graded' END AS outcome, count(*) AS n FROM parsed GROUP BY ALL""")
 def _(spark, sf):
-    rows = g.grade(themed(spark, sf), "response_text", "answer", "lenient", False, error="error_text",
+    rows = g.grade(themed(spark, sf), "response_text", "answer", "lenient", error="error_text",
                    unanswered=F.col("is_timeout"))
     outcome = F.coalesce(F.substring_index("graded.failure_reason", ":", 1), F.lit("graded"))
     return rows.groupBy("graded.response_type", outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
@@ -388,7 +393,10 @@ def _(spark, sf):
         g.form_required("jeopardy", theme).alias("by_mode"))
 
 
-@R.add("j06_grade_batch_fuzzy")
+@R.add("j06_grade_batch_fuzzy", f"""WITH {q.parsed('responses', 'response_text')}, {q.matched('parsed', 'extracted', 'answer', "contains(lower(category), 'jeopardy')")},
+m AS (SELECT *, rtype IN ('refusal', 'error') AS off FROM matched)
+SELECT result_id, is_match AND conf >= 0.7 AND NOT off AS is_correct, round(CASE WHEN is_match AND conf >= 0.7 AND NOT off THEN conf ELSE 0 END, 6) AS score,
+  round(CASE WHEN off THEN 0 ELSE {_CREDIT} END, 6) AS partial_credit, CASE WHEN off THEN 'exact' ELSE mtype END AS match_type FROM m""")
 def _(spark, sf):
     rows = v.responses(spark, sf).select("result_id", "question_id", "response_text")
     q_ = v.questions(spark, sf).select("question_id", "answer", "category", "difficulty_level", "value")
@@ -405,7 +413,7 @@ FROM matched GROUP BY ALL""")
 def _(spark, sf):
     rows = v.responses(spark, sf).select("result_id", "question_id", "response_text")
     q_ = v.questions(spark, sf).select("question_id", "answer", "category", "difficulty_level", "value")
-    graded = g.grade_batch(rows, q_, "lenient", fuzzy=False)
+    graded = g.grade_batch(rows, q_, "lenient")
     return graded.groupBy("graded.response_type", "graded.match_type").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("graded.is_correct").alias("correct"),
         F.round(F.sum("graded.score"), 4).alias("score"), F.round(F.sum("graded.partial_credit"), 4).alias("credit"),
@@ -418,25 +426,5 @@ SELECT run_id, question_id, model_name, md5(response_text) AS response_md5, ok A
   CAST(CASE WHEN ok THEN value ELSE -value END AS BIGINT) AS signed_score, CAST(latency_ms AS BIGINT) AS response_time_ms,
   tokens_output AS tokens_generated, round(CAST(cost_usd AS DOUBLE), 6) AS cost_usd FROM scored""")
 def _(spark, sf):
-    rows = g.to_results(g.grade(v.responses(spark, sf).drop("is_correct"), "response_text", "answer", "lenient", False))
+    rows = g.to_results(g.grade(v.responses(spark, sf).drop("is_correct"), "response_text", "answer", "lenient"))
     return rounded(rows.withColumn("response_text", F.md5("response_text")).withColumnRenamed("response_text", "response_md5"))
-
-
-def stub_model(prompt: str) -> dict:
-    """A deterministic stand-in for a model: answers with the clue's words, fails on some prompts."""
-    clue = prompt.split("Clue: ", 1)[1].split("\n", 1)[0]
-    if len(clue) % 7 == 0:
-        raise RuntimeError("rate limit")
-    return {"response_text": f"What is {clue}?", "latency_ms": 10.0 * len(clue), "tokens_used": len(prompt) // 4,
-            "cost_usd": 0.001}
-
-
-@R.add("n01_apply_model", f"""WITH p AS (SELECT question_id, question, {_prompt_sql('jeopardy_style')} AS prompt FROM (
-  SELECT question_id, question, category AS cat, NULL::VARCHAR AS val, NULL::VARCHAR AS dif FROM questions))
-SELECT question_id, CASE WHEN length(question) % 7 = 0 THEN '' ELSE 'What is ' || question || '?' END AS response_text,
-  CASE WHEN length(question) % 7 = 0 THEN 0.0::DOUBLE ELSE 10.0::DOUBLE * length(question) END AS latency_ms,
-  CASE WHEN length(question) % 7 = 0 THEN 0 ELSE length(prompt) // 4 END AS tokens_used,
-  CASE WHEN length(question) % 7 = 0 THEN 'rate limit' END AS error FROM p""")
-def _(spark, sf):
-    prompts = v.questions(spark, sf).select("question_id", pr.build_prompt(F.col("question"), F.col("category")).alias("prompt"))
-    return g.apply_model(prompts, stub_model).select("question_id", "response_text", "latency_ms", "tokens_used", "error")

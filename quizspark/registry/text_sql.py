@@ -122,29 +122,53 @@ def parsed(source: str, text: str, name: str = "parsed") -> str:
   - CASE WHEN {word_count('extracted')} > 50 THEN CAST(0.2 AS DOUBLE) ELSE 0 END)) END AS quality FROM {name}_3)"""
 
 
-def matched(source: str, answer: str, expected: str, required: str = "FALSE", name: str = "matched") -> str:
-    """CTEs that add is_match, conf and mtype by the five strategies that SQL can express."""
+def edit_ratio(a: str, b: str) -> str:
+    longest = f"greatest(length({a}), length({b}))"
+    return f"(CASE WHEN {longest} = 0 THEN 100 ELSE (200 * ({longest} - levenshtein({a}, {b})) + {longest}) // (2 * {longest}) END)"
+
+
+def fuzzy_ctes(source: str, name: str) -> str:
+    """CTEs that add the four fuzzy scores s1 to s4 and their best to rows with na and ne."""
+    shared, left, right = ("array_to_string(list_sort(list_intersect(wa, wb)), ' ')",
+                           "trim(sh || ' ' || array_to_string(list_sort(list_distinct([w FOR w IN wa IF NOT list_contains(wb, w)])), ' '))",
+                           "trim(sh || ' ' || array_to_string(list_sort(list_distinct([w FOR w IN wb IF NOT list_contains(wa, w)])), ' '))")
+    run = edit_ratio("array_to_string(more[i:i + len(fewer) - 1], ' ')", "array_to_string(fewer, ' ')")
+    return f"""{name}_w AS MATERIALIZED (SELECT *, [w FOR w IN string_split(na, ' ') IF w <> ''] AS wa, [w FOR w IN string_split(ne, ' ') IF w <> ''] AS wb FROM {source}),
+{name}_s AS MATERIALIZED (SELECT *, {shared} AS sh, CASE WHEN len(wa) <= len(wb) THEN wa ELSE wb END AS fewer, CASE WHEN len(wa) <= len(wb) THEN wb ELSE wa END AS more FROM {name}_w),
+{name}_t AS MATERIALIZED (SELECT *, {left} AS lf, {right} AS rg FROM {name}_s),
+{name}_u AS MATERIALIZED (SELECT *, {edit_ratio('na', 'ne')} AS s1,
+  CASE WHEN len(fewer) = 0 THEN 0 ELSE list_max([{run} FOR i IN range(1, len(more) - len(fewer) + 2)]) END AS s2,
+  {edit_ratio("array_to_string(list_sort(wa), ' ')", "array_to_string(list_sort(wb), ' ')")} AS s3,
+  CASE WHEN len(wa) = 0 OR len(wb) = 0 THEN 0 ELSE greatest({edit_ratio('sh', 'lf')}, {edit_ratio('sh', 'rg')}, {edit_ratio('lf', 'rg')}) END AS s4 FROM {name}_t),
+{name} AS MATERIALIZED (SELECT *, greatest(s1, s2, s3, s4) AS best FROM {name}_u)"""
+
+
+def matched(source: str, answer: str, expected: str, required: str = "FALSE", name: str = "matched",
+            limit: str = "0.8", synonyms: str = "0") -> str:
+    """CTEs that add is_match, conf and mtype by all six strategies."""
     form = lit("^" + tx.FORM_START)
     return f"""{name}_1 AS MATERIALIZED (SELECT *, {norm(answer)} AS na, {norm(expected)} AS ne,
   coalesce({collapse(answer)} = '', TRUE) AS blank FROM {source}),
+{fuzzy_ctes(name + '_1', name + '_f')},
 {name}_2 AS MATERIALIZED (SELECT *, {content('na')} AS ca, {content('ne')} AS ce,
   list_concat({numbers('na')}, {numbers(words('na', fv.NUMBER_WORDS))}) AS numa,
   list_concat({numbers('ne')}, {numbers(words('ne', fv.NUMBER_WORDS))}) AS nume,
-  {words('na', tx.EXPANDED)} AS xa, {words('ne', tx.EXPANDED)} AS xe, {tokens('na')} AS ta, {tokens('ne')} AS te FROM {name}_1),
+  {words('na', tx.EXPANDED)} AS xa, {words('ne', tx.EXPANDED)} AS xe, {tokens('na')} AS ta, {tokens('ne')} AS te, best / 100 AS c4 FROM {name}_f),
 {name}_3 AS MATERIALIZED (SELECT *, na = ne AS h0,
   coalesce(CASE WHEN ca IS NOT NULL AND ce IS NOT NULL THEN ca = ce WHEN ca IS NOT NULL THEN ca = ne
     WHEN ce IS NOT NULL THEN na = ce ELSE FALSE END, FALSE) AS h1,
   greatest(CASE WHEN len(nume) = 0 THEN 0 ELSE len(list_intersect(numa, nume)) / len(nume) END,
     CASE WHEN len(list_intersect({years('na')}, {years('ne')})) > 0 THEN 1 ELSE 0 END) AS c2,
-  na = ne OR xa = ne OR na = xe OR xa = xe AS h3, {jaccard('ta', 'te')} AS c5 FROM {name}_2),
+  na = ne OR xa = ne OR na = xe OR xa = xe AS h3, greatest({jaccard('ta', 'te')}, 0.8 * {synonyms}) AS c5 FROM {name}_2),
 {name}_4 AS MATERIALIZED (SELECT *, CASE WHEN h0 THEN 1.0 ELSE 0.0 END AS c0,
   CASE WHEN ca IS NOT NULL AND ce IS NOT NULL THEN CASE WHEN h1 THEN 1.0 ELSE 0.7 END
     WHEN ca IS NOT NULL THEN CASE WHEN h1 THEN 0.9 ELSE 0 END WHEN ce IS NOT NULL THEN CASE WHEN h1 THEN 0.8 ELSE 0 END ELSE 0 END
     * CASE WHEN {required} AND NOT regexp_matches(trim(lower({answer})), {form}) THEN 0.5 ELSE 1 END AS c1,
   CASE WHEN h3 THEN 1.0 ELSE 0.0 END AS c3 FROM {name}_3),
-{name} AS MATERIALIZED (SELECT *, NOT blank AND (h0 OR h1 OR c2 >= 0.8 OR h3 OR c5 >= 0.7) AS is_match,
+{name} AS MATERIALIZED (SELECT *, NOT blank AND (h0 OR h1 OR c2 >= 0.8 OR h3 OR c4 >= {limit} OR c5 >= 0.7) AS is_match,
   CASE WHEN blank THEN 'exact' WHEN h0 THEN 'exact' WHEN h1 THEN '{fv.QUESTION_TYPE}' WHEN c2 >= 0.8 THEN 'number_date'
-    WHEN h3 THEN 'abbreviation' WHEN c5 >= 0.7 THEN 'semantic' WHEN greatest(c1, c2, c5) = 0 THEN 'exact'
-    WHEN c1 = greatest(c1, c2, c5) THEN '{fv.QUESTION_TYPE}' WHEN c2 = greatest(c1, c2, c5) THEN 'number_date' ELSE 'semantic' END AS mtype,
-  CAST(CASE WHEN blank THEN 0 WHEN h0 THEN 1 WHEN h1 THEN c1 WHEN c2 >= 0.8 THEN c2 WHEN h3 THEN 1 WHEN c5 >= 0.7 THEN c5
-    ELSE greatest(c1, c2, c5) END AS DOUBLE) AS conf FROM {name}_4)"""
+    WHEN h3 THEN 'abbreviation' WHEN c4 >= {limit} THEN 'fuzzy' WHEN c5 >= 0.7 THEN 'semantic' WHEN greatest(c1, c2, c4, c5) = 0 THEN 'exact'
+    WHEN c1 = greatest(c1, c2, c4, c5) THEN '{fv.QUESTION_TYPE}' WHEN c2 = greatest(c1, c2, c4, c5) THEN 'number_date'
+    WHEN c4 = greatest(c1, c2, c4, c5) THEN 'fuzzy' ELSE 'semantic' END AS mtype,
+  CAST(CASE WHEN blank THEN 0 WHEN h0 THEN 1 WHEN h1 THEN c1 WHEN c2 >= 0.8 THEN c2 WHEN h3 THEN 1 WHEN c4 >= {limit} THEN c4 WHEN c5 >= 0.7 THEN c5
+    ELSE greatest(c1, c2, c4, c5) END AS DOUBLE) AS conf FROM {name}_4)"""
