@@ -90,9 +90,6 @@ ISSUE_TEXTS = {
 Z_SCORES = {0.90: 1.645, 0.95: 1.96, 0.99: 2.576}
 DEFAULT_Z = 1.96
 MIN_SAMPLE = 30
-FPC_POPULATION_LIMIT = 100_000
-MAX_STRATA_BEFORE_RANDOM = 1000
-MAX_DEFAULT_CATEGORIES = 50
 BALANCED_DIFFICULTY = {"Easy": 0.4, "Medium": 0.4, "Hard": 0.2}
 MODE_PRESETS = {"quick": 50, "standard": 200, "comprehensive": 1000}
 PRESET_STRATA = ["category", "difficulty_level"]

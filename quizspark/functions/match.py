@@ -1,8 +1,7 @@
 """Comparing an answer with one or several acceptable answers.
 
 Strategies run in a fixed order and the first hit wins; without a hit the most confident strategy
-is reported. The cheap strategies are expressions; the fuzzy scores come from one Arrow function and
-are only computed for rows that the cheap strategies leave open.
+is reported. All are expressions; the fuzzy scores are only computed for rows that the cheap strategies leave open.
 """
 
 from __future__ import annotations
@@ -121,27 +120,26 @@ def match_answers(df: DataFrame, answer: str, expected: str, form_required: Colu
     return out.withColumn("match", match).drop(*helpers)
 
 
-def match_any(df: DataFrame, answer: str, expected: str, alternatives: str, row_id: str,
-              **options) -> DataFrame:
-    """Match against the expected answer and a list of alternatives.
+def match_any(df: DataFrame, answer: str, expected: str, alternatives: str, **options) -> DataFrame:
+    """Match against the expected answer and a list of alternatives; adds ``match`` and ``matched_against``.
 
     The first hit in (strategy, position) order wins, else the highest confidence, earliest first.
-    Each row fans out only to its own list, so the work is rows x list length, and the choice is a
-    map-side ``min_by``.
+    Each row fans out to its own list and is put together again under a tag of its own, so rows may repeat, no id is needed and
+    nothing is joined. ``options`` are those of ``match_answers``.
     """
     listed = F.concat(F.array(F.col(expected)),
                       F.coalesce(F.col(alternatives), F.array().cast("array<string>")))
-    fanned = df.select(row_id, answer, F.posexplode(listed).alias("_pos", "_acceptable"))
-    matched = match_answers(fanned, answer, "_acceptable", **options)
+    tagged = df.withColumn("_row", F.monotonically_increasing_id())
+    matched = match_answers(tagged.select("*", F.posexplode(listed).alias("_pos", "_acceptable")), answer, "_acceptable", **options)
     m = F.col("match")
     order = F.array(*[F.lit(x) for x in _ORDER])
     strategy = F.array_position(order, m["match_type"])
     rank = F.struct((~m["is_match"]).alias("miss"),
                     F.when(m["is_match"], F.lit(0.0)).otherwise(-m["confidence"]).alias("c"),
                     strategy.alias("s"), F.col("_pos").alias("p"))
-    best = matched.groupBy(row_id).agg(
-        F.min_by(F.struct("match", F.col("_acceptable").alias("matched_against")), rank).alias("_b"))
-    return df.join(best.select(row_id, "_b.match", "_b.matched_against"), row_id)
+    best = matched.groupBy("_row").agg(
+        F.min_by(F.struct(*df.columns, "match", F.col("_acceptable").alias("matched_against")), rank).alias("_b"))
+    return best.select("_b.*")
 
 
 def synonym_similarity(df: DataFrame, row_id: str, tokens: str, expected_tokens: str,

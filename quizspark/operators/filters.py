@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from quizspark import fixed_values as fv
 from quizspark.operators.clean import parse_models_tested
+from quizspark.plans.ranking import with_position
 
 
 def by_category(df: DataFrame, categories: Sequence[str]) -> DataFrame:
@@ -57,7 +58,11 @@ def apply_filters(df: DataFrame, spec: dict[str, Any]) -> DataFrame:
 
 def get_questions(df: DataFrame, filters: dict[str, Any] | None = None, limit: int | None = None,
                   offset: int | None = None, id_col: str = "question_id") -> DataFrame:
-    """Exact-match filters with a page of the result, ordered by id."""
+    """Exact-match filters with a page of the result, ordered by id.
+
+    With a limit Spark keeps only the first rows of each task. An offset alone returns nearly everything; those rows are found by their position
+    in a distributed order.
+    """
     filters = filters or {}
     for name in ("category", "difficulty_level", "value", "round"):
         if filters.get(name) is not None:
@@ -65,9 +70,11 @@ def get_questions(df: DataFrame, filters: dict[str, Any] | None = None, limit: i
     df = by_value_range(df, filters.get("min_value"), filters.get("max_value"))
     if limit is None and not offset:
         return df
+    if limit is None:
+        return with_position(df, id_col, "_position").where(F.col("_position") > offset).drop("_position")
     page = df.orderBy(id_col)
     page = page.offset(offset) if offset else page
-    return page if limit is None else page.limit(limit)
+    return page.limit(limit)
 
 
 def contains_text(df: DataFrame, col: str, part: str) -> DataFrame:

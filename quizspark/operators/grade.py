@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quizspark import fixed_values as fv
 from quizspark.functions.labels import signed_score
-from quizspark.functions.match import match_answers
+from quizspark.functions.match import match_answers, match_any
 from quizspark.functions.parse import parse_responses
 
 MODES = ("strict", "lenient", "jeopardy", "adaptive")
@@ -72,13 +72,16 @@ def decide(mode: str, match: Column, parsed: Column, threshold: Column) -> tuple
 def grade(df: DataFrame, response: str, expected: str, mode: str = "lenient", fuzzy: bool = True,
           required: bool = False, partial: bool = True, threshold: Column | float | None = None,
           fuzzy_threshold: Column | float | None = None, error: str | None = None,
-          unanswered: Column | None = None, with_reasoning: bool = False) -> DataFrame:
+          unanswered: Column | None = None, with_reasoning: bool = False, acceptable: str | None = None,
+          synonym_score: str | None = None) -> DataFrame:
     """Add ``parsed``, ``match`` and ``graded`` structs to rows of response and expected answer.
 
+    ``acceptable`` names a column with a list of further right answers, the best of which counts; ``matched_against`` tells which.
+    ``synonym_score`` names a column with the similarity of meaning that ``match.synonym_similarity`` computes.
+
     Refusals, errors and rows with an ``error`` are wrong with score 0. Rows where ``unanswered``
     holds (a rate limit, for example) have ``is_correct`` NULL. In adaptive mode the thresholds come
-    from category, difficulty and value unless given. One projection; only the fuzzy scores leave the
-    JVM.
+    from category, difficulty and value unless given. One projection, unless there are lists of answers.
     """
     out = parse_responses(df, response, with_reasoning)
     columns = set(df.columns)
@@ -90,8 +93,10 @@ def grade(df: DataFrame, response: str, expected: str, mode: str = "lenient", fu
     needs_form = form_required(mode, F.col("category") if "category" in columns else None, required,
                                F.col("format") if "format" in columns else None)
     out = out.withColumn("_answer", F.col("parsed.extracted_answer"))
-    out = match_answers(out, "_answer", expected, needs_form, fuzzy,
-                        fv.FUZZY_THRESHOLD if fuzzy_threshold is None else fuzzy_threshold)
+    options = {"form_required": needs_form, "fuzzy": fuzzy, "synonym_score": synonym_score,
+               "fuzzy_threshold": fv.FUZZY_THRESHOLD if fuzzy_threshold is None else fuzzy_threshold}
+    out = (match_answers(out, "_answer", expected, **options) if acceptable is None
+           else match_any(out, "_answer", expected, acceptable, **options))
     parsed, match = F.col("parsed"), F.col("match")
     right, score = decide(mode, match, parsed, limit)
     failed = parsed["response_type"].isin("refusal", "error")

@@ -1,7 +1,7 @@
 """Joins between results, questions, runs and price lists.
 
-Sides are not marked for broadcast: adaptive execution measures them and broadcasts what is small,
-splits skewed partitions of what is not.
+Sides are not marked for broadcast: Spark broadcasts what it knows or measures to be small and splits skewed partitions of what
+is not. A price list, which is known to be short, is looked up in a map instead of being joined.
 """
 
 from __future__ import annotations
@@ -56,37 +56,32 @@ def alternative_ids(model_id: Column) -> Column:
     return F.filter(listed, lambda x: x.isNotNull() & (x != model_id))
 
 
+def _price_map(prices: DataFrame) -> Column:
+    """A price list as one map from model id to input and output price per million tokens."""
+    entry = F.struct("model_id", F.struct(F.col("input_cost").alias("i"), F.col("output_cost").alias("o")))
+    one = prices.groupBy("model_id").agg(F.first(F.struct("input_cost", "output_cost")).alias("p")).select("model_id", "p.*")
+    return one.agg(F.map_from_entries(F.collect_list(entry)).alias("m")).select("m").scalar()
+
+
 def price_usage(usage: DataFrame, catalog: DataFrame | None, static_prices: DataFrame) -> DataFrame:
     """Attach input and output price per million tokens and the list it came from.
 
-    Order: dynamic catalog, static list, alternative ids in order, else 0. Prices are resolved once
-    per distinct model id and joined back, so usage rows meet one small table.
+    Order: dynamic catalog, static list, alternative ids in order, else 0. The lists hold the models on offer, some hundred rows; each
+    becomes one map, so the usage log is read once and neither joined nor shuffled. A catalog of another size belongs in a join.
     """
-    ids = usage.select("model_id").distinct()
+    out, ids = usage, F.concat(F.array("model_id"), alternative_ids(F.col("model_id")))
+    dynamic = F.lit(None).cast("struct<i:double,o:double>")
     if catalog is not None:
-        dynamic = catalog.groupBy("model_id").agg(
-            F.first(F.struct(per_million(F.col("input_cost")).alias("i"),
-                             per_million(F.col("output_cost")).alias("o"))).alias("_dyn"))
-        ids = ids.join(dynamic, "model_id", "left")
-    else:
-        ids = ids.withColumn("_dyn", F.lit(None).cast("struct<i:double,o:double>"))
-    known = static_prices.select(F.col("model_id").alias("_id"),
-                                 F.struct(F.col("input_cost").alias("i"),
-                                          F.col("output_cost").alias("o")).alias("_p"))
-    tried = ids.select("model_id", "_dyn", F.posexplode(
-        F.concat(F.array("model_id"), alternative_ids(F.col("model_id")))).alias("_pos", "_id"))
-    found = tried.join(known, "_id", "left")
-    resolved = found.groupBy("model_id").agg(
-        F.first("_dyn", ignorenulls=True).alias("_dyn"),
-        F.min_by("_p", F.when(F.col("_p").isNotNull(), F.col("_pos"))).alias("_p"),
-        F.min(F.when(F.col("_p").isNotNull(), F.col("_pos"))).alias("_at"))
-    price = F.coalesce(F.col("_dyn"), F.col("_p"))
-    resolved = resolved.select(
-        "model_id", F.coalesce(price["i"], F.lit(0.0)).alias("input_price"),
-        F.coalesce(price["o"], F.lit(0.0)).alias("output_price"),
-        F.when(F.col("_dyn").isNotNull(), "dynamic").when(F.col("_at") == 0, "static")
-        .when(F.col("_at") > 0, "alternative").otherwise("none").alias("price_source"))
-    return usage.join(resolved, "model_id", "left")
+        per = catalog.select("model_id", per_million(F.col("input_cost")).alias("input_cost"), per_million(F.col("output_cost")).alias("output_cost"))
+        dynamic = F.try_element_at(_price_map(per), F.col("model_id"))
+    out = out.withColumns({"_tried": F.when(F.col("model_id").isNotNull(), ids), "_static": _price_map(static_prices)})
+    hits = F.filter(F.transform("_tried", lambda x, i: F.struct(i.alias("at"), F.try_element_at("_static", x).alias("p"))), lambda h: h["p"].isNotNull())
+    out = out.withColumn("_dyn", dynamic).withColumn("_hit", F.get(hits, F.lit(0)))
+    price = F.coalesce(F.col("_dyn"), F.col("_hit.p"))
+    return out.withColumns({
+        "input_price": F.coalesce(price["i"], F.lit(0.0)), "output_price": F.coalesce(price["o"], F.lit(0.0)),
+        "price_source": F.when(F.col("_dyn").isNotNull(), "dynamic").when(F.col("_hit.at") == 0, "static")
+        .when(F.col("_hit.at") > 0, "alternative").otherwise("none")}).drop("_tried", "_static", "_dyn", "_hit")
 
 
 def token_cost(input_tokens: Column, output_tokens: Column, input_price: Column,

@@ -41,10 +41,13 @@ def accuracy(results: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
         F.count("is_correct").alias("answered_count"), F.count(F.lit(1)).alias("total_count"))
 
 
-def confidence_interval(df: DataFrame, p: str = "accuracy", n: str = "total_count") -> DataFrame:
-    """95 % interval around a share, within [0, 1], only for more than 30 rows."""
+def confidence_interval(df: DataFrame, p: str = "accuracy", n: str = "total_count", more_than: int = 30) -> DataFrame:
+    """95 % interval around a share, within [0, 1], NULL unless it rests on more than ``more_than`` rows.
+
+    The normal approximation is poor for few rows.
+    """
     margin = F.lit(1.96) * F.sqrt(F.col(p) * (1 - F.col(p)) / F.col(n))
-    enough = F.col(n) > 30
+    enough = F.col(n) > more_than
     return (df.withColumn("ci_low", F.when(enough, F.greatest(F.lit(0.0), F.col(p) - margin)))
             .withColumn("ci_high", F.when(enough, F.least(F.lit(1.0), F.col(p) + margin))))
 

@@ -37,11 +37,12 @@ def rate_audit(log: DataFrame, per_minute: int, key: str = "model_id", ts: str =
                id_col: str = "event_id", window_seconds: int = 60, chunk_seconds: int = 3600) -> DataFrame:
     """Requests of the same key in the trailing window, violations and the wait that was due.
 
-    Time is cut into chunks, and the last ``window_seconds`` of a chunk are copied to the next one, so
+    Time is cut into chunks of whole windows, ``chunk_seconds`` or a little more, and the last ``window_seconds`` of a chunk are copied to the next one, so
     a key with a third of all requests is spread over its chunks. Requests at the same instant do not
     count against each other.
     """
-    micros, span, chunk = 1_000_000, window_seconds * 1_000_000, chunk_seconds * 1_000_000
+    micros, span = 1_000_000, window_seconds * 1_000_000
+    chunk = -(-max(chunk_seconds, window_seconds) // window_seconds) * span
     at = F.unix_micros(F.col(ts).cast("timestamp"))
     own = F.floor(F.col("_at") / F.lit(chunk)).cast("bigint")
     next_start = (own + 1) * chunk

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quizspark import fixed_values as fv
 from quizspark.plans.ranking import seeded_key, smallest_by_hash, with_position
+from quizspark.plans.storage import written
 
 
 class SamplingError(ValueError):
@@ -27,12 +28,16 @@ def sample_size(confidence: float = 0.95, margin: float = 0.05) -> int:
 
 
 def sample_size_fpc(population: Column, confidence: float = 0.95, margin: float = 0.05,
-                    proportion: float = 0.5) -> Column:
-    """Sample size with finite population correction, as a column over a population count."""
+                    proportion: float = 0.5, population_limit: int | None = None) -> Column:
+    """Sample size with finite population correction, as a column over a population count.
+
+    The correction vanishes as the population grows. ``population_limit`` leaves it out from that population on.
+    """
     z = fv.Z_SCORES.get(confidence, fv.DEFAULT_Z)
     base = F.lit((z ** 2) * proportion * (1 - proportion) / margin ** 2)
-    size = F.when(population < fv.FPC_POPULATION_LIMIT,
-                  F.try_divide(base, 1 + F.try_divide(base - 1, population))).otherwise(base)
+    size = F.try_divide(base, 1 + F.try_divide(base - 1, population))
+    if population_limit is not None:
+        size = F.when(population < population_limit, size).otherwise(base)
     return F.least(F.greatest(F.ceil(size), F.lit(fv.MIN_SAMPLE)), population)
 
 
@@ -56,18 +61,14 @@ def random_sample(df: DataFrame, n: int, seed: int = 42, id_col: str = "question
 
 
 def default_strata(df: DataFrame) -> list[str]:
-    """Difficulty, and category when it has at most 50 values (one distinct count)."""
-    cols = ["difficulty_level"] if "difficulty_level" in df.columns else []
-    if "category" in df.columns:
-        few = df.select("category").distinct().limit(fv.MAX_DEFAULT_CATEGORIES + 1).count()
-        cols += ["category"] if few <= fv.MAX_DEFAULT_CATEGORIES else []
-    return cols
+    """Difficulty and category, as far as they are there."""
+    return [c for c in ("difficulty_level", "category") if c in df.columns]
 
 
 def allocation(df: DataFrame, strata: Sequence[str], n: int, exact: bool = False) -> DataFrame:
     """Rows to take per stratum: proportional, at least 1, at most the stratum.
 
-    Missing rows go one each to the largest strata with room, in a single pass over the n largest.
+    Missing rows go one each to the largest strata, as many as rows are missing, if they have room.
     With ``exact`` surplus rows are taken away the same way, never below 1.
     """
     strata = list(strata)
@@ -78,18 +79,16 @@ def allocation(df: DataFrame, strata: Sequence[str], n: int, exact: bool = False
     if exact:
         base = base.where(" AND ".join(f"`{s}` IS NOT NULL" for s in strata))
     gap = F.lit(n) - base.agg(F.sum("_a").alias("s")).select("s").scalar()
-    names = [F.col(s).asc_nulls_first() for s in strata]
-    order = [F.desc("n_rows"), *names]
-    # |gap| strata at most are adjusted: fewer than n when rows are missing, fewer than the number
-    # of strata when there are too many.
-    ranked = base.withColumn("_gap", gap)
-    if exact:
-        ranked = ranked.where(F.abs("_gap") > 0)
-    else:
-        ranked = ranked.where(F.col("_gap") > 0)
+    # The |gap| largest strata are adjusted. Counts of strata per size tell which sizes are adjusted as a whole and
+    # where the last one starts; the window over sizes sees one row per distinct size.
+    ranked = base.withColumn("_gap", gap).where(F.abs("_gap") > 0 if exact else F.col("_gap") > 0)
+    larger = Window.orderBy(F.desc("n_rows")).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = (ranked.groupBy("n_rows").agg(F.count(F.lit(1)).alias("_k"))
+             .select("n_rows", F.coalesce(F.sum("_k").over(larger), F.lit(0)).alias("_before")))
+    in_size = Window.partitionBy("n_rows").orderBy(*[F.col(s).asc_nulls_first() for s in strata])
     room = F.when(F.col("_gap") > 0, F.col("_a") < F.col("n_rows")).otherwise(F.col("_a") > 1)
-    largest = ranked.orderBy(*order).limit(max(n, fv.MAX_STRATA_BEFORE_RANDOM))
-    adjusted = (largest.withColumn("_rn", F.row_number().over(Window.orderBy(*order)))
+    adjusted = (ranked.join(sizes, "n_rows").where(F.col("_before") < F.abs("_gap"))
+                .withColumn("_rn", F.col("_before") + F.row_number().over(in_size))
                 .where(F.col("_rn") <= F.abs("_gap")).where(room)
                 .select(*strata, F.signum("_gap").cast("bigint").alias("_d")))
     same = [F.col(f"b.{s}").eqNullSafe(F.col(f"d.{s}")) for s in strata]
@@ -100,31 +99,24 @@ def allocation(df: DataFrame, strata: Sequence[str], n: int, exact: bool = False
 
 def stratified_sample(df: DataFrame, n: int | None = None, strata: Sequence[str] | None = None,
                       seed: int = 42, id_col: str = "question_id", exact: bool = False) -> DataFrame:
-    """Proportional sample over strata. NULL is a stratum of its own.
+    """Proportional sample over any number of strata columns and strata. NULL is a stratum of its own.
 
-    ``exact=True`` is the variant for large inputs: at most two strata columns, NULL strata left
-    out, surplus removed, and a plain random sample beyond 1000 strata.
+    ``exact=True`` leaves NULL strata out and removes surplus rows.
     """
     size = default_size(df) if n is None else n
     cols = default_strata(df) if strata is None else list(strata)
     if not cols:
         return random_sample(df, size, seed, id_col)
-    if exact:
-        cols = cols[:2]
-        known = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in cols)).select(*cols)
-        limit = fv.MAX_STRATA_BEFORE_RANDOM
-        if known.distinct().limit(limit + 1).count() > limit:
-            return random_sample(df, size, seed, id_col)
     quota = allocation(df, cols, size, exact).select(*cols, "n_take")
     return smallest_by_hash(df, cols, seeded_key(seed, id_col), id_col, quota)
 
 
 def time_bins(df: DataFrame, date_col: str, periods: int = 5, seed: int = 42,
               id_col: str = "question_id", name: str = "time_period") -> DataFrame:
-    """Equal-width bins over the rank by day; within a day the seeded order decides.
+    """Equal-width bins over the rank by time; among equal times the seeded order decides.
 
-    Ranks come from counts per day. Only days that a bin boundary cuts (fewer than ``periods``) need
-    positions of single rows, and those come from counted hash cells.
+    Ranks come from counts per day. Only days that a bin boundary cuts, fewer than ``periods``, need
+    positions of single rows.
     """
     rows = df.where(F.col(date_col).isNotNull()).withColumn("_day", F.to_date(date_col))
     days = rows.groupBy("_day").agg(F.count(F.lit(1)).alias("_n"))
@@ -135,30 +127,30 @@ def time_bins(df: DataFrame, date_col: str, periods: int = 5, seed: int = 42,
         """Bin of a 0-based rank among ``_t`` rows."""
         span = F.greatest(F.col("_t") - 1, F.lit(1))
         return F.greatest(F.lit(0), F.ceil(index * F.lit(periods) / span) - 1).cast("int")
-    # One row per calendar day reaches this window.
+    # One row per calendar day reaches these windows.
     placed = (days.withColumn("_end", F.sum("_n").over(upto)).withColumn("_t", total)
               .withColumn("_start", F.col("_end") - F.col("_n"))
               .withColumn("_b0", bin_of(F.col("_start"))).withColumn("_b1", bin_of(F.col("_end") - 1))
-              .select("_day", "_start", "_t", "_b0", "_b1"))
-    marked = rows.join(placed, "_day")
+              .withColumn("_cut", F.when(F.col("_b0") != F.col("_b1"), F.col("_n")).otherwise(0))
+              .withColumn("_skipped", F.col("_start") - (F.sum("_cut").over(upto) - F.col("_cut")))
+              .select("_day", "_skipped", "_t", "_b0", "_b1"))
+    marked = rows.join(written(placed, "days"), "_day")
     whole = marked.where(F.col("_b0") == F.col("_b1")).withColumn(name, F.col("_b0"))
-    cut = (marked.where(F.col("_b0") != F.col("_b1")).withColumn("_key", seeded_key(seed, id_col))
-           .withColumn("_cell", F.substring("_key", 1, 3)))
-    cells = cut.groupBy("_day", "_cell").agg(F.count(F.lit(1)).alias("_c"))
-    offsets = cells.select("_day", "_cell", F.coalesce(F.sum("_c").over(
-        Window.partitionBy("_day").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0)).alias("_off"))
-    within = F.row_number().over(Window.partitionBy("_day", "_cell").orderBy("_key", id_col)) - 1
-    split = (cut.join(offsets, ["_day", "_cell"])
-             .withColumn(name, bin_of(F.col("_start") + F.col("_off") + within)))
-    helpers = ["_day", "_start", "_t", "_b0", "_b1"]
-    return whole.drop(*helpers).unionByName(split.drop(*helpers, "_key", "_cell", "_off"))
+    cut = marked.where(F.col("_b0") != F.col("_b1")).withColumn("_key", seeded_key(seed, id_col))
+    # A position among the rows of cut days, plus the rows of whole days before, is the rank.
+    split = (with_position(cut, [date_col, "_key", id_col], "_position")
+             .withColumn(name, bin_of(F.col("_skipped") + F.col("_position") - 1)))
+    helpers = ["_day", "_skipped", "_t", "_b0", "_b1"]
+    return whole.drop(*helpers).unionByName(split.drop(*helpers, "_key", "_position"))
 
 
 def temporal_sample(df: DataFrame, n: int | None = None, date_col: str = "air_date", periods: int = 5,
                     seed: int = 42, id_col: str = "question_id") -> DataFrame:
-    """Stratified sample over time bins and difficulty; rows without a date are left out."""
-    if date_col not in df.columns:
+    """Stratified sample over time bins and difficulty; rows without a date are left out.
+
+    Without any date it is the plain stratified sample.
+    """
+    if date_col not in df.columns or df.where(F.col(date_col).isNotNull()).isEmpty():
         return stratified_sample(df, n, None, seed, id_col)
     binned = time_bins(df, date_col, periods, seed, id_col)
     size = default_size(binned) if n is None else n

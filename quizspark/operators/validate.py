@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quizspark import fixed_values as fv
 from quizspark.functions import text as tx
-from quizspark.plans.skew import HOT_ROWS, attach_per_key
 
 _TAG = "<[^>]+>"
 _GAPS = tx.WS + "{3,}"
@@ -155,22 +154,17 @@ def issue_rows(df: DataFrame, as_of: str, id_col: str = "question_id", strict: b
     return checked.select(id_col, F.explode(listed).alias("i")).select(id_col, "i.field", "i.issue")
 
 
-def flag_duplicates(df: DataFrame, text_col: str = "question", id_col: str = "question_id",
-                    hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Mark every row whose text already occurs under a smaller id.
+def flag_duplicates(df: DataFrame, text_col: str = "question", id_col: str = "question_id") -> DataFrame:
+    """Mark every row whose text already occurs under a smaller id; blank texts are never duplicates.
 
-    The first id per text is a map-side ``min`` over text digests, not texts; a text copied into a
-    third of all rows is spread over many tasks when the flag is joined back.
+    The first id per text is a map-side ``min`` over digests. Rows meet it by digest; adaptive execution splits the partition of a
+    text that very many rows share.
     """
-    keyed = df.withColumn("_digest", F.sha2(F.col(text_col), 256))
-    texts = keyed.where(~_empty(F.col(text_col)))
-    first = texts.groupBy("_digest").agg(F.min(id_col).alias("first_id"), F.count(F.lit(1)).alias("n_rows"))
-    flagged = attach_per_key(texts, first, "_digest", id_col, hot_rows).withColumn(
-        "is_duplicate", F.col(id_col) != F.col("first_id"))
-    blank = keyed.where(_empty(F.col(text_col))).select(
-        "*", F.lit(None).cast(df.schema[id_col].dataType).alias("first_id"),
-        F.lit(0).cast("bigint").alias("n_rows"), F.lit(False).alias("is_duplicate"))
-    return flagged.unionByName(blank).drop("_digest", "n_rows")
+    blank = _empty(F.col(text_col))
+    keyed = df.withColumn("_digest", F.when(~blank, F.sha2(F.col(text_col), 256)))
+    first = (keyed.where(F.col("_digest").isNotNull()).groupBy("_digest").agg(F.min(id_col).alias("first_id")))
+    return (keyed.join(first, "_digest", "left")
+            .withColumn("is_duplicate", F.coalesce(F.col(id_col) != F.col("first_id"), F.lit(False))).drop("_digest"))
 
 
 def audit(df: DataFrame) -> DataFrame:
@@ -217,7 +211,10 @@ def auto_fix(df: DataFrame) -> DataFrame:
 
 
 def schema_split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid rows with trimmed texts, rejected rows with a reason) under the strict schema."""
+    """(valid rows with trimmed texts, rejected rows with a reason) under the strict schema.
+
+    Raises when there is no valid row, also for an empty table.
+    """
     gone = [c for c in ("question", "answer") if c not in df.columns]
     if gone:
         raise ValidationError(f"missing required columns: {gone}")
@@ -233,6 +230,8 @@ def schema_split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     judged = df.withColumn("rejected_because", F.array_join(_issues(*tests), "; "))
     good = (judged.where(F.col("rejected_because") == "").drop("rejected_because")
             .withColumn("question", q).withColumn("answer", a))
+    if good.isEmpty():
+        raise ValidationError("no row is valid")
     return good, judged.where(F.col("rejected_because") != "")
 
 

@@ -1,16 +1,20 @@
 """Exact ranking that never gathers a whole group, or the whole table, in one task.
 
-A plain ``row_number`` over a hot group sorts that group in a single task. The functions here cut
-every group into cells first, count the cells with map-side aggregation, and only sort inside a cell.
+A plain ``row_number`` over a hot group sorts that group in a single task. The functions here cut groups or the
+order into parts first, count the parts with map-side aggregation, and only sort inside a part.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-HASH_DIGITS = 3  # 4096 cells per group
+from quizspark.plans.storage import written
+
+ROWS_PER_CELL = 50_000
+_PLACE = 1 << 33  # monotonically_increasing_id counts a partition's rows below this bit
 
 
 def seeded_key(seed: int, id_col: str) -> Column:
@@ -18,15 +22,22 @@ def seeded_key(seed: int, id_col: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_col).cast("string")))
 
 
+def hash_digits(rows: int) -> int:
+    """Hexadecimal digits of a hash that cut so many rows into cells of at most ROWS_PER_CELL or so."""
+    return max(3, math.ceil(math.log(max(1, rows / ROWS_PER_CELL), 16)))
+
+
 def smallest_by_hash(df: DataFrame, group_cols: Sequence[str], key: Column, tie: str,
-                     quota: DataFrame, digits: int = HASH_DIGITS) -> DataFrame:
+                     quota: DataFrame, digits: int | None = None) -> DataFrame:
     """Rows of each group with the smallest ``quota`` hash keys.
 
     ``quota`` has the group columns and ``n_take``. Hash keys spread evenly, so the first digits of
-    the key cut a group of any size into cells of equal size. Whole cells below the cut are taken
-    and at most one cell per group is cut by rank. Group columns compare null-safe.
+    the key cut a group of any size into cells of equal size; the number of digits follows the number of rows. Per group one cell is the last to be
+    taken. Rows in cells before it pass in the scan, without a shuffle; only rows of that cell are ranked. The cuts, one row per
+    group, are written first, so Spark knows their size and broadcasts them only when they are small. Group columns compare null-safe.
     """
     groups = list(group_cols)
+    digits = digits or hash_digits(df.count())
     keyed = df.withColumn("_key", key).withColumn("_cell", F.substring("_key", 1, digits))
     cells = keyed.groupBy(*groups, "_cell").agg(F.count(F.lit(1)).alias("_rows"))
     if groups:
@@ -35,65 +46,42 @@ def smallest_by_hash(df: DataFrame, group_cols: Sequence[str], key: Column, tie:
                  .select(*[F.col(f"c.{g}").alias(g) for g in groups], "_cell", "_rows", "n_take"))
     else:
         cells = cells.withColumn("n_take", quota.select("n_take").scalar())
-    # At most 16**digits rows per group reach this window.
-    running = Window.partitionBy(*groups).orderBy("_cell").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    taken = (cells.withColumn("_upto", F.sum("_rows").over(running))
-             .withColumn("_need", F.col("n_take") - (F.col("_upto") - F.col("_rows")))
-             .where(F.col("_need") > 0)
-             .select(*groups, "_cell", "_need"))
-    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"t.{c}")) for c in groups] + [
-        F.col("r._cell") == F.col("t._cell")]
-    chosen = (keyed.alias("r").join(taken.alias("t"), same, "inner")
-              .select("r.*", "t._need"))
-    in_cell = Window.partitionBy(*groups, "_cell").orderBy("_key", tie)
-    return (chosen.withColumn("_rank", F.row_number().over(in_cell))
-            .where(F.col("_rank") <= F.col("_need"))
-            .drop("_key", "_cell", "_need", "_rank"))
-
-
-def _numeric_splits(df: DataFrame, col: str, cells: int) -> list:
-    step = [i / cells for i in range(1, cells)]
-    # One row with ``cells - 1`` numbers comes to the driver.
-    row = df.agg(F.percentile_approx(F.col(col), step, cells * 20).alias("s")).first()
-    return sorted(set(row["s"] or []))
-
-
-def _string_splits(df: DataFrame, col: str, cells: int) -> list:
-    # Only the choice of split points uses a sample; ranks stay exact for any split points.
-    spread = df.select(col, F.xxhash64(col).alias("_h")).orderBy("_h").limit(cells * 20)
-    rows = sorted(r[0] for r in spread.select(col).collect() if r[0] is not None)
-    return sorted({rows[len(rows) * i // cells] for i in range(1, cells)}) if rows else []
-
-
-def _cell_of(col: str, splits: list, base: int = 0) -> Column:
-    """Index of the interval a value falls in, as a balanced tree of comparisons."""
-    if not splits:
-        return F.lit(base)
-    mid = len(splits) // 2
-    return F.when(F.col(col) < F.lit(splits[mid]), _cell_of(col, splits[:mid], base)).otherwise(
-        _cell_of(col, splits[mid + 1:], base + mid + 1))
-
-
-def with_position(df: DataFrame, order_col: str, name: str = "position",
-                  cells: int | None = None) -> DataFrame:
-    """Exact 1-based position in the order of a unique, non-null column, over the whole table.
-
-    Split points turn the order into cells; a cell's offset is the number of rows in earlier cells,
-    and ``row_number`` runs inside a cell only.
+    running = Window.partitionBy(*groups).orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    need = F.col("n_take") - (F.sum("_rows").over(running) - F.col("_rows"))
+    last = F.max(F.struct("_cell", F.col("_need").alias("need"), F.col("_rows").alias("rows")))
+    cuts = cells.withColumn("_need", need).where("_need > 0").groupBy(*groups).agg(last.alias("_last"))
+    if groups:
+        cuts = written(cuts, "cuts")
+        same = [F.col(f"r.{g}").eqNullSafe(F.col(f"t.{g}")) for g in groups]
+        found = keyed.alias("r").join(cuts.alias("t"), same).select("r.*", "t._last")
+    else:
+        row = cuts.first()
+        if row is None:
+            return df.limit(0)
+        cut = row["_last"]
+        found = keyed.withColumn("_last", F.struct(F.lit(cut["_cell"]).alias("_cell"), F.lit(cut["need"]).alias("need"),
+                                                   F.lit(cut["rows"]).alias("rows")))
+    whole = (F.col("_cell") < F.col("_last._cell")) | (
+        (F.col("_cell") == F.col("_last._cell")) & (F.col("_last.need") >= F.col("_last.rows")))
+    cut = (F.col("_cell") == F.col("_last._cell")) & (F.col("_last.need") < F.col("_last.rows"))
+    rank = F.row_number().over(Window.partitionBy(*groups, "_cell").orderBy("_key", tie))
+    ranked = found.where(cut).withColumn("_rank", rank).where(F.col("_rank") <= F.col("_last.need"))
+    return found.where(whole).select(*df.columns).unionByName(ranked.select(*df.columns))
+
+
+def with_position(df: DataFrame, order_col: str | Sequence[str], name: str = "position") -> DataFrame:
+    """Exact 1-based position in the order of one or more columns, over the whole table.
+
+    One shuffle deals the rows to as many ranges as there are shuffle partitions and each range is sorted. The ranges are written with
+    range and place of every row, so their counts give each range its offset. At most one row per range reaches the window.
     """
-    spark = df.sparkSession
-    if cells is None:
-        cells = min(512, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    numeric = isinstance(df.schema[order_col].dataType, T.NumericType)
-    splits = (_numeric_splits if numeric else _string_splits)(df, order_col, cells)
-    celled = df.withColumn("_cell", _cell_of(order_col, splits))
-    # At most ``cells`` rows reach the unpartitioned window.
-    offsets = (celled.groupBy("_cell").agg(F.count(F.lit(1)).alias("_rows"))
-               .withColumn("_offset", F.sum("_rows").over(
-                   Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)))
-               .select("_cell", F.coalesce("_offset", F.lit(0)).alias("_offset")))
-    return (celled.join(F.broadcast(offsets), "_cell")
-            .withColumn(name, F.col("_offset") + F.row_number().over(
-                Window.partitionBy("_cell").orderBy(order_col)))
-            .drop("_cell", "_offset"))
+    columns = [order_col] if isinstance(order_col, str) else list(order_col)
+    placed = df.repartitionByRange(*columns).sortWithinPartitions(*columns)
+    placed = written(placed.withColumn("_place", F.monotonically_increasing_id()), "positions")
+    placed = placed.withColumn("_part", F.shiftright("_place", 33))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
+               .select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset")))
+    return (placed.join(offsets, "_part")
+            .withColumn(name, F.col("_offset") + F.col("_place").bitwiseAND(F.lit(_PLACE - 1)) + 1)
+            .drop("_part", "_place", "_offset"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quizspark import views as v
 from quizspark.operators import catalog as cat, leaderboard as lb, metrics as m, profile as p, retention as rt
 from quizspark.operators import sampling as s, validate as val
+from quizspark.plans.ranking import with_position
 from quizspark.registry.base import Registry, rounded
 
 R = Registry()
@@ -174,20 +175,20 @@ def _(spark, sf):
         "model_id", F.round(F.col("input_cost") + F.col("output_cost"), 6).alias("price"))
 
 
-@R.add("g06_resort_leaderboard", """
-SELECT * FROM (SELECT 'speed' AS sorted_by, run_id, row_number() OVER (ORDER BY avg_response_time_ms ASC NULLS LAST, model_name, run_id) AS place FROM performance
-UNION ALL SELECT 'accuracy', run_id, row_number() OVER (ORDER BY accuracy_rate DESC NULLS LAST, model_name, run_id) FROM performance
-UNION ALL SELECT 'cost', run_id, row_number() OVER (ORDER BY total_cost_usd ASC NULLS LAST, model_name, run_id) FROM performance
-UNION ALL SELECT 'score', run_id, row_number() OVER (ORDER BY signed_score DESC NULLS LAST, model_name, run_id) FROM performance)
-WHERE place <= 20""")
-def _(spark, sf):
-    from pyspark.sql import Window
-    board, parts = v.performance(spark, sf), []
-    orders = {"speed": F.asc_nulls_last("avg_response_time_ms"), "accuracy": F.desc_nulls_last("accuracy_rate"),
-              "cost": F.asc_nulls_last("total_cost_usd"), "score": F.desc_nulls_last("signed_score")}
-    for by, order in orders.items():
-        place = F.row_number().over(Window.orderBy(order, "model_name", "run_id")).cast("bigint")
-        parts.append(lb.resort(board, by, 20).select(F.lit(by).alias("sorted_by"), "run_id", place.alias("place")))
+_SORTED = {"rank": ("signed_score", "DESC"), "score": ("signed_score", "DESC"), "accuracy": ("accuracy_rate", "DESC"),
+           "speed": ("avg_response_time_ms", "ASC"), "cost": ("total_cost_usd", "ASC"), "efficiency": ("efficiency", "DESC")}
+_EFFICIENCY = "CASE WHEN total_cost_usd > 0 THEN accuracy_rate / total_cost_usd END"
+
+
+@R.add("g06_resort_leaderboard", f"WITH board AS (SELECT *, {_EFFICIENCY} AS efficiency FROM performance) " + " UNION ALL ".join(
+    f"SELECT '{by}' AS sorted_by, run_id, row_number() OVER (ORDER BY {col} {way} NULLS LAST, model_name, run_id) AS place FROM board"
+    for by, (col, way) in _SORTED.items()))
+def _(spark, sf):
+    """The whole board under each of its six orders."""
+    board, parts = v.performance(spark, sf).withColumn("efficiency", F.expr(_EFFICIENCY)), []
+    for by in _SORTED:
+        rows = lb.resort(board, by).select("run_id", F.monotonically_increasing_id().alias("_at"))
+        parts.append(with_position(rows, "_at", "place").select(F.lit(by).alias("sorted_by"), "run_id", "place"))
     return reduce(DataFrame.unionByName, parts)
 
 

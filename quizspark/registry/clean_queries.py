@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quizspark import views as v
 from quizspark.functions import labels, text as tx
 from quizspark.operators import catalog as cat, clean as c, filters as f
+from quizspark.plans.ranking import with_position
 from quizspark.registry.base import Registry, rounded
 
 R = Registry()
@@ -236,10 +237,7 @@ def _(spark, sf):
 
 
 @R.add("g05_catalog_listing", """
-SELECT provider, name, model_id, row_number() OVER (ORDER BY provider, name, model_id) AS place FROM catalog
-ORDER BY provider, name, model_id LIMIT 100""")
+SELECT provider, name, model_id, row_number() OVER (ORDER BY provider, name, model_id) AS place FROM catalog""")
 def _(spark, sf):
-    from pyspark.sql import Window
-    top = cat.listing(v.catalog(spark, sf)).limit(100)
-    return top.select("provider", "name", "model_id", F.row_number().over(
-        Window.orderBy("provider", "name", "model_id")).cast("bigint").alias("place"))
+    placed = with_position(cat.listing(v.catalog(spark, sf)).select("provider", "name", "model_id"), ["provider", "name", "model_id"], "place")
+    return placed.withColumn("place", F.col("place").cast("bigint"))

@@ -54,7 +54,7 @@ def _(spark, sf):
 
 
 PRICED_SQL = """
-WITH catalog_prices AS (SELECT DISTINCT 'lab/unlisted' AS model_id, 2.0 AS i, 4.0 AS o FROM catalog),
+WITH catalog_prices AS (SELECT 'lab/unlisted' AS model_id, min(input_cost) AS i, max(output_cost) AS o FROM catalog),
 priced AS (
   SELECT u.*, CASE WHEN c.model_id IS NOT NULL THEN 'dynamic' WHEN s.model_id IS NOT NULL THEN 'static'
       WHEN a1.model_id IS NOT NULL OR a2.model_id IS NOT NULL OR a3.model_id IS NOT NULL THEN 'alternative' ELSE 'none' END AS price_source,
@@ -68,9 +68,9 @@ priced AS (
 
 
 def _dynamic(spark, sf):
-    """A dynamic price list that knows one of the usage models: prices per token, as an API lists them."""
-    return v.usage(spark, sf).where(F.col("model_id") == "lab/unlisted").select("model_id").distinct().select(
-        "model_id", F.lit(0.000002).alias("input_cost"), F.lit(0.000004).alias("output_cost"))
+    """A dynamic price list that knows one of the usage models, at the bounds of the whole catalog's prices per million tokens."""
+    return v.catalog(spark, sf).agg(F.min("input_cost").alias("input_cost"), F.max("output_cost").alias("output_cost")).select(
+        F.lit("lab/unlisted").alias("model_id"), "input_cost", "output_cost")
 
 
 def priced(spark, sf):

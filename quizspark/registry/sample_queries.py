@@ -35,11 +35,11 @@ picked AS (SELECT s.*, take, row_number() OVER (PARTITION BY {strata} ORDER BY {
 SELECT {cols} FROM picked WHERE pos <= take"""
 
 
-FPC = """least(greatest(ceil(CASE WHEN n < 100000 THEN b / (1 + (b - 1) / n) ELSE b END), 30), n)"""
+FPC = """least(greatest(ceil(b / (1 + (b - 1) / n)), 30), n)"""
 
 
 @R.add("k01_sample_size", f"""
-SELECT category, n AS population, {s.sample_size()} AS needed, n >= {s.sample_size()} AS enough FROM (
+SELECT category, n AS population, CAST(ceil(1.96 * 1.96 * 0.25 / 0.0025) AS BIGINT) AS needed, n >= ceil(1.96 * 1.96 * 0.25 / 0.0025) AS enough FROM (
   SELECT category, count(*) AS n FROM graded GROUP BY ALL)""")
 def _(spark, sf):
     need = F.lit(s.sample_size())
@@ -80,6 +80,37 @@ def _(spark, sf):
     return s.stratified_sample(q, 60, ["category", "difficulty_level"], 7, exact=True)
 
 
+@R.add("k04c_many_categories", "WITH " + stratified_sql("topics", "category", "300", 42).replace(
+    "counts AS", "topics AS (SELECT question_id, topic AS category FROM questions), counts AS", 1))
+def _(spark, sf):
+    """More than fifty categories under the default strata."""
+    q = v.questions(spark, sf).select("question_id", F.col("topic").alias("category"))
+    return s.stratified_sample(q, 300).select("question_id")
+
+
+@R.add("k05b_three_strata", "WITH " + stratified_sql(
+    "questions", "category, difficulty_level, round", "400", 7, "exact_alloc", cols="question_id, category, difficulty_level, round"))
+def _(spark, sf):
+    q = v.questions(spark, sf).select("question_id", "category", "difficulty_level", "round")
+    return s.stratified_sample(q, 400, ["category", "difficulty_level", "round"], 7, exact=True)
+
+
+@R.add("k05c_many_strata", "WITH " + stratified_sql("customers", "o_custkey", "3000", 7, "exact_alloc", "o_orderkey", "o_orderkey, o_custkey").replace(
+    "counts AS", "customers AS (SELECT o_orderkey, o_custkey FROM orders), counts AS", 1))
+def _(spark, sf):
+    """A stratum per customer."""
+    rows = v.table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    return s.stratified_sample(rows, 3000, ["o_custkey"], 7, "o_orderkey", exact=True)
+
+
+@R.add("k06c_time_of_day_bins", """SELECT event_id, CAST(greatest(0, ceil((rn - 1) * 7 / greatest(n - 1, 1)) - 1) AS BIGINT) AS time_period FROM (
+  SELECT event_id, count(*) OVER () AS n, row_number() OVER (ORDER BY ts, md5('42|' || CAST(event_id AS VARCHAR)), event_id) AS rn FROM events)""")
+def _(spark, sf):
+    """Bins whose bounds fall inside days."""
+    rows = v.table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    return rounded(s.time_bins(rows, "ts", 7, 42, "event_id").select("event_id", "time_period"))
+
+
 BINNED = """binned AS (SELECT *, CAST(greatest(0, ceil((rn - 1) * 5 / greatest(n - 1, 1)) - 1) AS INT) AS time_period FROM (
   SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY created_at, md5('42|' || CAST(run_id AS VARCHAR)), run_id) AS rn FROM runs))"""
 

@@ -161,7 +161,7 @@ QUALIFY row_number() OVER (PARTITION BY result_id ORDER BY NOT is_match, CASE WH
 def _(spark, sf):
     rows = v.responses(spark, sf).withColumn("also", F.array(
         F.upper("question"), F.concat(F.lit("five "), "question")))
-    out = mt.match_any(rows, "response_text", "answer", "also", "result_id")
+    out = mt.match_any(rows, "response_text", "answer", "also")
     return rounded(out.select("result_id", "match.is_match", "match.confidence", "match.match_type", "matched_against"))
 
 
@@ -420,6 +420,36 @@ def _(spark, sf):
         F.round(F.avg("graded.response_quality_score"), 6).alias("quality"))
 
 
+_OUTCOME = f"""SELECT result_id, is_match AND conf >= 0.7 AND NOT off AS is_correct, round(CASE WHEN is_match AND conf >= 0.7 AND NOT off THEN conf ELSE 0 END, 6) AS score,
+  round(CASE WHEN off THEN 0 ELSE {_CREDIT} END, 6) AS partial_credit, CASE WHEN off THEN 'exact' ELSE mtype END AS match_type"""
+
+
+@R.add("j06c_grade_acceptable_answers", f"""WITH {q.parsed('responses', 'response_text')},
+fan AS (SELECT *, 0 AS pos, answer AS acceptable FROM parsed UNION ALL SELECT *, 1, 'who is ' || substr(question, 1, 3) || substr(question, 5) FROM parsed
+  UNION ALL SELECT *, 2, 'I don''t know' FROM parsed WHERE question_id % 3 = 0),
+{q.matched('fan', 'extracted', 'acceptable', "contains(lower(category), 'jeopardy')")},
+m AS (SELECT *, rtype IN ('refusal', 'error') AS off FROM matched QUALIFY row_number() OVER (PARTITION BY result_id, attempt, question_id, run_id ORDER BY NOT is_match,
+  CASE WHEN is_match THEN 0 ELSE -conf END, list_position(['exact', '{fv.QUESTION_TYPE}', 'number_date', 'abbreviation', 'fuzzy', 'semantic'], mtype), pos) = 1)
+{_OUTCOME}, acceptable AS matched_against FROM m""")
+def _(spark, sf):
+    name = F.col("question")
+    also = F.array(F.concat(F.lit("who is "), F.substring(name, 1, 3), F.substr(name, F.lit(5))),
+                   F.when(F.pmod(F.col("question_id"), F.lit(3)) == 0, "I don't know"))
+    rows = v.responses(spark, sf).withColumn("also", F.filter(also, lambda x: x.isNotNull()))
+    graded = g.grade(rows, "response_text", "answer", "lenient", acceptable="also")
+    return rounded(graded.select("result_id", "graded.is_correct", "graded.score", "graded.partial_credit", "graded.match_type", "matched_against"))
+
+
+@R.add("j06d_grade_synonyms", f"""WITH {q.parsed('responses', 'response_text')},
+{q.matched('parsed', 'extracted', 'answer', "contains(lower(category), 'jeopardy')", synonyms="(question_id % 11) / 10")},
+m AS (SELECT *, rtype IN ('refusal', 'error') AS off FROM matched)
+{_OUTCOME} FROM m""")
+def _(spark, sf):
+    rows = v.responses(spark, sf).withColumn("synonym", F.pmod(F.col("question_id"), F.lit(11)) / 10)
+    graded = g.grade(rows, "response_text", "answer", "lenient", synonym_score="synonym")
+    return rounded(graded.select("result_id", "graded.is_correct", "graded.score", "graded.partial_credit", "graded.match_type"))
+
+
 @R.add("j07_results_projection", f"""WITH {q.parsed('responses', 'response_text')}, {q.matched('parsed', 'extracted', 'answer')},
 scored AS (SELECT *, is_match AND conf >= 0.7 AND rtype NOT IN ('refusal', 'error') AS ok, CASE WHEN rtype IN ('refusal', 'error') THEN 0 ELSE conf END AS c FROM matched)
 SELECT run_id, question_id, model_name, md5(response_text) AS response_md5, ok AS is_correct, round(c, 2) AS confidence_score,

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quizspark.functions.labels import difficulty_level
 from quizspark.operators.catalog import normalize_catalog
-from quizspark.plans.spread import spread_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +16,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole documents, spread for text work."""
-    return spread_scan(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
+    """Whole documents."""
+    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,10 +52,9 @@ def raw_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.date_format(day, "yyyy-MM-dd HH:mm:ss")).alias("Date"))
 
 
-def results(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as graded answers of three models in one run per supplier."""
     lines = table(spark, sf_dir, "lineitem")
-    lines = spread_scan(lines.drop("l_extendedprice", "l_shipdate")) if spread else lines
     line = F.col("l_linenumber")
     correct = F.when((F.col("l_linestatus") == "O") & (line == 7), F.lit(None).cast("boolean")).otherwise(
         F.col("l_discount") < 0.05)
@@ -86,7 +84,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Free-text answers written from the question's answer, in seven styles by attempt."""
     q = questions(spark, sf_dir).select("question_id", "question", "answer", "category", "difficulty_level", "value")
     name, line = F.col("question"), F.col("attempt")
-    near = F.concat(F.substring(name, 1, 3), F.substring(name, 5, 100))
+    near = F.concat(F.substring(name, 1, 3), F.substr(name, F.lit(5)))
     text = (F.when(line == 1, F.concat(F.lit("What is "), name, F.lit("?")))
             .when(line == 2, F.concat(F.lit("Answer:  the "), F.upper(name), F.lit(".")))
             .when(line == 3, F.concat(F.lit("I think it is "), name, F.lit(". Probably.")))
@@ -95,7 +93,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(line == 6, F.concat(F.lit("The answer is: who is "), near, F.lit("! Certain")))
             .otherwise(F.when(F.pmod(F.col("question_id"), F.lit(4)) == 0, F.lit("  "))
                        .otherwise(F.concat(F.lit("This is five "), near))))
-    return results(spark, sf_dir, spread=True).join(q, "question_id").withColumn("response_text", text)
+    return results(spark, sf_dir).join(q, "question_id").withColumn("response_text", text)
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +108,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "running")
         .otherwise("pending").alias("status"),
         F.col("o_orderdate").alias("created_at"), F.col("o_orderdate").alias("updated_at"),
-        planned.alias("sample_size"), F.lower(F.substring("o_orderpriority", 3, 20)).alias("benchmark_mode"),
+        planned.alias("sample_size"), F.lower(F.substr("o_orderpriority", F.lit(3))).alias("benchmark_mode"),
         F.when(F.pmod(cust, F.lit(3)) == 0, model)
         .otherwise(F.concat(F.lit('["'), model, F.lit('","'), other, F.lit('"]'))).alias("models_tested"),
         planned.alias("total_questions"),

@@ -15,7 +15,7 @@ def population(spark):
 def test_sizes(spark):
     assert s.sample_size(0.95, 0.05) == 385 and s.sample_size(0.95, 0.5) == 30
     got = spark.createDataFrame([(n,) for n in (20, 100, 1000, 99999, 100000)], "n bigint").select(s.sample_size_fpc(F.col("n"))).collect()
-    assert [r[0] for r in got] == [20, 80, 278, 383, 385]
+    assert [r[0] for r in got] == [20, 80, 278, 383, 383]
 
 
 def test_same_seed_same_rows(population):
@@ -53,6 +53,26 @@ def test_rank_bins_match_equal_width_cut(spark):
         assert got == [next(b for b, e in enumerate(edges) if i <= e + 1e-9) for i in range(n)]
 
 
+def test_bins_follow_the_time_of_day(spark):
+    df = spark.range(100).select(F.col("id").alias("question_id"), F.timestamp_seconds(F.col("id") * 60).alias("air_date"))
+    got = [r["time_period"] for r in s.time_bins(df, "air_date").orderBy("air_date").collect()]
+    assert got == sorted(got) and [got.count(b) for b in range(5)] == [20] * 5
+
+
+def test_without_any_date_the_sample_is_stratified(population):
+    none = population.withColumn("air_date", F.lit(None).cast("date"))
+    a, b = (sorted(r[0] for r in x.select("question_id").collect()) for x in (s.temporal_sample(none, 20), s.stratified_sample(none, 20)))
+    assert a == b and len(a) >= 20
+
+
+def test_no_shuffle_of_the_rows(spark):
+    """Only the rows of the last cell of each group are shuffled."""
+    df = spark.range(50_000).select(F.col("id").alias("question_id"), (F.col("id") % 3).alias("g"), F.lit("x" * 50).alias("payload"))
+    chosen = s.stratified_sample(df, 700, ["g"])
+    plan = chosen._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") == 1 and chosen.count() == 700
+
+
 def test_hot_day_is_split_between_bins(spark):
     df = spark.range(1000).select(F.col("id").alias("question_id"), F.when(F.col("id") < 900, "2020-01-05").otherwise("2020-01-09").cast("date").alias("air_date"))
     counts = {r["time_period"]: r["count"] for r in s.time_bins(df, "air_date").groupBy("time_period").count().collect()}

@@ -85,7 +85,7 @@ def test_form_penalty(spark):
 def test_match_alternatives(spark):
     df = spark.createDataFrame([(1, "NYC", "Big Apple", ["new york city", "gotham"]), (2, "rome", "Paris", None)],
                                "id int, a string, e string, alt array<string>")
-    got = {r["id"]: r for r in mt.match_any(df, "a", "e", "alt", "id").collect()}
+    got = {r["id"]: r for r in mt.match_any(df, "a", "e", "alt").collect()}
     assert got[1]["match"]["is_match"] and got[1]["matched_against"] == "new york city" and not got[2]["match"]["is_match"]
 
 

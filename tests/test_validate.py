@@ -52,3 +52,9 @@ def test_fix_split_and_gate(mixed, spark):
         val.require_quality(mixed, "2025-01-01")
     with pytest.raises(val.ValidationError):
         val.schema_split(mixed.drop("answer"))
+
+
+def test_schema_split_needs_a_valid_row(spark):
+    for rows in ([], [("short", "x")]):
+        with pytest.raises(val.ValidationError):
+            val.schema_split(spark.createDataFrame(rows, "question string, answer string"))
