@@ -9,11 +9,10 @@ white space are encoded whole. ``tests/llm`` compares with encoding whole texts.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from tokenizers import Tokenizer
 
 #: White space of the tokenizers' patterns, the Unicode property.
@@ -34,15 +33,36 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
+class KnownWords:
+    """Ids of words by the words' 64-bit hashes, in sorted arrays: some 30 bytes a word."""
+
+    def __init__(self) -> None:
+        self.hashes, self.flat = np.zeros(0, np.uint64), np.zeros(0, "<u4")
+        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of words, and which of them are known."""
+        at = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
+        return at, self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
+
+    def add(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.hashes, hashes[order])
+        self.starts = np.insert(self.starts, at, (len(self.flat) + np.cumsum(sizes) - sizes)[order])
+        self.sizes = np.insert(self.sizes, at, sizes[order])
+        self.hashes = np.insert(self.hashes, at, hashes[order])
+        self.flat = np.concatenate([self.flat, ids])
+
+
 class WordIds:
     """Ids of texts under one vocabulary; ``known`` holds the words met so far, at most ``LIMIT`` of them."""
 
-    LIMIT = 1_500_000
+    LIMIT = 2_000_000
     _loaded: dict[str, "WordIds"] = {}
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.known = KnownWords()
         self.drops_space = self._whole("a b") == self._whole("a  b")
         self.lowers = self._whole("AZ") == self._whole("az")
         self.mark = " ~ " if self.drops_space else "\n"
@@ -73,31 +93,50 @@ class WordIds:
             return piece
         return piece[1:] if piece.startswith((_FIRST, _SIGN)) else piece if piece.startswith("\n") else " " + piece
 
-    def _learn(self, new: list[str], at_once: int = 5000) -> None:
-        """Encode new words many at a time, parted by a sign that has one id of its own wherever it stands.
+    def _apart(self, word: str) -> bool:
+        """Words that hold the parting sign or would run together with it."""
+        if self.drops_space:
+            return "~" in word or word.strip() == ""
+        return word[1:] != word[1:].strip() or word[:1] == "\n" or len(word.split()) != 1 or not word[0].isascii()
+
+    def _encoded(self, pieces: list[str], at_once: int = 5000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the pieces, their ids one after the other, and how many each has.
 
-        Words that hold the sign or would run together with it are encoded one by one.
+        Many are encoded at a time, parted by a sign that has one id of its own wherever it stands.
         """
-        for i in range(0, len(new), at_once):
-            words = [(p, self._word(p)) for p in new[i:i + at_once]]
-            if self.drops_space:
-                apart = ["~" in w for _, w in words]
-            else:
-                apart = [w[1:] != w[1:].strip() or w[:1] == "\n" or len(w.split()) != 1 or not w[0].isascii()
-                         for _, w in words]
-            some = [x for x, a in zip(words, apart) if not a]
-            for (p, w), a in zip(words, apart):
-                if a:
-                    self.known[p] = _packed(self._whole(w)).tobytes()
-            ids = _packed(self.tokenizer.encode_batch_fast(
-                [self.mark.join(w for _, w in some)], add_special_tokens=False)[0].ids)
-            ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids))
-            if len(ends) != max(1, len(some)):
+        places, ids, sizes = [], [], []
+        words = list(map(self._word, pieces))
+        apart = np.fromiter(map(self._apart, words), bool, len(words))
+        for i in np.flatnonzero(apart).tolist():
+            own = _packed(self._whole(words[i]))
+            places.append([i])
+            ids.append(own)
+            sizes.append([len(own)])
+        some = np.flatnonzero(~apart)
+        for i in range(0, len(some), at_once):
+            part = some[i:i + at_once]
+            joined = _packed(self.tokenizer.encode_batch_fast(
+                [self.mark.join([words[k] for k in part.tolist()])], add_special_tokens=False)[0].ids)
+            marks = np.flatnonzero(joined == self.mark_id)
+            if len(marks) != len(part) - 1:
                 raise ValueError("the parting sign did not part all words")
-            start = 0
-            for (p, _), end in zip(some, ends.tolist()):
-                self.known[p] = ids[start:end].tobytes()
-                start = end + 1
+            places.append(part)
+            ids.append(joined[joined != self.mark_id])
+            sizes.append(np.diff(np.concatenate([[-1], marks, [len(joined)]])) - 1)
+        return np.concatenate(places).astype(np.int64), np.concatenate(ids), np.concatenate(sizes).astype(np.int32)
+
+    def _learned(self, pieces: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Places of the words among the known ones, after new ones have been encoded."""
+        at, known = self.known.find(hashes)
+        if known.all():
+            return at
+        new = np.flatnonzero(~known)
+        if len(self.known.hashes) + len(new) > self.LIMIT:
+            self.known = KnownWords()
+            new = np.arange(len(hashes))
+        places, ids, sizes = self._encoded(pieces[new].tolist())
+        self.known.add(hashes[new[places]], ids, sizes)
+        return self.known.find(hashes)[0]
 
     def ids(self, texts: list[str], terms: bool = False) -> tuple[np.ndarray, ...]:
         """Ids of all texts after each other, and where each text starts, with the total at the end.
@@ -109,20 +148,12 @@ class WordIds:
         n_odd = pc.sum(odd).as_py() or 0
         cut = self._cut(texts)
         words = cut.flatten().dictionary_encode()
-        pieces = words.dictionary.to_numpy(zero_copy_only=False).tolist()
-        each = list(map(self.known.get, pieces))
-        new = [p for p, ids in zip(pieces, each) if ids is None]
-        if new:
-            if len(self.known) + len(new) > self.LIMIT:
-                self.known.clear()
-                new = pieces
-            self._learn(new)
-            each = list(map(self.known.get, pieces))
-        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
-        flat = np.frombuffer(b"".join(each), "<u4")
+        each = words.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, each), np.uint64, len(each))
+        at = self._learned(words.dictionary.to_numpy(zero_copy_only=False), hashes)
         codes = words.indices.to_numpy(zero_copy_only=False)
-        of_word = size[codes]
-        ids = flat[ranges((np.cumsum(size) - size)[codes], of_word)]
+        of_word = self.known.sizes[at][codes].astype(np.int64)
+        ids = self.known.flat[ranges(self.known.starts[at][codes], of_word)]
         starts = np.concatenate([[0], np.cumsum(of_word)])[cut.offsets.to_numpy()]
         if n_odd:
             whole = {i: _packed(self._whole(texts[i].as_py())) for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False))}
@@ -132,11 +163,10 @@ class WordIds:
             starts = np.concatenate([[0], np.cumsum(lengths)])
         if not terms:
             return ids, starts
-        hashes = np.fromiter(map(zlib.crc32, each), "<u4", len(each))
-        return ids, starts, hashes[codes], cut.offsets.to_numpy()
+        return ids, starts, hashes.astype(np.uint32)[codes], cut.offsets.to_numpy()
 
 
-def chunks(texts: list[str | None], chars: int = 8_000_000):
+def chunks(texts: list[str | None], chars: int = 4_000_000):
     """Slices of a batch with about ``chars`` characters each, a longer text alone."""
     start = size = 0
     for i, t in enumerate(texts):
