@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quizspark import fixed_values as fv
 from quizspark.functions.labels import clamp, score_label, signed_score, value_bucket
 from quizspark.plans import quantiles as q
+from quizspark.plans.keys import join_by
 
 KEYS = ("run_id", "model_name")
 BREAKDOWNS = ("category", "difficulty_level", "value_bucket")
@@ -163,7 +164,7 @@ def type_frequencies(results: DataFrame, columns: Sequence[str] = ("response_typ
         F.struct(F.lit(c).alias("kind"), F.col(c).alias("label")) for c in columns])).alias("d"))
     counts = long.groupBy(*keys, "d.kind", "d.label").agg(F.sum("_n").alias("n"))
     totals = combos.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    return (counts.join(totals, list(keys))
+    return (join_by(counts, totals, list(keys))
             .select(*keys, "kind", "label", "n", (F.col("n") / F.col("_total")).alias("share")))
 
 
@@ -247,7 +248,7 @@ def comprehensive_metrics(results: DataFrame, keys: Sequence[str] = KEYS,
     parts = [base, _steadiness(_fine_grain(results, keys), keys)]
     if percentiles:
         parts.append(latency_percentiles(results, keys))
-    joined = reduce(lambda a, b: a.join(b, keys, "left"), parts)
+    joined = reduce(lambda a, b: join_by(a, b, keys, "left"), parts)
     return composite_scores(_cost_columns(confidence_interval(joined)))
 
 
@@ -272,7 +273,7 @@ def performance_summary(results: DataFrame, keys: Sequence[str] = KEYS) -> DataF
         as_map("difficulty_level", "accuracy", "difficulty_performance"))
     ms = [(F.col(f"{s}_s") * 1000.0).alias(f"{s2}_response_time_ms")
           for s, s2 in (("mean", "avg"), ("median", "median"), ("min", "min"), ("max", "max"))]
-    return wide.join(maps, keys, "left").select(
+    return join_by(wide, maps, keys, "left").select(
         *keys, F.col("total_count").alias("total_questions"), F.col("correct_count").alias("correct_answers"),
         F.col("accuracy").alias("accuracy_rate"), F.col("total_score").alias("signed_score"), *ms,
         F.col("total_cost").alias("total_cost_usd"), F.col("cost_per_question").alias("avg_cost_per_question"),
@@ -289,14 +290,12 @@ _COMPARED = [("accuracy", "accuracy", True), ("cost", "cost_per_correct", False)
              ("overall", "overall_score", True)]
 
 
-def compare_models(metrics: DataFrame, first: str, second: str) -> DataFrame:
-    """Differences and winners of two models in every run both took part in; ties go to the second.
+def _compared(metrics: DataFrame, side: str, other: Sequence[str] = ()) -> DataFrame:
+    return metrics.select(*other, *[F.col(c).alias(f"{side}_{c}") for _, c, _ in _COMPARED])
 
-    A NULL cost per correct answer counts as infinitely dear.
-    """
-    cols = [c for _, c, _ in _COMPARED]
-    a = metrics.where(F.col("model_name") == first).select("run_id", *[F.col(c).alias(f"a_{c}") for c in cols])
-    b = metrics.where(F.col("model_name") == second).select("run_id", *[F.col(c).alias(f"b_{c}") for c in cols])
+
+def _differences(first: Column, second: Column) -> list[Column]:
+    """Differences and winners by each measure; ties go to the second. A NULL cost counts as infinitely dear."""
     out = []
     for name, c, larger in _COMPARED:
         x, y = F.col(f"a_{c}"), F.col(f"b_{c}")
@@ -304,7 +303,28 @@ def compare_models(metrics: DataFrame, first: str, second: str) -> DataFrame:
         top = float("inf")
         x, y = (x, y) if larger else (F.coalesce(x, F.lit(top)), F.coalesce(y, F.lit(top)))
         out.append(F.when((x > y) if larger else (x < y), first).otherwise(second).alias(f"{name}_winner"))
-    return a.join(b, "run_id").select("run_id", *out)
+    return out
+
+
+def compare_models(metrics: DataFrame, first: str, second: str) -> DataFrame:
+    """Differences and winners of two models in every run both took part in."""
+    a = _compared(metrics.where(F.col("model_name") == first), "a", ["run_id"])
+    b = _compared(metrics.where(F.col("model_name") == second), "b", [F.col("run_id").alias("_run")])
+    return a.join(b, F.col("run_id").eqNullSafe(F.col("_run"))).select("run_id", *_differences(F.lit(first), F.lit(second)))
+
+
+def compare_pairs(metrics: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Compare any two rows of metrics: one model in two runs, or two models of different runs.
+
+    ``pairs`` has ``first_run, first_model, second_run, second_model``. Returns them with the measures of both sides (``a_...``, ``b_...``),
+    differences and winners, named as "model (run)". A pair with a side that has no metrics is left out.
+    """
+    out = pairs
+    for name, letter in (("first", "a"), ("second", "b")):
+        rows = _compared(metrics, letter, [F.col("run_id").alias("_run"), F.col("model_name").alias("_model")])
+        out = out.join(rows, F.col(f"{name}_run").eqNullSafe(F.col("_run")) & F.col(f"{name}_model").eqNullSafe(F.col("_model"))).drop("_run", "_model")
+    names = [F.concat(F.col(f"{n}_model"), F.lit(" ("), F.col(f"{n}_run").cast("string"), F.lit(")")) for n in ("first", "second")]
+    return out.select("*", *_differences(*names))
 
 
 def aggregate_runs(metrics: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -350,7 +370,7 @@ def pooled_response_stats(results: DataFrame, keys: Sequence[str] = ()) -> DataF
         F.sum("cost_usd").cast("double").alias("total_cost"),
         F.avg("cost_usd").cast("double").alias("average_cost"))
     if keys:
-        return pooled.join(mid, keys)
+        return join_by(pooled, mid, keys)
     return pooled.select("*", mid.select("median_ms").scalar().alias("median_ms"))
 
 
@@ -379,7 +399,7 @@ def confidence_distribution(results: DataFrame, keys: Sequence[str] = ("model_na
     mid = q.order_statistics(results, keys, "confidence", {"median": q.upper_median_rank(F.col("n"))})
     return results.groupBy(*keys).agg(
         F.avg("confidence").alias("mean"), F.min("confidence").alias("min"), F.max("confidence").alias("max"),
-        F.stddev_pop("confidence").alias("std")).join(mid, keys)
+        F.stddev_pop("confidence").alias("std")).transform(lambda df: join_by(df, mid, keys))
 
 
 def throughput(results: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -397,19 +417,31 @@ def category_intervals(results: DataFrame) -> DataFrame:
     return acc.withColumn("error_rate", 1.0 - F.col("accuracy"))
 
 
-def accuracy_significance(results: DataFrame, first: str, second: str) -> DataFrame:
-    """Two-proportion z value of the accuracy difference of two models, per run."""
-    acc = accuracy(results)
-    a = acc.where(F.col("model_name") == first).select(
-        "run_id", F.col("correct_count").alias("_xa"), F.col("answered_count").alias("_na"))
-    b = acc.where(F.col("model_name") == second).select(
-        "run_id", F.col("correct_count").alias("_xb"), F.col("answered_count").alias("_nb"))
-    xa, na, xb, nb = (F.col(c) for c in ("_xa", "_na", "_xb", "_nb"))
+def _two_proportions(xa: Column, na: Column, xb: Column, nb: Column) -> list[Column]:
     pooled = F.try_divide((xa + xb).cast("double"), na + nb)
     error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), na) + F.try_divide(F.lit(1.0), nb)))
     diff = F.try_divide(xa.cast("double"), na) - F.try_divide(xb.cast("double"), nb)
-    return a.join(b, "run_id").select(
-        "run_id", diff.alias("accuracy_diff"), F.coalesce(F.try_divide(diff, error), F.lit(0.0)).alias("z"))
+    return [diff.alias("accuracy_diff"), F.coalesce(F.try_divide(diff, error), F.lit(0.0)).alias("z")]
+
+
+def accuracy_significance(results: DataFrame, first: str, second: str) -> DataFrame:
+    """Two-proportion z value of the accuracy difference of two models, per run."""
+    counts = F.struct("correct_count", "answered_count")
+    acc = accuracy(results).where(F.col("model_name").isin(first, second))
+    sides = acc.groupBy("run_id").agg(*[F.max(F.when(F.col("model_name") == m, counts)).alias(n) for m, n in ((first, "_a"), (second, "_b"))])
+    a, b = F.col("_a"), F.col("_b")
+    return sides.where(a.isNotNull() & b.isNotNull()).select("run_id", *_two_proportions(
+        a["correct_count"], a["answered_count"], b["correct_count"], b["answered_count"]))
+
+
+def pair_significance(results: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The same for any two (run, model) rows; ``pairs`` as in ``compare_pairs``."""
+    out = pairs
+    for name in ("first", "second"):
+        rows = accuracy(results).select(F.col("run_id").alias("_run"), F.col("model_name").alias("_model"),
+                                        F.col("correct_count").alias(f"_x_{name}"), F.col("answered_count").alias(f"_n_{name}"))
+        out = out.join(rows, F.col(f"{name}_run").eqNullSafe(F.col("_run")) & F.col(f"{name}_model").eqNullSafe(F.col("_model"))).drop("_run", "_model")
+    return out.select(*pairs.columns, *_two_proportions(*[F.col(c) for c in ("_x_first", "_n_first", "_x_second", "_n_second")]))
 
 
 def accuracy_trend(performance: DataFrame) -> DataFrame:

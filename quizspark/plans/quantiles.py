@@ -6,7 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-CELLS = 1024
+from quizspark.plans.keys import join_by
+
+CELLS = 256
 
 
 def order_statistics(df: DataFrame, keys: Sequence[str], value: str,
@@ -15,22 +17,17 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str,
 
     ``ranks`` maps an output name to a rank expression over ``n``, the number of non-null values.
     Equal values are counted together first, with map-side aggregation, so a hot group spreads over
-    the cluster by value. Each group's value range is then cut into cells; cell counts show which
-    cell holds a wanted rank, and only the values in those cells are ordered.
+    the cluster by value. Approximate quantiles of each group's distinct values cut them into cells of about equal size, wherever the
+    values lie; exact counts per cell show which cell holds a wanted rank, and only the values in those cells are ordered. NULL is a
+    group key like any other.
     """
     keys = list(keys)
     counted = (df.where(F.col(value).isNotNull())
                .groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
-    span = counted.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
-                                      F.sum("_c").alias("n"))
-    ranged = counted.join(span, keys) if keys else counted.select(
-        "*", span.select("_lo").scalar().alias("_lo"), span.select("_hi").scalar().alias("_hi"),
-        span.select("n").scalar().alias("n"))
-    width = (F.col("_hi") - F.col("_lo")).cast("double")
-    cell = F.when(width == 0, F.lit(0)).otherwise(
-        F.least(F.floor((F.col("_v") - F.col("_lo")).cast("double") / width * CELLS),
-                F.lit(CELLS - 1))).cast("int")
-    placed = ranged.withColumn("_cell", cell)
+    steps = F.percentile_approx("_v", [i / CELLS for i in range(1, CELLS)], F.lit(CELLS * 20))
+    span = counted.groupBy(*keys).agg(F.array_distinct(steps).alias("_bounds"), F.sum("_c").alias("n"))
+    ranged = join_by(counted, span, keys)
+    placed = ranged.withColumn("_cell", F.size(F.filter("_bounds", lambda b: b < F.col("_v")))).drop("_bounds")
     cells = placed.groupBy(*keys, "_cell").agg(F.sum("_c").alias("_cc"), F.first("n").alias("n"))
     # At most CELLS rows per group reach this window.
     before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(
@@ -47,7 +44,7 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str,
         F.collect_list(F.struct("_stat", "_r")).alias("_hits"))  # one entry per wanted rank
     inside = Window.partitionBy(*keys, "_cell").orderBy("_v").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    found = (placed.select(*keys, "_cell", "_v", "_c").join(per_cell, keys + ["_cell"])
+    found = (join_by(placed.select(*keys, "_cell", "_v", "_c"), per_cell, [*keys, "_cell"])
              .withColumn("_upto", F.sum("_c").over(inside))
              .withColumn("_h", F.explode("_hits"))
              .where((F.col("_h._r") <= F.col("_upto"))

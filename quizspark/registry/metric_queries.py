@@ -611,3 +611,75 @@ FROM performance JOIN runs USING (run_id) WHERE accuracy_rate IS NOT NULL AND st
 def _(spark, sf):
     rows = j.completed_performance(v.performance(spark, sf), v.runs(spark, sf))
     return rounded(m.accuracy_trend(rows), 9)
+
+
+_PAIR = """pairs AS (SELECT run_id AS first_run, model_name AS first_model, run_id + 1 AS second_run, model_name AS second_model FROM sides
+  UNION ALL SELECT run_id, model_name, run_id + 2, 'model-R' FROM sides WHERE model_name <> 'model-R')"""
+
+
+def _pairs(rows):
+    """Each model against itself in the next run, and against another model two runs on."""
+    each = rows.select("run_id", "model_name").distinct()
+    run, model = F.col("run_id"), F.col("model_name")
+    return each.select(run.alias("first_run"), model.alias("first_model"), (run + 1).alias("second_run"), model.alias("second_model")).unionByName(
+        each.where(model != "model-R").select(run.alias("first_run"), model.alias("first_model"), (run + 2).alias("second_run"),
+                                              F.lit("model-R").alias("second_model")))
+
+
+@R.add("e17b_compare_runs", COMPOSITE_SQL + f""",
+sums AS (SELECT run_id, model_name, CAST(sum(points) AS BIGINT) AS score,
+    CASE WHEN count(*) FILTER (is_correct) > 0 THEN CAST(sum(cost_usd) AS DOUBLE) / count(*) FILTER (is_correct) END AS cpc
+  FROM graded GROUP BY ALL),
+sides AS (SELECT * FROM composite JOIN sums USING (run_id, model_name)), {_PAIR}
+SELECT p.*, round(a.acc, 6) AS a_accuracy, round(a.cpc, 6) AS a_cost_per_correct, round(a.secs, 6) AS a_mean_s, a.score AS a_total_score, round(a.overall, 6) AS a_overall_score,
+  round(b.acc, 6) AS b_accuracy, round(b.cpc, 6) AS b_cost_per_correct, round(b.secs, 6) AS b_mean_s, b.score AS b_total_score, round(b.overall, 6) AS b_overall_score,
+  round(a.acc - b.acc, 6) + 0.0 AS accuracy_diff, round(a.cpc - b.cpc, 6) + 0.0 AS cost_diff, round(a.secs - b.secs, 6) + 0.0 AS performance_diff, a.score - b.score AS score_diff,
+  CASE WHEN a.score > b.score THEN p.first_model || ' (' || p.first_run || ')' ELSE p.second_model || ' (' || p.second_run || ')' END AS score_winner
+FROM pairs p JOIN sides a ON a.run_id = p.first_run AND a.model_name = p.first_model JOIN sides b ON b.run_id = p.second_run AND b.model_name = p.second_model""")
+def _(spark, sf):
+    wide = m.comprehensive_metrics(v.graded(spark, sf), percentiles=False)
+    return rounded(m.compare_pairs(wide, _pairs(wide)).drop(
+        "overall_diff", "accuracy_winner", "cost_winner", "performance_winner", "overall_winner"))
+
+
+@R.add("e37d_pair_significance", f"""
+WITH sides AS (SELECT run_id, model_name, count(*) FILTER (is_correct) AS x, count(is_correct) AS n FROM results GROUP BY ALL), {_PAIR},
+pair AS (SELECT p.*, a.x / a.n - b.x / b.n AS diff, (a.x + b.x) / (a.n + b.n) AS pool, 1.0 / a.n + 1.0 / b.n AS inv FROM pairs p
+  JOIN sides a ON a.run_id = p.first_run AND a.model_name = p.first_model JOIN sides b ON b.run_id = p.second_run AND b.model_name = p.second_model)
+SELECT first_run, first_model, second_run, second_model, round(diff, 6) + 0.0 AS accuracy_diff,
+  round(CASE WHEN pool * (1 - pool) > 0 THEN diff / sqrt(pool * (1 - pool) * inv) ELSE 0 END, 6) + 0.0 AS z FROM pair""")
+def _(spark, sf):
+    rows = v.results(spark, sf)
+    return rounded(m.pair_significance(rows, _pairs(rows)))
+
+
+_NULL_KEYS = """keyed AS (SELECT * REPLACE (CASE WHEN run_id % 5 > 0 THEN run_id END AS run_id, nullif(model_name, 'model-N') AS model_name) FROM results)"""
+
+
+def _null_keys(rows):
+    return rows.withColumn("run_id", F.when(F.pmod(F.col("run_id"), F.lit(5)) > 0, F.col("run_id"))).withColumn(
+        "model_name", F.nullif("model_name", F.lit("model-N")))
+
+
+@R.add("e05b_percentiles_null_keys", f"""WITH {_NULL_KEYS}, r AS (SELECT run_id, model_name, latency_ms,
+    row_number() OVER (PARTITION BY run_id, model_name ORDER BY latency_ms) AS rn, count(*) OVER (PARTITION BY run_id, model_name) AS n FROM keyed)
+SELECT run_id, model_name, round(median(latency_ms) / 1000, 6) AS median_s, round(max(latency_ms) FILTER (rn = least(floor(0.95 * n), n - 1) + 1) / 1000, 6) AS p95_s,
+  round(max(latency_ms) FILTER (rn = least(floor(0.99 * n), n - 1) + 1) / 1000, 6) AS p99_s FROM r GROUP BY ALL""")
+def _(spark, sf):
+    return rounded(m.latency_percentiles(_null_keys(v.results(spark, sf))))
+
+
+@R.add("e11b_type_frequencies_null_keys", f"""WITH {_NULL_KEYS}, long AS (SELECT run_id, model_name, 'response_type' AS kind, response_type AS label FROM keyed
+  UNION ALL SELECT run_id, model_name, 'match_type', match_type FROM keyed)
+SELECT run_id, model_name, kind, label, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY run_id, model_name, kind), 6) AS share FROM long
+GROUP BY run_id, model_name, kind, label""")
+def _(spark, sf):
+    return rounded(m.type_frequencies(_null_keys(v.results(spark, sf))))
+
+
+@R.add("e15b_metrics_null_keys", f"""WITH {_NULL_KEYS}, g AS (SELECT k.*, q.category FROM keyed k JOIN questions q USING (question_id))
+SELECT run_id, model_name, count(*) AS total_count, round(avg(latency_ms) / 1000, 6) AS mean_s, round(median(latency_ms) / 1000, 6) AS median_s,
+  count(DISTINCT category) AS category_count FROM g GROUP BY ALL""")
+def _(spark, sf):
+    return rounded(m.comprehensive_metrics(_null_keys(v.graded(spark, sf))).select(
+        "run_id", "model_name", "total_count", "mean_s", "median_s", "category_count"))
