@@ -30,6 +30,25 @@ def _(spark, sf):
                                                 "air_date", "round"], multi_line=False)
 
 
+@R.add("a01b_read_any_fields", """
+SELECT CAST(p_partkey AS VARCHAR) AS question_id, p_name AS question, p_brand AS shelf, '{"size":' || p_size || '}' AS extra, kind FROM part, (SELECT unnest(['lines', 'array', 'wrapped']) AS kind)""")
+def _(spark, sf):
+    """Unknown and nested fields, as lines, as an array and inside a wrapper."""
+    rows = v.table(spark, sf, "part").select(F.to_json(F.struct(
+        F.col("p_partkey").alias("question_id"), F.col("p_name").alias("question"), F.col("p_brand").alias("shelf"),
+        F.struct(F.col("p_size").alias("size")).alias("extra"))).alias("value"))
+    lists = rows.groupBy(F.pmod(F.xxhash64("value"), F.lit(8))).agg(F.array_join(F.collect_list("value"), ",").alias("all"))
+    shapes = {"lines": rows, "array": lists.select(F.concat(F.lit("["), "all", F.lit("]"))),
+              "wrapped": lists.select(F.concat(F.lit('{"questions": ['), "all", F.lit("]}")))}
+    parts = []
+    for kind, texts in shapes.items():
+        path = new_path(spark, f"any-{kind}")
+        texts.write.text(path) if kind == "lines" else texts.repartition(texts.count()).write.text(path)
+        parts.append(qs.read_questions_json(spark, path, multi_line=kind != "lines").select(
+            "question_id", "question", "shelf", "extra", F.lit(kind).alias("kind")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @R.add("a02_read_questions_csv", _TEXT_QUESTIONS)
 def _(spark, sf):
     path = new_path(spark, "questions-csv")
@@ -106,16 +125,16 @@ def _(spark, sf):
 
 
 @R.add("a09_report_documents", """
-SELECT run_id, model_name, round(avg(CAST(is_correct AS INT)), 6) AS accuracy, count(*) AS total_count,
+SELECT run_id, model_name, round(avg(CAST(is_correct AS INT)), 6) AS accuracy, count(*) AS total_count, round(median(latency_ms) / 1000, 6) AS median_s,
   CAST(sum(points) AS BIGINT) AS total_score FROM graded GROUP BY ALL""")
 def _(spark, sf):
-    docs = r.report_documents(m.comprehensive_metrics(v.graded(spark, sf), percentiles=False))
+    docs = r.report_documents(m.comprehensive_metrics(v.graded(spark, sf)))
     path = new_path(spark, "reports")
     docs.select("report").write.text(path)
     return rounded(spark.read.text(path).select(F.from_json(
-        "value", "run_id bigint, model_name string, metrics struct<accuracy struct<accuracy double, total_count bigint>,"
+        "value", "run_id bigint, model_name string, metrics struct<accuracy struct<accuracy double, total_count bigint>, performance struct<median_s double>,"
                  " score struct<total_score bigint>>").alias("d")).select(
-        "d.run_id", "d.model_name", "d.metrics.accuracy.accuracy", "d.metrics.accuracy.total_count",
+        "d.run_id", "d.model_name", "d.metrics.accuracy.accuracy", "d.metrics.accuracy.total_count", "d.metrics.performance.median_s",
         "d.metrics.score.total_score"))
 
 
@@ -149,11 +168,24 @@ def _(spark, sf):
         "is_correct", F.col("confidence").alias("confidence_score"),
         F.col("latency_ms").cast("double").alias("response_time_ms"), "tokens_input", "tokens_output",
         F.when(F.col("is_error"), "failed").alias("error")).write.json(path)
-    return logs.read_interactions(spark, path).groupBy("model_name").agg(
+    return logs.read_interactions(spark, path)[0].groupBy("model_name").agg(
         F.count(F.lit(1)).alias("entries"), F.count("is_correct").alias("answered"),
         F.sum("response_time_ms").cast("bigint").alias("latency"), F.count("error").alias("errors"))
 
 
+@R.add("a11b_rejected_log_lines", """
+SELECT CASE WHEN run_id % 10 = 3 THEN 'rejected' ELSE 'read' END AS outcome, count(*) AS n FROM results GROUP BY ALL""")
+def _(spark, sf):
+    """Lines with a field of the wrong kind, and lines that are no JSON."""
+    path, run = new_path(spark, "damaged"), F.col("run_id")
+    line = F.to_json(F.struct(F.col("model_name"), F.col("latency_ms").cast("double").alias("response_time_ms"), F.col("tokens_input")))
+    wrong = F.when(F.pmod(run, F.lit(20)) == 3, F.concat(F.lit('{"model_name": "'), "model_name", F.lit('", "tokens_input": "many"}'))).otherwise("{broken")
+    v.results(spark, sf).select(F.when(F.pmod(run, F.lit(10)) == 3, wrong).otherwise(line)).write.text(path)
+    read, rejected = logs.read_interactions(spark, path)
+    return read.select(F.lit("read").alias("outcome")).unionByName(rejected.select(F.lit("rejected").alias("outcome"))).groupBy("outcome").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
 @R.add("a12_checkpoint_scan", """
 SELECT 'checkpoint_' || CAST(run_id AS VARCHAR) AS checkpoint_id, run_id AS benchmark_run_id,
   strftime(created_at, '%Y-%m-%d %H:%M:%S.%f') AS timestamp, CAST(completed_questions AS BIGINT) AS completed FROM runs""")

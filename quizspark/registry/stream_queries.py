@@ -84,11 +84,23 @@ SELECT session_id AS run_id, count(*) AS completed, count(*) FILTER (NOT is_erro
   count(*) FILTER (is_error) AS failed FROM usage_log GROUP BY ALL""")
 def _(spark, sf):
     rows = _event_stream(spark, sf).select(F.col("session_id").alias("run_id"), "ts", (~F.col("is_error")).alias("is_correct"))
-    out = st.run_to_table(st.run_progress(rows, "1000 days"), "update", "progress")
+    out = st.run_to_table(st.run_progress(rows), "update", "progress")
     return out.groupBy("run_id").agg(F.max("completed").alias("completed"), F.max("successful").alias("successful"),
                                      F.max("failed").alias("failed"))
 
 
+@R.add("m06b_stalled_runs", """
+WITH gaps AS (SELECT session_id, ts, is_error, ts - lag(ts) OVER (PARTITION BY session_id ORDER BY ts) > INTERVAL 12 HOURS AS cut FROM usage_log),
+marked AS (SELECT *, count(*) FILTER (cut) OVER (PARTITION BY session_id ORDER BY ts) AS stretch FROM gaps),
+sessions AS (SELECT session_id AS run_id, count(*) AS completed, count(*) FILTER (NOT is_error) AS successful, count(*) FILTER (is_error) AS failed,
+  min(ts) AS started, max(ts) AS last_seen FROM marked GROUP BY session_id, stretch)
+SELECT run_id, completed, successful, failed, strftime(started, '%Y-%m-%d %H:%M:%S.%f') AS started, strftime(last_seen, '%Y-%m-%d %H:%M:%S.%f') AS last_seen
+FROM sessions WHERE last_seen + INTERVAL 12 HOURS <= (SELECT max(ts) FROM usage_log) - INTERVAL 10 MINUTES""")
+def _(spark, sf):
+    rows = _event_stream(spark, sf).select(F.col("session_id").alias("run_id"), "ts", (~F.col("is_error")).alias("is_correct"))
+    return rounded(st.run_to_table(st.stalled_runs(rows, "12 hours"), "append", "stalled"))
+
+
 @R.add("m07_enrich_with_prices", """
 SELECT event_id, round((input_tokens * coalesce(input_cost, 0) + output_tokens * coalesce(output_cost, 0)) / CAST(1000000 AS DOUBLE), 9) AS list_cost
 FROM usage_log LEFT JOIN prices USING (model_id)""")

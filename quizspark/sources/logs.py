@@ -54,9 +54,16 @@ def read_usage(spark: SparkSession, path: str, kind: str = "json", multi_line: b
     return rows.withColumn("metadata", F.from_json("metadata", "map<string,string>"))
 
 
-def read_interactions(spark: SparkSession, path: str) -> DataFrame:
-    """The JSON-lines interaction log; entries that are no JSON come back as NULL rows and are dropped."""
-    return spark.read.schema(INTERACTION_SCHEMA).option("mode", "DROPMALFORMED").json(path)
+def read_interactions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(entries of the JSON-lines interaction log, lines that could not be read).
+
+    A line that is no JSON, or has a field of the wrong kind, is among the second, as text in ``line`` with its file.
+    """
+    schema = T.StructType([*INTERACTION_SCHEMA.fields, T.StructField("_corrupt_record", T.StringType())])
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file_path")).where(F.length(F.trim("line")) > 0)
+    parsed = lines.withColumn("_e", F.from_json("line", schema, {"columnNameOfCorruptRecord": "_corrupt_record"}))
+    bad = F.col("_e").isNull() | F.col("_e._corrupt_record").isNotNull()
+    return parsed.where(~bad).select("_e.*").drop("_corrupt_record"), parsed.where(bad).select("line", "file_path")
 
 
 def stream_interactions(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:

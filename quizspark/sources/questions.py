@@ -15,31 +15,30 @@ def _text_schema(columns: list[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
-def _known_names() -> list[str]:
-    names = dict.fromkeys(["id", "question_id", "difficulty_level", *fv.INGEST_ALIASES])
-    for standard, synonyms in fv.COLUMN_SYNONYMS.items():
-        names.update(dict.fromkeys([standard, *synonyms]))
-    return list(names)
+def field_names(records: DataFrame, column: str = "_record") -> list[str]:
+    """Names of all fields of JSON objects held as text, in order of the alphabet: a distributed pass that returns names only."""
+    names = records.select(F.explode(F.json_object_keys(column)).alias("name")).distinct()
+    return sorted(r["name"] for r in names.collect())
 
 
 def read_questions_json(spark: SparkSession, path: str, columns: list[str] | None = None,
                         multi_line: bool = True) -> DataFrame:
-    """Question rows as text columns from JSON.
+    """Question rows as text columns from JSON, with every field that any record has.
 
     Multi-line documents may be an array, {"data": [...]}, {"questions": [...]}, or one object. A file
     of that kind is read by one task; for large sets use JSON lines (``multi_line=False``), which
-    split. No schema inference: unknown fields are ignored, unknown names can be passed in
-    ``columns``. Columns that are NULL in the whole input are kept; drop them with ``present_only``.
+    split. Field names come from the data in a pass of their own unless given in ``columns``. Nested values come back as JSON text. Lines
+    that are no JSON object give a row of NULLs.
     """
-    row = _text_schema(columns or _known_names())
-    if not multi_line:
-        return spark.read.schema(row).json(path)
-    wrappers = [T.StructField(w, T.ArrayType(row)) for w in ("data", "questions")]
-    whole = T.StructType([*wrappers, *row.fields])
-    docs = spark.read.schema(whole).option("multiLine", True).json(path)
-    own = F.struct(*[F.col(c) for c in row.names])
-    rows = F.coalesce(F.col("data"), F.col("questions"), F.array(own))
-    return docs.select(F.explode(rows).alias("q")).select("q.*")
+    if multi_line:
+        whole = spark.read.text(path, wholetext=True).select(F.trim("value").alias("_doc"))
+        listed = F.coalesce(F.get_json_object("_doc", "$.data"), F.get_json_object("_doc", "$.questions"),
+                            F.when(F.col("_doc").startswith("["), F.col("_doc")), F.concat(F.lit("["), F.col("_doc"), F.lit("]")))
+        records = whole.select(F.explode(F.from_json(listed, "array<string>")).alias("_record"))
+    else:
+        records = spark.read.text(path).select(F.col("value").alias("_record")).where(F.length(F.trim("_record")) > 0)
+    row = _text_schema(columns or field_names(records))
+    return records.select(F.from_json("_record", row).alias("q")).select("q.*")
 
 
 def read_questions_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:

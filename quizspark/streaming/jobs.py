@@ -6,12 +6,7 @@ the stream wrote, so a batch caller, a test and a scheduled job use the same cod
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from quizspark.plans.storage import new_path
@@ -83,42 +78,25 @@ def first_seen(rows: DataFrame, keys: list[str], ts: str = "ts", horizon: str =
     return rows.withWatermark(ts, horizon).dropDuplicatesWithinWatermark(keys)
 
 
-PROGRESS_SCHEMA = ("run_id string, completed bigint, successful bigint, failed bigint, "
-                   "last_seen timestamp, status string")
-_STATE = "completed bigint, successful bigint, failed bigint, last_micros bigint"
+def _progress_counts() -> list:
+    return [F.count(F.lit(1)).alias("completed"), F.count_if(F.col("is_correct")).alias("successful"),
+            F.count_if(~F.col("is_correct")).alias("failed"), F.max("ts").alias("last_seen")]
 
 
-def _micros(ts: Any) -> int:
-    return pd.Timestamp(ts).value // 1000
+def run_progress(results: DataFrame) -> DataFrame:
+    """Running counts of each run as result rows arrive (update mode): one small state row per run."""
+    return results.groupBy("run_id").agg(*_progress_counts())
 
 
-def run_progress(results: DataFrame, stalled_after: str = "30 minutes", lateness: str = "10 minutes") -> DataFrame:
-    """Progress per run as result rows arrive; a run that falls silent is reported as stalled.
+def stalled_runs(results: DataFrame, stalled_after: str = "30 minutes", lateness: str = "10 minutes") -> DataFrame:
+    """Stretches of activity that ended in silence (append mode).
 
-    Only four counters per run are kept, and the rows of a batch are folded in chunk by chunk.
+    A stretch is a session of rows at most ``stalled_after`` apart. It is reported once the watermark has passed its last row by that time; its
+    state is dropped then. Counts of a session are merged map-side, so a run with most of the rows stays cheap.
     """
-    timeout_ms = int(pd.Timedelta(stalled_after).total_seconds() * 1000)
-
-    def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        done, good, bad, last = state.get if state.exists else (0, 0, 0, 0)
-        if state.hasTimedOut:
-            status = "stalled"
-            state.remove()
-        else:
-            status = "running"
-            for chunk in chunks:
-                done += len(chunk)
-                good += int((chunk["is_correct"] == True).sum())  # noqa: E712 - NULL must not count
-                bad += int((chunk["is_correct"] == False).sum())  # noqa: E712
-                last = max(last, _micros(chunk["ts"].max()))
-            state.update((done, good, bad, last))
-            mark = state.getCurrentWatermarkMs()
-            state.setTimeoutTimestamp(max(last // 1000, mark) + timeout_ms)
-        yield pd.DataFrame({
-            "run_id": [key[0]], "completed": [done], "successful": [good], "failed": [bad],
-            "last_seen": [pd.Timestamp(last, unit="us")], "status": [status]})
-    return (results.withWatermark("ts", lateness).groupBy("run_id")
-            .applyInPandasWithState(step, PROGRESS_SCHEMA, _STATE, "update", GroupStateTimeout.EventTimeTimeout))
+    sessions = results.withWatermark("ts", lateness).groupBy("run_id", F.session_window("ts", stalled_after).alias("w"))
+    return sessions.agg(*_progress_counts()).select(
+        "run_id", "completed", "successful", "failed", F.col("w.start").alias("started"), "last_seen")
 
 
 def enrich_with_prices(usage: DataFrame, prices: DataFrame) -> DataFrame:
