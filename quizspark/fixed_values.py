@@ -48,12 +48,10 @@ ERA_VALUES = {
 }
 DIFFICULTY_LEVELS = ["Easy", "Medium", "Hard", "Unknown"]
 EARLIEST_AIR_DATE = "1964-01-01"
-# Wording of validation issues; a head and a tail enclose a number or a name.
+# Wording of validation issues; {x} stands for a number or a name.
 ISSUE_TEXTS = {
-    "question_short_head": "Question too short (",
-    "question_short_tail": " chars, minimum 10)",
-    "question_long_head": "Question too long (",
-    "question_long_tail": " chars, maximum 500)",
+    "question_short": "Question too short ({x} chars, minimum 10)",
+    "question_long": "Question too long ({x} chars, maximum 500)",
     "question_end": "Question should end with proper punctuation or be properly quoted",
     "question_html": "Question contains HTML tags",
     "question_gaps": "Question contains excessive whitespace",
@@ -61,28 +59,22 @@ ISSUE_TEXTS = {
     "question_style": "Question may not follow typical Jeopardy format",
     "question_empty": "Question is empty or not a string",
     "answer_blank": "Answer is empty after stripping whitespace",
-    "answer_long_head": "Answer too long (",
-    "answer_long_tail": " chars, maximum 200)",
+    "answer_long": "Answer too long ({x} chars, maximum 200)",
     "answer_html": "Answer contains HTML tags",
     "answer_gaps": "Answer contains excessive whitespace",
     "answer_style": "Answer format may be incorrect for Jeopardy style",
     "answer_empty": "Answer is empty or not a string",
-    "category_short_head": "Category too short (",
-    "category_short_tail": " chars, minimum 2)",
-    "category_long_head": "Category too long (",
-    "category_long_tail": " chars, maximum 50)",
+    "category_short": "Category too short ({x} chars, minimum 2)",
+    "category_long": "Category too long ({x} chars, maximum 50)",
     "category_chars": "Category contains invalid characters",
-    "category_unknown_head": "Category '",
-    "category_unknown_tail": "' not in predefined valid categories",
+    "category_unknown": "Category '{x}' not in predefined valid categories",
     "category_empty": "Category is empty or not a string",
-    "value_low_head": "Value must be positive (got ",
-    "value_high_head": "Value unusually high (",
-    "value_high_tail": "), maximum expected is 10000",
-    "value_type_head": "Value '",
-    "value_type_tail": "' cannot be converted to integer",
+    "value_low": "Value must be positive (got {x})",
+    "value_high": "Value unusually high ({x}), maximum expected is 10000",
+    "value_type": "Value '{x}' cannot be converted to integer",
     "date_format": "Invalid date format",
-    "date_early": " is before Jeopardy started (1964)",
-    "date_late": " is in the future",
+    "date_early": "Date {x} is before Jeopardy started (1964)",
+    "date_late": "Date {x} is in the future",
 }
 
 # ---- fixed values: sampling --------------------------------------------------------------------
@@ -161,18 +153,22 @@ SEMANTIC_THRESHOLD = 0.70
 NUMBER_THRESHOLD = 0.80
 CONFIDENCE_THRESHOLD = 0.70
 CREDIT_TIERS = [(0.90, 1.0), (0.70, 0.85), (0.50, 0.65), (0.30, 0.45)]
-STOPWORDS = """
-i me my myself we our ours ourselves you you're you've you'll you'd your yours yourself yourselves
-he him his himself she she's her hers herself it it's its itself they them their theirs themselves
-what which who whom this that that'll these those am is are was were be been being have has had
-having do does did doing a an the and but if or because as until while of at by for with about
-against between into through during before after above below to from up down in out on off over
-under again further then once here there when where why how all any both each few more most other
-some such no nor not only own same so than too very s t can will just don don't should should've
-now d ll m o re ve y ain aren aren't couldn couldn't didn didn't doesn doesn't hadn hadn't hasn
-hasn't haven haven't isn isn't ma mightn mightn't mustn mustn't needn needn't shan shan't shouldn
-shouldn't wasn wasn't weren weren't won won't wouldn wouldn't
-""".split()
+STOPWORDS = [
+    "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you", "you're", "you've", "you'll", "you'd",
+    "your", "yours", "yourself", "yourselves", "he", "him", "his", "himself", "she", "she's", "her", "hers",
+    "herself", "it", "it's", "its", "itself", "they", "them", "their", "theirs", "themselves", "what", "which",
+    "who", "whom", "this", "that", "that'll", "these", "those", "am", "is", "are", "was", "were", "be", "been",
+    "being", "have", "has", "had", "having", "do", "does", "did", "doing", "a", "an", "the", "and", "but", "if",
+    "or", "because", "as", "until", "while", "of", "at", "by", "for", "with", "about", "against", "between",
+    "into", "through", "during", "before", "after", "above", "below", "to", "from", "up", "down", "in", "out",
+    "on", "off", "over", "under", "again", "further", "then", "once", "here", "there", "when", "where", "why",
+    "how", "all", "any", "both", "each", "few", "more", "most", "other", "some", "such", "no", "nor", "not",
+    "only", "own", "same", "so", "than", "too", "very", "s", "t", "can", "will", "just", "don", "don't", "should",
+    "should've", "now", "d", "ll", "m", "o", "re", "ve", "y", "ain", "aren", "aren't", "couldn", "couldn't",
+    "didn", "didn't", "doesn", "doesn't", "hadn", "hadn't", "hasn", "hasn't", "haven", "haven't", "isn", "isn't",
+    "ma", "mightn", "mightn't", "mustn", "mustn't", "needn", "needn't", "shan", "shan't", "shouldn", "shouldn't",
+    "wasn", "wasn't", "weren", "weren't", "won", "won't", "wouldn", "wouldn't",
+]
 
 # ---- fixed values: metrics ---------------------------------------------------------------------
 

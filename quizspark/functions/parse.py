@@ -29,7 +29,7 @@ def is_blank(c: Column) -> Column:
 
 def has_question_form(low: Column) -> Column:
     """Whether cleaned lower-case text has "what is", "who was" and so on anywhere."""
-    return low.rlike(r"(?:wh(?:at|o|ere|en|y)|how)\s+" + rf"(?:{VERBS_ALT})\s+")
+    return low.rlike(rf"(?:{WORDS_ALT})\s+(?:{VERBS_ALT})\s+")
 
 
 def phrases_found(low: Column, phrases: list[str]) -> Column:

@@ -22,6 +22,11 @@ def _issues(*tests: tuple[Column, str | Column]) -> Column:
         F.when(test, F.lit(text) if isinstance(text, str) else text) for test, text in tests]))
 
 
+def _filled(name: str, x: Column) -> Column:
+    """An issue's text with a number or a name in its place."""
+    return F.replace(F.lit(MSG[name]), F.lit("{x}"), x.cast("string"))
+
+
 def _empty(c: Column) -> Column:
     return F.coalesce(F.length(c) == 0, F.lit(True))
 
@@ -35,8 +40,8 @@ def question_issues(c: Column, strict: bool = False) -> Column:
     n = F.length(q)
     closed = q.rlike(r"[.?!]$") | q.rlike(r"^'.*'$|^'$") | q.rlike(r'^".*"$|^"$')
     tests = [
-        (n < 10, F.concat(F.lit(MSG["question_short_head"]), n.cast("string"), F.lit(MSG["question_short_tail"]))),
-        (n > 500, F.concat(F.lit(MSG["question_long_head"]), n.cast("string"), F.lit(MSG["question_long_tail"]))),
+        (n < 10, _filled("question_short", n)),
+        (n > 500, _filled("question_long", n)),
         (~closed, MSG["question_end"]),
         (q.rlike(_TAG), MSG["question_html"]),
         (q.rlike(_GAPS), MSG["question_gaps"])]
@@ -53,7 +58,7 @@ def answer_issues(c: Column, strict: bool = False) -> Column:
     n = F.length(a)
     tests = [
         (n < 1, MSG["answer_blank"]),
-        (n > 200, F.concat(F.lit(MSG["answer_long_head"]), n.cast("string"), F.lit(MSG["answer_long_tail"]))),
+        (n > 200, _filled("answer_long", n)),
         (a.rlike(_TAG), MSG["answer_html"]),
         (a.rlike(_GAPS), MSG["answer_gaps"])]
     if strict:
@@ -68,12 +73,12 @@ def category_issues(c: Column, strict: bool = False, allow_custom: bool = True)
     k = tx.strip(c)
     n = F.length(k)
     tests = [
-        (n < 2, F.concat(F.lit(MSG["category_short_head"]), n.cast("string"), F.lit(MSG["category_short_tail"]))),
-        (n > 50, F.concat(F.lit(MSG["category_long_head"]), n.cast("string"), F.lit(MSG["category_long_tail"]))),
+        (n < 2, _filled("category_short", n)),
+        (n > 50, _filled("category_long", n)),
         (~k.rlike(r"""^[A-Za-z0-9\s&\-.!?'"]+$"""), MSG["category_chars"])]
     if strict and not allow_custom:
         tests.append((~F.upper(k).isin(fv.KNOWN_CATEGORIES),
-                      F.concat(F.lit(MSG["category_unknown_head"]), k, F.lit(MSG["category_unknown_tail"]))))
+                      _filled("category_unknown", k)))
     return _only(c, MSG["category_empty"], _issues(*tests))
 
 
@@ -82,13 +87,12 @@ def value_issues(c: Column, strict: bool = False, era: str = "all") -> Column:
     v = F.trim(shown).try_cast("bigint")
     allowed = fv.ERA_VALUES.get(era, fv.ERA_VALUES["all"])
     tests = [
-        (v <= 0, F.concat(F.lit(MSG["value_low_head"]), v.cast("string"), F.lit(")"))),
-        (v > 10000, F.concat(F.lit(MSG["value_high_head"]), v.cast("string"),
-                             F.lit(MSG["value_high_tail"])))]
+        (v <= 0, _filled("value_low", v)),
+        (v > 10000, _filled("value_high", v))]
     if strict:
         tests.append((~v.isin(allowed), F.concat(
             F.lit("Value "), v.cast("string"), F.lit(f" not in valid set for era '{era}': {allowed}"))))
-    wrong = F.array(F.concat(F.lit(MSG["value_type_head"]), shown, F.lit(MSG["value_type_tail"])))
+    wrong = F.array(_filled("value_type", shown))
     return (F.when(c.isNull(), F.array().cast("array<string>")).when(v.isNull(), wrong)
             .otherwise(_issues(*tests)))
 
@@ -101,8 +105,8 @@ def date_issues(c: Column, as_of: str) -> Column:
             .when(day.isNull(), F.array(F.lit(MSG["date_format"])))
             .otherwise(_issues(
                 (day < F.lit(fv.EARLIEST_AIR_DATE).cast("date"),
-                 F.concat(F.lit("Date "), shown, F.lit(MSG["date_early"]))),
-                (day > F.lit(as_of).cast("date"), F.concat(F.lit("Date "), shown, F.lit(MSG["date_late"]))))))
+                 _filled("date_early", shown)),
+                (day > F.lit(as_of).cast("date"), _filled("date_late", shown)))))
 
 
 def difficulty_issues(c: Column) -> Column:
