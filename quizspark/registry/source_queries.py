@@ -114,6 +114,46 @@ def _(spark, sf):
     return spark.read.parquet(f"{path}/model_performance")
 
 
+_RUN_FIELDS = ["run_id", "name", "status", "benchmark_mode", "models_tested", "sample_size", "total_questions", "completed_questions", "total_tokens"]
+
+
+@R.add("a05b_exported_rows", "SELECT " + ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in _RUN_FIELDS) + ", strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at FROM runs")
+def _(spark, sf):
+    """Every exported field of every run, read back from the CSV."""
+    path = new_path(spark, "export-rows")
+    tb.export_csv({"benchmark_runs": v.runs(spark, sf)}, path)
+    back = spark.read.csv(f"{path}/benchmark_runs", header=True, escape='"')
+    return back.select(*_RUN_FIELDS, F.date_format(F.to_timestamp("created_at"), "yyyy-MM-dd HH:mm:ss").alias("created_at"))
+
+
+@R.add("a06b_snapshot_rows", "SELECT " + ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in _RUN_FIELDS) + """,
+  strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, round(CAST(total_cost_usd AS DOUBLE), 6) AS total_cost_usd, round(avg_response_time_ms, 6) AS avg_response_time_ms FROM runs""")
+def _(spark, sf):
+    """Every field of every run, read back from the snapshot."""
+    path, runs = new_path(spark, "snapshot-rows"), v.runs(spark, sf)
+    tb.snapshot({"benchmark_runs": runs}, path, "2024-01-01T00:00:00")
+    back = tb.read_snapshot(spark, path, {"benchmark_runs": runs.schema})["benchmark_runs"]
+    return rounded(back.select(*[F.col(c).cast("string").alias(c) for c in _RUN_FIELDS], F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"),
+                               "total_cost_usd", "avg_response_time_ms"))
+
+
+@R.add("a07b_restore_order", """
+SELECT 1 AS place, 'questions' AS table_name, count(*) AS n, CAST(sum(question_id) AS BIGINT) AS id_sum FROM questions
+UNION ALL SELECT 2, 'benchmark_runs', count(*), CAST(sum(run_id) AS BIGINT) FROM runs
+UNION ALL SELECT 3, 'benchmark_results', count(*), CAST(sum(question_id) AS BIGINT) FROM results
+UNION ALL SELECT 4, 'model_performance', count(*), CAST(sum(run_id) AS BIGINT) FROM performance""")
+def _(spark, sf):
+    """All four tables from children to parents, written parents first."""
+    path = new_path(spark, "restored-all")
+    tables = {"model_performance": v.performance(spark, sf), "benchmark_results": v.results(spark, sf), "benchmark_runs": v.runs(spark, sf),
+              "questions": v.questions(spark, sf)}
+    ids = {"questions": "question_id", "benchmark_runs": "run_id", "benchmark_results": "question_id", "model_performance": "run_id"}
+    order = tb.restore({}, tables, {}, path)
+    parts = [spark.read.parquet(f"{path}/{n}").agg(F.lit(i).cast("bigint").alias("place"), F.lit(n).alias("table_name"), F.count(F.lit(1)).alias("n"),
+                                                   F.sum(ids[n]).alias("id_sum")) for i, n in enumerate(order, 1)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 @R.add("a08_export_runs", """
 SELECT run_id AS id, name, status, strftime(created_at, '%Y-%m-%dT%H:%M:%S') AS created_at,
   strftime(updated_at, '%Y-%m-%dT%H:%M:%S') AS updated_at, CAST(sample_size AS BIGINT) AS sample_size, benchmark_mode,

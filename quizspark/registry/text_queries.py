@@ -69,7 +69,7 @@ def _(spark, sf):
     return texts(spark, sf).select("id", F.md5(tx.words_to_digits(F.col("text"))).alias("text_md5"))
 
 
-@R.add("i06_expand_abbreviations", with_texts(f"SELECT id, md5({q.words('text', tx.EXPANDED)}) AS text_md5 FROM texts"))
+@R.add("i06_expand_abbreviations", with_texts(f"SELECT id, md5({q.words('text', q.EXPANSIONS)}) AS text_md5 FROM texts"))
 def _(spark, sf):
     return texts(spark, sf).select("id", F.md5(tx.expand_abbreviations(F.col("text"))).alias("text_md5"))
 

@@ -3,9 +3,35 @@
 from __future__ import annotations
 
 from quizspark import fixed_values as fv
-from quizspark.functions import parse as ps, text as tx
 
-WS = tx.WS
+# The SQL side states its patterns itself; only the lists in ``fixed_values`` are shared.
+WS = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
+NOT_WORD = r"[^\p{L}\p{N}_\s\x0b\x1c-\x1f\x85\p{Z}'-]"
+FORM_START = r"(?:(?:what|who|where|when)\s+(?:is|are|was|were)|(?:why|how)\s+is)\s+"
+FORM_ANYWHERE = r"(?i)(?:what|who|where|when|why|how)\s+(?:is|are|was|were|would)\s+"
+
+
+def _starters() -> list[str]:
+    """Every question word with the first verb, then every word with the second, and so on."""
+    out = []
+    for verb in fv.QUESTION_VERBS:
+        for word in fv.QUESTION_WORDS:
+            out.append(word + r"\s+" + verb + r"\s+")
+    return out
+
+
+def _expansions() -> dict[str, str]:
+    """What is left of an abbreviation when its expansions replace it as a word, one after the other."""
+    out = {}
+    for short, longs in fv.ABBREVIATIONS.items():
+        words = [short]
+        for long in longs:
+            words = [x for w in words for x in (long.split(" ") if w == short else [w])]
+        out[short] = " ".join(words)
+    return out
+
+
+EXPANSIONS = _expansions()
 
 
 def lit(s: str) -> str:
@@ -17,12 +43,12 @@ def collapse(x: str) -> str:
 
 
 def norm(x: str) -> str:
-    plain = collapse(f"regexp_replace(lower(coalesce({x}, '')), {lit(tx.NOT_WORD)}, ' ', 'g')")
+    plain = collapse(f"regexp_replace(lower(coalesce({x}, '')), {lit(NOT_WORD)}, ' ', 'g')")
     return rf"regexp_replace({plain}, '^(the|a|an)\s+', '')"
 
 
 def content(n: str) -> str:
-    return f"nullif(trim(regexp_extract({n}, {lit('^' + tx.FORM_START + r'(.+?)(\?|$)')}, 1)), '')"
+    return f"nullif(trim(regexp_extract({n}, {lit('^' + FORM_START + r'(.+?)(\?|$)')}, 1)), '')"
 
 
 def words(x: str, mapping: dict[str, str]) -> str:
@@ -69,7 +95,7 @@ def response_type(raw: str, clean: str) -> str:
         return "(" + " OR ".join(f"contains(lower({clean}), {lit(p)})" for p in ps_) + ")"
     why = "(?i)" + "|".join(f"(?:{p})" for p in fv.REASONING_PATTERNS)
     return (f"CASE WHEN {raw} IS NULL OR {collapse(raw)} = '' THEN 'error' WHEN {phrases(fv.REFUSAL_PHRASES)} THEN 'refusal' "
-            f"WHEN regexp_matches({clean}, {lit(ps.FORM_ANYWHERE)}) THEN '{fv.QUESTION_TYPE}' "
+            f"WHEN regexp_matches({clean}, {lit(FORM_ANYWHERE)}) THEN '{fv.QUESTION_TYPE}' "
             f"WHEN regexp_matches({clean}, {lit(why)}) THEN 'explanation' "
             f"WHEN {phrases(fv.UNCERTAINTY_PHRASES)} THEN 'uncertain' ELSE 'direct_answer' END")
 
@@ -80,7 +106,7 @@ def indicators(clean: str) -> str:
 
 
 def question_answer(clean: str) -> str:
-    hits = ", ".join(f"nullif(regexp_extract({clean}, {lit(f'(?i)({s}[^?.!]*[?.!]?)')}, 1), '')" for s in ps.STARTERS)
+    hits = ", ".join(f"nullif(regexp_extract({clean}, {lit(f'(?i)({s}[^?.!]*[?.!]?)')}, 1), '')" for s in _starters())
     hit = f"trim(coalesce({hits}))"
     asked = f"CASE WHEN suffix({hit}, '?') THEN {hit} ELSE {hit} || '?' END"
     return f"coalesce(upper(substr({asked}, 1, 1)) || lower(substr({asked}, 2)), trim({clean}))"
@@ -146,14 +172,14 @@ def fuzzy_ctes(source: str, name: str) -> str:
 def matched(source: str, answer: str, expected: str, required: str = "FALSE", name: str = "matched",
             limit: str = "0.8", synonyms: str = "0") -> str:
     """CTEs that add is_match, conf and mtype by all six strategies."""
-    form = lit("^" + tx.FORM_START)
+    form = lit("^" + FORM_START)
     return f"""{name}_1 AS MATERIALIZED (SELECT *, {norm(answer)} AS na, {norm(expected)} AS ne,
   coalesce({collapse(answer)} = '', TRUE) AS blank FROM {source}),
 {fuzzy_ctes(name + '_1', name + '_f')},
 {name}_2 AS MATERIALIZED (SELECT *, {content('na')} AS ca, {content('ne')} AS ce,
   list_concat({numbers('na')}, {numbers(words('na', fv.NUMBER_WORDS))}) AS numa,
   list_concat({numbers('ne')}, {numbers(words('ne', fv.NUMBER_WORDS))}) AS nume,
-  {words('na', tx.EXPANDED)} AS xa, {words('ne', tx.EXPANDED)} AS xe, {tokens('na')} AS ta, {tokens('ne')} AS te, best / 100 AS c4 FROM {name}_f),
+  {words('na', EXPANSIONS)} AS xa, {words('ne', EXPANSIONS)} AS xe, {tokens('na')} AS ta, {tokens('ne')} AS te, best / 100 AS c4 FROM {name}_f),
 {name}_3 AS MATERIALIZED (SELECT *, na = ne AS h0,
   coalesce(CASE WHEN ca IS NOT NULL AND ce IS NOT NULL THEN ca = ce WHEN ca IS NOT NULL THEN ca = ne
     WHEN ce IS NOT NULL THEN na = ce ELSE FALSE END, FALSE) AS h1,
