@@ -20,6 +20,7 @@ from quizspark import fixed_values as fv
 from quizspark.functions.labels import clamp, score_label, signed_score, value_bucket
 from quizspark.plans import quantiles as q
 from quizspark.plans.keys import join_by
+from quizspark.plans.storage import written
 
 KEYS = ("run_id", "model_name")
 BREAKDOWNS = ("category", "difficulty_level", "value_bucket")
@@ -53,23 +54,50 @@ def confidence_interval(df: DataFrame, p: str = "accuracy", n: str = "total_coun
             .withColumn("ci_high", F.when(enough, F.least(F.lit(1.0), F.col(p) + margin))))
 
 
-def _fine_grain(results: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _fine_grain(results: DataFrame, keys: Sequence[str], everything: bool = False) -> DataFrame:
     """Additive measures per key, category, difficulty and value bucket: one pass over the rows.
 
-    Category, difficulty and bucket reports all roll up from this small table.
+    Category, difficulty and bucket reports all roll up from this small table; with ``everything`` also the totals of a key.
     """
     marked = results.withColumn("value_bucket", value_bucket(F.col("value")))
     graded = F.coalesce(F.col("is_correct"), F.lit(False))
-    return marked.groupBy(*keys, *BREAKDOWNS).agg(
+    measures = [
         F.count(F.lit(1)).alias("n"), F.count("is_correct").alias("answered"),
         F.coalesce(F.sum(_correct()), F.lit(0)).alias("correct"),
         F.sum(signed_score(F.col("is_correct"), F.col("value"))).alias("score"),
-        F.sum(F.when(graded, F.col("confidence")).otherwise(0.0)).alias("earned"))
+        F.sum(F.when(graded, F.col("confidence")).otherwise(0.0)).alias("earned")]
+    return marked.groupBy(*keys, *BREAKDOWNS).agg(*measures, *(_more_sums(results) if everything else []))
+
+
+def _more_sums(results: DataFrame) -> list[Column]:
+    """What the totals of a key need besides, in a form that adds up over groups."""
+    x, right, took = F.col("confidence").cast("double"), F.coalesce(_correct(), F.lit(0)).cast("double"), F.col("latency_ms").cast("double")
+    out = [F.count(took).alias("t_n"), F.sum(took).alias("t_s"), F.sum(took * took).alias("t_ss"), F.min(took).alias("t_min"), F.max(took).alias("t_max"),
+           F.count(x).alias("c_n"), F.sum(x).alias("c_s"), F.sum(x * x).alias("c_ss"), F.sum(F.when(x.isNotNull(), right)).alias("c_y"),
+           F.sum(x * right).alias("c_xy"), *[F.sum(c).alias(c) for c in ("cost_usd", "tokens_used", "tokens_input", "tokens_output")]]
+    have = set(results.columns)
+    out += [F.count_if(F.col(c)).alias(c) for c in ("is_timeout", "is_error") if c in have]
+    if "grading_mode" in have:
+        out.append(F.collect_set("grading_mode").alias("grading_mode"))  # a handful of modes
+    if "partial_credit" in have:
+        out.append(F.max(F.col("partial_credit") > 0).alias("partial_credit"))
+    if "grading_time_ms" in have:
+        out += [F.sum("grading_time_ms").alias("g_s"), F.count("grading_time_ms").alias("g_n")]
+    return out
+
+
+def _spread(n: Column, total: Column, squares: Column) -> Column:
+    """Sample deviation from sums; 0 for fewer than two values, and where what is left is rounding of equal values."""
+    rest = squares - total * total / n
+    return F.when((n > 1) & (rest > squares * 1e-12), F.sqrt(rest / (n - 1))).otherwise(0.0)
 
 
 def breakdowns(results: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Accuracy and signed score by category, difficulty and value bucket, as a long table."""
-    fine = _fine_grain(results, keys)
+    return _breakdowns(_fine_grain(results, keys), keys)
+
+
+def _breakdowns(fine: DataFrame, keys: Sequence[str]) -> DataFrame:
     long = fine.select(*keys, "n", "answered", "correct", "score", F.explode(F.array(*[
         F.struct(F.lit(b).alias("dimension"), F.col(b).alias("label")) for b in BREAKDOWNS
     ])).alias("d")).select(*keys, "d.dimension", "d.label", "n", "answered", "correct", "score")
@@ -216,40 +244,60 @@ def composite_scores(df: DataFrame) -> DataFrame:
             .withColumn("efficiency_score", cheap * 0.6 + fast * 0.4))
 
 
+def _totals(fine: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Totals of each key from the fine-grained table."""
+    have = set(fine.columns)
+    adds = ["n", "answered", "correct", "score", "t_n", "t_s", "t_ss", "c_n", "c_s", "c_ss", "c_y", "c_xy", "cost_usd", "tokens_used",
+            "tokens_input", "tokens_output", "is_timeout", "is_error", "g_s", "g_n"]
+    sums = [F.sum(c).alias(c) for c in adds if c in have] + [F.min("t_min").alias("t_min"), F.max("t_max").alias("t_max")]
+    if "grading_mode" in have:
+        sums.append(F.array_join(F.sort_array(F.array_distinct(F.flatten(F.collect_list("grading_mode")))), ",").alias("grading_mode"))
+    if "partial_credit" in have:
+        sums.append(F.max("partial_credit").alias("partial_credit"))
+    t = fine.groupBy(*keys).agg(*sums)
+
+    def optional(name: str, alias: str, default) -> Column:
+        return (F.col(name) if name in have else F.lit(default)).alias(alias)
+    n, right, answered = F.col("n"), F.col("correct"), F.col("answered")
+    y_spread = _spread(n, right.cast("double"), right.cast("double"))
+    c_n, c_s = F.col("c_n"), F.col("c_s")
+    c_spread = _spread(c_n, c_s, F.col("c_ss"))
+    covariance = (F.col("c_xy") - c_s * F.col("c_y") / c_n) / (c_n - 1)
+    return t.select(
+        *keys, F.coalesce(F.try_divide(right.cast("double"), answered), F.lit(0.0)).alias("accuracy"), right.alias("correct_count"),
+        answered.alias("answered_count"), n.alias("total_count"),
+        F.coalesce(F.try_divide(F.col("t_s"), F.col("t_n")) / 1000.0, F.lit(0.0)).alias("mean_s"),
+        (F.col("t_min") / 1000.0).alias("min_s"), (F.col("t_max") / 1000.0).alias("max_s"),
+        F.coalesce(_spread(F.col("t_n"), F.col("t_s"), F.col("t_ss")) / 1000.0, F.lit(0.0)).alias("std_s"),
+        F.coalesce("cost_usd", F.lit(0)).cast("double").alias("total_cost"), F.coalesce("tokens_used", F.lit(0)).alias("total_tokens"),
+        F.coalesce("tokens_input", F.lit(0)).alias("input_tokens"), F.coalesce("tokens_output", F.lit(0)).alias("output_tokens"),
+        F.col("score").alias("total_score"), right.alias("positive_scores"), (answered - right).alias("negative_scores"),
+        (n - answered).alias("unanswered_count"), F.try_divide(c_s, c_n).alias("avg_confidence"),
+        F.coalesce(c_spread, F.lit(0.0)).alias("performance_variance"),
+        F.when((c_spread > 0) & (y_spread > 0), covariance / (c_spread * y_spread)).otherwise(0.0).alias("confidence_correlation"),
+        optional("is_timeout", "timeout_count", 0), optional("is_error", "error_count", 0), optional("grading_mode", "grading_modes", "unknown"),
+        optional("partial_credit", "has_partial_credit", False),
+        (F.try_divide(F.col("g_s"), F.col("g_n")) if "g_s" in have else F.lit(0.0)).alias("avg_grading_time_ms"))
+
+
+def _measured(results: DataFrame, keys: Sequence[str], percentiles: bool) -> tuple[DataFrame, DataFrame]:
+    """(metrics, the fine-grained table they come from)."""
+    fine = written(_fine_grain(results, keys, everything=True), "fine-metrics")
+    parts = [_totals(fine, keys), _steadiness(fine, keys)]
+    if percentiles:
+        parts.append(latency_percentiles(results, keys))
+    joined = reduce(lambda a, b: join_by(a, b, keys, "left"), parts)
+    return composite_scores(_cost_columns(confidence_interval(joined))), fine
+
+
 def comprehensive_metrics(results: DataFrame, keys: Sequence[str] = KEYS,
                           percentiles: bool = True) -> DataFrame:
     """All metrics of a run and model in one row.
 
-    Three passes over the rows: totals, the fine-grained table behind consistency, and counted
-    response times. Everything after that works on aggregated rows.
+    Two passes over the rows: a fine-grained table of sums, written once, from which totals and consistency roll up, and counted
+    response times for the percentiles.
     """
-    keys = list(keys)
-    seconds = F.col("latency_ms") / 1000.0
-    right = F.coalesce(_correct(), F.lit(0)).cast("double")
-    have = set(results.columns)
-
-    def optional(name: str, make, default) -> Column:
-        return (make(F.col(name)) if name in have else F.lit(default)).alias(
-            {"is_timeout": "timeout_count", "is_error": "error_count", "grading_mode": "grading_modes",
-             "partial_credit": "has_partial_credit", "grading_time_ms": "avg_grading_time_ms"}[name])
-    base = results.groupBy(*keys).agg(
-        F.coalesce(F.avg(_correct()), F.lit(0.0)).alias("accuracy"),
-        F.coalesce(F.sum(_correct()), F.lit(0)).alias("correct_count"),
-        F.count("is_correct").alias("answered_count"), F.count(F.lit(1)).alias("total_count"),
-        F.coalesce(F.avg(seconds), F.lit(0.0)).alias("mean_s"), F.min(seconds).alias("min_s"),
-        F.max(seconds).alias("max_s"), F.coalesce(F.stddev_samp(seconds), F.lit(0.0)).alias("std_s"),
-        *_cost_sums(), *_score_sums(), F.avg("confidence").cast("double").alias("avg_confidence"),
-        F.coalesce(F.stddev_samp("confidence"), F.lit(0.0)).alias("performance_variance"),
-        _guarded_corr(F.col("confidence").cast("double"), right).alias("confidence_correlation"),
-        optional("is_timeout", F.count_if, 0), optional("is_error", F.count_if, 0),
-        optional("grading_mode", lambda c: F.array_join(F.sort_array(F.collect_set(c)), ","), "unknown"),
-        optional("partial_credit", lambda c: F.max(c > 0), False),
-        optional("grading_time_ms", F.avg, 0.0))
-    parts = [base, _steadiness(_fine_grain(results, keys), keys)]
-    if percentiles:
-        parts.append(latency_percentiles(results, keys))
-    joined = reduce(lambda a, b: join_by(a, b, keys, "left"), parts)
-    return composite_scores(_cost_columns(confidence_interval(joined)))
+    return _measured(results, list(keys), percentiles)[0]
 
 
 def performance_summary(results: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -259,8 +307,8 @@ def performance_summary(results: DataFrame, keys: Sequence[str] = KEYS) -> DataF
     the average, and the error rate is errors over rows.
     """
     keys = list(keys)
-    wide = comprehensive_metrics(results, keys)
-    long = breakdowns(results, keys)
+    wide, fine = _measured(results, keys, percentiles=True)
+    long = _breakdowns(fine, keys)
 
     def as_map(dimension: str, value: str, name: str) -> Column:
         entry = F.when((F.col("dimension") == dimension) & F.col("label").isNotNull()

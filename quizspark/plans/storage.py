@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -14,7 +16,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster the setting must be present. Only a local session without it gets a folder of its
-    own, because there every task sees the driver's disk.
+    own, because there every task sees the driver's disk; that folder goes when the program ends.
     """
     path = spark.conf.get(_SETTING, None)
     if path:
@@ -22,6 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {_SETTING} to a folder that all executors can reach")
     path = tempfile.mkdtemp(prefix="quizspark-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
     spark.conf.set(_SETTING, path)
     return path
 
