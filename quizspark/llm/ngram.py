@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -80,6 +81,24 @@ def mapped(folder: str, name: str, kind: str) -> np.ndarray:
     return np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
 
 
+class Maps(OrderedDict):
+    """Arrays mapped by this process, the latest ``MOST`` of them; not sent with what holds it."""
+
+    MOST = 512
+
+    def get_map(self, folder: str, name: str, kind: str) -> np.ndarray:
+        if name in self:
+            self.move_to_end(name)
+        else:
+            self[name] = mapped(folder, name, kind)
+            if len(self) > self.MOST:
+                self.popitem(last=False)
+        return self[name]
+
+    def __reduce__(self):
+        return Maps, ()
+
+
 def packed(values: np.ndarray) -> bytes:
     """Counts in as few bytes as the largest needs, its width first."""
     width = next(w for w in (1, 2, 4, 8) if w == 8 or not len(values) or int(values.max()) < 1 << 8 * w)
@@ -118,13 +137,10 @@ class Layout:
     def __post_init__(self) -> None:
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
         self.n_words = int(self.starts[-1])
-        self._words: dict[int, np.ndarray] = {}
+        self.maps = Maps()
         if self.n_words >= (1 << 32) - 1:
             raise ValueError("more words than 32 bits can number")
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_words": {}}
-
     @staticmethod
     def word_shard(hashes: np.ndarray, shards: int) -> np.ndarray:
         return ((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
@@ -135,10 +151,9 @@ class Layout:
         for s, part, at in by_shard(self.word_shard(hashes, self.shards), hashes, np.arange(len(hashes))):
             if not self.sizes[s]:
                 continue
-            if s not in self._words:
-                self._words[s] = mapped(self.folder, f"words-{s}", "<u8")
-            found = np.minimum(np.searchsorted(self._words[s], part), self.sizes[s] - 1)
-            known = self._words[s][found] == part
+            words = self.maps.get_map(self.folder, f"words-{s}", "<u8")
+            found = np.minimum(np.searchsorted(words, part), self.sizes[s] - 1)
+            known = words[found] == part
             out[at[known]] = self.starts[s] + found[known]
         return out
 
@@ -314,14 +329,8 @@ class Model:
     shards: frozenset
     preceding: frozenset
 
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_open"}
-
     def _file(self, name: str, shard: int, kind: str) -> np.ndarray:
-        opened = self.__dict__.setdefault("_open", {})
-        if (name, shard) not in opened:
-            opened[name, shard] = mapped(self.layout.folder, f"{name}-{shard}", kind)
-        return opened[name, shard]
+        return self.layout.maps.get_map(self.layout.folder, f"{name}-{shard}", kind)
 
     def _dense(self, name: str, kind: str, numbers: np.ndarray, width: int = 1) -> np.ndarray:
         """Rows of a table kept in shards by ranges of words; zeros where a shard has none."""
@@ -388,9 +397,12 @@ class Model:
 
 
 def train(texts: DataFrame, shards: int | None = None) -> Model:
-    """A model of the column ``text``; its files lie in a new folder of the shared folder."""
+    """A model of the column ``text``; its files lie in a new folder of the shared folder.
+
+    There are as many shards as shuffle partitions, unless given; one task holds one shard.
+    """
     spark = texts.sparkSession
-    shards = shards or min(1000, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     folder = shared_path(spark, "ngram")
     os.makedirs(folder, exist_ok=True)
     texts = texts.select("text")
