@@ -1,8 +1,9 @@
 """Exact duplicates by progressive refinement: length, then a hash of the first characters, then the full digest.
 
 Length and prefix hash come from one narrow scan, grouped with map-side sums. Only rows whose pair of
-both occurs twice are read in full and hashed; every other row is its own group. The few rows that reach the
-last step are written once, so that one row tag holds for everything after.
+both occurs twice are read in full and hashed; every other row is its own group. The repeated pairs are written before they are joined back, so that
+Spark knows their size and broadcasts them only when they are small. The rows that reach the last step are written once, so that one row tag
+holds for everything after.
 
 Null text counts as empty. Empty texts form one group. Of rows with the same smallest id (repeated rows) exactly one stays. A
 null id sorts after all others. Columns of the input with the names of added columns are replaced. An empty
@@ -39,6 +40,7 @@ def mark_duplicates(docs: DataFrame, carry: list[str] | None = None, prefix_char
         {"_len": F.octet_length(norm), "_pre": F.xxhash64(F.substring(norm, 1, prefix_chars))})
     repeated = (sized.groupBy("_len", "_pre").agg(F.count(F.lit(1)).alias("_n"))
                 .where("_n > 1").select("_len", "_pre"))
+    repeated = written(repeated, "repeated-pairs")
 
     alone = (sized.join(repeated, ["_len", "_pre"], "left_anti").select(*carry)
              .withColumns({"keep_id": F.col("doc_id"), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)}))
