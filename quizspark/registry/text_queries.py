@@ -151,13 +151,14 @@ def _(spark, sf):
 
 
 @R.add("d07_match_alternatives", f"""
-WITH fan AS (SELECT result_id, response_text, 0 AS pos, answer AS acceptable FROM responses
-  UNION ALL SELECT result_id, response_text, 1, upper(question) FROM responses
-  UNION ALL SELECT result_id, response_text, 2, 'five ' || question FROM responses),
+WITH tagged AS MATERIALIZED (SELECT *, row_number() OVER () AS rid FROM responses),
+fan AS (SELECT rid, result_id, response_text, 0 AS pos, answer AS acceptable FROM tagged
+  UNION ALL SELECT rid, result_id, response_text, 1, upper(question) FROM tagged
+  UNION ALL SELECT rid, result_id, response_text, 2, 'five ' || question FROM tagged),
 {q.matched('fan', 'response_text', 'acceptable')},
 numbered AS (SELECT *, list_position(['exact', '{fv.QUESTION_TYPE}', 'number_date', 'abbreviation', 'fuzzy', 'semantic'], mtype) AS s FROM matched)
 SELECT result_id, is_match, round(conf, 6) AS confidence, mtype AS match_type, acceptable AS matched_against FROM numbered
-QUALIFY row_number() OVER (PARTITION BY result_id ORDER BY NOT is_match, CASE WHEN is_match THEN 0 ELSE -conf END, s, pos) = 1""")
+QUALIFY row_number() OVER (PARTITION BY rid ORDER BY NOT is_match, CASE WHEN is_match THEN 0 ELSE -conf END, s, pos) = 1""")
 def _(spark, sf):
     rows = v.responses(spark, sf).withColumn("also", F.array(
         F.upper("question"), F.concat(F.lit("five "), "question")))
@@ -424,11 +425,11 @@ _OUTCOME = f"""SELECT result_id, is_match AND conf >= 0.7 AND NOT off AS is_corr
   round(CASE WHEN off THEN 0 ELSE {_CREDIT} END, 6) AS partial_credit, CASE WHEN off THEN 'exact' ELSE mtype END AS match_type"""
 
 
-@R.add("j06c_grade_acceptable_answers", f"""WITH {q.parsed('responses', 'response_text')},
+@R.add("j06c_grade_acceptable_answers", f"""WITH tagged AS MATERIALIZED (SELECT *, row_number() OVER () AS rid FROM responses), {q.parsed('tagged', 'response_text')},
 fan AS (SELECT *, 0 AS pos, answer AS acceptable FROM parsed UNION ALL SELECT *, 1, 'who is ' || substr(question, 1, 3) || substr(question, 5) FROM parsed
   UNION ALL SELECT *, 2, 'I don''t know' FROM parsed WHERE question_id % 3 = 0),
 {q.matched('fan', 'extracted', 'acceptable', "contains(lower(category), 'jeopardy')")},
-m AS (SELECT *, rtype IN ('refusal', 'error') AS off FROM matched QUALIFY row_number() OVER (PARTITION BY result_id, attempt, question_id, run_id ORDER BY NOT is_match,
+m AS (SELECT *, rtype IN ('refusal', 'error') AS off FROM matched QUALIFY row_number() OVER (PARTITION BY rid ORDER BY NOT is_match,
   CASE WHEN is_match THEN 0 ELSE -conf END, list_position(['exact', '{fv.QUESTION_TYPE}', 'number_date', 'abbreviation', 'fuzzy', 'semantic'], mtype), pos) = 1)
 {_OUTCOME}, acceptable AS matched_against FROM m""")
 def _(spark, sf):
