@@ -11,13 +11,16 @@ def run_summary(results: DataFrame, questions: DataFrame, runs: DataFrame | None
     """Per run: responses, correct, accuracy over all responses, distinct topics, value range."""
     rows = results.join(questions.select("question_id", "category", "difficulty_level", "value"),
                         "question_id", "left")
-    right = F.count_if(F.coalesce(F.col("is_correct"), F.lit(False)))
-    summary = rows.groupBy("run_id").agg(
-        F.count(F.lit(1)).alias("total_responses"), right.alias("correct_responses"),
-        (right / F.count(F.lit(1))).alias("overall_accuracy"),
+    # Counted by category and level first, map-side: distinct counts then run over few rows and expand none.
+    small = rows.groupBy("run_id", "category", "difficulty_level").agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(F.coalesce(F.col("is_correct"), F.lit(False))).alias("_right"),
+        F.min("value").alias("_low"), F.max("value").alias("_high"))
+    summary = small.groupBy("run_id").agg(
+        F.sum("_n").alias("total_responses"), F.sum("_right").alias("correct_responses"),
+        (F.sum("_right") / F.sum("_n")).alias("overall_accuracy"),
         F.count_distinct(F.nullif("category", F.lit(""))).alias("categories"),
         F.count_distinct(F.nullif("difficulty_level", F.lit(""))).alias("difficulty_levels"),
-        F.min("value").alias("value_min"), F.max("value").alias("value_max"))
+        F.min("_low").alias("value_min"), F.max("_high").alias("value_max"))
     if runs is None:
         return summary
     return runs.withColumn("models", parse_models_tested(F.col("models_tested"))).join(
