@@ -36,23 +36,23 @@ def mark_duplicates(docs: DataFrame, carry: list[str] | None = None, prefix_char
     """
     carry = [c for c in (carry or docs.columns) if c.lower() not in ADDED]
     norm = normalised(text_or_empty())
-    sized = without(docs, ["_len", "_pre"]).withColumns(
-        {"_len": F.octet_length(norm), "_pre": F.xxhash64(F.substring(norm, 1, prefix_chars))})
-    repeated = (sized.groupBy("_len", "_pre").agg(F.count(F.lit(1)).alias("_n"))
-                .where("_n > 1").select("_len", "_pre"))
+    sized = without(docs, ["__len", "__pre"]).withColumns(
+        {"__len": F.octet_length(norm), "__pre": F.xxhash64(F.substring(norm, 1, prefix_chars))})
+    repeated = (sized.groupBy("__len", "__pre").agg(F.count(F.lit(1)).alias("__n"))
+                .where("__n > 1").select("__len", "__pre"))
     repeated = written(repeated, "repeated-pairs")
 
-    alone = (sized.join(repeated, ["_len", "_pre"], "left_anti").select(*carry)
+    alone = (sized.join(repeated, ["__len", "__pre"], "left_anti").select(*carry)
              .withColumns({"keep_id": F.col("doc_id"), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)}))
 
-    full = (sized.join(repeated, ["_len", "_pre"], "left_semi")
-            .select(*carry, "_len", digest(text_or_empty()).alias("_sha")))
-    full = written(full.withColumn("_row", F.monotonically_increasing_id()), "exact-dedup")
-    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
-    groups = (full.groupBy("_len", "_sha").agg(F.min(first).alias("_first"), F.count(F.lit(1)).alias("_size")))
-    more = full.join(groups, ["_len", "_sha"]).select(
-        *carry, F.col("_first.id").alias("keep_id"), F.col("_size").alias("group_size"),
-        (F.col("_row") == F.col("_first.row")).alias("kept"))
+    full = (sized.join(repeated, ["__len", "__pre"], "left_semi")
+            .select(*carry, "__len", digest(text_or_empty()).alias("__sha")))
+    full = written(full.withColumn("__row", F.monotonically_increasing_id()), "exact-dedup")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__row").alias("row"))
+    groups = (full.groupBy("__len", "__sha").agg(F.min(first).alias("__first"), F.count(F.lit(1)).alias("__size")))
+    more = full.join(groups, ["__len", "__sha"]).select(
+        *carry, F.col("__first.id").alias("keep_id"), F.col("__size").alias("group_size"),
+        (F.col("__row") == F.col("__first.row")).alias("kept"))
     return alone.unionByName(more)
 
 

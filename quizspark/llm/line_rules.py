@@ -84,24 +84,24 @@ def judge(docs: DataFrame, carry: list[str] | None = None, host: str = "source",
     lines = F.filter(F.transform(normal_lines(text), lambda x: F.struct(
         F.xxhash64(F.trim(x)).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("n"))), lambda s: s["n"] > 0)
     kept = [F.col(c).alias(f"c_{i}") for i, c in enumerate(carry)]
-    rows = docs.select(*kept, F.col(host).alias("_host"), F.xxhash64(text).alias("_text"), lines.alias("_lines"),
-                       *[c.alias(n) for n, c in base_measures(text).items()], F.monotonically_increasing_id().alias("_row"))
+    rows = docs.select(*kept, F.col(host).alias("__host"), F.xxhash64(text).alias("__text"), lines.alias("__lines"),
+                       *[c.alias(n) for n, c in base_measures(text).items()], F.monotonically_increasing_id().alias("__row"))
     rows = written(rows, "line-rules")
 
-    per_host = rows.groupBy("_host").agg(F.count_distinct("_text").alias("_docs"))
-    in_docs = (rows.select("_host", "_text", F.explode(F.array_distinct(F.transform("_lines", lambda s: s["h"]))).alias("_h"))
-               .groupBy("_host", "_h").agg(F.count_distinct("_text").alias("_n")).where(F.col("_n") > least))
-    frequent = in_docs.withColumnRenamed("_host", "_of").join(per_host, F.col("_of").eqNullSafe(F.col("_host"))).where(
-        F.col("_n") > F.col("_docs") * share).select(F.col("_of"), F.col("_h").alias("_frequent"))
+    per_host = rows.groupBy("__host").agg(F.count_distinct("__text").alias("__docs"))
+    in_docs = (rows.select("__host", "__text", F.explode(F.array_distinct(F.transform("__lines", lambda s: s["h"]))).alias("__h"))
+               .groupBy("__host", "__h").agg(F.count_distinct("__text").alias("__n")).where(F.col("__n") > least))
+    frequent = in_docs.withColumnRenamed("__host", "__of").join(per_host, F.col("__of").eqNullSafe(F.col("__host"))).where(
+        F.col("__n") > F.col("__docs") * share).select(F.col("__of"), F.col("__h").alias("__frequent"))
     frequent = written(frequent, "frequent-lines")
 
-    found = (rows.select("_row", "_host", F.explode("_lines").alias("_l"))
-             .join(frequent, (F.col("_l.h") == F.col("_frequent")) & F.col("_host").eqNullSafe(F.col("_of"))))
-    gone = [F.count(F.lit(1)).alias("removed_lines"), F.sum("_l.n").alias("removed_words")]
+    found = (rows.select("__row", "__host", F.explode("__lines").alias("__l"))
+             .join(frequent, (F.col("__l.h") == F.col("__frequent")) & F.col("__host").eqNullSafe(F.col("__of"))))
+    gone = [F.count(F.lit(1)).alias("removed_lines"), F.sum("__l.n").alias("removed_words")]
     if "text" in carry:
-        gone.append(F.collect_set("_frequent").alias("_gone"))
-    found = found.groupBy(F.col("_row").alias("_found")).agg(*gone)
-    out = rows.join(found, F.col("_row") == F.col("_found"), "left").withColumns(
+        gone.append(F.collect_set("__frequent").alias("__gone"))
+    found = found.groupBy(F.col("__row").alias("__found")).agg(*gone)
+    out = rows.join(found, F.col("__row") == F.col("__found"), "left").withColumns(
         {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("removed_lines", "removed_words")})
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat)
     left = F.col("n_words") - F.col("removed_words")
@@ -111,6 +111,6 @@ def judge(docs: DataFrame, carry: list[str] | None = None, host: str = "source",
     if "text" in carry:
         text = F.coalesce(F.col(f"c_{carry.index('text')}"), F.lit(""))
         pairs = F.arrays_zip(F.split(text, "\n").alias("raw"), normal_lines(text).alias("norm"))
-        stay = F.filter(pairs, lambda p: ~F.coalesce(F.array_contains("_gone", F.xxhash64(F.trim(p["norm"]))), F.lit(False)))
+        stay = F.filter(pairs, lambda p: ~F.coalesce(F.array_contains("__gone", F.xxhash64(F.trim(p["norm"]))), F.lit(False)))
         more = [F.array_join(F.transform(stay, lambda p: p["raw"]), "\n").alias("clean_text")]
     return out.select(*names, *BASE, "base_failed", "kept", "removed_lines", "removed_words", *more)

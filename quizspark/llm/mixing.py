@@ -32,18 +32,18 @@ def source_targets(sizes: DataFrame, cap: int, weight=cyclic_weights) -> DataFra
     weight. With sources ordered by cap over weight the capped ones come first, so running sums find the level
     at which the rest is filled. The windows see one row per source, never documents.
     """
-    everything, by_ratio = Window.partitionBy(), Window.orderBy("_ratio", "_rank")
+    everything, by_ratio = Window.partitionBy(), Window.orderBy("__ratio", "__rank")
     before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    t = sizes.withColumn("_rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
-    t = t.withColumns({"_w": weight(F.col("_rank")), "_cap": F.col("source_size") * cap})
-    t = t.withColumn("_ratio", F.col("_cap") / F.col("_w"))
+    t = sizes.withColumn("__rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
+    t = t.withColumns({"__w": weight(F.col("__rank")), "__cap": F.col("source_size") * cap})
+    t = t.withColumn("__ratio", F.col("__cap") / F.col("__w"))
     t = t.withColumns({
-        "_left": F.sum("source_size").over(everything) - F.coalesce(F.sum("_cap").over(before), F.lit(0)),
-        "_weights": F.sum("_w").over(everything) - F.coalesce(F.sum("_w").over(before), F.lit(0))})
-    t = t.withColumn("_level", F.col("_left") / F.col("_weights"))
-    level = F.min(F.when(F.col("_level") <= F.col("_ratio"), F.struct("_ratio", "_rank", "_level"))).over(everything)
+        "__left": F.sum("source_size").over(everything) - F.coalesce(F.sum("__cap").over(before), F.lit(0)),
+        "__weights": F.sum("__w").over(everything) - F.coalesce(F.sum("__w").over(before), F.lit(0))})
+    t = t.withColumn("__level", F.col("__left") / F.col("__weights"))
+    level = F.min(F.when(F.col("__level") <= F.col("__ratio"), F.struct("__ratio", "__rank", "__level"))).over(everything)
     return t.select("source", "source_size",
-                    F.least(F.col("_cap").cast("double"), level["_level"] * F.col("_w")).alias("target"))
+                    F.least(F.col("__cap").cast("double"), level["__level"] * F.col("__w")).alias("target"))
 
 
 def uniform(seed: str) -> Column:
@@ -54,17 +54,17 @@ def uniform(seed: str) -> Column:
 
 def plan_mix(docs: DataFrame, cap: int = 3, seed: str = SEED, weight=cyclic_weights) -> DataFrame:
     """Every row with ``size, source_size, target`` and the number of ``copies`` the mix takes of it."""
-    sized = without(docs, ADDED).withColumns({"size": n_words(text_or_empty()), "_u": uniform(seed)})
+    sized = without(docs, ADDED).withColumns({"size": n_words(text_or_empty()), "__u": uniform(seed)})
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), cap, weight)
-    targets = written(targets.withColumnRenamed("source", "_source"), "targets")
+    targets = written(targets.withColumnRenamed("source", "__source"), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    copies = F.floor(rate) + F.when(F.col("_u") < rate - F.floor(rate), 1).otherwise(0)
-    return (sized.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-            .withColumn("copies", copies.cast("long")).drop("_u"))
+    copies = F.floor(rate) + F.when(F.col("__u") < rate - F.floor(rate), 1).otherwise(0)
+    return (sized.join(targets, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+            .withColumn("copies", copies.cast("long")).drop("__u"))
 
 
 def mix(docs: DataFrame, cap: int = 3, seed: str = SEED, weight=cyclic_weights) -> DataFrame:
     """The mixed corpus: rows of ``docs``, each as often as the mix takes it."""
     columns = docs.columns
     taken = plan_mix(docs, cap, seed, weight).where("copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*columns)
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*columns)

@@ -470,6 +470,6 @@ def score_documents(docs: DataFrame) -> DataFrame:
             items = series.tolist()
             yield pd.concat([scored(model, items[i:j]) for i, j in chunks(items)] or [scored(model, [])], ignore_index=True)
 
-    return docs.withColumn("_s", scores(text_or_empty())).select(
-        *docs.columns, held_out(F.col("doc_id")).alias("held_out"), F.col("_s.n_tokens"), F.col("_s.n_known"),
-        F.lit(model.layout.tokens).cast("long").alias("train_tokens"), F.col("_s.base_score"), F.col("_s.score"))
+    return docs.withColumn("__s", scores(text_or_empty())).select(
+        *docs.columns, held_out(F.col("doc_id")).alias("held_out"), F.col("__s.n_tokens"), F.col("__s.n_known"),
+        F.lit(model.layout.tokens).cast("long").alias("train_tokens"), F.col("__s.base_score"), F.col("__s.score"))

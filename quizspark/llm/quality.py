@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quizspark.llm.common import python_words, text_or_empty, without
+from quizspark.llm.common import python_words, text_or_empty
 from quizspark.plans.storage import written
 
 ADDED = ["score", "predicted"]
@@ -61,7 +61,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     @F.pandas_udf("array<float>")
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series([statistics(t) for t in texts])
-    return docs.withColumn("_stats", of(text_or_empty()))
+    return docs.withColumn("__stats", of(text_or_empty()))
 
 
 def fold(doc_id: Column) -> Column:
@@ -91,7 +91,7 @@ class Model:
 
 
 def _stacked(batch: pd.DataFrame) -> np.ndarray:
-    return np.array(batch["_stats"].tolist(), np.float64).reshape(-1, N_STATS)
+    return np.array(batch["__stats"].tolist(), np.float64).reshape(-1, N_STATS)
 
 
 def summed(rows: DataFrame, per_batch, size: int) -> np.ndarray:
@@ -144,7 +144,7 @@ def fit(rows: DataFrame, ridge: float = 1e-3, gamma: float = 0.05, seed: int = 7
         x, y = _stacked(b), b["label"].to_numpy()
         return np.concatenate([[len(x), y.sum()], x.sum(0), (x * x).sum(0)])
 
-    sums = summed(rows.select("_stats", "label"), moments, 2 + 2 * N_STATS)
+    sums = summed(rows.select("__stats", "label"), moments, 2 + 2 * N_STATS)
     n, positive = sums[:2]
     if n == 0 or positive in (0, n):
         return float(positive / n) if n else 0.5
@@ -160,7 +160,7 @@ def fit(rows: DataFrame, ridge: float = 1e-3, gamma: float = 0.05, seed: int = 7
         x, y = model.features(_stacked(b)), b["label"].to_numpy()
         return np.concatenate([(x.T @ x)[upper], x.T @ y])
 
-    sums = summed(rows.where("fit").select("_stats", "label"), normal, len(upper[0]) + d)
+    sums = summed(rows.where("fit").select("__stats", "label"), normal, len(upper[0]) + d)
     gram = np.zeros((d, d))
     gram[upper] = sums[:-d]
     gram = gram + np.triu(gram, 1).T
@@ -172,7 +172,7 @@ def fit(rows: DataFrame, ridge: float = 1e-3, gamma: float = 0.05, seed: int = 7
         at = np.clip(((x + 1) / 3 * BINS).astype(int), 0, BINS - 1)
         return np.concatenate([np.bincount(at, minlength=BINS), np.bincount(at, y, BINS)])
 
-    sums = summed(rows.where("not fit").select("_stats", "label"), histogram, 2 * BINS)
+    sums = summed(rows.where("not fit").select("__stats", "label"), histogram, 2 * BINS)
     weight, total = sums[:BINS], sums[BINS:]
     seen = weight > 0
     centres = (np.arange(BINS) + 0.5) / BINS * 3 - 1
@@ -188,11 +188,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, carry: list[str] | None
     Labels count only where the row's ``fold`` is not 1. ``labels`` has ``doc_id, quality``.
     """
     carry = [c for c in (carry or docs.columns) if c.lower() not in [*ADDED, "held_out"]]
-    rows = written(with_statistics(docs).select(*carry, "_stats"), "quality")
+    rows = written(with_statistics(docs).select(*carry, "__stats"), "quality")
     known = (labels.where("quality is not null and doc_id is not null").groupBy("doc_id")
-             .agg(F.avg("quality").alias("label")).withColumnRenamed("doc_id", "_id"))
-    fitting = (rows.where(fold(F.col("doc_id")) != 1).join(known, F.col("doc_id") == F.col("_id"))
-               .select("_stats", "label", (F.pmod(F.xxhash64("doc_id"), F.lit(3)) != 0).alias("fit")))
+             .agg(F.avg("quality").alias("label")).withColumnRenamed("doc_id", "__id"))
+    fitting = (rows.where(fold(F.col("doc_id")) != 1).join(known, F.col("doc_id") == F.col("__id"))
+               .select("__stats", "label", (F.pmod(F.xxhash64("doc_id"), F.lit(3)) != 0).alias("fit")))
     model = fit(written(fitting, "quality-fit"))
     send = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -203,7 +203,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, carry: list[str] | None
             return pd.Series(np.full(len(stats), m))
         return pd.Series(m.score(np.array(stats.tolist(), np.float64).reshape(-1, N_STATS)))
 
-    return (rows.select(*carry, (fold(F.col("doc_id")) == 1).alias("held_out"), score("_stats").alias("score"))
+    return (rows.select(*carry, (fold(F.col("doc_id")) == 1).alias("held_out"), score("__stats").alias("score"))
             .withColumn("predicted", (F.col("score") >= 0.5).cast("int")))
 
 

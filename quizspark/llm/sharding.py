@@ -88,24 +88,24 @@ def shuffle_to_shards(docs: DataFrame, shards: int, seed: int = 8, cell_rows: in
     docs = without(docs, ADDED)
     spark, columns = docs.sparkSession, docs.columns
     order = F.xxhash64(F.lit(seed), F.monotonically_increasing_id())
-    local = (docs.withColumns({"_at": F.monotonically_increasing_id(), "_r": order}).sortWithinPartitions("_r", "_at")
-             .withColumn("_id", F.monotonically_increasing_id()).drop("_at", "_r"))
-    local = (written(local, "shards").withColumns({"_part": F.shiftright("_id", 33), "_rank": F.col("_id").bitwiseAND(F.lit(_PLACE - 1))}))
+    local = (docs.withColumns({"__at": F.monotonically_increasing_id(), "__r": order}).sortWithinPartitions("__r", "__at")
+             .withColumn("__id", F.monotonically_increasing_id()).drop("__at", "__r"))
+    local = (written(local, "shards").withColumns({"__part": F.shiftright("__id", 33), "__rank": F.col("__id").bitwiseAND(F.lit(_PLACE - 1))}))
 
-    counts = {r["_part"]: r["n"] for r in local.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["__part"]: r["n"] for r in local.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect()}
     parts = sorted(counts)
     sizes = shard_sizes(sum(counts.values()), shards)
     matrix = communication_matrix([counts[p] for p in parts], sizes, seed)
     bounds = [(p, np.cumsum(m).tolist()) for p, m in zip(parts, matrix)]
-    bounds = spark.createDataFrame(bounds, "_part long, _ends array<long>")
+    bounds = spark.createDataFrame(bounds, "__part long, __ends array<long>")
 
     cells = max(1, -(-max(sizes, default=0) // cell_rows))
-    mixed = F.xxhash64(F.lit(seed + 1), F.col("_id"))
-    dealt = local.join(bounds, "_part").withColumns({
-        "shard": F.size(F.filter("_ends", lambda end: end <= F.col("_rank"))),
-        "_cell": F.pmod(mixed, F.lit(cells)), "_mixed": F.xxhash64(F.lit(seed + 2), F.col("_id"))}).drop("_ends")
-    before = Window.partitionBy("shard").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (dealt.groupBy("shard", "_cell").agg(F.count(F.lit(1)).alias("_n"))
-               .select("shard", "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")))
-    ranked = dealt.withColumn("_in_cell", F.row_number().over(Window.partitionBy("shard", "_cell").orderBy("_mixed", "_id")) - 1)
-    return ranked.join(offsets, ["shard", "_cell"]).select(*columns, "shard", (F.col("_offset") + F.col("_in_cell")).cast("long").alias("slot"))
+    mixed = F.xxhash64(F.lit(seed + 1), F.col("__id"))
+    dealt = local.join(bounds, "__part").withColumns({
+        "shard": F.size(F.filter("__ends", lambda end: end <= F.col("__rank"))),
+        "__cell": F.pmod(mixed, F.lit(cells)), "__mixed": F.xxhash64(F.lit(seed + 2), F.col("__id"))}).drop("__ends")
+    before = Window.partitionBy("shard").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (dealt.groupBy("shard", "__cell").agg(F.count(F.lit(1)).alias("__n"))
+               .select("shard", "__cell", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset")))
+    ranked = dealt.withColumn("__in_cell", F.row_number().over(Window.partitionBy("shard", "__cell").orderBy("__mixed", "__id")) - 1)
+    return ranked.join(offsets, ["shard", "__cell"]).select(*columns, "shard", (F.col("__offset") + F.col("__in_cell")).cast("long").alias("slot"))

@@ -169,26 +169,40 @@ def fingerprint_links(fps: DataFrame, bucket: int = 2000) -> DataFrame:
     return direct.unionByName(_through_midpoints(crowded)) if crowded.limit(1).count() else direct
 
 
+def _tagged(docs: DataFrame, carry: list[str], words: int) -> DataFrame:
+    """The columns to keep, with fingerprint and a tag per row, written once."""
+    rows = without(docs, ["__fp", "__row"]).withColumn("__fp", fingerprint_column(text_or_empty(), words))
+    return written(rows.select(*carry, "__fp", F.monotonically_increasing_id().alias("__row")), "simhash")
+
+
+def _firsts(rows: DataFrame, bucket: int) -> DataFrame:
+    """For each fingerprint ``_least``: id and tag of the first row of its component."""
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__row").alias("row"))
+    of_fp = rows.groupBy("__fp").agg(F.min(first).alias("__first"))
+    roots = component_roots(fingerprint_links(of_fp.select(F.col("__fp").alias("fp")), bucket))
+    of_fp = (of_fp.join(roots, F.col("__fp") == F.col("node"), "left")
+             .select("__fp", "__first", F.coalesce("root", "__fp").alias("__root")))
+    of_root = of_fp.groupBy("__root").agg(F.min("__first").alias("__least"))
+    return of_fp.select("__fp", "__root").join(of_root, "__root").select("__fp", "__least")
+
+
 def link_documents(docs: DataFrame, carry: list[str] | None = None, words: int = 4, bucket: int = 2000) -> DataFrame:
     """Every row with ``fingerprint`` (long), ``component_id`` (smallest id reachable) and ``kept`` (one row a component).
 
     ``carry`` names the columns to return besides; all by default.
     """
     carry = [c for c in (carry or docs.columns) if c.lower() not in ADDED]
-    rows = without(docs.withColumn("_fp", fingerprint_column(text_or_empty(), words)), ["_row"])
-    rows = written(rows.select(*carry, "_fp", F.monotonically_increasing_id().alias("_row")), "simhash")
-    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
-    of_fp = rows.groupBy("_fp").agg(F.min(first).alias("_first"))
-    roots = component_roots(fingerprint_links(of_fp.select(F.col("_fp").alias("fp")), bucket))
-    of_fp = (of_fp.join(roots, F.col("_fp") == F.col("node"), "left")
-             .select("_fp", "_first", F.coalesce("root", "_fp").alias("_root")))
-    of_root = of_fp.groupBy("_root").agg(F.min("_first").alias("_least"))
-    found = of_fp.select("_fp", "_root").join(of_root, "_root").select("_fp", "_least")
-    return rows.join(found, "_fp").select(*carry, F.col("_fp").alias("fingerprint"), F.col("_least.id").alias("component_id"),
-                                          (F.col("_row") == F.col("_least.row")).alias("kept"))
-
-
-def drop_near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
-    """One row of each group of near-duplicates, with the columns of ``docs``."""
-    columns = docs.columns
-    return link_documents(docs, words=words).where("kept").select(*columns)
+    rows = _tagged(docs, carry, words)
+    return rows.join(_firsts(rows, bucket), "__fp").select(
+        *carry, F.col("__fp").alias("fingerprint"), F.col("__least.id").alias("component_id"),
+        (F.col("__row") == F.col("__least.row")).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, bucket: int = 2000) -> DataFrame:
+    """One row of each group of near-duplicates, with the columns of ``docs``.
+
+    What goes is found on tags and fingerprints alone; the tags are written before the rows meet them, so Spark broadcasts them when they are few.
+    """
+    rows = _tagged(docs, docs.columns, words)
+    gone = rows.select("__row", "__fp").join(_firsts(rows, bucket), "__fp").where(F.col("__row") != F.col("__least.row")).select("__row")
+    return rows.join(written(gone, "near-duplicates"), "__row", "left_anti").select(*docs.columns)

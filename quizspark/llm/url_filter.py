@@ -50,15 +50,15 @@ def apply_list(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """Every capture (``url``, ``fetched_at``) with the deciding ``pattern``, its ``action`` and ``listed_from``, and ``kept``."""
     captures = without(captures, ADDED)
     row = F.struct(*captures.columns)
-    tagged = captures.select(row.alias("_capture"), F.monotonically_increasing_id().alias("_row"))
-    keyed = tagged.select("_row", "_capture", F.col("_capture.fetched_at").alias("_at"),
-                          F.explode_outer(patterns_of(F.col("_capture.url"))).alias("_key"))
+    tagged = captures.select(row.alias("__capture"), F.monotonically_increasing_id().alias("__row"))
+    keyed = tagged.select("__row", "__capture", F.col("__capture.fetched_at").alias("__at"),
+                          F.explode_outer(patterns_of(F.col("__capture.url"))).alias("__key"))
     active = intervals(entries)
-    met = keyed.join(active, (F.col("_key") == F.col("pattern")) & (F.col("_at") >= F.col("listed_from"))
-                     & (F.col("listed_to").isNull() | (F.col("_at") < F.col("listed_to"))), "left")
+    met = keyed.join(active, (F.col("__key") == F.col("pattern")) & (F.col("__at") >= F.col("listed_from"))
+                     & (F.col("listed_to").isNull() | (F.col("__at") < F.col("listed_to"))), "left")
     weight = F.struct(F.instr("pattern", "/") > 0, F.length("pattern"), "pattern", "action", "listed_from")
     weight = F.when(F.col("pattern").isNotNull(), weight)
-    decided = met.groupBy("_row").agg(F.first("_capture").alias("_capture"), F.max(weight).alias("_best"))
-    return decided.select("_capture.*", F.col("_best.pattern").alias("pattern"), F.col("_best.action").alias("action"),
-                          F.col("_best.listed_from").alias("listed_from"),
-                          (F.coalesce(F.col("_best.action"), F.lit(ALLOW)) != BLOCK).alias("kept"))
+    decided = met.groupBy("__row").agg(F.first("__capture").alias("__capture"), F.max(weight).alias("__best"))
+    return decided.select("__capture.*", F.col("__best.pattern").alias("pattern"), F.col("__best.action").alias("action"),
+                          F.col("__best.listed_from").alias("listed_from"),
+                          (F.coalesce(F.col("__best.action"), F.lit(ALLOW)) != BLOCK).alias("kept"))
