@@ -14,7 +14,7 @@ columns are replaced. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -46,15 +46,19 @@ def _key_masks() -> list[int]:
 KEY_MASKS = _key_masks()
 
 
+def shingle_spans(w: list[bytes], words: int) -> tuple[bytes, list[int], list[int]]:
+    """The words joined, and where each of their shingles starts and stops."""
+    k = min(words, len(w))
+    ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)
+    return b" ".join(w), np.concatenate([[0], ends[:-1]])[:len(w) - k + 1].tolist(), (ends[k - 1:] - 1).tolist()
+
+
 def fingerprint(text: str | None, words: int, seed: int = 42) -> int:
     """A bit is set if it is in more than half of the hashes of all shingles, repeats included."""
     w = python_words(text)
     if not w:
         return 0
-    joined, k = b" ".join(w), min(words, len(w))
-    ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)
-    starts = np.concatenate([[0], ends[:-1]])[:len(w) - k + 1].tolist()
-    stops = (ends[k - 1:] - 1).tolist()
+    joined, starts, stops = shingle_spans(w, words)
     total = np.zeros(64, np.int64)
     for i in range(0, len(starts), 1 << 14):
         h = np.array([xxhash.xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts[i:i + (1 << 14)], stops[i:i + (1 << 14)])], "<u8")
@@ -175,11 +179,11 @@ def _tagged(docs: DataFrame, carry: list[str], words: int) -> DataFrame:
     return written(rows.select(*carry, "__fp", F.monotonically_increasing_id().alias("__row")), "simhash")
 
 
-def _firsts(rows: DataFrame, bucket: int) -> DataFrame:
-    """For each fingerprint ``_least``: id and tag of the first row of its component."""
+def firsts(rows: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """For each fingerprint ``__least``: id and tag of the first row of its component; ``links`` makes the links of distinct ``fp``."""
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__row").alias("row"))
     of_fp = rows.groupBy("__fp").agg(F.min(first).alias("__first"))
-    roots = component_roots(fingerprint_links(of_fp.select(F.col("__fp").alias("fp")), bucket))
+    roots = component_roots(links(of_fp.select(F.col("__fp").alias("fp"))))
     of_fp = (of_fp.join(roots, F.col("__fp") == F.col("node"), "left")
              .select("__fp", "__first", F.coalesce("root", "__fp").alias("__root")))
     of_root = of_fp.groupBy("__root").agg(F.min("__first").alias("__least"))
@@ -193,7 +197,7 @@ def link_documents(docs: DataFrame, carry: list[str] | None = None, words: int =
     """
     carry = [c for c in (carry or docs.columns) if c.lower() not in ADDED]
     rows = _tagged(docs, carry, words)
-    return rows.join(_firsts(rows, bucket), "__fp").select(
+    return rows.join(firsts(rows, lambda fps: fingerprint_links(fps, bucket)), "__fp").select(
         *carry, F.col("__fp").alias("fingerprint"), F.col("__least.id").alias("component_id"),
         (F.col("__row") == F.col("__least.row")).alias("kept"))
 
@@ -204,5 +208,5 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, bucket: int = 2000) ->
     What goes is found on tags and fingerprints alone; the tags are written before the rows meet them, so Spark broadcasts them when they are few.
     """
     rows = _tagged(docs, docs.columns, words)
-    gone = rows.select("__row", "__fp").join(_firsts(rows, bucket), "__fp").where(F.col("__row") != F.col("__least.row")).select("__row")
+    gone = rows.select("__row", "__fp").join(firsts(rows, lambda fps: fingerprint_links(fps, bucket)), "__fp").where(F.col("__row") != F.col("__least.row")).select("__row")
     return rows.join(written(gone, "near-duplicates"), "__row", "left_anti").select(*docs.columns)
