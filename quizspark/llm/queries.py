@@ -5,8 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quizspark.llm import exact_dedup, line_rules, mixing, ngram, packing, quality, records, sharding, simhash, url_filter
-from quizspark.llm.common import text_or_empty
+from quizspark.llm import (centroids, exact_dedup, line_rules, mixing, ngram, packing, periodic, quality, records, sharding, simhash,
+                           url_filter)
+from quizspark.llm.common import WORD, text_or_empty
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -178,3 +179,62 @@ def op2(spark, sf_dir):
 @query("op4_ngram_score")
 def op4(spark, sf_dir):
     return ngram.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """Documents of which a tenth, by a checksum of the id, repeat a stretch of their words from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def tail(w: F.Column) -> F.Column:
+        a = (g % F.size(w)).cast("int")
+        p = (1 + F.floor((F.size(w) - a) / (3 + g % 8))).cast("int")
+        again = F.flatten(F.array_repeat(F.slice(w, a + 1, p), F.ceil((F.size(w) - a) / p).cast("int")))
+        return F.array_join(F.slice(F.concat(F.slice(w, F.lit(1), a), again), F.lit(1), F.size(w)), " ")
+
+    words = F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))
+    made = line_rules.let(words, lambda w: F.when(F.size(w) > 0, tail(w)).otherwise(F.lit("")))
+    return docs.withColumn("text", F.when(F.col("text").isNotNull() & (h % 10 == 0), made).otherwise(F.col("text")))
+
+
+@query("op12_periodic_runs")
+def op12(spark, sf_dir):
+    docs = with_periodic_tails(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    runs = periodic.mark_runs(docs)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"),
+                                                                            r["period"].cast("string")), F.lit("\n"))), "")
+    out = runs.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"),
+                      F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+    return out.select("doc_id", "n_runs", (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+                      F.floor(1000 * F.col("best.length") / -F.col("best.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def _centroid_sql(rounds: int = 10) -> str:
+    """The rounds one after the other; ``x`` has a row per component, ``c0`` to ``cN`` the centroids, ``a0`` to ``aN`` the nearest ones."""
+    def assigned(k: int) -> str:
+        return f"""a{k} AS MATERIALIZED (SELECT rid, c, d FROM (SELECT x.rid, c.c, sum((x.x - c.x) * (x.x - c.x)) AS d FROM x JOIN c{k} AS c USING (i) GROUP BY 1, 2)
+          QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, c) = 1)"""
+    steps = [assigned(0)]
+    for k in range(rounds):
+        steps.append(f"""c{k + 1} AS MATERIALIZED (SELECT o.c, o.i, coalesce(m.x, o.x) AS x FROM c{k} AS o LEFT JOIN (
+          SELECT c, i, ((s - ((s % n) + n) % n) // n)::BIGINT AS x FROM (SELECT a.c, x.i, sum(x.x) AS s, count(*) AS n FROM a{k} AS a JOIN x USING (rid) GROUP BY 1, 2)) AS m
+          ON o.c = m.c AND o.i = m.i)""")
+        steps.append(assigned(k + 1))
+    parts = ",\n".join(steps)
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda e: floor(1024 * e::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+x AS MATERIALIZED (SELECT rid, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM v),
+f AS (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id::VARCHAR) NULLS LAST, v) - 1 AS c, v FROM v),
+c0 AS MATERIALIZED (SELECT c, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM f WHERE c < 8),
+{parts}
+SELECT v.vec_id, a.c::INTEGER AS cluster, a.d::BIGINT AS distance, (sum(a.d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia,
+       (sum(a.d) OVER ())::BIGINT AS inertia, t.centroid_sha256
+FROM v JOIN a{rounds} AS a USING (rid) JOIN (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY 1) AS t ON a.c = t.c"""
+
+
+@query("op13_centroid_clusters", _centroid_sql())
+def op13(spark, sf_dir):
+    found = centroids.cluster_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.select("vec_id", *centroids.ADDED)
