@@ -42,7 +42,7 @@ def usable(vector: Column, size: int) -> Column:
 def nearest(vector: Column, centroids: Sequence[Sequence[int]]) -> Column:
     """Struct of the squared ``distance`` to the nearest centroid and its number ``cluster``."""
     def apart(c: Sequence[int]) -> Column:
-        literal = F.array(*[F.lit(x).cast("long") for x in c])
+        literal = F.expr("array(" + ", ".join(f"{x}L" for x in c) + ")")  # one call to the JVM, not one per number
         return F.aggregate(F.zip_with(vector, literal, lambda a, b: (a - b) * (a - b)), F.lit(0).cast("long"), lambda s, x: s + x)
     return F.array_min(F.array(*[F.struct(apart(c).alias("distance"), F.lit(i).alias("cluster")) for i, c in enumerate(centroids)]))
 
@@ -57,10 +57,11 @@ def first_centroids(rows: DataFrame, vector: str, id_col: str, k: int, seed: int
 def next_centroids(rows: DataFrame, vector: str, centroids: list[list[int]]) -> list[list[int]]:
     """Floor of the mean of each cluster, component by component."""
     assigned = rows.select(nearest(F.col(vector), centroids)["cluster"].alias("cluster"), vector)
-    sums = assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.get(vector, F.lit(i))).alias(f"s{i}") for i in range(len(centroids[0]))])
+    sums = assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.expr("array(" + ", ".join(
+        f"sum(get({vector}, {i}))" for i in range(len(centroids[0]))) + ")").alias("sums"))
     moved = list(centroids)
     for r in sums.collect():
-        moved[r["cluster"]] = [r[f"s{i}"] // r["n"] for i in range(len(centroids[0]))]
+        moved[r["cluster"]] = [x // r["n"] for x in r["sums"]]
     return moved
 
 
