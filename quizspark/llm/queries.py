@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quizspark.llm import (centroids, exact_dedup, line_rules, mixing, ngram, packing, periodic, quality, records, sharding, simhash,
-                           url_filter)
+                           toxicity, url_filter)
 from quizspark.llm.common import WORD, text_or_empty
 
 QUERIES: dict = {}
@@ -238,3 +238,9 @@ FROM v JOIN a{rounds} AS a USING (rid) JOIN (SELECT c, sha256(string_agg(x::VARC
 def op13(spark, sf_dir):
     found = centroids.cluster_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
     return found.select("vec_id", *centroids.ADDED)
+
+
+@query("op11_toxicity_cnn")
+def op11(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return toxicity.score_documents(docs, table(spark, sf_dir, "labels"), carry=["doc_id"])
