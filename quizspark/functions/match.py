@@ -1,7 +1,10 @@
 """Comparing an answer with one or several acceptable answers.
 
 Strategies run in a fixed order and the first hit wins; without a hit the most confident strategy
-is reported. All are expressions; the fuzzy scores are only computed for rows that the cheap strategies leave open.
+is reported. All are expressions; the fuzzy score is only computed for rows that the cheap strategies leave open.
+
+The strategies are one chain of steps (``plans.stages``). For one expected answer they are columns; for a list of answers they run
+inside the row, once for each answer, so nothing is exploded, shuffled or tagged.
 """
 
 from __future__ import annotations
@@ -10,10 +13,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quizspark import fixed_values as fv
 from quizspark.functions import text as tx
-from quizspark.functions.similarity import fuzzy_scores
-
-# Intermediate values are scalar columns in stages. Each is used more than once, so Catalyst keeps the
-# stages apart and computes every value once; inside structs they would be copied into each use.
+from quizspark.functions.similarity import BEST_STEPS
+from quizspark.plans.stages import Step, as_columns, in_row
+from quizspark.plans.storage import written
 
 
 def _one_zero(hit: Column) -> Column:
@@ -49,6 +51,100 @@ def _has_number(norm: Column) -> Column:
     return norm.rlike(r"(?Ui)\d|\b(?:" + "|".join(fv.NUMBER_WORDS) + r")\b")
 
 
+def _col(x) -> Column:
+    return x if isinstance(x, Column) else F.lit(x)
+
+
+def _answer_side(x) -> dict[str, Column]:
+    """What the answer alone tells."""
+    return {"na": tx.normalize_text(x("answer")), "blank": F.coalesce(tx.strip(x("answer")) == "", F.lit(True)),
+            "asks": tx.starts_as_question(x("answer"))}
+
+
+def _strategies(fuzzy: bool, count_distinct: bool) -> list[Step]:
+    """From ``answer, expected, needs_form, fuzzy_least, semantic_least, synonym`` and the answer's side to ``match``."""
+    def texts(x):
+        return {"ne": tx.normalize_text(x("expected")), "fa": tx.question_content(x("na"))}
+
+    def forms(x):
+        return {"fe": tx.question_content(x("ne")), "h0": ~x("blank") & (x("na") == x("ne"))}
+
+    def same_content(x):
+        fa, fe = x("fa"), x("fe")
+        same = F.when(fa.isNotNull() | fe.isNotNull(), F.coalesce(fa, x("na")) == F.coalesce(fe, x("ne"))).otherwise(F.lit(False))
+        return {"h1": ~x("blank") & same}
+
+    def open_rows(x):
+        lacks_form = x("needs_form") & ~x("asks")
+        still = ~(x("blank") | x("h0") | x("h1"))
+        return {"c1": question_form_confidence(x("fa"), x("fe"), x("h1")) * F.when(lacks_form, 0.5).otherwise(1.0), "open": still,
+                # Without a number in the expected answer, or an answer still to settle, there is nothing to list.
+                "n": still & _has_number(x("ne")) & _has_number(x("na"))}
+
+    def listed(x):
+        return {"va": F.when(x("n"), listed_numbers(x("na"))), "ve": F.when(x("n"), listed_numbers(x("ne")))}
+
+    def numbers(x):
+        years = tx.extract_years(x("na")), tx.extract_years(x("ne"))
+        return {"c2": F.when(x("n"), number_confidence(x("va"), x("ve"), *years, count_distinct)).otherwise(0.0)}
+
+    def without_numbers(x):
+        return {"h2": x("c2") >= fv.NUMBER_THRESHOLD, "open": x("open") & ~(x("c2") >= fv.NUMBER_THRESHOLD)}
+
+    def expanded(x):
+        return {"xa": F.when(x("open"), tx.expand_abbreviations(x("na"))), "xe": F.when(x("open"), tx.expand_abbreviations(x("ne")))}
+
+    def abbreviations(x):
+        xa, xe = x("xa"), x("xe")
+        return {"h3": F.coalesce((xa == x("ne")) | (x("na") == xe) | (xa == xe), F.lit(False))}
+
+    def to_score(x):
+        still = x("open") & ~x("h3")
+        return {"open": still, "a": F.when(still, x("na")), "b": F.when(still, x("ne"))}
+
+    def scored(x):
+        c4 = F.coalesce(x("best"), F.lit(0)) / 100.0
+        return {"c4": c4, "h4": x("open") & (c4 >= x("fuzzy_least"))}
+
+    def unscored(x):
+        return {"open": x("open") & ~x("h3"), "c4": F.lit(0.0), "h4": F.lit(False)}
+
+    def tokens(x):
+        still = x("open") & ~x("h4")
+        return {"open": still, "ta": F.when(still, tx.meaningful_tokens(x("na"))), "te": F.when(still, tx.meaningful_tokens(x("ne")))}
+
+    def semantic(x):
+        shared = F.when(x("open"), tx.jaccard(x("ta"), x("te"))).otherwise(0.0)
+        return {"c5": F.greatest(shared, F.when(x("open"), x("synonym") * 0.8).otherwise(0.0))}
+
+    def most(x):
+        return {"h5": x("open") & (x("c5") >= x("semantic_least")), "top": F.greatest(x("c1"), x("c2"), x("c4"), x("c5"))}
+
+    def decided(x):
+        confidences = [F.lit(1.0), x("c1"), x("c2"), F.lit(1.0), x("c4"), x("c5")]
+        kind, confidence, found = F.when(x("blank"), "exact"), F.when(x("blank"), F.lit(0.0)), F.lit(False)
+        for i, (name, c) in enumerate(zip(_ORDER, confidences)):
+            hit = x(f"h{i}")
+            kind, confidence, found = kind.when(hit, name), confidence.when(hit, c), found | hit
+        # Nothing matched: the earliest strategy with the highest confidence.
+        kind = kind.when(x("top") == 0, "exact")
+        for i in (1, 2, 4, 5):
+            kind = kind.when(x(f"c{i}") == x("top"), _ORDER[i])
+        return {"match": F.struct(
+            found.alias("is_match"), confidence.otherwise(x("top")).alias("confidence"), kind.alias("match_type"),
+            F.when(x("blank"), F.lit("")).otherwise(x("na")).alias("normalized_answer"), x("ne").alias("normalized_expected"))}
+
+    fuzzy_steps = [to_score, *BEST_STEPS, scored] if fuzzy else [unscored]
+    return [texts, forms, same_content, open_rows, listed, numbers, without_numbers, expanded, abbreviations, *fuzzy_steps,
+            tokens, semantic, most, decided]
+
+
+def _given(answer: Column, form_required, fuzzy_threshold, semantic_threshold, synonym_score: str | None) -> dict[str, Column]:
+    synonym = F.coalesce(F.col(synonym_score), F.lit(0.0)) if synonym_score else F.lit(0.0)
+    return {"answer": answer, "needs_form": _col(form_required), "fuzzy_least": _col(fuzzy_threshold),
+            "semantic_least": _col(semantic_threshold), "synonym": synonym.cast("double")}
+
+
 def match_answers(df: DataFrame, answer: str, expected: str, form_required: Column | bool = False,
                   fuzzy: bool = True, fuzzy_threshold: Column | float = fv.FUZZY_THRESHOLD,
                   semantic_threshold: Column | float = fv.SEMANTIC_THRESHOLD,
@@ -57,107 +153,60 @@ def match_answers(df: DataFrame, answer: str, expected: str, form_required: Colu
 
     Rows settled by an earlier strategy skip the work of the later ones.
     """
-    def col(x) -> Column:
-        return x if isinstance(x, Column) else F.lit(x)
-    out = (df.withColumn("_na", tx.normalize_text(F.col(answer)))
-           .withColumn("_ne", tx.normalize_text(F.col(expected)))
-           .withColumn("_blank", F.coalesce(tx.strip(F.col(answer)) == "", F.lit(True))))
-    na, ne = F.col("_na"), F.col("_ne")
-    out = (out.withColumn("_h0", ~F.col("_blank") & (na == ne))
-           .withColumn("_fa", tx.question_content(na)).withColumn("_fe", tx.question_content(ne)))
-    fa, fe = F.col("_fa"), F.col("_fe")
-    same = F.when(fa.isNotNull() | fe.isNotNull(), F.coalesce(fa, na) == F.coalesce(fe, ne)).otherwise(F.lit(False))
-    out = out.withColumn("_h1", ~F.col("_blank") & same)
-    lacks_form = col(form_required) & ~tx.starts_as_question(F.col(answer))
-    out = out.withColumn("_c1", question_form_confidence(fa, fe, F.col("_h1"))
-                         * F.when(lacks_form, 0.5).otherwise(1.0))
-    # Without a number in the expected answer, or an answer still to settle, there is nothing to list.
-    out = (out.withColumn("_open", ~(F.col("_blank") | F.col("_h0") | F.col("_h1")))
-           .withColumn("_n", F.col("_open") & _has_number(ne) & _has_number(na)))
-    n = F.col("_n")
-    out = (out.withColumn("_va", F.when(n, listed_numbers(na))).withColumn("_ve", F.when(n, listed_numbers(ne))))
-    out = out.withColumn("_c2", F.when(n, number_confidence(
-        F.col("_va"), F.col("_ve"), tx.extract_years(na), tx.extract_years(ne), count_distinct)).otherwise(0.0))
-    out = (out.withColumn("_h2", F.col("_c2") >= fv.NUMBER_THRESHOLD)
-           .withColumn("_open", F.col("_open") & ~F.col("_h2"))
-           .withColumn("_xa", F.when(F.col("_open"), tx.expand_abbreviations(na)))
-           .withColumn("_xe", F.when(F.col("_open"), tx.expand_abbreviations(ne))))
-    xa, xe = F.col("_xa"), F.col("_xe")
-    out = (out.withColumn("_h3", F.coalesce((xa == ne) | (na == xe) | (xa == xe), F.lit(False)))
-           .withColumn("_open", F.col("_open") & ~F.col("_h3")))
-    if fuzzy:
-        still = F.col("_open")
-        out = out.withColumn("_fz", fuzzy_scores(F.when(still, na), F.when(still, ne)))
-        out = out.withColumn("_c4", F.coalesce(F.col("_fz.best"), F.lit(0)) / 100.0)
-        out = out.withColumn("_h4", still & (F.col("_c4") >= col(fuzzy_threshold)))
-    else:
-        out = out.withColumn("_c4", F.lit(0.0)).withColumn("_h4", F.lit(False))
-    out = out.withColumn("_open", F.col("_open") & ~F.col("_h4"))
-    out = (out.withColumn("_ta", F.when(F.col("_open"), tx.meaningful_tokens(na)))
-           .withColumn("_te", F.when(F.col("_open"), tx.meaningful_tokens(ne))))
-    shared = F.when(F.col("_open"), tx.jaccard(F.col("_ta"), F.col("_te"))).otherwise(0.0)
-    if synonym_score:
-        shared = F.greatest(shared, F.when(F.col("_open"), F.coalesce(F.col(synonym_score), F.lit(0.0)) * 0.8)
-                            .otherwise(0.0))
-    out = out.withColumn("_c5", shared)
-    out = (out.withColumn("_h5", F.col("_open") & (F.col("_c5") >= col(semantic_threshold)))
-           .withColumn("_top", F.greatest("_c1", "_c2", "_c4", "_c5")))
-    hits = [(F.col(f"_h{i}"), name, c) for i, (name, c) in enumerate(zip(
-        _ORDER, [F.lit(1.0), F.col("_c1"), F.col("_c2"), F.lit(1.0), F.col("_c4"), F.col("_c5")]))]
-    kind, confidence, found = F.when(F.col("_blank"), "exact"), F.when(F.col("_blank"), F.lit(0.0)), F.lit(False)
-    for hit, name, c in hits:
-        kind, confidence, found = kind.when(hit, name), confidence.when(hit, c), found | hit
-    # Nothing matched: the earliest strategy with the highest confidence.
-    kind = kind.when(F.col("_top") == 0, "exact")
-    for i in (1, 2, 4, 5):
-        kind = kind.when(F.col(f"_c{i}") == F.col("_top"), _ORDER[i])
-    match = F.struct(
-        found.alias("is_match"), confidence.otherwise(F.col("_top")).alias("confidence"), kind.alias("match_type"),
-        F.when(F.col("_blank"), F.lit("")).otherwise(na).alias("normalized_answer"),
-        ne.alias("normalized_expected"))
-    helpers = ["_na", "_ne", "_blank", "_fa", "_fe", "_open", "_n", "_va", "_ve", "_xa", "_xe", "_fz", "_ta", "_te",
-               "_top", *[f"_h{i}" for i in range(6)], "_c1", "_c2", "_c4", "_c5"]
-    return out.withColumn("match", match).drop(*helpers)
-
-
-def match_any(df: DataFrame, answer: str, expected: str, alternatives: str, **options) -> DataFrame:
+    given = _given(F.col(answer), form_required, fuzzy_threshold, semantic_threshold, synonym_score)
+    steps = [lambda x: {**given, "expected": F.col(expected)}, _answer_side, *_strategies(fuzzy, count_distinct)]
+    out = as_columns(df, steps, "_m_")
+    return out.withColumn("match", F.col("_m_match")).drop(*[c for c in out.columns if c.startswith("_m_")])
+
+
+def match_any(df: DataFrame, answer: str, expected: str, alternatives: str, form_required: Column | bool = False,
+              fuzzy: bool = True, fuzzy_threshold: Column | float = fv.FUZZY_THRESHOLD,
+              semantic_threshold: Column | float = fv.SEMANTIC_THRESHOLD,
+              synonym_score: str | None = None, count_distinct: bool = False) -> DataFrame:
     """Match against the expected answer and a list of alternatives; adds ``match`` and ``matched_against``.
 
-    The first hit in (strategy, position) order wins, else the highest confidence, earliest first.
-    Each row fans out to its own list and is put together again under a tag of its own, so rows may repeat, no id is needed and
-    nothing is joined. ``options`` are those of ``match_answers``.
+    The first hit in (strategy, position) order wins, else the highest confidence, earliest first. The list is folded inside the row.
     """
-    listed = F.concat(F.array(F.col(expected)),
-                      F.coalesce(F.col(alternatives), F.array().cast("array<string>")))
-    tagged = df.withColumn("_row", F.monotonically_increasing_id())
-    matched = match_answers(tagged.select("*", F.posexplode(listed).alias("_pos", "_acceptable")), answer, "_acceptable", **options)
-    m = F.col("match")
+    given = _given(F.col(answer), form_required, fuzzy_threshold, semantic_threshold, synonym_score)
+    out = as_columns(df, [lambda x: given, _answer_side], "_m_")
+    bound = {name: F.col(f"_m_{name}") for name in [*given, "na", "blank", "asks"]}
+    listed = F.concat(F.array(F.col(expected)), F.coalesce(F.col(alternatives), F.array().cast("array<string>")))
     order = F.array(*[F.lit(x) for x in _ORDER])
-    strategy = F.array_position(order, m["match_type"])
-    rank = F.struct((~m["is_match"]).alias("miss"),
-                    F.when(m["is_match"], F.lit(0.0)).otherwise(-m["confidence"]).alias("c"),
-                    strategy.alias("s"), F.col("_pos").alias("p"))
-    best = matched.groupBy("_row").agg(
-        F.min_by(F.struct(*df.columns, "match", F.col("_acceptable").alias("matched_against")), rank).alias("_b"))
-    return best.select("_b.*")
+
+    def ranked(x) -> dict[str, Column]:
+        m = x("match")
+        return {"ranked": F.struct(
+            (~m["is_match"]).alias("miss"), F.when(m["is_match"], F.lit(0.0)).otherwise(-m["confidence"]).alias("less"),
+            F.array_position(order, m["match_type"]).alias("strategy"), x("at").alias("at"), m.alias("match"), x("expected").alias("matched_against"))}
+
+    steps = [*_strategies(fuzzy, count_distinct), ranked]
+    each = F.transform(listed, lambda e, i: in_row({**bound, "expected": e, "at": i}, steps, "ranked"))
+    out = out.withColumn("_m_best", F.array_min(each)).withColumns({"match": F.col("_m_best.match"), "matched_against": F.col("_m_best.matched_against")})
+    return out.drop(*[c for c in out.columns if c.startswith("_m_")])
 
 
 def synonym_similarity(df: DataFrame, row_id: str, tokens: str, expected_tokens: str,
                        synonyms: DataFrame) -> DataFrame:
     """Mean over answer tokens of the best similarity to any expected token.
 
-    ``synonyms`` has ``token_a, token_b, sim``. Equal tokens count as 1.
+    ``synonyms`` has ``token_a, token_b, sim``; of several values for a pair the greatest counts. Equal tokens count as 1. A row without tokens, or with a NULL list, scores 0.
+
+    The distinct pairs of an answer token and another expected token are resolved first, so a token of many rows meets the synonyms once. Rows carry a written tag of their own;
+    ids may repeat or be NULL (``row_id`` is kept for its callers and not read). Only pairs that are synonyms come back to the rows, as a
+    map from token to its best value.
     """
-    words = df.select(row_id, F.col(expected_tokens).alias("_e"),
-                      F.posexplode(tokens).alias("_pos", "_token"))
-    known = synonyms.select("token_a", "token_b", "sim")
-    # Only pairs that an expected token completes leave the join; a token without any keeps its row.
-    joined = words.join(known, (F.col("_token") == F.col("token_a")) & F.array_contains("_e", F.col("token_b")), "left")
-    best = F.greatest(F.when(F.array_contains("_e", F.col("_token")), 1.0).otherwise(0.0),
-                      F.coalesce("sim", F.lit(0.0)))
-    per_token = joined.groupBy(row_id, "_pos").agg(F.max(best).alias("_best"))
-    sums = per_token.groupBy(row_id).agg(F.sum("_best").alias("_sum"))
-    return (df.join(sums, row_id, "left")
-            .withColumn("synonym_score", F.coalesce(
-                F.col("_sum") / F.nullif(F.size(tokens), F.lit(0)), F.lit(0.0)))
-            .drop("_sum"))
+    rows = written(df.withColumn("_row", F.monotonically_increasing_id()), "synonym-rows")
+    pairs = (rows.select("_row", F.explode(F.array_distinct(tokens)).alias("_t"), F.col(expected_tokens).alias("_e"))
+             .where(~F.array_contains("_e", F.col("_t"))).select("_row", "_t", F.explode(F.array_distinct("_e")).alias("_x")))
+    known = synonyms.where("sim is not null").groupBy("token_a", "token_b").agg(F.max("sim").alias("sim"))
+    seen = pairs.select("_t", "_x").distinct()
+    resolved = written(seen.join(known, (F.col("_t") == F.col("token_a")) & (F.col("_x") == F.col("token_b")))
+                       .select("token_a", "token_b", "sim"), "synonym-pairs")
+    met = pairs.join(resolved, (F.col("_t") == F.col("token_a")) & (F.col("_x") == F.col("token_b")))
+    best = (met.groupBy(F.col("_row").alias("_of"), "_t").agg(F.max("sim").alias("_sim"))
+            .groupBy("_of").agg(F.map_from_entries(F.collect_list(F.struct("_t", "_sim"))).alias("_known")))  # at most the row's own tokens
+    sums = F.aggregate(F.transform(tokens, lambda t: F.when(F.array_contains(expected_tokens, t), 1.0).otherwise(
+        F.coalesce(F.greatest(F.try_element_at("_known", t), F.lit(0.0)), F.lit(0.0)))), F.lit(0.0), lambda s, x: s + x)
+    return (rows.join(best, F.col("_row") == F.col("_of"), "left")
+            .withColumn("synonym_score", F.coalesce(sums / F.nullif(F.size(tokens), F.lit(0)), F.lit(0.0)))
+            .select(*df.columns, "synonym_score"))

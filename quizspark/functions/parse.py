@@ -12,8 +12,6 @@ from quizspark.functions import text as tx
 WORDS_ALT = "|".join(fv.QUESTION_WORDS)
 VERBS_ALT = "|".join(fv.QUESTION_VERBS)
 FORM_ANYWHERE = rf"(?i)(?:{WORDS_ALT})\s+(?:{VERBS_ALT})\s+"
-# Search order of question starters: all words with the first verb, then the next verb.
-STARTERS = [rf"{w}\s+{v}\s+" for v in fv.QUESTION_VERBS for w in fv.QUESTION_WORDS]
 
 
 def clean_response(c: Column) -> Column:
@@ -73,10 +71,18 @@ def reasoning(clean: Column) -> Column:
 
 
 def question_hit(clean: Column) -> Column:
-    """The first starter in list order with the rest of its sentence; NULL when there is none."""
-    hits = [F.nullif(F.regexp_extract(clean, f"(?i)({s}[^?.!]*[?.!]?)", 1), F.lit(""))
-            for s in STARTERS]
-    return F.trim(F.coalesce(*hits))
+    """The first starter in list order with the rest of its sentence; NULL when there is none.
+
+    One search finds the starters wherever they stand; those found are put in list order.
+    """
+    found = F.regexp_extract_all(clean, F.lit(rf"(?i)(?=((?:{WORDS_ALT})\s+(?:{VERBS_ALT})\s+[^?.!]*[?.!]?))"), F.lit(1))
+    words, verbs = (F.array(*[F.lit(x) for x in listed]) for listed in (fv.QUESTION_WORDS, fv.QUESTION_VERBS))
+
+    def placed(hit: Column, i: Column) -> Column:
+        start = F.split(F.lower(hit), r"\s+", 3)
+        return F.struct(F.array_position(verbs, F.get(start, F.lit(1))).alias("verb"), F.array_position(words, F.get(start, F.lit(0))).alias("word"),
+                        i.alias("at"), hit.alias("hit"))
+    return F.trim(F.array_min(F.transform(found, placed))["hit"])
 
 
 def as_question(hit: Column) -> Column:

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quizspark import fixed_values as fv
-from quizspark.plans.ranking import seeded_key, smallest_by_hash, with_position
+from quizspark.plans.ranking import rows_at_ranks, seeded_key, smallest_by_hash, with_position
 from quizspark.plans.storage import written
 
 
@@ -81,16 +81,21 @@ def allocation(df: DataFrame, strata: Sequence[str], n: int, exact: bool = False
     gap = F.lit(n) - base.agg(F.sum("_a").alias("s")).select("s").scalar()
     # The |gap| largest strata are adjusted. Counts of strata per size tell which sizes are adjusted as a whole and
     # where the last one starts; the window over sizes sees one row per distinct size.
+    # The |gap| largest strata are adjusted, as far as they have room, which strata of one size have or lack together. Strata with
+    # room are fewer than n, whatever the number of strata. Sizes are adjusted as a whole but for the last, of which the first strata in order are.
     ranked = base.withColumn("_gap", gap).where(F.abs("_gap") > 0 if exact else F.col("_gap") > 0)
-    larger = Window.orderBy(F.desc("n_rows")).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = (ranked.groupBy("n_rows").agg(F.count(F.lit(1)).alias("_k"))
-             .select("n_rows", F.coalesce(F.sum("_k").over(larger), F.lit(0)).alias("_before")))
-    in_size = Window.partitionBy("n_rows").orderBy(*[F.col(s).asc_nulls_first() for s in strata])
     room = F.when(F.col("_gap") > 0, F.col("_a") < F.col("n_rows")).otherwise(F.col("_a") > 1)
-    adjusted = (ranked.join(sizes, "n_rows").where(F.col("_before") < F.abs("_gap"))
-                .withColumn("_rn", F.col("_before") + F.row_number().over(in_size))
-                .where(F.col("_rn") <= F.abs("_gap")).where(room)
-                .select(*strata, F.signum("_gap").cast("bigint").alias("_d")))
+    larger = Window.orderBy(F.desc("n_rows")).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = (ranked.groupBy("n_rows", "_a", "_gap").agg(F.count(F.lit(1)).alias("_k"))
+             .withColumn("_before", F.coalesce(F.sum("_k").over(larger), F.lit(0))).where((F.col("_before") < F.abs("_gap")) & room)
+             .select(F.col("n_rows").alias("_size"), "_k", (F.abs("_gap") - F.col("_before")).alias("_some")))
+    sizes = written(sizes, "sizes")
+    adjusted = ranked.join(sizes.where("_k <= _some"), F.col("n_rows") == F.col("_size")).select(*strata, "_gap")
+    cut = sizes.where("_k > _some").first()
+    if cut:
+        in_order = ranked.where(F.col("n_rows") == cut["_size"]).orderBy(*[F.col(s).asc_nulls_first() for s in strata])
+        adjusted = adjusted.unionByName(in_order.limit(cut["_some"]).select(*strata, "_gap"))
+    adjusted = adjusted.select(*strata, F.signum("_gap").cast("bigint").alias("_d"))
     same = [F.col(f"b.{s}").eqNullSafe(F.col(f"d.{s}")) for s in strata]
     return (base.alias("b").join(adjusted.alias("d"), same, "left")
             .select(*[F.col(f"b.{s}").alias(s) for s in strata], F.col("b.n_rows").alias("n_rows"),
@@ -172,10 +177,18 @@ def balanced_sample(df: DataFrame, n: int | None = None, shares: dict[str, float
 
 
 def systematic_sample(df: DataFrame, n: int, seed: int = 42, id_col: str = "question_id") -> DataFrame:
-    """Every k-th row in id order, k = rows div n, from a start that the seed fixes; n rows at most."""
-    population = _population(df)
-    step = max(1, population // n)
+    """Every k-th row in id order, k = rows div n, from a start that the seed fixes; n rows at most.
+
+    Whole-number ids are found by multi-rank selection, which leaves the table where it is; ids of other types, and tables with NULL ids, are put in order.
+    """
+    whole = df.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long")
+    seen = df.agg(F.count(F.lit(1)).alias("n"), F.count(id_col).alias("ids"), F.min(id_col).alias("low"), F.max(id_col).alias("high")).first()
+    if seen["n"] == 0:
+        raise SamplingError("cannot sample from an empty table")
+    step = max(1, seen["n"] // n)
     start = seed % step
+    if whole and seen["ids"] == seen["n"]:
+        return rows_at_ranks(df, id_col, start, step, n, seen["low"], seen["high"])
     index = F.col("_position") - 1
     return (with_position(df, id_col, "_position")
             .where((F.pmod(index, F.lit(step)) == start) & (index < start + step * n)).drop("_position"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quizspark.functions.labels import difficulty_level
 from quizspark.operators.catalog import normalize_catalog
+from quizspark.plans.spread import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,9 +53,12 @@ def raw_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.date_format(day, "yyyy-MM-dd HH:mm:ss")).alias("Date"))
 
 
-def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as graded answers of three models in one run per supplier."""
+def results(spark: SparkSession, sf_dir: str, spread_out: bool = False) -> DataFrame:
+    """Line items as graded answers of three models in one run per supplier; dealt to all cores if asked."""
     lines = table(spark, sf_dir, "lineitem")
+    if spread_out:
+        lines = spread(lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_discount", "l_quantity",
+                                    "l_tax"))
     line = F.col("l_linenumber")
     correct = F.when((F.col("l_linestatus") == "O") & (line == 7), F.lit(None).cast("boolean")).otherwise(
         F.col("l_discount") < 0.05)
@@ -93,7 +97,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(line == 6, F.concat(F.lit("The answer is: who is "), near, F.lit("! Certain")))
             .otherwise(F.when(F.pmod(F.col("question_id"), F.lit(4)) == 0, F.lit("  "))
                        .otherwise(F.concat(F.lit("This is five "), near))))
-    return results(spark, sf_dir).join(q, "question_id").withColumn("response_text", text)
+    return results(spark, sf_dir, spread_out=True).join(q, "question_id").withColumn("response_text", text)
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:

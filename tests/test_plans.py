@@ -1,10 +1,13 @@
+import hashlib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quizspark.operators import metrics as m, retention as rt, validate as val
 from quizspark.plans import quantiles as q
-from quizspark.plans.ranking import seeded_key, smallest_by_hash, with_position
+from quizspark.plans.ranking import rows_at_ranks, seeded_key, smallest_by_hash, with_position
+from quizspark.plans.storage import written
 
 
 def test_order_statistics_match_sorting_with_a_hot_group(spark):
@@ -96,3 +99,38 @@ def test_offset_without_limit(spark):
     from quizspark.operators.filters import get_questions
     df = spark.range(500).select(F.col("id").alias("question_id"))
     assert sorted(r[0] for r in get_questions(df, offset=123).collect()) == list(range(123, 500))
+
+
+def test_radix_selection_in_several_rounds(spark):
+    """Small cells force several rounds; the rows are those of the whole order."""
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else i % 3) for i in range(3000)], "id int, g int").repartition(4)
+    quota = spark.createDataFrame([(None, 100), (0, 1), (1, 5000), (2, 0)], "g int, n_take int")
+    got = smallest_by_hash(df, ["g"], seeded_key(1, "id"), "id", quota, rows_per_cell=2)
+    order = sorted((hashlib.md5(f"1|{i}".encode()).hexdigest(), i, None if i % 5 == 0 else i % 3) for i in range(3000))
+    for g, n in ((None, 100), (0, 1), (1, 5000), (2, 0)):
+        assert sorted(r["id"] for r in got.collect() if r["g"] == g) == sorted([i for _, i, x in order if x == g][:n])
+    one = spark.range(1).selectExpr("77L AS n_take")
+    assert sorted(r["id"] for r in smallest_by_hash(df, [], seeded_key(1, "id"), "id", one, rows_per_cell=1).collect()) == sorted(i for _, i, _ in order[:77])
+    assert smallest_by_hash(df.limit(0), [], seeded_key(1, "id"), "id", one).collect() == []
+    alike = spark.createDataFrame([(7, i) for i in range(50)], "id int, x int")
+    assert len(smallest_by_hash(alike, [], seeded_key(1, "id"), "x", one.selectExpr("20L AS n_take"), rows_per_cell=3).collect()) == 20
+
+
+def test_radix_selection_leaves_the_table_where_it_is(spark):
+    df = spark.range(100_000).repartition(4).selectExpr("id", "id % 7 AS g")
+    path = written(df, "radix-test")
+    got = smallest_by_hash(path, [], seeded_key(1, "id"), "id", spark.range(1).selectExpr("1000L AS n_take"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and plan.count("Relation") == 2 and "substring(md5" in plan
+    assert got.count() == 1000
+
+
+@pytest.mark.parametrize("n,step,rows_per_cell", [(10, 7, 3), (50, 40, 2), (1, 5000, 1), (300, 1, 4)])
+def test_rows_at_ranks(spark, n, step, rows_per_cell):
+    rng = random.Random(2)
+    ids = [rng.choice([rng.randint(-50, 50), rng.randint(0, 10**12), 5]) for _ in range(5000)]
+    df = spark.createDataFrame([(i,) for i in ids], "id bigint").repartition(3)
+    start = 3 % step
+    got = rows_at_ranks(df, "id", start, step, n, min(ids), max(ids), rows_per_cell)
+    want = [x for k, x in enumerate(sorted(ids)) if k % step == start and k < start + step * n]
+    assert sorted(r[0] for r in got.collect()) == want

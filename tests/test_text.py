@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,3 +160,47 @@ def test_apply_model_keeps_failures(spark):
         return {"response_text": prompt.upper(), "latency_ms": 5, "tokens_used": 2, "cost_usd": 0.1}
     rows = g.apply_model(spark.createDataFrame([(1, "hi"), (2, "bad")], "question_id bigint, prompt string"), ask).orderBy("question_id").collect()
     assert rows[0]["response_text"] == "HI" and rows[1]["error"] == "no quota" and rows[1]["response_text"] == ""
+
+
+def test_long_texts_have_bounded_work(spark):
+    rng = random.Random(3)
+    def long(n):
+        return " ".join("".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    b = long(400)
+    rows = [(1, long(800), b), (2, long(200) + " " + b + " " + long(200), b)]
+    df = spark.createDataFrame(rows, "i int, a string, b string")
+    started = time.time()
+    got = {r["i"]: r for r in df.select("i", si.best_score(F.col("a"), F.col("b")).alias("best"), si.fuzzy_scores(F.col("a"), F.col("b")).alias("s")).collect()}
+    assert time.time() - started < 60
+    assert got[2]["best"] == got[2]["s"]["partial_ratio"] == 100 and got[1]["best"] == got[1]["s"]["best"] < 50
+
+
+def test_best_score_equals_best_of_all(spark):
+    rng = random.Random(4)
+    rows = [(i, *[" ".join("".join(rng.choice("abé") for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(0, 6))) for _ in "ab"]) for i in range(300)]
+    df = spark.createDataFrame([*rows, (999, None, "a"), (998, "a", None)], "i int, a string, b string")
+    for r in df.select(si.best_score(F.col("a"), F.col("b")).alias("best"), si.fuzzy_scores(F.col("a"), F.col("b"))["best"].alias("all")).collect():
+        assert r["best"] == r["all"]
+
+
+def test_lists_of_answers_are_folded_in_the_row(spark):
+    df = spark.createDataFrame([(None, "rome", "paris", ["x", "Rome!"]), (None, "rome", "paris", None), (1, "rome", "rome", [])], "id int, a string, e string, alt array<string>")
+    out = mt.match_any(df, "a", "e", "alt")
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString() and out.columns == [*df.columns, "match", "matched_against"]
+    assert sorted((str(r["id"]), r["match"]["is_match"], r["matched_against"]) for r in out.collect()) == [
+        ("1", True, "rome"), ("None", False, "paris"), ("None", True, "Rome!")]
+
+
+def test_synonyms_of_repeated_and_null_ids(spark):
+    rows = spark.createDataFrame([(1, ["a"], ["b"]), (1, ["z"], ["q"]), (None, ["a"], ["b"]), (None, None, ["b"]), (2, ["a", "a", "b"], ["b", "c"])],
+                                 "id int, ta array<string>, te array<string>")
+    synonyms = spark.createDataFrame([("a", "b", 0.5), ("a", "b", 0.4), ("a", "c", 0.75), ("z", "x", 1.0)], "token_a string, token_b string, sim double")
+    out = mt.synonym_similarity(rows, "id", "ta", "te", synonyms)
+    assert out.columns == ["id", "ta", "te", "synonym_score"]
+    assert sorted((str(r["id"]), round(r["synonym_score"], 6)) for r in out.collect()) == [
+        ("1", 0.0), ("1", 0.5), ("2", round(2.5 / 3, 6)), ("None", 0.0), ("None", 0.5)]
+
+
+def test_question_starters_in_list_order(spark):
+    df = spark.createDataFrame([("So how was it? And somewhat  is odd. Who is there",), ("none",), ("WHY IS it so! what were they",)], "c string")
+    assert [r[0] for r in df.select(ps.question_hit(F.col("c"))).collect()] == ["what  is odd.", None, "WHY IS it so!"]
