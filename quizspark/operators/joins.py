@@ -1,7 +1,7 @@
 """Joins between results, questions, runs and price lists.
 
 Sides are not marked for broadcast: Spark broadcasts what it knows or measures to be small and splits skewed partitions of what
-is not. A price list, which is known to be short, is looked up in a map instead of being joined.
+is not.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quizspark import fixed_values as fv
 from quizspark.functions.labels import per_million
+from quizspark.plans.storage import written
 
 
 def results_with_questions(results: DataFrame, questions: DataFrame, how: str = "inner") -> DataFrame:
@@ -56,32 +57,29 @@ def alternative_ids(model_id: Column) -> Column:
     return F.filter(listed, lambda x: x.isNotNull() & (x != model_id))
 
 
-def _price_map(prices: DataFrame) -> Column:
-    """A price list as one map from model id to input and output price per million tokens."""
-    entry = F.struct("model_id", F.struct(F.col("input_cost").alias("i"), F.col("output_cost").alias("o")))
-    one = prices.groupBy("model_id").agg(F.first(F.struct("input_cost", "output_cost")).alias("p")).select("model_id", "p.*")
-    return one.agg(F.map_from_entries(F.collect_list(entry)).alias("m")).select("m").scalar()
-
-
 def price_usage(usage: DataFrame, catalog: DataFrame | None, static_prices: DataFrame) -> DataFrame:
     """Attach input and output price per million tokens and the list it came from.
 
-    Order: dynamic catalog, static list, alternative ids in order, else 0. The lists hold the models on offer, some hundred rows; each
-    becomes one map, so the usage log is read once and neither joined nor shuffled. A catalog of another size belongs in a join.
+    Order: dynamic catalog, static list, alternative ids in order on the static list, else 0. The distinct ids of the log, with what each may be found as, meet the whole
+    lists by equality; the best place wins, and the prices found, one row per id, are written and meet the log. So the log is scanned twice, for its ids and for its rows, and is
+    shuffled only if it has too many ids to broadcast. A list's rows without an id are ignored; of rows with the same id the one with the least prices counts. Usage
+    without an id has no price.
     """
-    out, ids = usage, F.concat(F.array("model_id"), alternative_ids(F.col("model_id")))
-    dynamic = F.lit(None).cast("struct<i:double,o:double>")
+    lists = static_prices.select(F.lit(1).alias("_list"), "model_id", F.col("input_cost").cast("double").alias("_i"), F.col("output_cost").cast("double").alias("_o"))
     if catalog is not None:
-        per = catalog.select("model_id", per_million(F.col("input_cost")).alias("input_cost"), per_million(F.col("output_cost")).alias("output_cost"))
-        dynamic = F.try_element_at(_price_map(per), F.col("model_id"))
-    out = out.withColumns({"_tried": F.when(F.col("model_id").isNotNull(), ids), "_static": _price_map(static_prices)})
-    hits = F.filter(F.transform("_tried", lambda x, i: F.struct(i.alias("at"), F.try_element_at("_static", x).alias("p"))), lambda h: h["p"].isNotNull())
-    out = out.withColumn("_dyn", dynamic).withColumn("_hit", F.get(hits, F.lit(0)))
-    price = F.coalesce(F.col("_dyn"), F.col("_hit.p"))
-    return out.withColumns({
-        "input_price": F.coalesce(price["i"], F.lit(0.0)), "output_price": F.coalesce(price["o"], F.lit(0.0)),
-        "price_source": F.when(F.col("_dyn").isNotNull(), "dynamic").when(F.col("_hit.at") == 0, "static")
-        .when(F.col("_hit.at") > 0, "alternative").otherwise("none")}).drop("_tried", "_static", "_dyn", "_hit")
+        lists = lists.unionByName(catalog.select(F.lit(0).alias("_list"), "model_id", per_million(F.col("input_cost")).cast("double").alias("_i"),
+                                                 per_million(F.col("output_cost")).cast("double").alias("_o")))
+    known = lists.where("model_id is not null").groupBy("_list", F.col("model_id").alias("_known")).agg(F.min(F.struct("_i", "_o")).alias("_price"))
+    ids = usage.where("model_id is not null").select(F.col("model_id").alias("_id")).distinct()
+    tried = ids.select("_id", F.posexplode(F.concat(F.array("_id"), alternative_ids(F.col("_id")))).alias("_at", "_as"))
+    # The catalog knows ids as they are; only the static list is searched for alternatives.
+    met = tried.join(known, (F.col("_as") == F.col("_known")) & ((F.col("_list") == 1) | (F.col("_at") == 0)))
+    best = written(met.groupBy("_id").agg(F.min(F.struct("_at", "_list", "_price")).alias("_hit")), "prices-found")
+    hit = F.col("_hit")
+    source = (F.when(hit["_list"] == 0, "dynamic").when(hit["_at"] == 0, "static").when(hit["_at"] > 0, "alternative").otherwise("none"))
+    return usage.join(best, F.col("model_id") == F.col("_id"), "left").withColumns({
+        "input_price": F.coalesce(hit["_price"]["_i"], F.lit(0.0)), "output_price": F.coalesce(hit["_price"]["_o"], F.lit(0.0)),
+        "price_source": source}).drop("_id", "_hit")
 
 
 def token_cost(input_tokens: Column, output_tokens: Column, input_price: Column,

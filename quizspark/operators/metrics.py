@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quizspark import fixed_values as fv
 from quizspark.functions.labels import clamp, score_label, signed_score, value_bucket
@@ -72,9 +72,9 @@ def _fine_grain(results: DataFrame, keys: Sequence[str], everything: bool = Fals
 def _more_sums(results: DataFrame) -> list[Column]:
     """What the totals of a key need besides, in a form that adds up over groups."""
     x, right, took = F.col("confidence").cast("double"), F.coalesce(_correct(), F.lit(0)).cast("double"), F.col("latency_ms").cast("double")
-    out = [F.count(took).alias("t_n"), F.sum(took).alias("t_s"), F.sum(took * took).alias("t_ss"), F.min(took).alias("t_min"), F.max(took).alias("t_max"),
-           F.count(x).alias("c_n"), F.sum(x).alias("c_s"), F.sum(x * x).alias("c_ss"), F.sum(F.when(x.isNotNull(), right)).alias("c_y"),
-           F.sum(x * right).alias("c_xy"), *[F.sum(c).alias(c) for c in ("cost_usd", "tokens_used", "tokens_input", "tokens_output")]]
+    out = [F.count(took).alias("t_n"), F.sum(took).alias("t_s"), (F.var_pop(took) * F.count(took)).alias("t_m2"), F.min(took).alias("t_min"),
+           F.max(took).alias("t_max"), F.count(x).alias("c_n"), F.sum(x).alias("c_s"), (F.var_pop(x) * F.count(x)).alias("c_m2"),
+           F.sum(F.when(x.isNotNull(), right)).alias("c_y"), (F.covar_pop(x, right) * F.count(x)).alias("c_co"), *[F.sum(c).alias(c) for c in ("cost_usd", "tokens_used", "tokens_input", "tokens_output")]]
     have = set(results.columns)
     out += [F.count_if(F.col(c)).alias(c) for c in ("is_timeout", "is_error") if c in have]
     if "grading_mode" in have:
@@ -86,10 +86,26 @@ def _more_sums(results: DataFrame) -> list[Column]:
     return out
 
 
-def _spread(n: Column, total: Column, squares: Column) -> Column:
-    """Sample deviation from sums; 0 for fewer than two values, and where what is left is rounding of equal values."""
-    rest = squares - total * total / n
-    return F.when((n > 1) & (rest > squares * 1e-12), F.sqrt(rest / (n - 1))).otherwise(0.0)
+def _spread(n: Column, total: Column, moment: Column) -> Column:
+    """Sample deviation from the second central moment; 0 for fewer than two values, and where what is left is rounding of equal values."""
+    rounding = F.abs(total / n) * 1e-14
+    return F.when((n > 1) & (moment > n * rounding * rounding), F.sqrt(moment / (n - 1))).otherwise(0.0)
+
+
+def _central(fine: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The fine-grained table with each group's central moments about the means of its whole key, so that they add up.
+
+    A sum of squares would lose the deviations of values that are large and lie close together. The window shares its exchange with the sums
+    by key that follow, and sees one row per fine group.
+    """
+    whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+
+    def off(total: str, n: str) -> Column:
+        """How far the mean of a group lies from that of its key."""
+        return F.try_divide(F.col(total), F.col(n)) - F.try_divide(F.sum(total).over(whole), F.sum(n).over(whole))
+    moved = fine.withColumns({"_t": off("t_s", "t_n"), "_c": off("c_s", "c_n"), "_y": off("c_y", "c_n")})
+    return moved.withColumns({"t_m2": F.col("t_m2") + F.col("t_n") * F.col("_t") * F.col("_t"), "c_m2": F.col("c_m2") + F.col("c_n") * F.col("_c") * F.col("_c"),
+                              "c_co": F.col("c_co") + F.col("c_n") * F.col("_c") * F.col("_y")}).drop("_t", "_c", "_y")
 
 
 def breakdowns(results: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -247,28 +263,29 @@ def composite_scores(df: DataFrame) -> DataFrame:
 def _totals(fine: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Totals of each key from the fine-grained table."""
     have = set(fine.columns)
-    adds = ["n", "answered", "correct", "score", "t_n", "t_s", "t_ss", "c_n", "c_s", "c_ss", "c_y", "c_xy", "cost_usd", "tokens_used",
+    adds = ["n", "answered", "correct", "score", "t_n", "t_s", "t_m2", "c_n", "c_s", "c_m2", "c_y", "c_co", "cost_usd", "tokens_used",
             "tokens_input", "tokens_output", "is_timeout", "is_error", "g_s", "g_n"]
     sums = [F.sum(c).alias(c) for c in adds if c in have] + [F.min("t_min").alias("t_min"), F.max("t_max").alias("t_max")]
     if "grading_mode" in have:
         sums.append(F.array_join(F.sort_array(F.array_distinct(F.flatten(F.collect_list("grading_mode")))), ",").alias("grading_mode"))
     if "partial_credit" in have:
         sums.append(F.max("partial_credit").alias("partial_credit"))
-    t = fine.groupBy(*keys).agg(*sums)
+    t = _central(fine, keys).groupBy(*keys).agg(*sums)
 
     def optional(name: str, alias: str, default) -> Column:
         return (F.col(name) if name in have else F.lit(default)).alias(alias)
     n, right, answered = F.col("n"), F.col("correct"), F.col("answered")
-    y_spread = _spread(n, right.cast("double"), right.cast("double"))
+    share = right.cast("double") / n
+    y_spread = _spread(n, right.cast("double"), n * share * (1 - share))  # of zeros and ones
     c_n, c_s = F.col("c_n"), F.col("c_s")
-    c_spread = _spread(c_n, c_s, F.col("c_ss"))
-    covariance = (F.col("c_xy") - c_s * F.col("c_y") / c_n) / (c_n - 1)
+    c_spread = _spread(c_n, c_s, F.col("c_m2"))
+    covariance = F.col("c_co") / (c_n - 1)
     return t.select(
         *keys, F.coalesce(F.try_divide(right.cast("double"), answered), F.lit(0.0)).alias("accuracy"), right.alias("correct_count"),
         answered.alias("answered_count"), n.alias("total_count"),
         F.coalesce(F.try_divide(F.col("t_s"), F.col("t_n")) / 1000.0, F.lit(0.0)).alias("mean_s"),
         (F.col("t_min") / 1000.0).alias("min_s"), (F.col("t_max") / 1000.0).alias("max_s"),
-        F.coalesce(_spread(F.col("t_n"), F.col("t_s"), F.col("t_ss")) / 1000.0, F.lit(0.0)).alias("std_s"),
+        F.coalesce(_spread(F.col("t_n"), F.col("t_s"), F.col("t_m2")) / 1000.0, F.lit(0.0)).alias("std_s"),
         F.coalesce("cost_usd", F.lit(0)).cast("double").alias("total_cost"), F.coalesce("tokens_used", F.lit(0)).alias("total_tokens"),
         F.coalesce("tokens_input", F.lit(0)).alias("input_tokens"), F.coalesce("tokens_output", F.lit(0)).alias("output_tokens"),
         F.col("score").alias("total_score"), right.alias("positive_scores"), (answered - right).alias("negative_scores"),

@@ -54,7 +54,8 @@ def _(spark, sf):
 
 
 PRICED_SQL = """
-WITH catalog_prices AS (SELECT 'lab/unlisted' AS model_id, min(input_cost) AS i, max(output_cost) AS o FROM catalog),
+WITH catalog_prices AS (SELECT model_id, input_cost AS i, output_cost AS o FROM catalog
+  UNION ALL SELECT 'lab/unlisted' AS model_id, min(input_cost), max(output_cost) FROM catalog),
 priced AS (
   SELECT u.*, CASE WHEN c.model_id IS NOT NULL THEN 'dynamic' WHEN s.model_id IS NOT NULL THEN 'static'
       WHEN a1.model_id IS NOT NULL OR a2.model_id IS NOT NULL OR a3.model_id IS NOT NULL THEN 'alternative' ELSE 'none' END AS price_source,
@@ -68,9 +69,10 @@ priced AS (
 
 
 def _dynamic(spark, sf):
-    """A dynamic price list that knows one of the usage models, at the bounds of the whole catalog's prices per million tokens."""
-    return v.catalog(spark, sf).agg(F.min("input_cost").alias("input_cost"), F.max("output_cost").alias("output_cost")).select(
-        F.lit("lab/unlisted").alias("model_id"), "input_cost", "output_cost")
+    """The whole catalog, with one of the usage models at the bounds of its prices, and a row without an id."""
+    catalog = v.catalog(spark, sf).select("model_id", "input_cost", "output_cost")
+    bounds = catalog.agg(F.min("input_cost").alias("input_cost"), F.max("output_cost").alias("output_cost"))
+    return catalog.unionByName(bounds.withColumn("model_id", F.lit("lab/unlisted"))).unionByName(bounds.withColumn("model_id", F.lit(None).cast("string")))
 
 
 def priced(spark, sf):

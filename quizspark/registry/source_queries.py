@@ -114,6 +114,44 @@ def _(spark, sf):
     return spark.read.parquet(f"{path}/model_performance")
 
 
+@R.add("a07c_merge_repeated_keys", """
+SELECT run_id, model_name, CASE WHEN run_id % 3 = 0 THEN -2 ELSE signed_score END AS signed_score FROM performance
+UNION ALL SELECT NULL, 'late', -2""")
+def _(spark, sf):
+    """Keys that come three times, one of them NULL and in the table already: the last by sequence stays."""
+    have = v.performance(spark, sf).select("run_id", "model_name", "signed_score")
+    one = have.agg(F.lit(None).cast("bigint").alias("run_id"), F.lit("early").alias("model_name"), F.count(F.lit(1)).alias("signed_score"))
+    have = have.unionByName(one)
+    changed = have.where("run_id % 3 = 0 OR run_id IS NULL").withColumn("seq", F.explode(F.array(F.lit(2), F.lit(0), F.lit(1))))
+    changed = changed.withColumns({"signed_score": -F.col("seq").cast("bigint"),
+                                   "model_name": F.when(F.col("run_id").isNull(), F.when(F.col("seq") == 2, "late").otherwise("other")).otherwise(F.col("model_name"))})
+    path = new_path(spark, "merged-runs")
+    tb.restore({"model_performance": have}, {"model_performance": changed}, {"model_performance": ["run_id"]}, path, sequence="seq")
+    return spark.read.parquet(f"{path}/model_performance").select("run_id", "model_name", "signed_score")
+
+
+@R.add("a10b_usage_log_rejects", """
+SELECT 'csv' AS kind, count(*) FILTER (event_id % 3 = 0) AS rejected, count(*) FILTER (event_id % 3 <> 0) AS records,
+  CAST(sum(input_tokens) FILTER (event_id % 3 <> 0) AS BIGINT) AS input_tokens FROM usage_log
+UNION ALL SELECT 'json', count(*) FILTER (event_id % 3 = 0), count(*) FILTER (event_id % 3 <> 0), CAST(sum(input_tokens) FILTER (event_id % 3 <> 0) AS BIGINT) FROM usage_log""")
+def _(spark, sf):
+    """A third of the lines spoilt: cut off, or with a word where a number belongs."""
+    log = v.usage(spark, sf)
+    third, tokens = F.col("event_id") % 3 == 0, F.col("input_tokens").cast("string")
+    json = F.concat(F.lit('{"model_id":"'), "model_id", F.lit('","input_tokens":'), F.when(third & (F.col("event_id") % 2 == 0), F.lit('"many"')).otherwise(tokens),
+                    F.when(third & (F.col("event_id") % 2 != 0), F.lit("")).otherwise(F.lit("}")))
+    csv = F.concat(F.lit("2024-01-01T00:00:00.000000,"), "model_id", F.lit(","), F.when(third, F.lit("many")).otherwise(tokens), F.lit(",1,0.5,s,"))
+    out = None
+    for kind, line in (("csv", csv), ("json", json)):
+        path = new_path(spark, f"spoilt-{kind}")
+        log.select(line).write.text(path)
+        rows, rejects = logs.read_usage(spark, path, kind)
+        part = rows.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("records"), F.sum("input_tokens").alias("input_tokens"))
+        part = part.crossJoin(rejects.agg(F.count(F.lit(1)).alias("rejected")))  # one row each
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 _RUN_FIELDS = ["run_id", "name", "status", "benchmark_mode", "models_tested", "sample_size", "total_questions", "completed_questions", "total_tokens"]
 
 
@@ -190,7 +228,7 @@ def _(spark, sf):
     for kind in ("csv", "json"):
         path = new_path(spark, f"usage-{kind}")
         logs.write_usage(log, path, kind)
-        part = logs.read_usage(spark, path, kind).groupBy(F.lit(kind).alias("kind"), "model_id").agg(
+        part = logs.read_usage(spark, path, kind)[0].groupBy(F.lit(kind).alias("kind"), "model_id").agg(
             F.count(F.lit(1)).alias("records"), F.sum("input_tokens").alias("input_tokens"),
             F.round(F.sum("cost"), 4).alias("cost"), F.count_distinct("session_id").alias("sessions"),
             F.sum(F.col("metadata")["event_id"].cast("bigint")).alias("event_sum"))
@@ -236,7 +274,7 @@ def _(spark, sf):
         F.col("run_id").alias("benchmark_run_id"), F.col("created_at").cast("timestamp").alias("timestamp"),
         F.create_map(F.lit("completed"), F.col("completed_questions").cast("string")).alias("progress_data")
     ).write.json(path)
-    return rounded(logs.scan_checkpoints(spark, path, multi_line=False).select(
+    return rounded(logs.scan_checkpoints(spark, path, multi_line=False)[0].select(
         "checkpoint_id", "benchmark_run_id", "timestamp",
         F.col("progress_data")["completed"].cast("bigint").alias("completed")))
 

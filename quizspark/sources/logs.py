@@ -44,14 +44,35 @@ def write_usage(usage: DataFrame, path: str, kind: str = "json") -> None:
         raise ValueError(f"unsupported format {kind!r}")
 
 
-def read_usage(spark: SparkSession, path: str, kind: str = "json", multi_line: bool = False) -> DataFrame:
+def _read(spark: SparkSession, path: str, schema: T.StructType, whole: bool = False, csv: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(records of one line each, or of one file each, with ``file_path``; what could not be read, as text in ``line`` with its file)."""
+    marked = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
+    lines = spark.read.text(path, wholetext=whole).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file_path"))
+    lines = lines.where(F.length(F.trim("line")) > 0)
+    options = {"columnNameOfCorruptRecord": "_corrupt_record"}
+    if csv:
+        as_text = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in marked)
+        lines = lines.where(F.col("line") != ",".join(schema.names))
+        parsed = F.from_csv("line", F.lit(as_text), {**options, "escape": '"', "timestampFormat": _TIME})
+    else:
+        parsed = F.from_json("line", marked, options)
+    parsed = lines.withColumn("_e", parsed)
+    bad = F.col("_e").isNull() | F.col("_e._corrupt_record").isNotNull()
+    return parsed.where(~bad).select("_e.*", "file_path").drop("_corrupt_record"), parsed.where(bad).select("line", "file_path")
+
+
+def read_usage(spark: SparkSession, path: str, kind: str = "json") -> tuple[DataFrame, DataFrame]:
+    """(rows of a usage log, lines that could not be read).
+
+    A line that is no record, or has a field of the wrong kind, is among the second.
+    """
     if kind == "json":
-        return spark.read.schema(USAGE_SCHEMA).option("multiLine", multi_line).json(path)
+        rows, rejects = _read(spark, path, USAGE_SCHEMA)
+        return rows.drop("file_path"), rejects
     flat = T.StructType([T.StructField(f.name, T.StringType() if f.name == "metadata" else f.dataType)
                          for f in USAGE_SCHEMA])
-    rows = spark.read.schema(flat).csv(path, header=True, escape='"',
-                                       timestampFormat=_TIME)
-    return rows.withColumn("metadata", F.from_json("metadata", "map<string,string>"))
+    rows, rejects = _read(spark, path, flat, csv=True)
+    return rows.drop("file_path").withColumn("metadata", F.from_json("metadata", "map<string,string>")), rejects
 
 
 def read_interactions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -59,11 +80,8 @@ def read_interactions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
 
     A line that is no JSON, or has a field of the wrong kind, is among the second, as text in ``line`` with its file.
     """
-    schema = T.StructType([*INTERACTION_SCHEMA.fields, T.StructField("_corrupt_record", T.StringType())])
-    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file_path")).where(F.length(F.trim("line")) > 0)
-    parsed = lines.withColumn("_e", F.from_json("line", schema, {"columnNameOfCorruptRecord": "_corrupt_record"}))
-    bad = F.col("_e").isNull() | F.col("_e._corrupt_record").isNotNull()
-    return parsed.where(~bad).select("_e.*").drop("_corrupt_record"), parsed.where(bad).select("line", "file_path")
+    rows, rejects = _read(spark, path, INTERACTION_SCHEMA)
+    return rows.drop("file_path"), rejects
 
 
 def stream_interactions(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
@@ -72,13 +90,17 @@ def stream_interactions(spark: SparkSession, path: str, files_per_batch: int = 1
 
 
 def scan_checkpoints(spark: SparkSession, path: str, run_id: int | None = None,
-                     multi_line: bool = True) -> DataFrame:
-    """One row per readable checkpoint document with its file, newest first.
+                     multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(one row per readable checkpoint document with its file, newest first; documents that could not be read).
 
-    Documents are one file each, or lines of larger files with ``multi_line=False``.
+    Documents are one file each, or lines of larger files with ``multi_line=False``. One without an id, or with a field of the wrong kind, is among the second, as
+    text in ``line`` with its file.
     """
-    docs = (spark.read.schema(CHECKPOINT_SCHEMA).option("multiLine", multi_line).option("mode", "DROPMALFORMED")
-            .json(path).select("*", F.col("_metadata.file_path").alias("file_path"))
-            .where(F.col("checkpoint_id").isNotNull()))
+    docs, rejects = _read(spark, path, CHECKPOINT_SCHEMA, whole=multi_line)
+    named = F.get_json_object("line", "$.checkpoint_id")
+    lines = spark.read.text(path, wholetext=multi_line).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file_path"))
+    unnamed = lines.where((F.length(F.trim("line")) > 0) & named.isNull())
+    rejects = rejects.unionByName(unnamed).distinct()
+    docs = docs.where(F.col("checkpoint_id").isNotNull())
     docs = docs if run_id is None else docs.where(F.col("benchmark_run_id") == run_id)
-    return docs.orderBy(F.desc("timestamp"), "checkpoint_id")
+    return docs.orderBy(F.desc("timestamp"), "checkpoint_id"), rejects

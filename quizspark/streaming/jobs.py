@@ -7,7 +7,7 @@ the stream wrote, so a batch caller, a test and a scheduled job use the same cod
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quizspark.plans.storage import new_path
 
@@ -19,12 +19,15 @@ def read_parquet_stream(spark: SparkSession, path: str, schema: StructType | Non
             .option("maxFilesPerTrigger", files_per_batch).parquet(path))
 
 
-def run_to_table(stream: DataFrame, mode: str, label: str) -> DataFrame:
+def run_to_table(stream: DataFrame, mode: str, label: str, keys: list[str] | None = None) -> DataFrame:
     """Process all available input, then return the written rows.
 
     Append mode writes Parquet directly, exactly once. Complete mode replaces the table with each
-    batch; update mode keeps each batch in a folder of its own, so a repeated batch overwrites itself.
+    batch; update mode keeps each batch in a folder of its own, so a repeated batch overwrites itself, and returns the newest version
+    of each key, one row per ``keys``.
     """
+    if (mode == "update") != bool(keys):
+        raise ValueError("update mode, and it alone, needs the keys of the running rows")
     spark = stream.sparkSession
     out, state = new_path(spark, label), new_path(spark, f"{label}-state")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True)
@@ -37,7 +40,11 @@ def run_to_table(stream: DataFrame, mode: str, label: str) -> DataFrame:
             lambda df, batch: df.write.mode("overwrite").parquet(f"{out}/batch={batch}")).start()
     query.awaitTermination()
     rows = spark.read.schema(stream.schema)
-    return rows.parquet(out) if mode != "update" else spark.read.parquet(out)
+    if mode != "update":
+        return rows.parquet(out)
+    versions = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(out)
+    newest = versions.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.max_by(F.struct(*stream.columns), "batch").alias("_row"))
+    return newest.select("_row.*")
 
 
 def grading_statistics(results: DataFrame) -> DataFrame:

@@ -100,3 +100,22 @@ def test_progress(spark):
     a, b = r.run_progress(df).collect()
     assert (a["completion_pct"], round(a["success_rate"], 4), a["answer_rate"], a["remaining_seconds"]) == (40.0, 66.6667, 75.0, 12.0)
     assert (b["completion_pct"], b["success_rate"], b["remaining_seconds"]) == (0.0, 0.0, None)
+
+
+def test_deviations_of_large_close_values(spark):
+    """Values whose squares leave no digit for what lies between them, over several fine groups."""
+    rows = [(1, "m", c, lvl, 100, True, 0.5 + 1e-9 * i, 1e9 + 100 * i, i % 2 == 0) for i, (c, lvl) in enumerate([("a", "Easy"), ("b", "Hard"), ("a", "Hard"), ("b", "Easy")])]
+    df = spark.createDataFrame(rows, "run_id int, model_name string, category string, difficulty_level string, value int, x boolean, confidence double, "
+                               "latency_ms double, is_correct boolean").drop("x").withColumns(
+        {c: F.lit(0).cast("bigint") for c in ("tokens_used", "tokens_input", "tokens_output")}).withColumn("cost_usd", F.lit(0).cast("decimal(10,6)"))
+    got = m.comprehensive_metrics(df, ["run_id", "model_name"]).first()
+    assert abs(got["std_s"] - 0.1290994) < 1e-6
+    want = df.agg(F.stddev("confidence"), F.corr("confidence", F.col("is_correct").cast("int"))).first()
+    assert abs(got["performance_variance"] - want[0]) < 1e-12 and abs(got["confidence_correlation"] - want[1]) < 1e-4
+
+
+def test_prices_from_a_whole_catalog(spark):
+    usage = spark.createDataFrame([("a",), ("a",), (None,), ("nobody",)], "model_id string")
+    catalog = spark.createDataFrame([("a", 5.0, 6.0), ("a", 3.0, 4.0), (None, 1.0, 1.0), ("b", 9.0, 9.0)], "model_id string, input_cost double, output_cost double")
+    got = sorted((str(r["model_id"]), r["price_source"], r["input_price"]) for r in j.price_usage(usage, catalog, cat.static_catalog(spark)).collect())
+    assert [g[:2] for g in got] == [("None", "none"), ("a", "dynamic"), ("a", "dynamic"), ("nobody", "none")] and got[1][2] == got[2][2] > 0
