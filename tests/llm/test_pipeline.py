@@ -35,7 +35,7 @@ def test_stages(spark, tmp_path):
         docs = spark.read.parquet(str(tmp_path / str(i)))
         kept = {r.doc_id for r in docs.select("doc_id").collect()}
         assert kept <= ids and kept
-        if name in ("quality classifier", "exact dedup", "simhash near-dedup"):
+        if name in ("quality classifier", "exact dedup", "near-dedup"):
             assert docs.count() == len(kept) < before
             before = docs.count()
         ids = kept
