@@ -11,6 +11,9 @@ from quizspark import fixed_values as fv
 from quizspark.operators.clean import parse_models_tested
 from quizspark.plans.ranking import with_position
 
+#: Rows that a page may gather at one place.
+GATHERED = 10_000
+
 
 def by_category(df: DataFrame, categories: Sequence[str]) -> DataFrame:
     if "category" not in df.columns:
@@ -57,11 +60,11 @@ def apply_filters(df: DataFrame, spec: dict[str, Any]) -> DataFrame:
 
 
 def get_questions(df: DataFrame, filters: dict[str, Any] | None = None, limit: int | None = None,
-                  offset: int | None = None, id_col: str = "question_id") -> DataFrame:
-    """Exact-match filters with a page of the result, ordered by id.
+                  offset: int | None = None, id_col: str = "question_id", gathered: int = GATHERED) -> DataFrame:
+    """Exact-match filters with a page of the result, ordered by id; ids are unique.
 
-    With a limit Spark keeps only the first rows of each task. An offset alone returns nearly everything; those rows are found by their position
-    in a distributed order.
+    A page that ends within the first ``gathered`` rows is kept from the first rows of each task. Rows of any other page are found by their
+    position in a distributed order, and no task holds more than a range of it.
     """
     filters = filters or {}
     for name in ("category", "difficulty_level", "value", "round"):
@@ -70,8 +73,9 @@ def get_questions(df: DataFrame, filters: dict[str, Any] | None = None, limit: i
     df = by_value_range(df, filters.get("min_value"), filters.get("max_value"))
     if limit is None and not offset:
         return df
-    if limit is None:
-        return with_position(df, id_col, "_position").where(F.col("_position") > offset).drop("_position")
+    if limit is None or limit + (offset or 0) > gathered:
+        placed = with_position(df, id_col, "_position").where(F.col("_position") > (offset or 0))
+        return (placed if limit is None else placed.where(F.col("_position") <= (offset or 0) + limit)).drop("_position")
     page = df.orderBy(id_col)
     page = page.offset(offset) if offset else page
     return page.limit(limit)

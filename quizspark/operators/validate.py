@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quizspark import fixed_values as fv
 from quizspark.functions import text as tx
+from quizspark.plans.storage import written
 
 _TAG = "<[^>]+>"
 _GAPS = tx.WS + "{3,}"
@@ -31,11 +35,28 @@ def _empty(c: Column) -> Column:
     return F.coalesce(F.length(c) == 0, F.lit(True))
 
 
-def _only(c: Column, message: str, otherwise: Column) -> Column:
-    return F.when(_empty(c), F.array(F.lit(message))).otherwise(otherwise)
+class Rule(NamedTuple):
+    """The tests of a field with the text of each. Where ``alone`` holds its text is the only issue; where ``absent`` holds there is none."""
 
+    tests: list[tuple[Column, str | Column]]
+    alone: tuple[Column, str | Column] | None = None
+    absent: Column | None = None
 
-def question_issues(c: Column, strict: bool = False) -> Column:
+    def issues(self) -> Column:
+        out = _issues(*self.tests)
+        if self.alone:
+            out = F.when(self.alone[0], _issues(self.alone)).otherwise(out)
+        return out if self.absent is None else F.when(self.absent, F.array().cast("array<string>")).otherwise(out)
+
+    def broken(self) -> Column:
+        """Whether there is an issue; no text is built."""
+        out = reduce(lambda a, b: a | b, [F.coalesce(test, F.lit(False)) for test, _ in self.tests])
+        if self.alone:
+            out = F.coalesce(self.alone[0], F.lit(False)) | out
+        return out if self.absent is None else ~self.absent & out
+
+
+def question_rule(c: Column, strict: bool = False) -> Rule:
     q = tx.strip(c)
     n = F.length(q)
     closed = q.rlike(r"[.?!]$") | q.rlike(r"^'.*'$|^'$") | q.rlike(r'^".*"$|^"$')
@@ -50,10 +71,10 @@ def question_issues(c: Column, strict: bool = False) -> Column:
         tests += [(marks > 1, MSG["question_marks"]),
                   (~q.rlike(r"(?Ui)\b(?:this|these|it|he|she)\b"),
                    MSG["question_style"])]
-    return _only(c, MSG["question_empty"], _issues(*tests))
+    return Rule(tests, (_empty(c), MSG["question_empty"]))
 
 
-def answer_issues(c: Column, strict: bool = False) -> Column:
+def answer_rule(c: Column, strict: bool = False) -> Rule:
     a = tx.strip(c)
     n = F.length(a)
     tests = [
@@ -66,10 +87,10 @@ def answer_issues(c: Column, strict: bool = False) -> Column:
         tests.append((low.rlike("what is|who is|where is|when is")
                       & ~low.rlike("^(what|who|where|when|how) (is|are|was|were)"),
                       MSG["answer_style"]))
-    return _only(c, MSG["answer_empty"], _issues(*tests))
+    return Rule(tests, (_empty(c), MSG["answer_empty"]))
 
 
-def category_issues(c: Column, strict: bool = False, allow_custom: bool = True) -> Column:
+def category_rule(c: Column, strict: bool = False, allow_custom: bool = True) -> Rule:
     k = tx.strip(c)
     n = F.length(k)
     tests = [
@@ -79,10 +100,10 @@ def category_issues(c: Column, strict: bool = False, allow_custom: bool = True)
     if strict and not allow_custom:
         tests.append((~F.upper(k).isin(fv.KNOWN_CATEGORIES),
                       _filled("category_unknown", k)))
-    return _only(c, MSG["category_empty"], _issues(*tests))
+    return Rule(tests, (_empty(c), MSG["category_empty"]))
 
 
-def value_issues(c: Column, strict: bool = False, era: str = "all") -> Column:
+def value_rule(c: Column, strict: bool = False, era: str = "all") -> Rule:
     shown = c.cast("string")
     v = F.trim(shown).try_cast("bigint")
     allowed = fv.ERA_VALUES.get(era, fv.ERA_VALUES["all"])
@@ -92,27 +113,57 @@ def value_issues(c: Column, strict: bool = False, era: str = "all") -> Column:
     if strict:
         tests.append((~v.isin(allowed), F.concat(
             F.lit("Value "), v.cast("string"), F.lit(f" not in valid set for era '{era}': {allowed}"))))
-    wrong = F.array(_filled("value_type", shown))
-    return (F.when(c.isNull(), F.array().cast("array<string>")).when(v.isNull(), wrong)
-            .otherwise(_issues(*tests)))
+    return Rule(tests, (v.isNull(), _filled("value_type", shown)), c.isNull())
 
 
-def date_issues(c: Column, as_of: str) -> Column:
+def date_rule(c: Column, as_of: str) -> Rule:
     day = F.coalesce(*[F.to_date(F.try_to_timestamp(tx.strip(c.cast("string")), F.lit(f)))
                        for f in ["yyyy-M-d", "yyyy-M-d H:m:s", "M/d/yyyy", "MMMM d, yyyy"]])
     shown = day.cast("string")
-    return (F.when(c.isNull(), F.array().cast("array<string>"))
-            .when(day.isNull(), F.array(F.lit(MSG["date_format"])))
-            .otherwise(_issues(
-                (day < F.lit(fv.EARLIEST_AIR_DATE).cast("date"),
-                 _filled("date_early", shown)),
-                (day > F.lit(as_of).cast("date"), _filled("date_late", shown)))))
+    tests = [(day < F.lit(fv.EARLIEST_AIR_DATE).cast("date"), _filled("date_early", shown)),
+             (day > F.lit(as_of).cast("date"), _filled("date_late", shown))]
+    return Rule(tests, (day.isNull(), MSG["date_format"]), c.isNull())
+
+
+def difficulty_rule(c: Column) -> Rule:
+    return Rule([(~c.isin(fv.DIFFICULTY_LEVELS), F.concat(F.lit("Difficulty '"), c, F.lit(f"' not in valid levels: {fv.DIFFICULTY_LEVELS}")))], absent=c.isNull())
+
+
+def question_issues(c: Column, strict: bool = False) -> Column:
+    return question_rule(c, strict).issues()
+
+
+def answer_issues(c: Column, strict: bool = False) -> Column:
+    return answer_rule(c, strict).issues()
+
+
+def category_issues(c: Column, strict: bool = False, allow_custom: bool = True) -> Column:
+    return category_rule(c, strict, allow_custom).issues()
+
+
+def value_issues(c: Column, strict: bool = False, era: str = "all") -> Column:
+    return value_rule(c, strict, era).issues()
+
+
+def date_issues(c: Column, as_of: str) -> Column:
+    return date_rule(c, as_of).issues()
 
 
 def difficulty_issues(c: Column) -> Column:
-    return F.when(c.isNull(), F.array().cast("array<string>")).otherwise(_issues(
-        (~c.isin(fv.DIFFICULTY_LEVELS),
-         F.concat(F.lit("Difficulty '"), c, F.lit(f"' not in valid levels: {fv.DIFFICULTY_LEVELS}")))))
+    return difficulty_rule(c).issues()
+
+
+def _rules(df: DataFrame, as_of: str, strict: bool) -> tuple[dict[str, Rule], list[str]]:
+    """The rule of each present field, and the fields whose issues make a question invalid."""
+    of = {"question": lambda c: question_rule(c, strict), "answer": lambda c: answer_rule(c, strict),
+          "category": lambda c: category_rule(c, strict), "value": lambda c: value_rule(c, strict),
+          "air_date": lambda c: date_rule(c, as_of), "difficulty_level": difficulty_rule}
+    rules = {f: of[f](F.col(f)) for f in FIELDS if f in df.columns}
+    return rules, [f for f in rules if f in ("question", "answer") or (strict and f in ("category", "value"))]
+
+
+def _all(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a & b, conditions, F.lit(True))
 
 
 def with_issues(df: DataFrame, as_of: str, strict: bool = False) -> DataFrame:
@@ -120,28 +171,19 @@ def with_issues(df: DataFrame, as_of: str, strict: bool = False) -> DataFrame:
 
     Category and value issues are fatal in strict mode only; date and difficulty issues never are.
     """
-    rules = {
-        "question": lambda c: question_issues(c, strict), "answer": lambda c: answer_issues(c, strict),
-        "category": lambda c: category_issues(c, strict), "value": lambda c: value_issues(c, strict),
-        "air_date": lambda c: date_issues(c, as_of), "difficulty_level": difficulty_issues}
-    present = [f for f in FIELDS if f in df.columns]
-    out = df
-    for f in present:
-        out = out.withColumn(f"{f}_issues", rules[f](F.col(f)))
-    fatal = [f for f in present if f in ("question", "answer") or (strict and f in ("category", "value"))]
-    valid = F.lit(True)
-    for f in fatal:
-        valid = valid & (F.size(f"{f}_issues") == 0)
-    return out.withColumn("is_valid", valid)
+    rules, fatal = _rules(df, as_of, strict)
+    out = df.withColumns({f"{f}_issues": rule.issues() for f, rule in rules.items()})
+    return out.withColumn("is_valid", _all([F.size(f"{f}_issues") == 0 for f in fatal]))
 
 
 def field_report(df: DataFrame, as_of: str, strict: bool = False) -> DataFrame:
     """Valid and invalid rows per field, with the total and the number of valid questions."""
-    checked = with_issues(df, as_of, strict)
-    present = [f for f in FIELDS if f in df.columns]
+    rules, fatal = _rules(df, as_of, strict)
+    present = list(rules)
+    checked = df.select(*[rule.broken().alias(f) for f, rule in rules.items()])
     counts = checked.agg(
-        F.count(F.lit(1)).alias("total_questions"), F.count_if("is_valid").alias("valid_questions"),
-        *[F.count_if(F.size(f"{f}_issues") == 0).alias(f) for f in present])
+        F.count(F.lit(1)).alias("total_questions"), F.count_if(_all([~F.col(f) for f in fatal])).alias("valid_questions"),
+        *[F.count_if(~F.col(f)).alias(f) for f in present])
     return counts.unpivot(["total_questions", "valid_questions"], present, "field", "valid").select(
         "field", "valid", (F.col("total_questions") - F.col("valid")).alias("invalid"),
         "total_questions", "valid_questions")
@@ -161,14 +203,22 @@ def issue_rows(df: DataFrame, as_of: str, id_col: str = "question_id", strict: b
 def flag_duplicates(df: DataFrame, text_col: str = "question", id_col: str = "question_id") -> DataFrame:
     """Mark every row whose text already occurs under a smaller id; blank texts are never duplicates.
 
-    The first id per text is a map-side ``min`` over digests. Rows meet it by digest; adaptive execution splits the partition of a
-    text that very many rows share.
+    Texts are counted by a 64-bit hash first. Only rows whose hash occurs twice are digested; the first id per digest is a map-side minimum, written with one row per
+    repeated hash. Rows look theirs up by hash, so a table without repeats passes in the scan, and texts are shuffled only where repeats are too many to broadcast.
+    ``first_id`` is the smallest id of the text, NULL for blank texts; NULL ids are first to none.
     """
-    blank = _empty(F.col(text_col))
-    keyed = df.withColumn("_digest", F.when(~blank, F.sha2(F.col(text_col), 256)))
-    first = (keyed.where(F.col("_digest").isNotNull()).groupBy("_digest").agg(F.min(id_col).alias("first_id")))
-    return (keyed.join(first, "_digest", "left")
-            .withColumn("is_duplicate", F.coalesce(F.col(id_col) != F.col("first_id"), F.lit(False))).drop("_digest"))
+    text = F.col(text_col)
+    filled = df.where(~_empty(text))
+    again = filled.groupBy(F.xxhash64(text).alias("_hash")).agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select("_hash")
+    again = written(again, "repeated-texts")
+    first = (filled.select(text.alias("_text"), F.col(id_col).alias("_id"), F.xxhash64(text).alias("_hash")).join(again, "_hash")
+             .groupBy("_hash", F.sha2("_text", 256).alias("_digest")).agg(F.min("_id").alias("_id"))
+             .groupBy("_hash").agg(F.map_from_entries(F.collect_list(F.struct("_digest", "_id"))).alias("_first")))
+    first = written(first, "first-ids")
+    hashed = df.withColumn("_hash", F.when(~_empty(text), F.xxhash64(text)))
+    first_id = F.when(F.col("_first").isNotNull(), F.try_element_at("_first", F.sha2(text, 256))).when(F.col("_hash").isNotNull(), F.col(id_col))
+    return (hashed.join(first, "_hash", "left").withColumn("first_id", first_id)
+            .withColumn("is_duplicate", F.coalesce(F.col(id_col) != F.col("first_id"), F.lit(False))).drop("_hash", "_first"))
 
 
 def audit(df: DataFrame) -> DataFrame:
@@ -176,8 +226,8 @@ def audit(df: DataFrame) -> DataFrame:
     duplicates. One aggregation over the rows plus a count of distinct text digests."""
     q, a, c, v = (F.col(x) for x in ("question", "answer", "category", "value"))
     missing = _empty(q) | _empty(a) | _empty(c)
-    qi, ai = F.size(question_issues(q)) > 0, F.size(answer_issues(a)) > 0
-    ci, vi = F.size(category_issues(c)) > 0, F.size(value_issues(v)) > 0
+    qi, ai = question_rule(q).broken(), answer_rule(a).broken()
+    ci, vi = category_rule(c).broken(), value_rule(v).broken()
     has_q, has_a, has_c, has_v = ~_empty(q), ~_empty(a), ~_empty(c), v.isNotNull()
 
     def n(test: Column) -> Column:
@@ -241,8 +291,8 @@ def schema_split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def require_quality(df: DataFrame, as_of: str, strict: bool = True, minimum: float = 80.0) -> DataFrame:
     """Raise when fewer than ``minimum`` percent of the rows are valid in strict mode."""
-    row = with_issues(df, as_of, strict).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("is_valid").alias("ok")).first()
+    rules, fatal = _rules(df, as_of, strict)
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(_all([~rules[f].broken() for f in fatal])).alias("ok")).first()
     rate = row["ok"] * 100.0 / row["n"] if row["n"] else 0.0
     if strict and rate < minimum:
         raise ValidationError(f"only {rate:.1f}% of the questions are valid, {minimum:.0f}% are required")

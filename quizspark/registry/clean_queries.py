@@ -195,6 +195,13 @@ def _(spark, sf):
                    .select("question_id", "category", "value"))
 
 
+@R.add("c07b_deep_page", """
+SELECT question_id, category, CAST(value AS BIGINT) AS value FROM questions ORDER BY question_id LIMIT 40 OFFSET 90""")
+def _(spark, sf):
+    """A page beyond what may be gathered, found by position."""
+    return rounded(f.get_questions(v.questions(spark, sf), limit=40, offset=90, gathered=100).select("question_id", "category", "value"))
+
+
 @R.add("c08_contains_text", """
 SELECT result_id FROM graded WHERE contains(lower(model_name), 'del-a') AND contains(lower(category), 'brand#1')""")
 def _(spark, sf):

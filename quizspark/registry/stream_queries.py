@@ -84,7 +84,7 @@ SELECT session_id AS run_id, count(*) AS completed, count(*) FILTER (NOT is_erro
   count(*) FILTER (is_error) AS failed FROM usage_log GROUP BY ALL""")
 def _(spark, sf):
     rows = _event_stream(spark, sf).select(F.col("session_id").alias("run_id"), "ts", (~F.col("is_error")).alias("is_correct"))
-    return st.run_to_table(st.run_progress(rows), "update", "progress", ["run_id"]).drop("last_seen")
+    return st.run_totals(st.run_to_table(st.run_progress(rows), "update", "progress", ["run_id", "period_start"])).drop("last_seen")
 
 
 @R.add("m06b_stalled_runs", """

@@ -90,9 +90,20 @@ def _progress_counts() -> list:
             F.count_if(~F.col("is_correct")).alias("failed"), F.max("ts").alias("last_seen")]
 
 
-def run_progress(results: DataFrame) -> DataFrame:
-    """Running counts of each run as result rows arrive (update mode): one small state row per run."""
-    return results.groupBy("run_id").agg(*_progress_counts())
+def run_progress(results: DataFrame, period: str = "1 day", lateness: str = "1 hour") -> DataFrame:
+    """Running counts of each run and period of event time as result rows arrive (update mode); ``run_totals`` adds the periods of a run.
+
+    The state of a period is dropped once the watermark has passed its end, so finished runs leave none; rows later than ``lateness`` are not counted then.
+    A run with most of the rows is merged map-side.
+    """
+    timed = results.withWatermark("ts", lateness).groupBy("run_id", F.window("ts", period).alias("w"))
+    return timed.agg(*_progress_counts()).select("run_id", F.col("w.start").alias("period_start"), "completed", "successful", "failed", "last_seen")
+
+
+def run_totals(progress: DataFrame) -> DataFrame:
+    """One row per run from the newest rows of its periods."""
+    sums = [F.sum(c).alias(c) for c in ("completed", "successful", "failed")]
+    return progress.groupBy("run_id").agg(*sums, F.max("last_seen").alias("last_seen"))
 
 
 def stalled_runs(results: DataFrame, stalled_after: str = "30 minutes", lateness: str = "10 minutes") -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quizspark.operators import metrics as m, retention as rt, validate as val
+from quizspark.operators.filters import get_questions
 from quizspark.plans import quantiles as q
 from quizspark.plans.ranking import rows_at_ranks, seeded_key, smallest_by_hash, with_position
 from quizspark.plans.storage import written
@@ -63,6 +64,25 @@ def test_duplicates_with_hot_text(spark):
     assert got == want
 
 
+def test_duplicate_flags_of_unique_texts_shuffle_no_rows(spark):
+    rows = [(None, "same"), (4, "same"), (2, "same"), (7, "own"), (None, "alone"), (3, " ")]
+    got = {(r[0], r[1]): (r["first_id"], r["is_duplicate"]) for r in val.flag_duplicates(spark.createDataFrame(rows, "question_id int, question string")).collect()}
+    assert got == {(None, "same"): (2, False), (4, "same"): (2, True), (2, "same"): (2, False), (7, "own"): (7, False),
+                   (None, "alone"): (None, False), (3, " "): (3, False)}
+    unique = val.flag_duplicates(written(spark.range(5000).select(F.col("id").alias("question_id"), F.col("id").cast("string").alias("question")), "u"))
+    assert unique.where("is_duplicate").count() == 0
+    unique.collect()
+    assert "hashpartitioning" not in unique._jdf.queryExecution().executedPlan().toString()
+
+
+def test_deep_page_by_position(spark):
+    df = spark.range(3000).select((F.col("id") * 7 % 3000).alias("question_id"))
+    for limit, offset in ((10, 2500), (500, 2900), (5, 0), (3000, 1)):
+        for gathered in (100, 10_000):
+            got = [r[0] for r in get_questions(df, limit=limit, offset=offset, gathered=gathered).collect()]
+            assert sorted(got) == list(range(3000))[offset:offset + limit]
+
+
 def test_rate_audit_against_brute_force(spark):
     rng = random.Random(3)
     at = sorted(rng.sample(range(0, 4 * 3600 * 1000), 900))

@@ -42,6 +42,14 @@ def test_report_and_audit(mixed):
     assert {r["field"] for r in val.issue_rows(mixed, "2025-01-01").collect()} == {"question", "answer"}
 
 
+def test_broken_agrees_with_issues(values):
+    texts = ["This is a fine question.", "Short", "", None, " ", "x" * 501 + ".", "Tag <b>a</b> in it.", "a_b", "A", "12", "-5", "20000", "abc",
+             "2020-01-01", "1950-01-01", "2030-01-01", "Easy", "Odd", "what is", "so what is it"]
+    for rule in (lambda c: val.question_rule(c, True), lambda c: val.answer_rule(c, True), lambda c: val.category_rule(c, True, False),
+                 lambda c: val.value_rule(c, True), lambda c: val.date_rule(c, "2025-01-01"), val.difficulty_rule):
+        assert values(texts, lambda c: rule(c).broken()) == [bool(x) for x in values(texts, lambda c: rule(c).issues())]
+
+
 def test_fix_split_and_gate(mixed, spark):
     fixed = val.auto_fix(spark.createDataFrame([(1, "a    b", "x", "art "), (2, "ok", "ok", "ART")],
                                                "question_id int, question string, answer string, category string")).collect()
