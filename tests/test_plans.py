@@ -26,6 +26,22 @@ def test_order_statistics_match_sorting_with_a_hot_group(spark):
         assert got[k]["up"] == s[len(s) // 2] and got[k]["lo"] == s[(len(s) - 1) // 2]
 
 
+def test_order_statistics_in_two_scans_against_sorting(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", None]), rng.choice([rng.gauss(0, 1), 0.5, rng.expovariate(1) * 1e6])) for _ in range(60_000)]
+    df = written(spark.createDataFrame(rows, "k string, v double").repartition(5), "values")
+    n = F.col("n")
+    ranks = {"p1": q.floor_index_rank(0.01, n), "lo": q.lower_median_rank(n), "p95": q.floor_index_rank(0.95, n), "first": F.lit(1), "last": n}
+    out = q.order_statistics(df, ["k"], "v", ranks)
+    got = {r["k"]: r for r in out.collect()}
+    for k in ("a", None):
+        s = sorted(v for key, v in rows if key == k)
+        assert [got[k][x] for x in ranks] == [s[int(0.01 * len(s))], s[(len(s) - 1) // 2], s[int(0.95 * len(s))], s[0], s[-1]]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    final = plan[plan.index("Final Plan"):plan.index("Initial Plan")]
+    assert final.count("Scan parquet") == 2 and "SortMergeJoin" not in final
+
+
 def test_percentile_edges(spark):
     for n in (1, 19, 20, 21, 100):
         rows = [(1, "m", i) for i in range(n)]
