@@ -2,7 +2,7 @@
 
 Lines are lower-cased, runs of white space inside them become one space, and are hashed. For every host the distinct documents of each line are counted, equal
 texts once, so that a copied document does not make its own lines frequent. A line above the limit is removed: in more than ``share`` of the
-host's documents and in more than ``least`` of them, or, with ``most``, in more than ``most`` of them whatever their share. A document left with less than ``keep_share`` of its words or with fewer than ``min_words``
+host's documents and in more than ``least`` of them, or in more than ``most`` of them whatever their share (None: no such limit). A document left with less than ``keep_share`` of its words or with fewer than ``min_words``
 is depleted and rejected. The base rule rejects texts with fewer than ``min_words`` words and those with more than a fifth of their words in repeated 5-word windows.
 
 Line hashes of a document are written once, narrow, with a tag per row; counting, removal and verdict read that table. The counts are map-side
@@ -74,7 +74,7 @@ def normal_lines(text: Column) -> Column:
 
 
 def judge(docs: DataFrame, carry: list[str] | None = None, host: str = "source", share: float = 0.05, least: int = 5,
-          keep_share: float = 0.5, min_words: int = 10, max_repeat: int = 20, most: int | None = None) -> DataFrame:
+          keep_share: float = 0.5, min_words: int = 10, max_repeat: int = 20, most: int | None = 1000) -> DataFrame:
     """Every row with the base measures, ``base_failed``, ``removed_lines``, ``removed_words`` and ``kept``.
 
     ``carry`` names the columns to return besides; all by default. With ``text`` among them, ``clean_text`` is the text without its frequent lines.

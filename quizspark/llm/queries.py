@@ -100,7 +100,7 @@ l AS (SELECT rid, source, t, trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'
 n AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM l WHERE line <> ''),
 h AS (SELECT source, count(DISTINCT t) AS docs FROM d GROUP BY 1),
 f AS (SELECT n.source, n.line FROM n JOIN h ON n.source IS NOT DISTINCT FROM h.source
-      GROUP BY 1, 2, h.docs HAVING count(DISTINCT n.t) > 5 AND count(DISTINCT n.t) > h.docs * 0.05),
+      GROUP BY 1, 2, h.docs HAVING count(DISTINCT n.t) > 1000 OR count(DISTINCT n.t) > 5 AND count(DISTINCT n.t) > h.docs * 0.05),
 x AS (SELECT n.rid, count(*) AS removed_lines, sum(n.n)::BIGINT AS removed_words
       FROM n JOIN f ON n.line = f.line AND n.source IS NOT DISTINCT FROM f.source GROUP BY 1),
 b AS (SELECT m.doc_id, m.n_words, m.word_chars, m.n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
