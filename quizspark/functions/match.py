@@ -57,12 +57,16 @@ def _col(x) -> Column:
 
 def _answer_side(x) -> dict[str, Column]:
     """What the answer alone tells."""
-    return {"na": tx.normalize_text(x("answer")), "blank": F.coalesce(tx.strip(x("answer")) == "", F.lit(True)),
+    return {"na": tx.normalize_text(x("answer")), "blank": F.coalesce(tx.is_empty(x("answer")), F.lit(True)),
             "asks": tx.starts_as_question(x("answer"))}
 
 
 def _strategies(fuzzy: bool, count_distinct: bool) -> list[Step]:
-    """From ``answer, expected, needs_form, fuzzy_least, semantic_least, synonym`` and the answer's side to ``match``."""
+    """From ``answer, expected, needs_form, fuzzy_least, semantic_least, synonym, beat`` and the answer's side to ``match``.
+
+    ``beat`` is the place in ``_ORDER``, from 1, of a hit that was found already, or more without one: only a strategy before it could still win, so
+    the others are not tried, and without a hit ``match`` is then a miss of any confidence.
+    """
     def texts(x):
         return {"ne": tx.normalize_text(x("expected")), "fa": tx.question_content(x("na"))}
 
@@ -79,7 +83,7 @@ def _strategies(fuzzy: bool, count_distinct: bool) -> list[Step]:
         still = ~(x("blank") | x("h0") | x("h1"))
         return {"c1": question_form_confidence(x("fa"), x("fe"), x("h1")) * F.when(lacks_form, 0.5).otherwise(1.0), "open": still,
                 # Without a number in the expected answer, or an answer still to settle, there is nothing to list.
-                "n": still & _has_number(x("ne")) & _has_number(x("na"))}
+                "n": still & (x("beat") > 3) & _has_number(x("ne")) & _has_number(x("na"))}
 
     def listed(x):
         return {"va": F.when(x("n"), listed_numbers(x("na"))), "ve": F.when(x("n"), listed_numbers(x("ne")))}
@@ -89,7 +93,7 @@ def _strategies(fuzzy: bool, count_distinct: bool) -> list[Step]:
         return {"c2": F.when(x("n"), number_confidence(x("va"), x("ve"), *years, count_distinct)).otherwise(0.0)}
 
     def without_numbers(x):
-        return {"h2": x("c2") >= fv.NUMBER_THRESHOLD, "open": x("open") & ~(x("c2") >= fv.NUMBER_THRESHOLD)}
+        return {"h2": x("c2") >= fv.NUMBER_THRESHOLD, "open": x("open") & (x("beat") > 4) & ~(x("c2") >= fv.NUMBER_THRESHOLD)}
 
     def expanded(x):
         return {"xa": F.when(x("open"), tx.expand_abbreviations(x("na"))), "xe": F.when(x("open"), tx.expand_abbreviations(x("ne")))}
@@ -99,7 +103,7 @@ def _strategies(fuzzy: bool, count_distinct: bool) -> list[Step]:
         return {"h3": F.coalesce((xa == x("ne")) | (x("na") == xe) | (xa == xe), F.lit(False))}
 
     def to_score(x):
-        still = x("open") & ~x("h3")
+        still = x("open") & ~x("h3") & (x("beat") > 5)
         return {"open": still, "a": F.when(still, x("na")), "b": F.when(still, x("ne"))}
 
     def scored(x):
@@ -110,7 +114,7 @@ def _strategies(fuzzy: bool, count_distinct: bool) -> list[Step]:
         return {"open": x("open") & ~x("h3"), "c4": F.lit(0.0), "h4": F.lit(False)}
 
     def tokens(x):
-        still = x("open") & ~x("h4")
+        still = x("open") & ~x("h4") & (x("beat") > 6)
         return {"open": still, "ta": F.when(still, tx.meaningful_tokens(x("na"))), "te": F.when(still, tx.meaningful_tokens(x("ne")))}
 
     def semantic(x):
@@ -142,7 +146,7 @@ def _strategies(fuzzy: bool, count_distinct: bool) -> list[Step]:
 def _given(answer: Column, form_required, fuzzy_threshold, semantic_threshold, synonym_score: str | None) -> dict[str, Column]:
     synonym = F.coalesce(F.col(synonym_score), F.lit(0.0)) if synonym_score else F.lit(0.0)
     return {"answer": answer, "needs_form": _col(form_required), "fuzzy_least": _col(fuzzy_threshold),
-            "semantic_least": _col(semantic_threshold), "synonym": synonym.cast("double")}
+            "semantic_least": _col(semantic_threshold), "synonym": synonym.cast("double"), "beat": F.lit(len(_ORDER) + 1)}
 
 
 def match_answers(df: DataFrame, answer: str, expected: str, form_required: Column | bool = False,
@@ -180,8 +184,16 @@ def match_any(df: DataFrame, answer: str, expected: str, alternatives: str, form
             F.array_position(order, m["match_type"]).alias("strategy"), x("at").alias("at"), m.alias("match"), x("expected").alias("matched_against"))}
 
     steps = [*_strategies(fuzzy, count_distinct), ranked]
-    each = F.transform(listed, lambda e, i: in_row({**bound, "expected": e, "at": i}, steps, "ranked"))
-    out = out.withColumn("_m_best", F.array_min(each)).withColumns({"match": F.col("_m_best.match"), "matched_against": F.col("_m_best.matched_against")})
+    placed = F.transform(listed, lambda e, i: F.struct(e.alias("e"), i.alias("i")))
+    nothing = F.lit(None).cast("struct<miss:boolean,less:double,strategy:bigint,at:int,match:struct<is_match:boolean,confidence:double,match_type:string,"
+                               "normalized_answer:string,normalized_expected:string>,matched_against:string>")
+
+    def better(best: Column, option: Column) -> Column:
+        """The better of the best so far and the next answer, which is not compared at all after an exact hit."""
+        beat = F.when(~best["miss"], best["strategy"]).otherwise(F.lit(len(_ORDER) + 1).cast("bigint"))
+        found = in_row({**bound, "expected": option["e"], "at": option["i"], "beat": beat}, steps, "ranked")
+        return F.when(~best["miss"] & (best["strategy"] == 1), best).otherwise(F.least(best, found))
+    out = out.withColumn("_m_best", F.aggregate(placed, nothing, better)).withColumns({"match": F.col("_m_best.match"), "matched_against": F.col("_m_best.matched_against")})
     return out.drop(*[c for c in out.columns if c.startswith("_m_")])
 
 

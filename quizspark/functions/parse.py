@@ -16,13 +16,17 @@ FORM_ANYWHERE = rf"(?i)(?:{WORDS_ALT})\s+(?:{VERBS_ALT})\s+"
 
 def clean_response(c: Column) -> Column:
     """Collapse white space and drop lead-ins such as "Answer:"."""
-    cut = reduce(lambda acc, p: F.regexp_replace(acc, "(?i)" + p, ""), fv.ANSWER_PREFIXES,
-                 tx.collapse(c))
-    return F.trim(cut)
+    return without_prefixes(tx.collapse(c))
+
+
+def without_prefixes(flat: Column) -> Column:
+    """Collapsed text without lead-ins; a text that none of them fits is not gone through one by one."""
+    cut = reduce(lambda acc, p: F.regexp_replace(acc, "(?i)" + p, ""), fv.ANSWER_PREFIXES, flat)
+    return F.trim(F.when(flat.rlike("(?i)" + "|".join(f"(?:{p})" for p in fv.ANSWER_PREFIXES)), cut).otherwise(flat))
 
 
 def is_blank(c: Column) -> Column:
-    return c.isNull() | (tx.strip(c) == "")
+    return c.isNull() | tx.is_empty(c)
 
 
 def has_question_form(low: Column) -> Column:
@@ -32,7 +36,7 @@ def has_question_form(low: Column) -> Column:
 
 def phrases_found(low: Column, phrases: list[str]) -> Column:
     """The listed phrases that occur in lower-case text, in list order."""
-    return F.array_compact(F.array(*[F.when(low.contains(p), F.lit(p)) for p in phrases]))
+    return F.array_except(F.array(*[F.when(low.contains(p), F.lit(p)) for p in phrases]), F.array(F.lit(None).cast("string")))
 
 
 def _any_phrase(low: Column, phrases: list[str]) -> Column:
@@ -127,7 +131,8 @@ def parse_responses(df: DataFrame, text_col: str, with_reasoning: bool = True) -
     raw = F.col(text_col)
     clean = F.col("_clean")
     staged = (df.withColumn("_blank", is_blank(raw))
-              .withColumn("_clean", F.when(F.col("_blank"), F.lit("")).otherwise(clean_response(raw)))
+              .withColumn("_flat", tx.collapse(raw))
+              .withColumn("_clean", F.when(F.col("_blank"), F.lit("")).otherwise(without_prefixes(F.col("_flat"))))
               .withColumn("_low", F.lower(clean))
               .withColumn("_form", has_question_form(F.col("_low")))
               .withColumn("_type", response_type(F.col("_blank"), F.col("_form"), F.col("_low"))))
@@ -150,4 +155,4 @@ def parse_responses(df: DataFrame, text_col: str, with_reasoning: bool = True) -
         tx.words_in(clean).alias("word_count"),
         quality_score(rtype, F.col("_hints"), F.col("_answer")).alias("quality_score"))
     return staged.withColumn("parsed", parsed).drop(
-        "_blank", "_clean", "_low", "_form", "_hit", "_asked", "_type", "_hints", "_answer", "_why")
+        "_blank", "_flat", "_clean", "_low", "_form", "_hit", "_asked", "_type", "_hints", "_answer", "_why")

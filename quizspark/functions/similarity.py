@@ -37,19 +37,13 @@ def better_ratio(a: Column, b: Column, best: Column) -> Column:
     """The edit ratio if it is above ``best``, else ``best``; the distance is bounded by what would be above it."""
     longest = F.greatest(F.length(a), F.length(b))
     allowed = F.floor(longest * (199 - 2 * best) / 200).cast("int")
-    apart = F.abs(F.length(a) - F.length(b))
-
-    def within(s: Column) -> Column:
-        edits = F.call_function("levenshtein", a, b, s["allowed"])
-        return F.when((s["longest"] == 0) | (s["allowed"] < s["apart"]), -1).otherwise(edits)
-
-    sized = F.struct(longest.alias("longest"), allowed.alias("allowed"), apart.alias("apart"))
-    return let(sized, lambda s: F.when(s["longest"] == 0, 100).otherwise(
-        let(within(s), lambda d: F.when(d < 0, best).otherwise(F.greatest(best, _share(s["longest"], d))))))
+    # Beyond the bound the distance is -1, which becomes NULL, and the greatest of NULL and the best is the best.
+    edits = F.when(allowed >= F.abs(F.length(a) - F.length(b)), F.nullif(F.call_function("levenshtein", a, b, allowed), F.lit(-1)))
+    return F.when(longest == 0, 100).otherwise(F.greatest(best, _share(longest, edits)))
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(text, " "), lambda w: w != "")
+    return F.array_remove(F.split(text, " "), "")
 
 
 def _joined(words: Column) -> Column:
@@ -84,9 +78,9 @@ def _cut(x) -> dict[str, Column]:
 def _sides(x) -> dict[str, Column]:
     wa, wb = x("wa"), x("wb")
     less = F.size(wa) <= F.size(wb)
-    return {"few": F.when(less, wa).otherwise(wb), "many": F.when(less, wb).otherwise(wa), "sa": _joined(F.array_sort(wa)), "sb": _joined(F.array_sort(wb)),
-            "shared": _joined(F.array_sort(F.array_intersect(wa, wb))), "oa": _joined(F.array_sort(F.array_except(wa, wb))),
-            "ob": _joined(F.array_sort(F.array_except(wb, wa)))}
+    return {"few": F.when(less, wa).otherwise(wb), "many": F.when(less, wb).otherwise(wa), "sa": _joined(F.sort_array(wa)), "sb": _joined(F.sort_array(wb)),
+            "shared": _joined(F.sort_array(F.array_intersect(wa, wb))), "oa": _joined(F.sort_array(F.array_except(wa, wb))),
+            "ob": _joined(F.sort_array(F.array_except(wb, wa)))}
 
 
 def _sets(x) -> dict[str, Column]:

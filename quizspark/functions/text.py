@@ -11,7 +11,9 @@ from quizspark import fixed_values as fv
 # One set of character classes for every engine: letters, digits and white space as Unicode
 # defines them.
 WS = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
-NOT_WORD = r"[^\p{L}\p{N}_\s\x0b\x1c-\x1f\x85\p{Z}'-]"
+NOT_WS = r"[^\s\x0b\x1c-\x1f\x85\p{Z}]"
+#: What lies between words: white space and all punctuation but ' and -.
+GAP = r"[^\p{L}\p{N}_'-]+"
 FORM_START = r"(?:(?:what|who|where|when)\s+(?:is|are|was|were)|(?:why|how)\s+is)\s+"
 
 
@@ -36,8 +38,8 @@ def word_count(c: Column) -> Column:
 
 def normalize_text(c: Column) -> Column:
     """Lower case, no punctuation except ' and -, single blanks, no leading article."""
-    plain = collapse(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), NOT_WORD, " "))
-    return F.regexp_replace(plain, r"^(the|a|an)\s+", "")
+    words = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), GAP, " ")
+    return F.regexp_replace(words, r"^ ?(?:(?:the|a|an) (?=[^ ]))?| $", "")
 
 
 def question_content(norm: Column) -> Column:
@@ -46,13 +48,19 @@ def question_content(norm: Column) -> Column:
 
 
 def starts_as_question(c: Column) -> Column:
-    return strip(F.lower(c)).rlike(f"^{FORM_START}")
+    return F.lower(c).rlike(f"^{WS}*{FORM_START}(?s:.*){NOT_WS}")
+
+
+def is_empty(c: Column) -> Column:
+    """Whether a text has nothing but white space; NULL for NULL."""
+    return ~c.rlike(NOT_WS)
 
 
 def extract_numbers(c: Column) -> Column:
     """Distinct numbers in the text, without commas and dollar signs."""
     found = [F.regexp_extract_all(c, F.lit("(?U)" + p), F.lit(0)) for p in fv.NUMBER_PATTERNS]
-    return F.array_distinct(F.transform(F.concat(*found), lambda x: F.regexp_replace(x, "[,$]", "")))
+    bare = F.split(F.regexp_replace(F.array_join(F.concat(*found), "\n"), "[,$]", ""), "\n")  # a number has no line end
+    return F.array_remove(F.array_distinct(bare), "")
 
 
 def extract_years(c: Column) -> Column:
@@ -93,9 +101,13 @@ def meaningful_tokens(norm: Column) -> Column:
     Contractions are cut at the apostrophe before the test.
     """
     bare = F.regexp_replace(norm, r"(n't|'s|'m|'d|'ll|'re|'ve|')(?= |$)", "")
-    words = F.regexp_extract_all(bare, F.lit(r"(?<![^ ])[\p{L}\p{N}]{3,}(?![^ ])"), F.lit(0))
-    stop = F.array(*[F.lit(w) for w in fv.STOPWORDS])
-    return F.filter(words, lambda w: ~F.array_contains(stop, w))
+    return F.regexp_extract_all(bare, F.lit(rf"(?<![^ ])(?!{_any_of(fv.STOPWORDS)}(?![^ ]))[\p{{L}}\p{{N}}]{{3,}}(?![^ ])"), F.lit(0))
+
+
+def _any_of(words: list[str]) -> str:
+    """A pattern for any of the words, by first letter, so that few are tried at a place."""
+    firsts = sorted({w[0] for w in words})
+    return "(?:" + "|".join(re.escape(a) + "(?:" + "|".join(re.escape(w[1:]) for w in words if w[0] == a) + ")" for a in firsts) + ")"
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -121,4 +133,4 @@ def levenshtein_similarity(a: Column, b: Column) -> Column:
 
 
 def sorted_tokens(norm: Column) -> Column:
-    return F.array_join(F.array_sort(F.split(norm, " ")), " ")
+    return F.array_join(F.sort_array(F.split(norm, " ")), " ")

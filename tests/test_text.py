@@ -204,3 +204,28 @@ def test_synonyms_of_repeated_and_null_ids(spark):
 def test_question_starters_in_list_order(spark):
     df = spark.createDataFrame([("So how was it? And somewhat  is odd. Who is there",), ("none",), ("WHY IS it so! what were they",)], "c string")
     assert [r[0] for r in df.select(ps.question_hit(F.col("c"))).collect()] == ["what  is odd.", None, "WHY IS it so!"]
+
+
+def test_rows_carry_only_what_later_steps_read():
+    from quizspark.plans.stages import _kept
+    steps = [lambda x: {"p": x("a") + x("b")}, lambda x: {"q": x("p") * 2}, lambda x: {"r": x("q") + x("a")}]
+    assert _kept(steps, "r") == [["a", "p"], ["a", "q"], ["r"]]
+
+
+def test_text_expressions_run_without_functions_on_elements(spark):
+    """Functions on array elements are interpreted row by row; the expressions every row goes through have none."""
+    df = spark.createDataFrame([("a", "b")], "a string, b string")
+    for made in (tx.normalize_text(F.col("a")), tx.meaningful_tokens(F.col("a")), tx.extract_numbers(F.col("a")), ps.phrases_found(F.col("a"), ["x", "y"]),
+                 si.better_ratio(F.col("a"), F.col("b"), F.lit(3))):
+        assert "lambda" not in df.select(made.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_later_answers_only_for_better_strategies(spark):
+    rows = [("paris france", "paaris france", ["what is paris france", "paris france", "x"]), ("in 1989", "1989", ["nineteen", "in 1989"]),
+            ("gold", "silver", ["copper", "gould"]), ("", "x", [""]), ("gold", "gold", [None, "gold"]), ("gold", "silver", None)]
+    df = spark.createDataFrame(rows, "a string, e string, also array<string>")
+    for r in mt.match_any(df, "a", "e", "also").collect():
+        each = [(x, mt.match_answers(spark.createDataFrame([(r["a"], x)], "a string, e string"), "a", "e").first()["match"]) for x in [r["e"], *(r["also"] or [])]]
+        want = min(enumerate(each), key=lambda p: (not p[1][1]["is_match"], 0 if p[1][1]["is_match"] else -p[1][1]["confidence"],
+                                                   mt._ORDER.index(p[1][1]["match_type"]), p[0]))[1]
+        assert (r["matched_against"], r["match"]) == want
