@@ -299,6 +299,11 @@ def _totals(fine: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def _measured(results: DataFrame, keys: Sequence[str], percentiles: bool) -> tuple[DataFrame, DataFrame]:
     """(metrics, the fine-grained table they come from)."""
+    if percentiles:
+        # Three passes follow, and the rows may be a join: it is made once, and only what the passes read is written.
+        needed = {*keys, "is_correct", "confidence", "latency_ms", "category", "difficulty_level", "value", "cost_usd", "tokens_used", "tokens_input", "tokens_output",
+                  "is_timeout", "is_error", "grading_mode", "partial_credit", "grading_time_ms"}
+        results = written(results.select(*[c for c in results.columns if c in needed]), "metric-rows")
     fine = written(_fine_grain(results, keys, everything=True), "fine-metrics")
     parts = [_totals(fine, keys), _steadiness(fine, keys)]
     if percentiles:

@@ -119,3 +119,16 @@ def test_prices_from_a_whole_catalog(spark):
     catalog = spark.createDataFrame([("a", 5.0, 6.0), ("a", 3.0, 4.0), (None, 1.0, 1.0), ("b", 9.0, 9.0)], "model_id string, input_cost double, output_cost double")
     got = sorted((str(r["model_id"]), r["price_source"], r["input_price"]) for r in j.price_usage(usage, catalog, cat.static_catalog(spark)).collect())
     assert [g[:2] for g in got] == [("None", "none"), ("a", "dynamic"), ("a", "dynamic"), ("nobody", "none")] and got[1][2] == got[2][2] > 0
+
+
+def test_rows_are_read_once(spark):
+    """The rows may be a join; what follows reads the written columns and never the join again."""
+    from quizspark.operators import metrics
+    rows = spark.createDataFrame([(1, "m", 1, True, 0.5, 100, 0.1, 10, 4, 6), (1, "m", 2, None, 0.7, 300, 0.2, 20, 8, 12)],
+                                 "run_id int, model_name string, question_id int, is_correct boolean, confidence double, latency_ms int, cost_usd double, tokens_used int, "
+                                 "tokens_input int, tokens_output int")
+    asked = spark.createDataFrame([(1, "a", "Easy", 100), (2, "b", "Hard", 200)], "question_id int, category string, difficulty_level string, value int")
+    out = metrics.comprehensive_metrics(rows.join(asked, "question_id"))
+    assert "question_id" not in out._jdf.queryExecution().analyzed().toString()
+    got = out.first()
+    assert (got["total_count"], got["category_count"], got["median_s"], got["p95_s"]) == (2, 2, 0.2, 0.3)
