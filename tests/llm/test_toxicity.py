@@ -134,3 +134,29 @@ def test_query_on_held_out_rows(spark):
     held = [r for r in labels if got[r["doc_id"]]["held_out"]]
     assert len(got) == spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").distinct().count()
     assert sum(got[r["doc_id"]]["predicted"] == r["toxic"] for r in held) / len(held) > 0.85
+
+
+def test_rows_past_any_sample_are_learnt(spark):
+    """Only the last rows in the order of a hash of the id are toxic; all labelled rows must count."""
+    ids = [r[0] for r in spark.range(13_000).where(tox.fold(tox.F.col("id")) != 0).orderBy(tox.F.xxhash64("id"), "id").collect()]
+    assert len(ids) > 8192 + 1500
+    last = set(ids[8192:])
+    docs = [(i, f"calm w{i % 50} " + ("rotten" if i in last else "kind")) for i in ids] + [(i, "calm " + ("rotten" if i % 2 else "kind")) for i in range(20_000, 20_100)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, 1, int(i in last)) for i in ids], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in tox.score_documents(df, labels, carry=["doc_id"]).collect()}
+    assert all(got[i] == i % 2 for i in range(20_000, 20_100))
+
+
+def test_groups_learn_together(spark, monkeypatch):
+    """Many groups and blocks reach what one reaches; no row is left out, equal rows count once."""
+    monkeypatch.setattr(tox, "GROUP_ROWS", 150)
+    monkeypatch.setattr(tox, "BLOCK_WORDS", 2000)
+    rows = made(2500, 2)
+    df = spark.createDataFrame([(i, t, lang) for i, t, lang, _ in rows] + [(7, rows[7][1], rows[7][2])], "doc_id long, text string, lang string").repartition(4)
+    labels = spark.createDataFrame([(i, 1, y) for i, _, _, y in rows], "doc_id long, quality int, toxic int")
+    learnt = tox.learnable(df, labels, "lang")
+    assert learnt.select("grp").distinct().count() > 8
+    assert sorted(r["id"] for r in learnt.select("id").collect()) == [i for i, *_ in rows if zlib.crc32(str(i).encode()) % 5]
+    got = tox.score_documents(df, labels, carry=["doc_id"]).where("held_out").collect()
+    assert sum(r["predicted"] == rows[r["doc_id"]][3] for r in got) / len(got) > 0.97
