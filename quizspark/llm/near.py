@@ -1,8 +1,8 @@
-"""Near-duplicates by word-shingle similarity: MinHash bands for candidates, every candidate confirmed on its shingle sets, components.
+"""Near-duplicates by word-shingle similarity: SimHash links, then MinHash bands for what they don't reach, every candidate confirmed on its shingle sets, components.
 
-A text stands for the set of its distinct shingles; two are near copies when the sets share ``least`` of their union or more. The
-64-bit SimHash of op5 can't reach 0.8: such a pair differs in about ten bits. Here a pair shares one of 25 keys of five minima each
-with a chance of 0.99995 at 0.8, and more above. Equal sets are merged before.
+A text stands for the set of its distinct shingles; two are near copies when the sets share ``least`` of their union or more. The links of the
+64-bit SimHash of op5 (its fingerprints, blocks and verified distance) come first. They can't reach 0.8, where a pair differs in about ten bits, so texts still apart
+are also met in MinHash bands: a pair shares one of 25 keys of five minima each with a chance of 0.99995 at 0.8, and more above. Equal sets are merged before.
 
 First each key's set of smallest hash is compared with the others of the key, so a group of near copies is linked by one comparison a member. Sets of a key that are still apart
 are compared with each other where at most ``LIMIT`` share the key. Keys that more share stand for a common passage. Their sets go through an exact prefix filter: with a set's
@@ -10,6 +10,7 @@ shingles ordered from the rarest among these sets to the most frequent, two near
 shingles behind it, or sizes too unlike, rule a pair out before anything is read. A passage's shingles come last, so texts that have only the passage in common share no key.
 Shingles of one set alone are no keys and are counted only. Keys that many share even so go the same way, ``GROWTH`` times as many sets a round, and no key is left out.
 Candidates and links are ids alone; shingles are written once, for texts with a candidate, and met by ordinary joins. Texts are not written again: rows are known by id and text hash until the end.
+Before texts or shingles meet a table of ids they go through its sieve, two bits an id of at most ``SIEVE_BITS``, so that those without a partner aren't shuffled; the join decides.
 
 Null text counts as empty; texts without words are equal sets. Texts with fewer words than a shingle are one shingle. Of repeated rows
 exactly one stays. A null id sorts after all others. Columns of the input may have any names. An empty table gives an empty result. Hashes of shingles, sets and texts have 64 bits.
@@ -17,6 +18,8 @@ exactly one stays. A null id sorts after all others. Columns of the input may ha
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -24,11 +27,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quizspark.llm.common import python_words, text_or_empty
 from quizspark.llm.components import component_roots
-from quizspark.llm.simhash import shingle_spans
+from quizspark.llm.simhash import fingerprint_column, fingerprint_links, shingle_spans
 from quizspark.plans.storage import written
 
 BANDS, ROWS = 25, 5
 LIMIT, GROWTH = 32, 32
+SIEVE_BITS, SIEVE_BLOCK = 1 << 27, 1 << 15
 
 
 class Bands:
@@ -84,9 +88,34 @@ def _candidates(each: DataFrame) -> DataFrame:
     ``at`` is the number of the set's shingles that stand before the key, 0 where keys have no order.
     """
     u = F.xxhash64("fp").bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
-    each = each.withColumn("u", u)
-    shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("u").alias("low")).where("size > 1")
-    return written(each.join(written(shared, "near-keys"), "key").select("key", "fp", "n", "at", "size", "low", "u"), "near-candidates")
+    shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(u).alias("low")).where("size > 1")
+    return written(each.join(written(shared, "near-keys"), "key").select("key", "fp", "n", "at", "size", "low", u.alias("u")), "near-candidates")
+
+
+def _sieve(ids: DataFrame) -> Callable[[Column], Column]:
+    """A test of 64-bit hashes that all of ``ids`` (one column of them) pass, and about one in seventy of others; more of them where ``SIEVE_BITS`` are few for the ids."""
+    size = min(SIEVE_BITS, max(SIEVE_BLOCK, 1 << (16 * ids.count()).bit_length()))
+    first = F.col(ids.columns[0])
+    places = F.array(first.bitwiseAND(F.lit(size - 1)), F.shiftrightunsigned(first, 32).bitwiseAND(F.lit(size - 1)))
+
+    def packed(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        of = np.zeros(SIEVE_BLOCK, bool)
+        of[frame["place"].to_numpy() % SIEVE_BLOCK] = True
+        return pd.DataFrame({"block": [key[0]], "bits": [np.packbits(of, bitorder="little").tobytes()]})
+
+    blocks = ids.select(F.explode(places).alias("place")).distinct().groupBy(F.floor(F.col("place") / SIEVE_BLOCK).alias("block")).applyInPandas(packed, "block long, bits binary")
+    bits = np.zeros((size // SIEVE_BLOCK, SIEVE_BLOCK // 8), np.uint8)
+    for r in blocks.collect():
+        bits[r["block"]] = np.frombuffer(r["bits"], np.uint8)
+    send = ids.sparkSession.sparkContext.broadcast(bits.ravel())
+
+    @F.pandas_udf("boolean")
+    def may(hashes: pd.Series) -> pd.Series:
+        h, both = hashes.to_numpy().view("u8"), np.ones(len(hashes), np.uint8)
+        for place in (h & np.uint64(size - 1), (h >> np.uint64(32)) & np.uint64(size - 1)):
+            both &= send.value[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)
+        return pd.Series((both & 1) == 1)
+    return may
 
 
 def _prefixes(sets: DataFrame, least: float) -> DataFrame:
@@ -136,6 +165,7 @@ def _pairs(now: DataFrame, before: Column, taken: Column, least: float) -> DataF
 def _joined(pairs: DataFrame, sets: DataFrame, roots: DataFrame | None, least: float) -> DataFrame | None:
     """Components after the pairs were confirmed on their shingle sets; earlier links are kept as one star a component."""
     pairs = written(pairs.distinct(), "near-pairs")
+    sets = sets.where(_sieve(pairs.select("a").union(pairs.select("b")).distinct())(F.col("fp")))
     met = pairs.join(sets.select(F.col("fp").alias("b"), F.col("h").alias("b_h")), "b").join(sets.select(F.col("fp").alias("a"), F.col("h").alias("a_h")), "a")
     met = met.select("a", "b", F.size(F.array_intersect("b_h", "a_h")).alias("both"), (F.size("a_h") + F.size("b_h")).alias("sum"))
     found = written(met.where(F.col("both") / (F.col("sum") - F.col("both")) >= least).select("a", "b"), "near-links")
@@ -144,15 +174,31 @@ def _joined(pairs: DataFrame, sets: DataFrame, roots: DataFrame | None, least: f
     return component_roots(found if roots is None else found.unionByName(roots.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
 
-def similar_components(known: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame | None:
-    """``node, root`` of the components that candidates of similarity ``least`` make; ``known`` has ``id, hash, fp, n, keys`` of the rows of ``docs``."""
-    held = _candidates(known.select(F.explode("keys").alias("key"), "fp", "n").distinct().withColumn("at", F.lit(0)))
-    ids = held.select("fp").distinct()
-    one = known.join(ids, "fp").groupBy("fp").agg(F.min(F.struct("id", "hash")).alias("row")).select("fp", "row.*")
-    texts = _found(docs.select(F.col("doc_id").alias("__id"), text_or_empty().alias("__text")), written(one, "near-ids"), "inner")
-    sets = written(texts.dropDuplicates(["fp"]).select("fp", _shingles(F.col("__text"), words).alias("h")), "near-shingles")
+def _simhash_pairs(known: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of sets whose fingerprints the links of op5 connect; of the sets with one fingerprint the smallest stands for all."""
+    of_bits = written(known.groupBy("bits").agg(F.min("fp").alias("a")), "near-fingerprints")
+    equal = known.select("bits", F.col("fp").alias("b")).distinct().join(of_bits, "bits").where("a != b").select("a", "b")
+    links = written(fingerprint_links(of_bits.select(F.col("bits").alias("fp"))).select(F.col("a").alias("x"), F.col("b").alias("y")), "near-simhash")
+    links = links.join(of_bits.withColumnRenamed("bits", "x"), "x").join(of_bits.select(F.col("bits").alias("y"), F.col("a").alias("b")), "y").where("a != b")
+    return written(equal.unionByName(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct(), "near-simhash-pairs")
+
+
+def similar_components(known: DataFrame, of_fp: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame | None:
+    """``node, root`` of the components that candidates of similarity ``least`` make.
+
+    ``known`` has ``fp, bits`` of the rows of ``docs``, ``of_fp`` the ``fp, n, keys`` of each set and the ``id, hash`` of one of its rows as ``least``.
+    """
+    linked = _simhash_pairs(known)
+    held = _candidates(of_fp.select(F.explode(F.array_distinct("keys")).alias("key"), "fp", "n", F.lit(0).alias("at")))
+    ids = held.select("fp").union(linked.select("a")).union(linked.select("b")).distinct()
+    one = written(of_fp.select("fp", "least.id", "least.hash").join(ids, "fp").select(_who(F.col("id")).alias("who"), "hash", "fp"), "near-ids")
+    texts = docs.select(F.col("doc_id").alias("__id"), text_or_empty().alias("text")).select(_who(F.col("__id")).alias("who"), F.xxhash64("text").alias("hash"), "text")
+    texts = texts.where(_sieve(one.select(F.xxhash64("who", "hash")))(F.xxhash64("who", "hash")))
+    texts = texts.join(one, ["who", "hash"]).dropDuplicates(["who", "hash"])
+    sets = written(texts.select("fp", _shingles(F.col("text"), words).alias("h")), "near-shingles")
+    roots = _joined(linked, sets, None, least)
     head = F.col("u") == F.col("low")
-    roots = _joined(_pairs(_rooted(held, None), F.lit(False), head, least), sets, None, least)
+    roots = _joined(_pairs(_rooted(held, roots), F.lit(False), head, least), sets, roots, least)
     now = _apart(held.where("size > 2"), roots)
     if now is None:
         return roots
@@ -168,6 +214,11 @@ def similar_components(known: DataFrame, docs: DataFrame, words: int, least: flo
     return roots
 
 
+def _who(id: Column) -> Column:
+    """An id as text, that of null too."""
+    return F.coalesce(F.concat(F.lit("#"), id.cast("string")), F.lit(""))
+
+
 def _found(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
     """Documents (``__id, __text``) that are, or are not, among the rows (``id, hash``)."""
     same = F.col("__id").eqNullSafe(F.col("id")) & (F.xxhash64("__text") == F.col("hash"))
@@ -177,14 +228,14 @@ def _found(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """One row, that of the smallest id, of each group of near-duplicates, with the columns of ``docs``.
 
-    What goes is found on ids and hashes; they are written before the rows meet them, so Spark broadcasts them when they are few.
+    What goes is found on ids and hashes; only rows that pass the sieve of those that go or repeat meet them, so the other texts aren't shuffled.
     """
     text = text_or_empty()
-    sketched = docs.select(F.col("doc_id").alias("id"), F.xxhash64(text).alias("hash"), _sketch(text, words).alias("s"))
-    known = written(sketched.select("id", "hash", "s.fp", "s.n", "s.keys"), "near")
+    sketched = docs.select(F.col("doc_id").alias("id"), F.xxhash64(text).alias("hash"), _sketch(text, words).alias("s"), fingerprint_column(text, words).alias("bits"))
+    known = written(sketched.select("id", "hash", "s.fp", "s.n", "s.keys", "bits"), "near")
     first = F.struct(F.col("id").isNull().alias("none"), "id", "hash")
-    of_fp = known.groupBy("fp").agg(F.min(first).alias("least"))
-    roots = similar_components(known, docs, words, least)
+    of_fp = written(known.groupBy("fp").agg(F.min(first).alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys")), "near-sets")
+    roots = similar_components(known, of_fp, docs, words, least)
     if roots is None:
         of_fp = of_fp.withColumn("root", F.col("fp"))
     else:
@@ -195,8 +246,10 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8) ->
     fate = written(fate, "near-duplicates")
     named = [F.col(c).alias(f"c_{i}") for i, c in enumerate(docs.columns)]
     rows = docs.select(*named, F.col("doc_id").alias("__id"), text.alias("__text"))
-    out = _found(rows, fate, "left_anti")
-    again = _found(rows, fate.where("stays").select("id", "hash"), "inner")
+    may = _sieve(fate.select(F.xxhash64("id", "hash")))(F.xxhash64("__id", F.xxhash64("__text")))
+    some = rows.where(may)
+    out = rows.where(~may).unionByName(_found(some, fate, "left_anti"))
+    again = _found(some, fate.where("stays").select("id", "hash"), "inner")
     out = out.select(*[f"c_{i}" for i in range(len(docs.columns))])
     if fate.where("stays").limit(1).count():
         out = out.unionByName(again.dropDuplicates(["__id", "hash"]).select(*out.columns))

@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from quizspark.llm import near
+from quizspark.llm import near, simhash
 
 
 def shingles(text, k=5):
@@ -100,3 +100,45 @@ def test_very_long_text_and_clashing_columns(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, hash string, __id int")
     got = near.drop_near_duplicates(df)
     assert got.columns == df.columns and sorted((r["doc_id"], r["hash"], r["__id"]) for r in got.collect()) == [(1, "a", 1), (3, "c", 3)]
+
+
+def test_simhash_links_come_first(make, monkeypatch):
+    """Without any MinHash key, copies that differ in a word or two of 304 are still found, by their fingerprints."""
+    rows = planted()[:120]
+    monkeypatch.setattr(near, "_sketch", lambda text, words, of=near._sketch: near.F.struct(
+        of(text, words)["fp"].alias("fp"), of(text, words)["n"].alias("n"), near.F.array(of(text, words)["fp"]).alias("keys")))
+    bits = {i: simhash.fingerprint(t, 5) for i, t in rows}
+    close = {i + 1 for i, _ in rows[::2] if (bits[i] ^ bits[i + 1]).bit_count() <= simhash.MAX_BITS}
+    assert len(close) >= 5
+    kept = {r.doc_id for r in near.drop_near_duplicates(make(rows)).collect()}
+    assert {i for i, _ in rows} - kept == close - plain_kept(rows)
+
+
+def test_a_fingerprint_link_needs_the_similarity(make, monkeypatch):
+    """All texts have one fingerprint; only those that are near copies go."""
+    monkeypatch.setattr(near, "fingerprint_column", lambda text, words: near.F.lit(5).cast("long"))
+    rows = planted()[:40]
+    assert sorted(r.doc_id for r in near.drop_near_duplicates(make(rows)).collect()) == sorted(plain_kept(rows))
+
+
+@pytest.mark.parametrize("bits", [1 << 15, 1 << 27])
+def test_sieve(spark, monkeypatch, bits):
+    """Whatever its size it lets all ids through; with room enough few others."""
+    monkeypatch.setattr(near, "SIEVE_BITS", bits)
+    ids = spark.range(20_000).select(near.F.xxhash64("id").alias("h"))
+    may = near._sieve(ids)
+    others = spark.range(20_000, 60_000).select(near.F.xxhash64("id").alias("h"))
+    assert ids.where(may(near.F.col("h"))).count() == 20_000
+    assert bits < 1 << 20 or others.where(may(near.F.col("h"))).count() < 40_000 * 0.02
+    assert near._sieve(ids.limit(0))(near.F.col("h")) is not None and others.where(near._sieve(ids.limit(0))(near.F.col("h"))).count() == 0
+
+
+def test_texts_without_a_partner_meet_no_join(make, monkeypatch):
+    """Of 400 unlike texts and two near copies only a few texts are joined with what is known of candidates and of rows that go."""
+    random.seed(10)
+    words = [f"w{random.randrange(5000)}" for _ in range(304)]
+    rows = [(i, " ".join(f"x{random.randrange(10**6)}" for _ in range(40))) for i in range(400)] + [(500, " ".join(words)), (501, changed(words, 1))]
+    met = []
+    monkeypatch.setattr(near, "_found", lambda docs, known, how, of=near._found: met.append(docs.count()) or of(docs, known, how))
+    assert near.drop_near_duplicates(make(rows)).count() == 401
+    assert met and max(met) < 40
