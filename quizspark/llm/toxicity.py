@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -44,7 +45,7 @@ CHARS = 1_000_000
 BINS, MOST = 1 << 14, 30.0
 FEW_LABELS = 1_000_000
 LEAST_GAIN = 0.01
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_NOT_LETTERS = re.compile(r"(?:[^\w\n]|[\d_])+")
 _GAP = max(WIDTHS) - 1
 
 
@@ -69,12 +70,16 @@ class Words:
         size = len(self.parts)
         for at in range(0, len(new), self.BLOCK):
             block = new[at:at + self.BLOCK]
-            letters = [_NOT_LETTERS.sub("", w.lower()) for w in block]
-            parts = [[xxhash.xxh64_intdigest(p, k) % BUCKETS for k, p in enumerate((w, *(w[:n] for n in STEMS)))] for w in letters if w]
-            places = iter(range(size, size + len(parts)))
-            self.known.update((w, next(places) if x else 0) for w, x in zip(block, letters))
-            found.append(np.array(parts, np.int32).reshape(-1, 1 + len(STEMS)))
-            size += len(parts)
+            letters = _NOT_LETTERS.sub("", "\n".join(block).lower()).split("\n")  # no word has a line's end
+            some = list(filter(None, letters))
+            parts = np.empty((len(some), 1 + len(STEMS)), np.int32)
+            for k, stems in enumerate((some, *([w[:n] for w in some] for n in STEMS))):
+                parts[:, k] = np.fromiter(map(xxhash.xxh64_intdigest, stems, repeat(k)), np.uint64, len(some)) % np.uint64(BUCKETS)
+            places = np.zeros(len(block), np.int64)
+            places[np.fromiter(map(len, letters), np.int64, len(block)) > 0] = np.arange(size, size + len(some))
+            self.known.update(zip(block, places.tolist()))
+            found.append(parts)
+            size += len(some)
         if new:
             self.parts = np.vstack(found)
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
@@ -92,6 +97,14 @@ def laid(texts: list[str | None], words: Words) -> tuple[np.ndarray, np.ndarray,
     return words.parts[rows], out, starts
 
 
+def _seen(words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct of some numbers below ``n``, in order, and the place of each number among them."""
+    seen = np.flatnonzero(np.bincount(words, minlength=n))
+    place = np.empty(n, np.int64)
+    place[seen] = np.arange(len(seen))
+    return seen, place[words]
+
+
 @dataclass
 class Network:
     vectors: np.ndarray
@@ -142,7 +155,7 @@ class Network:
 
     def of_words(self, texts: list[np.ndarray], parts: np.ndarray) -> np.ndarray:
         """Logits of texts that are laid already, each with the gap after it."""
-        seen, words = np.unique(np.concatenate(texts), return_inverse=True)
+        seen, words = _seen(np.concatenate(texts), len(parts))
         starts = np.append(0, np.cumsum(list(map(len, texts)))[:-1])
         return self.logits(self.pooled(self.embedded(parts[seen]), words, starts))
 
@@ -162,7 +175,7 @@ class Steps:
         """One step on a batch of texts, each the numbers of its words with the gap after it; ``parts`` has the buckets of the words."""
         net, had = self.net, self.had
         stops = np.cumsum(list(map(len, texts)))
-        seen, words = np.unique(np.concatenate(texts), return_inverse=True)
+        seen, words = _seen(np.concatenate(texts), len(parts))
         embedded = net.embedded(parts[seen])
         tops, places = [], []
         for k in range(len(WIDTHS)):
@@ -292,8 +305,12 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, lis
     for at in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(ends // BLOCK_WORDS)) + 1):
         if len(at):
             parts = np.frombuffer(b"".join(texts[at[0]:at[-1] + 1]), "<u2").reshape(-1, 1 + len(STEMS)).astype(np.int64)
-            _, first, words = np.unique(parts @ (1 << 16) ** np.arange(1 + len(STEMS)), return_index=True, return_inverse=True)
-            yield at, parts[first].astype(np.int32), np.split(words, np.cumsum(sizes[at])[:-1])
+            words, distinct = pd.factorize(parts @ (1 << 16) ** np.arange(1 + len(STEMS)))
+            order = np.argsort(distinct)
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            parts = (distinct[order][:, None] >> 16 * np.arange(1 + len(STEMS))) & 0xFFFF
+            yield at, parts.astype(np.int32), np.split(place[words], np.cumsum(sizes[at])[:-1])
 
 
 def _logits(net: Network, texts: list[np.ndarray], parts: np.ndarray) -> np.ndarray:

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import random
+import re
+import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 
 from quizspark.llm import toxicity as tox
 from quizspark.llm.queries import QUERIES
@@ -160,3 +164,38 @@ def test_groups_learn_together(spark, monkeypatch):
     assert sorted(r["id"] for r in learnt.select("id").collect()) == [i for i, *_ in rows if zlib.crc32(str(i).encode()) % 5]
     got = tox.score_documents(df, labels, carry=["doc_id"]).where("held_out").collect()
     assert sum(r["predicted"] == rows[r["doc_id"]][3] for r in got) / len(got) > 0.97
+
+
+def plain_parts(word):
+    letters = re.sub(r"[\W\d_]+", "", word.lower())
+    return [xxhash.xxh64_intdigest(p, k) % tox.BUCKETS for k, p in enumerate((letters, *(letters[:n] for n in tox.STEMS)))] if letters else [tox.BUCKETS] * (1 + len(tox.STEMS))
+
+
+def test_buckets_of_odd_words_without_a_call_a_word():
+    """As the plain version gives them, also for letters whose lower case hangs on their neighbours; the work of Python calls doesn't grow with the words."""
+    random.seed(11)
+    odd = ["", "-", "ΟΔΟΣ", "ΣΑΣ", "Σ", "İstanbul", "a\u0301b", "ẞ1_x", "123", "don't", "\x1c", "a\x85b", "\u2028x", "東京2020", "x\u00a0y", "Foo,", "foo"]
+    many = [f"{random.choice(odd)}{random.randrange(10**9)}{random.choice('abcxyz')}w{i}" for i in range(50_000)]
+    calls = [0]
+    words = tox.Words()
+    sys.setprofile(lambda frame, event, arg: calls.__setitem__(0, calls[0] + (event == "call")))
+    try:
+        rows = words.rows(odd + many)
+    finally:
+        sys.setprofile(None)
+    assert calls[0] < 5_000
+    assert words.parts[rows].tolist() == [plain_parts(w) for w in odd + many]
+    again = words.rows(["foo", "FOO!"])
+    assert words.parts[again].tolist() == [plain_parts("foo")] * 2
+
+
+def test_distinct_words_of_a_block_and_of_a_batch():
+    rng = np.random.default_rng(12)
+    rows = [rng.integers(0, 40, (n, 1 + len(tox.STEMS))) + tox.BUCKETS - 39 for n in (0, 1, 500, 0, 3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([r.astype("<u2").tobytes() for r in rows], pa.binary())], names=["words"])
+    (at, parts, texts), = tox._blocks(batch)
+    assert at.tolist() == [0, 1, 2, 3, 4] and all((parts[t] == r).all() for t, r in zip(texts, rows))
+    assert [tuple(x) for x in parts.tolist()] == sorted({tuple(x) for r in rows for x in r.tolist()}, key=lambda x: x[::-1])
+    for t in texts:
+        seen, words = tox._seen(t, len(parts))
+        assert seen.tolist() == sorted(set(t.tolist())) and (seen[words] == t).all()
