@@ -24,7 +24,7 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of texts with a similarity of 0.8 or more over shingles of five words."""
+    """One document of each component of texts with a similarity of 0.8 or more over shingles of five words: SimHash links, then MinHash bands, all confirmed."""
     return near.drop_near_duplicates(docs, words=5, least=0.8)
 
 
