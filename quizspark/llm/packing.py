@@ -7,6 +7,7 @@ documents by BM25 against all terms of the seed, and lays them after it. What do
 tokens and stays unused for a later window, so a window is padded by less than a unit, but for the last of a shard.
 
 Token ids never leave the task that made them: the checksum of any piece follows from the checksums of its windows or units.
+A batch's texts stay in Arrow and are tokenized ``SLICE_BYTES`` at a time, so a task holds its batch and what one slice takes.
 
 Null text counts as empty: the end id alone. Repeated rows and rows without an id are packed each. Other columns are not
 returned. An empty table gives an empty result.
@@ -22,7 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quizspark.llm.tokens import WordIds, chunks, ranges
+from quizspark.llm.tokens import WordIds, ranges, slices
 
 WINDOW = 2048
 UNIT = 32
@@ -54,9 +55,8 @@ def _tokenizer(path: str, end_id: int, shards: int):
         for batch in batches:
             doc_ids = batch.column("doc_id")
             keys = batch.column("key").to_numpy()
-            texts = batch.column("text").to_numpy(zero_copy_only=False).tolist()
-            for first, last in chunks(texts):
-                ids, starts, terms, at = words.ids([t or "" for t in texts[first:last]], terms=True)
+            for first, last, texts in slices(batch.column("text")):
+                ids, starts, terms, at = words.ids(texts, terms=True)
                 rows = []
                 for i in range(last - first):
                     own = np.append(ids[starts[i]:starts[i + 1]], np.uint32(end_id))
@@ -66,6 +66,7 @@ def _tokenizer(path: str, end_id: int, shards: int):
                 yield pa.RecordBatch.from_arrays(
                     [doc_ids.slice(first, last - first), pa.array(keys[first:last] % shards, pa.int64()), pa.array(cols[0], pa.int64()),
                      *[pa.array(c, pa.binary()) for c in cols[1:]]], schema=TOKENIZED)
+        pa.default_memory_pool().release_unused()  # the worker lives on, beside the stages that follow
     return tokenize
 
 

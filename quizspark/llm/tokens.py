@@ -9,6 +9,8 @@ white space are encoded whole. ``tests/llm`` compares with encoding whole texts.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -22,6 +24,9 @@ _FIRST, _SIGN = "\x02", "\x03"
 #: No merge crosses from a letter or digit to one of these signs; cutting there leaves fewer different words.
 _BEFORE_SIGN = "([0-9A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff])([.,;:!?|&%$#*])"
 
+#: Bytes of text worked on at a time; the arrays made on the way take some thirty times as much.
+SLICE_BYTES = 1_000_000
+
 
 def _packed(ids: list[int]) -> np.ndarray:
     return np.array(ids, "<u4")
@@ -177,3 +182,14 @@ def chunks(texts: list[str | None], chars: int = 4_000_000):
         size += n
     if start < len(texts):
         yield start, len(texts)
+
+
+def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, list[str]]]:
+    """Slices of a batch's texts with about ``size`` bytes each, a longer text alone; null counts as empty."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    first = 0
+    while first < len(texts):
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + size, side="right")))
+        yield first, last, [t or "" for t in texts.slice(first, last - first).to_numpy(zero_copy_only=False).tolist()]
+        first = last

@@ -1,15 +1,17 @@
 """Token ids, records and packing, against encoding whole texts."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from quizspark.llm import packing, records
-from quizspark.llm.tokens import WordIds, chunks
+from quizspark.llm.tokens import WordIds, chunks, slices
 
 WORD, BYTE = (public_tokenizers.path(f) for f in ("word_bpe_49k.json", "byte_bpe_50k.json"))
 
@@ -34,6 +36,39 @@ def test_chunks_cover_everything_once():
     assert [i for a, b in chunks(texts, 10) for i in range(a, b)] == list(range(7)) and list(chunks([])) == []
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_slices_cover_everything_once_with_the_same_ids(path):
+    texts = [None, "é b", "", "a b c d e f", None, "<|endoftext|>", " x  y", "\U0001F600", "z"]
+    batch = pa.array(["left out", *texts], pa.string()).slice(1)
+    for kind in (pa.string(), pa.large_string()):
+        parts = list(slices(batch.cast(kind), 5))
+        assert [i for a, b, _ in parts for i in range(a, b)] == list(range(len(texts)))
+        assert [t for *_, part in parts for t in part] == [t or "" for t in texts]
+        assert all(b - a == 1 or sum(len(t.encode()) for t in part) <= 5 for a, b, part in parts)
+        words = WordIds(path)
+        got = [words.ids(part, terms=True) for *_, part in parts]
+        ids, starts, terms, at = words.ids([t or "" for t in texts], terms=True)
+        for k, part in enumerate((ids, terms)):
+            assert np.concatenate([g[2 * k] for g in got]).tolist() == part.tolist()
+        for k, part in enumerate((starts, at)):
+            assert np.concatenate([np.diff(g[2 * k + 1]) for g in got]).tolist() == np.diff(part).tolist()
+    assert list(slices(pa.array([], pa.string()))) == []
+
+
+def test_tokenizing_holds_a_slice_whatever_the_batch():
+    def peak(n):
+        texts = pa.array([f"{i} " + "some words of a text " * 150 for i in range(n)], pa.string())
+        batch = pa.record_batch([pa.array(range(n), pa.int64())] * 2 + [texts], names=["doc_id", "key", "text"])
+        tracemalloc.start()
+        rows = sum(b.num_rows for b in packing._tokenizer(WORD, 1, 3)(iter([batch])))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows == n
+        return most
+    peak(10)
+    assert peak(4000) < 40e6 and peak(4000) < 1.3 * peak(1000)
+
+
 def expected_ids(docs, path, end):
     rows = docs.select("doc_id", "text").collect()
     encs = Tokenizer.from_file(path).encode_batch([r.text or "" for r in rows], add_special_tokens=False)
