@@ -1,152 +1,234 @@
 """Comparing an answer with one or several acceptable answers.
 
 Strategies run in a fixed order and the first hit wins; without a hit the most confident strategy
-is reported. All are expressions; the fuzzy score is only computed for rows that the cheap strategies leave open.
+is reported. A row's answers are compared in the row, so nothing is exploded, shuffled or tagged.
 
-The strategies are one chain of steps (``plans.stages``). For one expected answer they are columns; for a list of answers they run
-inside the row, once for each answer, so nothing is exploded, shuffled or tagged.
+The strategies work on a batch of rows at once, in a worker of Python: each strategy sees all answers of the rows that the strategies before it left open, and a hit closes its row.
+Texts come in lower case from Spark, whose ``lower`` also mends broken encodings.
 """
 
 from __future__ import annotations
 
+import re
+import sys
+import unicodedata
+from functools import cache
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quizspark import fixed_values as fv
 from quizspark.functions import text as tx
-from quizspark.functions.similarity import BEST_STEPS
-from quizspark.plans.stages import Step, as_columns, in_row
+from quizspark.functions.similarity import best_scores
+from quizspark.plans.stages import small_methods
 from quizspark.plans.storage import written
 
+_ORDER = ["exact", fv.QUESTION_TYPE, "number_date", "abbreviation", "fuzzy", "semantic"]
+_FIELDS = [("is_match", "boolean"), ("confidence", "double"), ("match_type", "string"), ("normalized_answer", "string"), ("normalized_expected", "string")]
+_SQL_TYPE = "struct<" + ", ".join(f"{n}: {t}" for n, t in [*_FIELDS, ("at", "int")]) + ">"
+_FORM = re.compile(r"(?:(?:what|who|where|when) (?:is|are|was|were)|(?:why|how) is) (.+)")
+_CONTRACTION = re.compile(r"(?:n't|'s|'m|'d|'ll|'re|'ve|')$")
+_STOP = frozenset(fv.STOPWORDS)
+# Letters, digits, letter-like numbers and _ make words; of what is left in a normalised text, blank, ', - and other numbers (as in "5\u00b2") end them.
+_IN_WORD = r"\p{L}\p{Nd}\p{Nl}_"
 
-def _one_zero(hit: Column) -> Column:
-    return F.when(hit, 1.0).otherwise(0.0)
 
+def _list(texts: pa.Array) -> list[str]:
+    return texts.to_numpy(zero_copy_only=False).tolist()
 
-def question_form_confidence(form_a: Column, form_e: Column, hit: Column) -> Column:
-    return (F.when(form_a.isNotNull() & form_e.isNotNull(), F.when(hit, 1.0).otherwise(0.7))
-            .when(form_a.isNotNull(), F.when(hit, 0.9).otherwise(0.0))
-            .when(form_e.isNotNull(), F.when(hit, 0.8).otherwise(0.0)).otherwise(0.0))
 
+def normalized(low: pa.Array) -> pa.Array:
+    """``text.normalize_text`` of texts in lower case."""
+    words = pc.utf8_trim(pc.replace_substring_regex(low, pattern=tx.GAP, replacement=" "), " ")
+    return pc.replace_substring_regex(words, pattern="^(?:the|a|an) ", replacement="")
 
-def listed_numbers(norm: Column) -> Column:
-    """Numbers of the text, then numbers of the text with number words as digits."""
-    return F.concat(tx.extract_numbers(norm), tx.extract_numbers(tx.words_to_digits(norm)))
 
+def _content(norm: str) -> str | None:
+    found = _FORM.match(norm) if norm[:1] in ("w", "h") else None
+    return found[1] if found else None
 
-def number_confidence(nums_a: Column, nums_e: Column, years_a: Column, years_e: Column,
-                      count_distinct: bool = False) -> Column:
-    """Share of expected numbers found, or 1 for a shared year.
 
-    The denominator is the length of the double list of expected numbers unless ``count_distinct``.
-    """
-    total = F.size(F.array_distinct(nums_e) if count_distinct else nums_e)
-    by_number = F.when(total == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(nums_a, nums_e)) / total)
-    return F.greatest(by_number, _one_zero(F.arrays_overlap(years_a, years_e)))
+def _listed(words) -> str:
+    return "(?:" + "|".join(words) + ")"
 
 
-_ORDER = ["exact", fv.QUESTION_TYPE, "number_date", "abbreviation", "fuzzy", "semantic"]
+def _bounded(pattern: str) -> str:
+    """A pattern, for Arrow, of a whole word."""
+    return f"(?:^|[^{_IN_WORD}]){pattern}(?:$|[^{_IN_WORD}])"
 
 
-def _has_number(norm: Column) -> Column:
-    return norm.rlike(r"(?Ui)\d|\b(?:" + "|".join(fv.NUMBER_WORDS) + r")\b")
+@cache
+def _whole(pattern: str, plain: bool) -> re.Pattern:
+    """A pattern of a whole word, for ASCII or for any text."""
+    if plain:
+        return re.compile(rf"\b{pattern}\b", re.ASCII)
+    other = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) == "No")
+    return re.compile(rf"(?<![^\W{other}]){pattern}(?![^\W{other}])")
+
+
+def _replaced(norm: str, mapping: dict[str, str]) -> str:
+    return _whole(_listed(mapping), norm.isascii()).sub(lambda m: mapping[m[0]], norm)
+
+
+def _numbers(norm: str) -> tuple[set[str], int, set[str]]:
+    """Numbers of the text and of the text with number words as digits; how many both have, each counted by itself; the text's years.
+
+    A normalised text has no commas, points and dollar signs, so its numbers are whole words of digits.
+    """
+    number = _whole(r"\d+", norm.isascii())
+    own = set(number.findall(norm))
+    also = set(number.findall(_replaced(norm, fv.NUMBER_WORDS)))
+    return own | also, len(own) + len(also), {x for x in own if re.fullmatch(r"1\d{3}|20\d{2}", x)}
+
+
+def number_confidence(a: str, e: str, count_distinct: bool = False) -> float:
+    """Share of expected numbers found, or 1 for a shared year.
+
+    The denominator is the length of the double list of expected numbers unless ``count_distinct``.
+    """
+    have, _, years = _numbers(a)
+    wanted, listed, wanted_years = _numbers(e)
+    total = len(wanted) if count_distinct else listed
+    return 1.0 if years & wanted_years else len(have & wanted) / total if total else 0.0
+
+
+def _tokens(norm: str) -> set[str]:
+    """The distinct ``text.meaningful_tokens``."""
+    words = norm.split(" ")
+    if "'" in norm:
+        words = [_CONTRACTION.sub("", w) for w in words]
+    found = {w for w in words if len(w) > 2} - _STOP
+    return {w for w in found if not ("-" in w or "'" in w or "_" in w)} if "-" in norm or "'" in norm or "_" in norm else found
+
+
+def _overlap(a: str, e: str) -> float:
+    x, y = _tokens(a), _tokens(e)
+    shared = len(x & y)
+    return shared / (len(x) + len(y) - shared) if shared else 0.0
+
+
+class _Batch:
+    """The answers of a batch of rows, each against those expected; ``pairs`` are the comparisons still open."""
+
+    def __init__(self, low: pa.Array, expected: pa.ListArray, blank: np.ndarray) -> None:
+        counts = pc.list_value_length(expected).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.first = np.cumsum(counts) - counts
+        self.row = np.repeat(np.arange(len(counts)), counts)
+        self.answers, self.wanted = normalized(low), normalized(expected.flatten())
+        self.na, self.ne = _list(self.answers), _list(self.wanted)
+        self.blank = blank
+        self.won, self.kind = self.first.copy(), np.zeros(len(counts), np.int64)
+        self.found, self.confidence = np.zeros(len(counts), bool), np.zeros(len(counts))
+        self.pairs = np.flatnonzero(~blank[self.row])
+
+    def texts(self) -> list[tuple[str, str]]:
+        na, ne = self.na, self.ne
+        return [(na[r], ne[p]) for r, p in zip(self.row[self.pairs].tolist(), self.pairs.tolist())]
+
+    def settle(self, hits: np.ndarray, kind: int, confidence: np.ndarray | float) -> None:
+        """Rows with a hit take the first one and leave; ``hits`` and ``confidence`` go with ``pairs``."""
+        at = np.flatnonzero(hits)
+        rows, firsts = np.unique(self.row[self.pairs[at]], return_index=True)
+        self.won[rows], self.kind[rows], self.found[rows] = self.pairs[at[firsts]], kind, True
+        self.confidence[rows] = np.broadcast_to(confidence, len(self.pairs))[at[firsts]]
+        self.pairs = self.pairs[~self.found[self.row[self.pairs]]]
+
+    def have(self, pattern: str) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the open pairs have the pattern in the answer, and which in the expected answer."""
+        rows = np.unique(self.row[self.pairs])
+        answers = np.zeros(len(self.na), bool)
+        answers[rows] = pc.match_substring_regex(self.answers.take(pa.array(rows)), pattern=pattern).to_numpy(zero_copy_only=False)
+        return answers[self.row[self.pairs]], pc.match_substring_regex(self.wanted.take(pa.array(self.pairs)), pattern=pattern).to_numpy(zero_copy_only=False)
+
+
+def matched(low: pa.Array, expected: pa.ListArray, blank: pa.Array, lacks_form: pa.Array, fuzzy_least: pa.Array, semantic_least: pa.Array, synonym: pa.Array,
+            fuzzy: bool, count_distinct: bool) -> pa.Array:
+    """``match`` of each row with the place of the answer it was matched against; answers and lists of expected answers come in lower case."""
+    b = _Batch(low, expected, blank.to_numpy(zero_copy_only=False))
+    lacks, near, same, related = (x.to_numpy(zero_copy_only=False) for x in (lacks_form, fuzzy_least, semantic_least, synonym))
+    c1, c2, c4, c5 = (np.zeros(len(b.ne)) for _ in range(4))
+
+    b.settle(np.fromiter((a == e for a, e in b.texts()), bool, len(b.pairs)), 0, 1.0)
+
+    rows = np.unique(b.row[b.pairs]).tolist()
+    forms = dict(zip(rows, (_content(b.na[r]) for r in rows)))
+    said = [(forms[r], _content(b.ne[p]), b.na[r], b.ne[p]) for r, p in zip(b.row[b.pairs].tolist(), b.pairs.tolist())]
+    same_content = [(fa or fe) is not None and (fa or a) == (fe or e) for fa, fe, a, e in said]
+    c1[b.pairs] = [question_form_confidence(fa, fe, hit) for (fa, fe, _, _), hit in zip(said, same_content)]
+    c1[b.pairs] *= np.where(lacks[b.row[b.pairs]], 0.5, 1.0)
+    b.settle(np.array(same_content, bool), 1, c1[b.pairs])
+
+    # Without a number in both there is nothing to list.
+    in_answer, in_expected = b.have(r"\p{Nd}|" + _bounded(_listed(fv.NUMBER_WORDS)))
+    some = np.flatnonzero(in_answer & in_expected)
+    c2[b.pairs[some]] = [number_confidence(b.na[b.row[p]], b.ne[p], count_distinct) for p in b.pairs[some].tolist()]
+    b.settle(c2[b.pairs] >= fv.NUMBER_THRESHOLD, 2, c2[b.pairs])
+
+    in_answer, in_expected = b.have(_bounded(_listed(tx.EXPANDED)))
+    expands = in_answer | in_expected
+    some = np.flatnonzero(expands)
+
+    def alike(p: int) -> bool:
+        a, e = b.na[b.row[p]], b.ne[p]
+        xa, xe = _replaced(a, tx.EXPANDED), _replaced(e, tx.EXPANDED)
+        return xa == e or a == xe or xa == xe
+    expands[some] = [alike(p) for p in b.pairs[some].tolist()]
+    b.settle(expands, 3, 1.0)
+
+    if fuzzy and len(b.pairs):
+        c4[b.pairs] = best_scores(*zip(*b.texts())) / 100.0
+        b.settle(c4[b.pairs] >= near[b.row[b.pairs]], 4, c4[b.pairs])
+
+    c5[b.pairs] = [_overlap(a, e) for a, e in b.texts()]
+    c5[b.pairs] = np.maximum(c5[b.pairs], related[b.row[b.pairs]] * 0.8)
+    b.settle(c5[b.pairs] >= same[b.row[b.pairs]], 5, c5[b.pairs])
+
+    # Nothing matched: the highest confidence, then the earliest strategy with it, then the earliest answer.
+    p, each = b.pairs, np.stack([c1, c2, c4, c5])[:, b.pairs]
+    top = each.max(axis=0)
+    kind = np.where(top == 0, 0, np.array([1, 2, 4, 5])[(each == top).argmax(axis=0)])
+    order = np.lexsort((p, kind, -top, b.row[p]))
+    rows, firsts = np.unique(b.row[p[order]], return_index=True)
+    firsts = order[firsts]
+    b.won[rows], b.kind[rows], b.confidence[rows] = p[firsts], kind[firsts], top[firsts]
+
+    kinds = pa.array(_ORDER).take(pa.array(b.kind))
+    answers = pc.if_else(pa.array(b.blank), "", b.answers)
+    columns = [pa.array(b.found), pa.array(b.confidence), kinds, answers, b.wanted.take(pa.array(b.won)), pa.array((b.won - b.first).astype(np.int32))]
+    return pa.StructArray.from_arrays(columns, names=[*[n for n, _ in _FIELDS], "at"])
+
+
+def question_form_confidence(form_a: str | None, form_e: str | None, hit: bool) -> float:
+    if form_a is not None and form_e is not None:
+        return 1.0 if hit else 0.7
+    if form_a is not None:
+        return 0.9 if hit else 0.0
+    return 0.8 if form_e is not None and hit else 0.0
 
 
 def _col(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
-def _answer_side(x) -> dict[str, Column]:
-    """What the answer alone tells."""
-    return {"na": tx.normalize_text(x("answer")), "blank": F.coalesce(tx.is_empty(x("answer")), F.lit(True)),
-            "asks": tx.starts_as_question(x("answer"))}
+def _low(c: Column) -> Column:
+    return F.lower(F.coalesce(c, F.lit("")))
 
 
-def _strategies(fuzzy: bool, count_distinct: bool) -> list[Step]:
-    """From ``answer, expected, needs_form, fuzzy_least, semantic_least, synonym, beat`` and the answer's side to ``match``.
+def _match(df: DataFrame, answer: str, expected: Column, form_required, fuzzy: bool, fuzzy_threshold, semantic_threshold, synonym_score: str | None, count_distinct: bool) -> DataFrame:
+    """Add ``_m_match``: the match and the place in the list ``expected`` (lower case) of what it was matched against."""
+    @F.arrow_udf(_SQL_TYPE)
+    def of(low: pa.Array, expected: pa.Array, blank: pa.Array, lacks: pa.Array, near: pa.Array, same: pa.Array, synonym: pa.Array) -> pa.Array:
+        return matched(low, expected, blank, lacks, near, same, synonym, fuzzy, count_distinct)
 
-    ``beat`` is the place in ``_ORDER``, from 1, of a hit that was found already, or more without one: only a strategy before it could still win, so
-    the others are not tried, and without a hit ``match`` is then a miss of any confidence.
-    """
-    def texts(x):
-        return {"ne": tx.normalize_text(x("expected")), "fa": tx.question_content(x("na"))}
-
-    def forms(x):
-        return {"fe": tx.question_content(x("ne")), "h0": ~x("blank") & (x("na") == x("ne"))}
-
-    def same_content(x):
-        fa, fe = x("fa"), x("fe")
-        same = F.when(fa.isNotNull() | fe.isNotNull(), F.coalesce(fa, x("na")) == F.coalesce(fe, x("ne"))).otherwise(F.lit(False))
-        return {"h1": ~x("blank") & same}
-
-    def open_rows(x):
-        lacks_form = x("needs_form") & ~x("asks")
-        still = ~(x("blank") | x("h0") | x("h1"))
-        return {"c1": question_form_confidence(x("fa"), x("fe"), x("h1")) * F.when(lacks_form, 0.5).otherwise(1.0), "open": still,
-                # Without a number in the expected answer, or an answer still to settle, there is nothing to list.
-                "n": still & (x("beat") > 3) & _has_number(x("ne")) & _has_number(x("na"))}
-
-    def listed(x):
-        return {"va": F.when(x("n"), listed_numbers(x("na"))), "ve": F.when(x("n"), listed_numbers(x("ne")))}
-
-    def numbers(x):
-        years = tx.extract_years(x("na")), tx.extract_years(x("ne"))
-        return {"c2": F.when(x("n"), number_confidence(x("va"), x("ve"), *years, count_distinct)).otherwise(0.0)}
-
-    def without_numbers(x):
-        return {"h2": x("c2") >= fv.NUMBER_THRESHOLD, "open": x("open") & (x("beat") > 4) & ~(x("c2") >= fv.NUMBER_THRESHOLD)}
-
-    def expanded(x):
-        return {"xa": F.when(x("open"), tx.expand_abbreviations(x("na"))), "xe": F.when(x("open"), tx.expand_abbreviations(x("ne")))}
-
-    def abbreviations(x):
-        xa, xe = x("xa"), x("xe")
-        return {"h3": F.coalesce((xa == x("ne")) | (x("na") == xe) | (xa == xe), F.lit(False))}
-
-    def to_score(x):
-        still = x("open") & ~x("h3") & (x("beat") > 5)
-        return {"open": still, "a": F.when(still, x("na")), "b": F.when(still, x("ne"))}
-
-    def scored(x):
-        c4 = F.coalesce(x("best"), F.lit(0)) / 100.0
-        return {"c4": c4, "h4": x("open") & (c4 >= x("fuzzy_least"))}
-
-    def unscored(x):
-        return {"open": x("open") & ~x("h3"), "c4": F.lit(0.0), "h4": F.lit(False)}
-
-    def tokens(x):
-        still = x("open") & ~x("h4") & (x("beat") > 6)
-        return {"open": still, "ta": F.when(still, tx.meaningful_tokens(x("na"))), "te": F.when(still, tx.meaningful_tokens(x("ne")))}
-
-    def semantic(x):
-        shared = F.when(x("open"), tx.jaccard(x("ta"), x("te"))).otherwise(0.0)
-        return {"c5": F.greatest(shared, F.when(x("open"), x("synonym") * 0.8).otherwise(0.0))}
-
-    def most(x):
-        return {"h5": x("open") & (x("c5") >= x("semantic_least")), "top": F.greatest(x("c1"), x("c2"), x("c4"), x("c5"))}
-
-    def decided(x):
-        confidences = [F.lit(1.0), x("c1"), x("c2"), F.lit(1.0), x("c4"), x("c5")]
-        kind, confidence, found = F.when(x("blank"), "exact"), F.when(x("blank"), F.lit(0.0)), F.lit(False)
-        for i, (name, c) in enumerate(zip(_ORDER, confidences)):
-            hit = x(f"h{i}")
-            kind, confidence, found = kind.when(hit, name), confidence.when(hit, c), found | hit
-        # Nothing matched: the earliest strategy with the highest confidence.
-        kind = kind.when(x("top") == 0, "exact")
-        for i in (1, 2, 4, 5):
-            kind = kind.when(x(f"c{i}") == x("top"), _ORDER[i])
-        return {"match": F.struct(
-            found.alias("is_match"), confidence.otherwise(x("top")).alias("confidence"), kind.alias("match_type"),
-            F.when(x("blank"), F.lit("")).otherwise(x("na")).alias("normalized_answer"), x("ne").alias("normalized_expected"))}
-
-    fuzzy_steps = [to_score, *BEST_STEPS, scored] if fuzzy else [unscored]
-    return [texts, forms, same_content, open_rows, listed, numbers, without_numbers, expanded, abbreviations, *fuzzy_steps,
-            tokens, semantic, most, decided]
-
-
-def _given(answer: Column, form_required, fuzzy_threshold, semantic_threshold, synonym_score: str | None) -> dict[str, Column]:
+    said = F.col(answer)
+    # An answer in question form is looked for only where one is required.
+    lacks = F.when(_col(form_required), F.coalesce(~tx.starts_as_question(said), F.lit(False))).otherwise(F.lit(False))
     synonym = F.coalesce(F.col(synonym_score), F.lit(0.0)) if synonym_score else F.lit(0.0)
-    return {"answer": answer, "needs_form": _col(form_required), "fuzzy_least": _col(fuzzy_threshold),
-            "semantic_least": _col(semantic_threshold), "synonym": synonym.cast("double"), "beat": F.lit(len(_ORDER) + 1)}
+    least = [F.coalesce(_col(x).cast("double"), F.lit(float("inf"))) for x in (fuzzy_threshold, semantic_threshold)]
+    small_methods(df.sparkSession)
+    return df.withColumn("_m_match", of(_low(said), expected, F.coalesce(tx.is_empty(said), F.lit(True)), lacks, *least, synonym.cast("double")))
 
 
 def match_answers(df: DataFrame, answer: str, expected: str, form_required: Column | bool = False,
@@ -157,10 +239,12 @@ def match_answers(df: DataFrame, answer: str, expected: str, form_required: Colu
 
     Rows settled by an earlier strategy skip the work of the later ones.
     """
-    given = _given(F.col(answer), form_required, fuzzy_threshold, semantic_threshold, synonym_score)
-    steps = [lambda x: {**given, "expected": F.col(expected)}, _answer_side, *_strategies(fuzzy, count_distinct)]
-    out = as_columns(df, steps, "_m_")
-    return out.withColumn("match", F.col("_m_match")).drop(*[c for c in out.columns if c.startswith("_m_")])
+    out = _match(df, answer, F.array(_low(F.col(expected))), form_required, fuzzy, fuzzy_threshold, semantic_threshold, synonym_score, count_distinct)
+    return out.withColumn("match", _taken()).drop("_m_match")
+
+
+def _taken() -> Column:
+    return F.struct(*[F.col(f"_m_match.{n}").alias(n) for n, _ in _FIELDS])
 
 
 def match_any(df: DataFrame, answer: str, expected: str, alternatives: str, form_required: Column | bool = False,
@@ -169,32 +253,14 @@ def match_any(df: DataFrame, answer: str, expected: str, alternatives: str, form
               synonym_score: str | None = None, count_distinct: bool = False) -> DataFrame:
     """Match against the expected answer and a list of alternatives; adds ``match`` and ``matched_against``.
 
-    The first hit in (strategy, position) order wins, else the highest confidence, earliest first. The list is folded inside the row.
+    The first hit in (strategy, position) order wins, else the highest confidence, earliest first.
     """
-    given = _given(F.col(answer), form_required, fuzzy_threshold, semantic_threshold, synonym_score)
-    out = as_columns(df, [lambda x: given, _answer_side], "_m_")
-    bound = {name: F.col(f"_m_{name}") for name in [*given, "na", "blank", "asks"]}
-    listed = F.concat(F.array(F.col(expected)), F.coalesce(F.col(alternatives), F.array().cast("array<string>")))
-    order = F.array(*[F.lit(x) for x in _ORDER])
-
-    def ranked(x) -> dict[str, Column]:
-        m = x("match")
-        return {"ranked": F.struct(
-            (~m["is_match"]).alias("miss"), F.when(m["is_match"], F.lit(0.0)).otherwise(-m["confidence"]).alias("less"),
-            F.array_position(order, m["match_type"]).alias("strategy"), x("at").alias("at"), m.alias("match"), x("expected").alias("matched_against"))}
-
-    steps = [*_strategies(fuzzy, count_distinct), ranked]
-    placed = F.transform(listed, lambda e, i: F.struct(e.alias("e"), i.alias("i")))
-    nothing = F.lit(None).cast("struct<miss:boolean,less:double,strategy:bigint,at:int,match:struct<is_match:boolean,confidence:double,match_type:string,"
-                               "normalized_answer:string,normalized_expected:string>,matched_against:string>")
-
-    def better(best: Column, option: Column) -> Column:
-        """The better of the best so far and the next answer, which is not compared at all after an exact hit."""
-        beat = F.when(~best["miss"], best["strategy"]).otherwise(F.lit(len(_ORDER) + 1).cast("bigint"))
-        found = in_row({**bound, "expected": option["e"], "at": option["i"], "beat": beat}, steps, "ranked")
-        return F.when(~best["miss"] & (best["strategy"] == 1), best).otherwise(F.least(best, found))
-    out = out.withColumn("_m_best", F.aggregate(placed, nothing, better)).withColumns({"match": F.col("_m_best.match"), "matched_against": F.col("_m_best.matched_against")})
-    return out.drop(*[c for c in out.columns if c.startswith("_m_")])
+    also = F.coalesce(F.col(alternatives), F.array().cast("array<string>"))
+    listed = F.concat(F.array(_low(F.col(expected))), F.transform(also, _low))
+    out = _match(df, answer, listed, form_required, fuzzy, fuzzy_threshold, semantic_threshold, synonym_score, count_distinct)
+    at = F.col("_m_match.at")
+    against = F.when(at == 0, F.col(expected)).otherwise(F.get(also, at - 1))
+    return out.withColumns({"match": _taken(), "matched_against": against}).drop("_m_match")
 
 
 def synonym_similarity(df: DataFrame, row_id: str, tokens: str, expected_tokens: str,
