@@ -16,6 +16,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
 from quizspark.functions import edits
@@ -44,18 +45,42 @@ def _shares(longest: np.ndarray, edits: np.ndarray) -> np.ndarray:
     return np.where(longest == 0, 100, (200 * (longest - edits) + longest) // (2 * np.maximum(longest, 1)))
 
 
-def _words(text: str) -> list[str]:
-    words = text.split(" ")
-    return [w for w in words if w] if "" in words else words
+class _Words:
+    """The words of the texts of pairs, all first texts before all second ones, and stretches of letters made of them."""
 
-
-class _Texts:
-    """Texts in one row of letters, and the edit ratios of pairs of stretches of it."""
-
-    def __init__(self, kept: list[str]) -> None:
-        self.size = np.fromiter(map(len, kept), np.int64, len(kept))
+    def __init__(self, texts: list[str]) -> None:
+        self.text = edits.codes([*texts, " "])
+        self.blank = self.text[-1]
+        self.size = np.fromiter(map(len, texts), np.int64, len(texts))
         self.at = np.cumsum(self.size) - self.size
-        self.text = edits.codes(kept)
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        pieces, each = split.flatten(), pc.list_value_length(split).to_numpy().astype(np.int64)
+        owner, length = np.repeat(np.arange(len(texts)), each), pc.utf8_length(pieces).to_numpy().astype(np.int64)
+        before = np.cumsum(length + 1) - length - 1
+        begin = before + np.repeat(self.at - before[np.cumsum(each) - each], each)
+        kept = length > 0
+        self.owner, self.length, self.begin = owner[kept], length[kept], begin[kept]
+        self.count = np.bincount(self.owner, minlength=len(texts))
+        self.plain = each == self.count  # without blanks of its own, the text is its words
+        coded = pieces.filter(pa.array(kept)).dictionary_encode()
+        self.kinds = max(1, len(coded.dictionary))
+        place = np.zeros(self.kinds, np.int64)
+        place[pc.sort_indices(coded.dictionary).to_numpy()] = np.arange(len(coded.dictionary))
+        self.word = place[coded.indices.to_numpy()]  # equal words have equal numbers, which are in the order of the words
+
+    def join(self, words: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Begin and length, by owner, of new texts of the words, in their order, and the begin of each word in them; the words of an owner stand together."""
+        length = self.length[words]
+        to = len(self.text) + np.cumsum(length + 1) - length - 1
+        added = np.full(int((length + 1).sum()), self.blank)
+        step = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+        added[np.repeat(to - len(self.text), length) + step] = self.text[np.repeat(self.begin[words], length) + step]
+        self.text = np.concatenate([self.text, added])
+        at, size = np.zeros(len(self.at), np.int64), np.zeros(len(self.at), np.int64)
+        firsts, lasts = np.flatnonzero(np.diff(owner, prepend=-1)), np.flatnonzero(np.diff(owner, append=-1))
+        at[owner[firsts]] = to[firsts]
+        size[owner[firsts]] = to[lasts] + length[lasts] - to[firsts]
+        return at, size, to
 
     def raise_to(self, best: np.ndarray, pair: np.ndarray, at: np.ndarray, m: np.ndarray, to: np.ndarray, n: np.ndarray) -> None:
         """Raise the best of each pair to the ratios of its stretches; those whose lengths rule it out are not compared."""
@@ -64,37 +89,37 @@ class _Texts:
         found = edits.distances(self.text, at[some], m[some], to[some], n[some])
         np.maximum.at(best, pair[some], _shares(longest[some], found))
 
-    def compare(self, best: np.ndarray, jobs: list[int]) -> None:
-        """Raise the best of each pair to the ratio of two whole texts; ``jobs`` are pair, text, text, pair and so on."""
-        pair, a, b = np.array(jobs, np.int64).reshape(-1, 3).T
-        self.raise_to(best, pair, self.at[a], self.size[a], self.at[b], self.size[b])
-
-    def compare_runs(self, best: np.ndarray, jobs: list[int], words: list[str]) -> None:
-        """Raise the best of each pair to the ratio of its shorter text and the nearest run of as many words of the longer.
-
-        ``jobs`` are pair, shorter and longer text and their numbers of words, pair and so on; ``words`` are those of all longer texts.
-        """
-        if not jobs:
-            return
-        pair, few, many, fewer, more = np.array(jobs, np.int64).reshape(-1, 5).T
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        head = np.cumsum(more) - more  # the first of a job's words
-        before = np.cumsum(size + 1) - size - 1
-        begin = before + np.repeat(self.at[many] - before[head], more)
-        m, runs = self.size[few], more - fewer + 1
+    def raise_to_texts(self, best: np.ndarray, pair: np.ndarray, at: np.ndarray, size: np.ndarray) -> None:
+        """``raise_to`` for the first and the second text of some pairs."""
+        second = pair + len(best)
+        self.raise_to(best, pair, at[pair], size[pair], at[second], size[second])
+
+    def raise_to_runs(self, best: np.ndarray, pair: np.ndarray) -> None:
+        """Raise the best of some pairs to the ratio of the text with fewer words and the nearest run of as many words of the other."""
+        at, size, begin = self.at.copy(), self.size.copy(), self.begin.copy()
+        loose = np.flatnonzero(~self.plain[self.owner])
+        if len(loose):
+            new_at, new_size, begin[loose] = self.join(loose, self.owner[loose])
+            at, size = np.where(self.plain, at, new_at), np.where(self.plain, size, new_size)
+        head = np.cumsum(self.count) - self.count
+        second = pair + len(best)
+        less = self.count[pair] <= self.count[second]
+        few, many = np.where(less, pair, second), np.where(less, second, pair)
+        fewer, m = self.count[few], size[few]
+        runs = self.count[many] - fewer + 1
         large = runs * m * m > WORK
 
         def tried(some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            """Job, begin and length of the runs of some jobs."""
-            job = np.repeat(some, runs[some])
-            first = head[job] + np.arange(len(job)) - np.repeat(np.cumsum(runs[some]) - runs[some], runs[some])
-            last = first + fewer[job] - 1
-            return job, begin[first], begin[last] + size[last] - begin[first]
-        job, at, n = tried(np.flatnonzero(~large))
-        self.raise_to(best, pair[job], self.at[few[job]], m[job], at, n)
+            """Place among the pairs, begin and length of their runs."""
+            of = np.repeat(some, runs[some])
+            first = head[many[of]] + np.arange(len(of)) - np.repeat(np.cumsum(runs[some]) - runs[some], runs[some])
+            last = first + fewer[of] - 1
+            return of, begin[first], begin[last] + self.length[last] - begin[first]
+        of, to, n = tried(np.flatnonzero(~large))
+        self.raise_to(best, pair[of], at[few[of]], m[of], to, n)
         for j in np.flatnonzero(large):
-            job, at, n = tried(np.array([j]))
-            self._raise_to_nearest(best, pair[job], self.at[few[job]], m[job], at, n, self.at[many[j]], self.size[many[j]])
+            of, to, n = tried(np.array([j]))
+            self._raise_to_nearest(best, pair[of], at[few[of]], m[of], to, n, at[many[j]], size[many[j]])
 
     def _raise_to_nearest(self, best, pair, few, m, at, n, start, length) -> None:
         """``raise_to`` for all runs of one pair, the nearest first as far as bounds tell, until none can beat the best."""
@@ -123,61 +148,49 @@ def _in_parts(a: Sequence[str], b: Sequence[str]):
         yield first, len(a)
 
 
-def _sides(sa: set[str], sb: set[str], shared: set[str]) -> tuple[str, str, int]:
-    """The shared words, in order, with each side's others, and the score of the shared words against the nearer side: they are its beginning, so the lengths tell."""
-    first = sorted(shared)
-    left, right = " ".join(first + sorted(sa - shared)), " ".join(first + sorted(sb - shared))
-    longest, same = min(len(left), len(right)), sum(map(len, first)) + max(len(first) - 1, 0)
-    return left, right, (200 * same + longest) // (2 * longest)
-
-
 def _part(a: Sequence[str], b: Sequence[str], every: bool) -> list[np.ndarray]:
     """The four scores of each pair, or only the best of them, where a score that is another's is left out and each has to beat the best before."""
-    kept: list[str] = []
-    best = [np.zeros(len(a), np.int64) for _ in SCORES]
-    ratios: list[int] = []  # pair and places of two texts, one after the other
-    ordered, sets, runs = ([], [], []) if every else (ratios, ratios, [])
-    words: list[str] = []
-    for i, (x, y) in enumerate(zip(a, b)):
-        wx, wy = _words(x), _words(y)
-        sx, sy = set(wx), set(wy)
-        shared = sx & sy
-        if not every and shared and (len(shared) == len(sx) or len(shared) == len(sy)):
-            best[3][i] = 100  # one side has all words of the other
-            continue
-        ox, oy = " ".join(sorted(wx)), " ".join(sorted(wy))
-        at = len(kept)
-        kept += x, y
-        ratios += i, at, at + 1
-        if every or ox != x or oy != y:
-            ordered += i, len(kept), len(kept) + 1
-            kept += ox, oy
-        if not wx or not wy:
-            continue
-        if every or shared or len(sx) < len(wx) or len(sy) < len(wy):
-            left, right, best[3][i] = _sides(sx, sy, shared)
-            sets += i, len(kept), len(kept) + 1
-            kept += left, right
-        plain = len(ox) == len(x) and len(oy) == len(y)  # without blanks of its own, the text is its words
-        if every or not plain or len(wx) != len(wy):
-            if not plain:
-                at = len(kept)
-                kept += " ".join(wx), " ".join(wy)
-            if len(wx) <= len(wy):
-                runs += i, at, at + 1, len(wx), len(wy)
-                words += wy
-            else:
-                runs += i, at + 1, at, len(wy), len(wx)
-                words += wx
-    texts = _Texts(kept)
-    if every:
-        for score, jobs in zip((0, 2, 3), (ratios, ordered, sets)):
-            texts.compare(best[score], jobs)
-        texts.compare_runs(best[1], runs, words)
-        return best
-    texts.compare(best[3], ratios)
-    texts.compare_runs(best[3], runs, words)
-    return best[3:]
+    pairs = len(a)
+    w = _Words([*a, *b])
+    best = [np.zeros(pairs, np.int64) for _ in range(4)] if every else [np.zeros(pairs, np.int64)] * 4
+    both = (w.count[:pairs] > 0) & (w.count[pairs:] > 0)
+    key = w.owner * w.kinds + w.word
+    unordered = ~w.plain
+    unordered[w.owner[1:][(np.diff(w.owner) == 0) & (np.diff(w.word) < 0)]] = True
+    order = np.argsort(key, kind="stable")
+
+    # The distinct words of each side, and whether the other side has them.
+    once = order[np.diff(key[order], prepend=-1) != 0]
+    of = w.owner[once] % max(1, pairs) * w.kinds + w.word[once]  # in order on either side
+    cut = np.searchsorted(w.owner[once], pairs)
+    shared = np.concatenate([np.isin(of[:cut], of[cut:], assume_unique=True), np.isin(of[cut:], of[:cut], assume_unique=True)])
+    owner, length = w.owner[once], w.length[once] + 1
+    distinct = np.bincount(owner, minlength=2 * pairs)
+    size = np.bincount(owner, length, 2 * pairs).astype(np.int64) - 1
+    same = np.maximum(np.bincount(owner[shared], length[shared], 2 * pairs).astype(np.int64) - 1, 0)[:pairs]
+    # The shared words against the nearer side are its beginning, so the lengths tell.
+    longest = np.minimum(size[:pairs], size[pairs:])
+    best[3][both] = _shares(longest, longest - same)[both]
+
+    def needed(differ: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(both if every else both & (best[3] < 100) & differ)
+
+    def chosen(some: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Those of some words that belong to some pairs."""
+        of_pair = np.zeros(2 * pairs, bool)
+        of_pair[some], of_pair[some + pairs] = True, True
+        return words[of_pair[w.owner[words]]]
+
+    w.raise_to_texts(best[0], np.flatnonzero(best[3] < 100) if not every else np.arange(pairs), w.at, w.size)
+    some = np.arange(pairs) if every else np.flatnonzero((best[3] < 100) & (unordered[:pairs] | unordered[pairs:]))
+    words = chosen(some, order)
+    w.raise_to_texts(best[2], some, *w.join(words, w.owner[words])[:2])
+    some = needed((same > 0) | (distinct < w.count)[:pairs] | (distinct < w.count)[pairs:])
+    shared_first = once[np.lexsort((~shared, owner))]
+    words = chosen(some, shared_first)
+    w.raise_to_texts(best[3], some, *w.join(words, w.owner[words])[:2])
+    w.raise_to_runs(best[1], needed((w.count[:pairs] != w.count[pairs:]) | ~w.plain[:pairs] | ~w.plain[pairs:]))
+    return best if every else best[3:]
 
 
 def _of_pairs(a: Sequence[str], b: Sequence[str], every: bool) -> list[np.ndarray]:
