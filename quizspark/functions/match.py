@@ -41,10 +41,39 @@ def _list(texts: pa.Array) -> list[str]:
 
 def normalized(low: pa.Array) -> pa.Array:
     """``text.normalize_text`` of texts in lower case."""
-    words = pc.utf8_trim(pc.replace_substring_regex(low, pattern=tx.GAP, replacement=" "), " ")
+    words = _ascii_words(low)
+    if words is None:
+        words = pc.utf8_trim(pc.replace_substring_regex(low, pattern=tx.GAP, replacement=" "), " ")
     return pc.replace_substring_regex(words, pattern="^(?:the|a|an) ", replacement="")
 
 
+_IN_ASCII_WORD = np.array([chr(i).isascii() and (chr(i).isalnum() or chr(i) in "_'-") for i in range(256)])
+
+
+def _ascii_words(low: pa.Array) -> pa.Array | None:
+    """The words of ASCII texts with single blanks between them; None if any text has other characters."""
+    _, ends, letters = low.buffers()
+    if letters is None:
+        return low
+    ends = np.frombuffer(ends, np.int64 if pa.types.is_large_string(low.type) else np.int32)[low.offset:low.offset + len(low) + 1].astype(np.int64)
+    letters = np.frombuffer(letters, np.uint8)[ends[0]:ends[-1]]
+    if len(letters) and letters.max() > 127:
+        return None
+    ends = ends - ends[0]
+    inside = _IN_ASCII_WORD[letters]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    cuts = ends[:-1][ends[:-1] < ends[1:]]
+    begins[cuts] = inside[cuts]  # a text begins a word though the one before ends with a letter
+    first = np.flatnonzero(begins)
+    owner = np.searchsorted(ends, first, side="right")
+    begins[first[np.diff(owner, prepend=-1) != 0]] = False  # no blank before the first word of a text
+    size = np.concatenate([[0], np.cumsum(inside.astype(np.int64) + begins)])
+    out = np.full(size[-1], ord(" "), np.uint8)
+    out[size[1:][inside] - 1] = letters[inside]
+    return pa.LargeStringArray.from_buffers(len(low), pa.py_buffer(size[ends]), pa.py_buffer(out)).cast(low.type)
+
+
 def _content(norm: str) -> str | None:
     found = _FORM.match(norm) if norm[:1] in ("w", "h") else None
     return found[1] if found else None
@@ -103,8 +132,7 @@ def _tokens(norm: str) -> set[str]:
     return {w for w in found if not ("-" in w or "'" in w or "_" in w)} if "-" in norm or "'" in norm or "_" in norm else found
 
 
-def _overlap(a: str, e: str) -> float:
-    x, y = _tokens(a), _tokens(e)
+def _overlap(x: set[str], y: set[str]) -> float:
     shared = len(x & y)
     return shared / (len(x) + len(y) - shared) if shared else 0.0
 
@@ -154,9 +182,9 @@ def matched(low: pa.Array, expected: pa.ListArray, blank: pa.Array, lacks_form:
 
     rows = np.unique(b.row[b.pairs]).tolist()
     forms = dict(zip(rows, (_content(b.na[r]) for r in rows)))
-    said = [(forms[r], _content(b.ne[p]), b.na[r], b.ne[p]) for r, p in zip(b.row[b.pairs].tolist(), b.pairs.tolist())]
-    same_content = [(fa or fe) is not None and (fa or a) == (fe or e) for fa, fe, a, e in said]
-    c1[b.pairs] = [question_form_confidence(fa, fe, hit) for (fa, fe, _, _), hit in zip(said, same_content)]
+    asked = [(forms[r], _content(b.ne[p]), b.na[r], b.ne[p]) for r, p in zip(b.row[b.pairs].tolist(), b.pairs.tolist())]
+    same_content = [(fa or fe) is not None and (fa or a) == (fe or e) for fa, fe, a, e in asked]
+    c1[b.pairs] = [question_form_confidence(fa, fe, hit) for (fa, fe, _, _), hit in zip(asked, same_content)]
     c1[b.pairs] *= np.where(lacks[b.row[b.pairs]], 0.5, 1.0)
     b.settle(np.array(same_content, bool), 1, c1[b.pairs])
 
@@ -177,11 +205,21 @@ def matched(low: pa.Array, expected: pa.ListArray, blank: pa.Array, lacks_form:
     expands[some] = [alike(p) for p in b.pairs[some].tolist()]
     b.settle(expands, 3, 1.0)
 
-    if fuzzy and len(b.pairs):
+    # A row's later answers, one, then two, four and so on, are scored only if none before has a hit.
+    waiting, missed, most = b.pairs, [b.pairs[:0]], 1
+    while fuzzy and len(waiting):
+        begins = np.flatnonzero(np.diff(b.row[waiting], prepend=-1))
+        now = np.arange(len(waiting)) - np.repeat(begins, np.diff(begins, append=len(waiting))) < most
+        b.pairs, waiting, most = waiting[now], waiting[~now], 2 * most
         c4[b.pairs] = best_scores(*zip(*b.texts())) / 100.0
         b.settle(c4[b.pairs] >= near[b.row[b.pairs]], 4, c4[b.pairs])
+        missed.append(b.pairs)
+        waiting = waiting[~b.found[b.row[waiting]]]
+    b.pairs = np.sort(np.concatenate([*missed, waiting]))
+    b.pairs = b.pairs[~b.found[b.row[b.pairs]]]
 
-    c5[b.pairs] = [_overlap(a, e) for a, e in b.texts()]
+    said = {r: _tokens(b.na[r]) for r in np.unique(b.row[b.pairs]).tolist()}
+    c5[b.pairs] = [_overlap(said[r], _tokens(b.ne[p])) for r, p in zip(b.row[b.pairs].tolist(), b.pairs.tolist())]
     c5[b.pairs] = np.maximum(c5[b.pairs], related[b.row[b.pairs]] * 0.8)
     b.settle(c5[b.pairs] >= same[b.row[b.pairs]], 5, c5[b.pairs])
 

@@ -22,7 +22,8 @@ def clean_response(c: Column) -> Column:
 def without_prefixes(flat: Column) -> Column:
     """Collapsed text without lead-ins; a text that none of them fits is not gone through one by one."""
     cut = reduce(lambda acc, p: F.regexp_replace(acc, "(?i)" + p, ""), fv.ANSWER_PREFIXES, flat)
-    return F.trim(F.when(flat.rlike("(?i)" + "|".join(f"(?:{p})" for p in fv.ANSWER_PREFIXES)), cut).otherwise(flat))
+    fits = flat.contains(":") & flat.rlike("(?i)" + "|".join(f"(?:{p})" for p in fv.ANSWER_PREFIXES))  # every lead-in has a colon
+    return F.trim(F.when(fits, cut).otherwise(flat))
 
 
 def is_blank(c: Column) -> Column:
@@ -31,7 +32,7 @@ def is_blank(c: Column) -> Column:
 
 def has_question_form(low: Column) -> Column:
     """Whether cleaned lower-case text has "what is", "who was" and so on anywhere."""
-    return low.rlike(rf"(?:{WORDS_ALT})\s+(?:{VERBS_ALT})\s+")
+    return _any_phrase(low, fv.QUESTION_WORDS) & low.rlike(rf"(?:{WORDS_ALT})\s+(?:{VERBS_ALT})\s+")
 
 
 def phrases_found(low: Column, phrases: list[str]) -> Column:
@@ -51,16 +52,16 @@ def has_reasoning_words(low: Column) -> Column:
     return reduce(lambda a, b: a | b, gapped, _any_phrase(low, plain))
 
 
-def response_type(blank: Column, in_form: Column, low: Column) -> Column:
+def response_type(blank: Column, in_form: Column, low: Column, unsure: Column) -> Column:
     """First rule that applies wins: error, refusal, question form, explanation, uncertain.
 
-    ``low`` is the cleaned text in lower case.
+    ``low`` is the cleaned text in lower case, ``unsure`` whether it has a phrase of uncertainty.
     """
     return (F.when(blank, "error")
             .when(_any_phrase(low, fv.REFUSAL_PHRASES), "refusal")
             .when(in_form, fv.QUESTION_TYPE)
             .when(has_reasoning_words(low), "explanation")
-            .when(_any_phrase(low, fv.UNCERTAINTY_PHRASES), "uncertain")
+            .when(unsure, "uncertain")
             .otherwise("direct_answer"))
 
 
@@ -74,12 +75,18 @@ def reasoning(clean: Column) -> Column:
             .when(tx.words_in(clean) > 20, clean))
 
 
+def starters(clean: Column) -> Column:
+    """The starters, wherever they stand, each with the rest of its sentence."""
+    return F.regexp_extract_all(clean, F.lit(rf"(?i)(?=((?:{WORDS_ALT})\s+(?:{VERBS_ALT})\s+[^?.!]*[?.!]?))"), F.lit(1))
+
+
 def question_hit(clean: Column) -> Column:
-    """The first starter in list order with the rest of its sentence; NULL when there is none.
+    """The first starter in list order with the rest of its sentence; NULL when there is none."""
+    return first_starter(starters(clean))
 
-    One search finds the starters wherever they stand; those found are put in list order.
-    """
-    found = F.regexp_extract_all(clean, F.lit(rf"(?i)(?=((?:{WORDS_ALT})\s+(?:{VERBS_ALT})\s+[^?.!]*[?.!]?))"), F.lit(1))
+
+def first_starter(found: Column) -> Column:
+    """The first of the starters in list order."""
     words, verbs = (F.array(*[F.lit(x) for x in listed]) for listed in (fv.QUESTION_WORDS, fv.QUESTION_VERBS))
 
     def placed(hit: Column, i: Column) -> Column:
@@ -135,12 +142,15 @@ def parse_responses(df: DataFrame, text_col: str, with_reasoning: bool = True) -
               .withColumn("_clean", F.when(F.col("_blank"), F.lit("")).otherwise(without_prefixes(F.col("_flat"))))
               .withColumn("_low", F.lower(clean))
               .withColumn("_form", has_question_form(F.col("_low")))
-              .withColumn("_type", response_type(F.col("_blank"), F.col("_form"), F.col("_low"))))
+              .withColumn("_unsure", _any_phrase(F.col("_low"), fv.UNCERTAINTY_PHRASES))
+              .withColumn("_type", response_type(F.col("_blank"), F.col("_form"), F.col("_low"), F.col("_unsure"))))
     rtype = F.col("_type")
     # Stages, so that the search for a starter runs once per row.
-    staged = (staged.withColumn("_hit", F.when(rtype == fv.QUESTION_TYPE, question_hit(clean)))
+    found, nothing = F.col("_found"), F.array().cast("array<string>")
+    staged = (staged.withColumn("_found", F.when(rtype == fv.QUESTION_TYPE, starters(clean)))
+              .withColumn("_hit", F.when(F.size(found) == 1, F.trim(found[0])).when(F.size(found) > 1, first_starter(found)))
               .withColumn("_asked", as_question(F.col("_hit")))
-              .withColumn("_hints", F.when(rtype == "error", F.array().cast("array<string>"))
+              .withColumn("_hints", F.when((rtype == "error") | ~F.col("_unsure"), nothing)
                           .otherwise(phrases_found(F.col("_low"), fv.UNCERTAINTY_PHRASES)))
               .withColumn("_answer", F.when(rtype.isin("error", "refusal"), F.lit(""))
                           .when(rtype == fv.QUESTION_TYPE, F.coalesce(tx.capitalize(F.col("_asked")), F.trim(clean)))
@@ -155,4 +165,4 @@ def parse_responses(df: DataFrame, text_col: str, with_reasoning: bool = True) -
         tx.words_in(clean).alias("word_count"),
         quality_score(rtype, F.col("_hints"), F.col("_answer")).alias("quality_score"))
     return staged.withColumn("parsed", parsed).drop(
-        "_blank", "_flat", "_clean", "_low", "_form", "_hit", "_asked", "_type", "_hints", "_answer", "_why")
+        "_blank", "_flat", "_clean", "_low", "_form", "_unsure", "_found", "_hit", "_asked", "_type", "_hints", "_answer", "_why")
